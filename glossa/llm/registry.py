@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from glossa.llm.minhash import op1_minhash_near_dedup
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+}
 ORACLE_SQL: dict = {}
