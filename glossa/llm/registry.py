@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from glossa.llm.decontam import OP4_SQL, op4_decontamination
 from glossa.llm.minhash import op1_minhash_near_dedup
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_decontamination": op4_decontamination,
+}
+ORACLE_SQL = {
+    "op4_decontamination": OP4_SQL,
 }
-ORACLE_SQL: dict = {}
