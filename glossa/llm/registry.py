@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from glossa.llm.decontam import OP4_SQL, op4_decontamination
 from glossa.llm.minhash import op1_minhash_near_dedup
+from glossa.llm.packing import op5_vector_packing
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_vector_packing": op5_vector_packing,
 }
 ORACLE_SQL = {
     "op4_decontamination": OP4_SQL,
