@@ -5,12 +5,15 @@ from __future__ import annotations
 from glossa.llm.decontam import OP4_SQL, op4_decontamination
 from glossa.llm.minhash import op1_minhash_near_dedup
 from glossa.llm.packing import op5_vector_packing
+from glossa.llm.urls import OP8_SQL, op8_host_reputation
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_vector_packing": op5_vector_packing,
+    "op8_host_reputation": op8_host_reputation,
 }
 ORACLE_SQL = {
     "op4_decontamination": OP4_SQL,
+    "op8_host_reputation": OP8_SQL,
 }
