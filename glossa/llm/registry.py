@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from glossa.llm.decontam import OP4_SQL, op4_decontamination
+from glossa.llm.html import op2_tag_path_ratios
 from glossa.llm.minhash import op1_minhash_near_dedup
 from glossa.llm.packing import op5_vector_packing
 from glossa.llm.urls import OP8_SQL, op8_host_reputation
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_tag_path_ratios": op2_tag_path_ratios,
     "op4_decontamination": op4_decontamination,
     "op5_vector_packing": op5_vector_packing,
     "op8_host_reputation": op8_host_reputation,
