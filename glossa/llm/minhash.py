@@ -6,8 +6,8 @@
    (1 - 0.75**ROWS)**BANDS, about 1e-6.
 3. Each bucket first compares its members with its smallest member only (a star),
    never all pairs. Buckets whose members are then in one component are done. In the
-   others, members of different components are compared, if their set sizes allow
-   the similarity at all.
+   others, members of different components are compared if they share one of their
+   rarest shingles (prefix filter, exact) and their set sizes allow the similarity.
 4. A candidate pair is compared batch by batch of its signatures and dropped as soon
    as the posterior probability of a similarity at the threshold falls under MISS.
 5. Survivors are verified exactly on their full shingle sets.
@@ -23,7 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import Scratch, components
@@ -107,12 +107,15 @@ def _passing(threshold: float, n_hashes: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, keep_comp: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width, memo).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = pa.array([shingle_set(t.as_py(), width, memo).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            if keep_comp:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sets], names=["id", "comp", "shingles"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "shingles"])
 
     return run
 
@@ -152,23 +155,11 @@ def near_duplicates(
     found = scratch.save(_verified(stars, reps, texts, threshold, width, scratch))
     joined = components(found, scratch)
 
-    # What is left: buckets with members of more than one component.
-    placed = members.join(joined, members.id == joined.node, "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("comp"))
+    # What is left: documents in buckets with members of more than one component.
+    placed = members.join(joined, members.id == joined.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    open_members = scratch.save(placed.join(open_keys, "key", "left_semi"))
-    # A pair's sizes differ by the threshold's factor at most: equal or neighbouring size classes.
-    step = float(1 / threshold)
-    size_class = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(step)) + 1e-9)
-    left = open_members.withColumn("size", size_class)
-    right = left.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n_shingles").alias("n2"), F.explode(F.array("size", F.col("size") + 1)).alias("size"))
-    t = float(threshold)
-    across = (
-        left.join(right, ["key", "size"])
-        .where((F.col("comp") != F.col("comp2")) & (F.least("n_shingles", "n2") >= t * F.greatest("n_shingles", "n2") - 1e-9))
-        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        .distinct()
-    )
-    across = across.join(stars, ["a", "b"], "left_anti")
+    left_over = placed.join(open_keys, "key", "left_semi").select("id", "comp").distinct()
+    across = _across(left_over, texts, threshold, width, scratch).join(stars, ["a", "b"], "left_anti")
     more = scratch.save(_verified(across, reps, texts, threshold, width, scratch))
     if more.isEmpty():
         whole = joined
@@ -188,15 +179,42 @@ def near_duplicates(
     )
 
 
+def _across(docs: DataFrame, texts: DataFrame, threshold: Fraction, width: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of docs (id, comp) in different components that may reach the threshold; exact by prefixes.
+
+    With all sets in one order of shingles, two sets that reach the threshold t share one
+    of the first n - ceil(t n) + 1 shingles of each. The order is by document frequency:
+    what single copies have for themselves comes first, what a hot passage or a large
+    group shares comes last, and so pairs that are alike but not enough rarely meet.
+    Shingles in one component only can't join two and merely count as earlier places.
+    """
+    sets = texts.join(docs, "id").mapInArrow(_sets(width, keep_comp=True), "id long, comp long, shingles array<long>")
+    tokens = scratch.save(sets.select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("token")).distinct())
+    known = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("df > 1")
+    ranked = tokens.join(known, "token").select("id", "comp", "n", "token", "df", "c1", "c2")
+    in_order = Window.partitionBy("id").orderBy("df", "token")
+    whole = Window.partitionBy("id")
+    num, den = threshold.numerator, threshold.denominator
+    length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
+    prefix = ranked.withColumn("place", F.row_number().over(in_order) + F.col("n") - F.count("*").over(whole)).where((F.col("place") <= length) & (F.col("c1") < F.col("c2")))
+    prefix = scratch.save(prefix.select("token", "id", "comp", "n"))
+    scratch.drop(tokens)
+    other = prefix.select("token", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
+    alike = (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
+    return prefix.join(other, "token").where(alike).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: Fraction, width: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold: pruned by signatures first."""
-    sig = reps.select(F.col("id").alias("k"), "sig")
-    with_both = (
-        pairs.join(sig.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b")
-    )
-    likely = scratch.save(with_both.mapInArrow(_passing(float(threshold), BANDS * ROWS), "a long, b long"))
+    likely = pairs
+    for n_hashes in (BATCH, BANDS * ROWS):  # few pairs outlive the first batch, so few carry whole signatures
+        sig = reps.select(F.col("id").alias("k"), F.substring("sig", 1, 4 * n_hashes).alias("sig"))
+        with_both = (
+            likely.join(sig.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a")
+            .join(sig.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
+            .select("a", "b", "sig_a", "sig_b")
+        )
+        likely = scratch.save(with_both.mapInArrow(_passing(float(threshold), n_hashes), "a long, b long").distinct())
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = scratch.save(texts.join(needed, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
     num, den = threshold.numerator, threshold.denominator
