@@ -6,14 +6,18 @@ from glossa.llm.decontam import OP4_SQL, op4_decontamination
 from glossa.llm.html import op2_tag_path_ratios
 from glossa.llm.minhash import op1_minhash_near_dedup
 from glossa.llm.packing import op5_vector_packing
+from glossa.llm.separators import op9_separator_scan
 from glossa.llm.urls import OP8_SQL, op8_host_reputation
+from glossa.llm.warc import op3_warc_derivatives
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_tag_path_ratios": op2_tag_path_ratios,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_decontamination": op4_decontamination,
     "op5_vector_packing": op5_vector_packing,
     "op8_host_reputation": op8_host_reputation,
+    "op9_separator_scan": op9_separator_scan,
 }
 ORACLE_SQL = {
     "op4_decontamination": OP4_SQL,
