@@ -159,7 +159,8 @@ def near_duplicates(
     placed = members.join(joined, members.id == joined.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
     left_over = placed.join(open_keys, "key", "left_semi").select("id", "comp").distinct()
-    across = _across(left_over, texts, threshold, width, scratch).join(stars, ["a", "b"], "left_anti")
+    sets = texts.join(left_over, "id").select("id", "text", "comp").mapInArrow(_sets(width, keep_comp=True), "id long, comp long, shingles array<long>")
+    across = pairs_across(sets, threshold, scratch).join(stars, ["a", "b"], "left_anti")
     more = scratch.save(_verified(across, reps, texts, threshold, width, scratch))
     if more.isEmpty():
         whole = joined
@@ -179,8 +180,8 @@ def near_duplicates(
     )
 
 
-def _across(docs: DataFrame, texts: DataFrame, threshold: Fraction, width: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of docs (id, comp) in different components that may reach the threshold; exact by prefixes.
+def pairs_across(sets: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
+    """Pairs a < b of sets (id, comp, shingles) in different components that may reach the threshold; exact by prefixes.
 
     With all sets in one order of shingles, two sets that reach the threshold t share one
     of the first n - ceil(t n) + 1 shingles of each. The order is by document frequency:
@@ -188,7 +189,6 @@ def _across(docs: DataFrame, texts: DataFrame, threshold: Fraction, width: int,
     group shares comes last, and so pairs that are alike but not enough rarely meet.
     Shingles in one component only can't join two and merely count as earlier places.
     """
-    sets = texts.join(docs, "id").mapInArrow(_sets(width, keep_comp=True), "id long, comp long, shingles array<long>")
     tokens = scratch.save(sets.select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("token")).distinct())
     known = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("df > 1")
     ranked = tokens.join(known, "token").select("id", "comp", "n", "token", "df", "c1", "c2")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glossa.llm.decontam import OP4_SQL, op4_decontamination
 from glossa.llm.html import op2_tag_path_ratios
+from glossa.llm.lines import op7_fuzzy_lines
 from glossa.llm.minhash import op1_minhash_near_dedup
 from glossa.llm.packing import op5_vector_packing
 from glossa.llm.separators import op9_separator_scan
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_decontamination": op4_decontamination,
     "op5_vector_packing": op5_vector_packing,
+    "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_host_reputation": op8_host_reputation,
     "op9_separator_scan": op9_separator_scan,
 }
