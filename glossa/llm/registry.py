@@ -7,6 +7,7 @@ from glossa.llm.html import op2_tag_path_ratios
 from glossa.llm.lines import op7_fuzzy_lines
 from glossa.llm.minhash import op1_minhash_near_dedup
 from glossa.llm.packing import op5_vector_packing
+from glossa.llm.quality import op6_co_training
 from glossa.llm.separators import op9_separator_scan
 from glossa.llm.urls import OP8_SQL, op8_host_reputation
 from glossa.llm.warc import op3_warc_derivatives
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_decontamination": op4_decontamination,
     "op5_vector_packing": op5_vector_packing,
+    "op6_co_training": op6_co_training,
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_host_reputation": op8_host_reputation,
     "op9_separator_scan": op9_separator_scan,
