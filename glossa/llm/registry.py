@@ -10,6 +10,7 @@ from glossa.llm.packing import op5_vector_packing
 from glossa.llm.quality import op6_co_training
 from glossa.llm.separators import op9_separator_scan
 from glossa.llm.urls import OP8_SQL, op8_host_reputation
+from glossa.llm.vectors import op10_hnsw_near_vectors
 from glossa.llm.warc import op3_warc_derivatives
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_fuzzy_lines": op7_fuzzy_lines,
     "op8_host_reputation": op8_host_reputation,
     "op9_separator_scan": op9_separator_scan,
+    "op10_hnsw_near_vectors": op10_hnsw_near_vectors,
 }
 ORACLE_SQL = {
     "op4_decontamination": OP4_SQL,
