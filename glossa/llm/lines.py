@@ -29,7 +29,7 @@ from glossa.llm.words import mix
 WIDTH = 9
 BANDS, ROWS = 16, 4
 THRESHOLD = Fraction(4, 5)
-SMALL = 64
+SMALL = 16
 SEEN_LINES = 300_000
 CHUNK_CHARS = 250_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -214,7 +214,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = components(found, scratch)
 
     placed = members.join(joined, members.id == joined.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("key", "n")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2 and n > 2").select("key", "n")
     left_over = scratch.save(placed.join(open_keys, "key"))
     few = left_over.where(F.col("n") <= SMALL).select("key", "id", "comp")
     other = few.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))

@@ -6,8 +6,9 @@
    (1 - 0.75**ROWS)**BANDS, about 1e-6.
 3. Each bucket first compares its members with its smallest member only (a star),
    never all pairs. Buckets whose members are then in one component are done. In the
-   others, members of different components are compared if they share one of their
-   rarest shingles (prefix filter, exact) and their set sizes allow the similarity.
+   others, members of different components are compared: all of them in buckets of up
+   to SMALL, else those that share one of their rarest shingles early enough for the
+   similarity (prefix and position filters, both exact).
 4. A candidate pair is compared batch by batch of its signatures and dropped as soon
    as the posterior probability of a similarity at the threshold falls under MISS.
 5. Survivors are verified exactly on their full shingle sets.
@@ -23,17 +24,19 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import Scratch, components
-from glossa.llm.words import WordHashes, shingle_set
+from glossa.llm.words import MULTIPLIER, WordHashes, mix, shingle_set
 
 WIDTH = 5
 BANDS, ROWS = 51, 5
 BATCH = 32
 MISS = 1e-9
 SEED = 20240501
+SMALL = 16
+SIZE_STEP = 1.05
 
 
 def least_matches(threshold: float, n_hashes: int, batch: int, miss: float) -> list[tuple[int, int]]:
@@ -56,7 +59,7 @@ def least_matches(threshold: float, n_hashes: int, batch: int, miss: float) -> l
 
 
 def _sketches(width: int, bands: int, rows: int):
-    """Arrow batches of (id, text) to (id, n_shingles, fp, bands, sig)."""
+    """Arrow batches of (id, text) to (id, n_shingles, fp, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
@@ -65,30 +68,44 @@ def _sketches(width: int, bands: int, rows: int):
         flip = rng.integers(0, 2**32, (k, 1), np.uint32)
         memo = WordHashes()
         for batch in batches:
-            sizes, fps, keys, sigs = [], [], [], []
+            sizes, fps, sigs = [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), width, memo)
                 sizes.append(len(shingles))
                 fps.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 if not len(shingles):
-                    keys.append([])
                     sigs.append(b"")
                     continue
                 x = (shingles >> np.uint64(32)).astype(np.uint32)
                 sig = np.full(k, 0xFFFFFFFF, np.uint32)
                 for i in range(0, len(x), 8192):  # bounded memory for very long texts
                     np.minimum(sig, ((x[None, i : i + 8192] ^ flip) * odd).min(axis=1), out=sig)
-                raw = sig.tobytes()
-                keys.append([xxhash.xxh3_64_intdigest(raw[4 * rows * b : 4 * rows * (b + 1)], seed=b) - 2**63 for b in range(bands)])
-                sigs.append(raw)
+                sigs.append(sig.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["id", "n_shingles", "fp", "bands", "sig"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())],
+                names=["id", "n_shingles", "fp", "sig"],
             )
 
     return run
 
 
+def _banded(bands: int, rows: int):
+    """(id, sig) to (id, key) for each band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, bands, rows).astype(np.uint64)
+            keys = np.zeros(sigs.shape[:2], np.uint64)
+            for r in range(rows):
+                keys = mix(keys * MULTIPLIER + sigs[:, :, r])
+            keys = mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
+            for lo in range(0, len(ids), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 100_000]), pa.array(keys.ravel()[lo : lo + 100_000])], names=["id", "key"])
+
+    return run
+
+
 def _passing(threshold: float, n_hashes: int):
     """Arrow batches of (a, b, sig_a, sig_b) to the (a, b) that no batch of hashes rules out."""
     bounds = least_matches(threshold, n_hashes, BATCH, MISS)
@@ -139,15 +156,14 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = scratch.save(
-        texts.mapInArrow(_sketches(width, BANDS, ROWS), "id long, n_shingles long, fp binary, bands array<long>, sig binary")
-    )
-    classes = sketched.where("n_shingles > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
+    sketched = scratch.save(texts.mapInArrow(_sketches(width, BANDS, ROWS), "id long, n_shingles long, fp binary, sig binary"))
+    rows = scratch.save(sketched.select("id", "n_shingles", "fp"))
+    classes = rows.where("n_shingles > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
     reps = scratch.save(
-        sketched.where("n_shingles > 0").join(classes, (sketched.fp == classes.fp) & (sketched.id == classes.rep), "left_semi")
-        .select("id", "n_shingles", "bands", "sig").dropDuplicates(["id", "sig"])
+        sketched.where("n_shingles > 0").join(classes, (sketched.fp == classes.fp) & (sketched.id == classes.rep), "left_semi").select("id", "sig").distinct()
     )
-    banded = reps.select("id", "n_shingles", F.explode("bands").alias("key"))
+    scratch.drop(sketched)
+    banded = reps.mapInArrow(_banded(BANDS, ROWS), "id long, key long")
     shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     members = scratch.save(banded.join(shared, "key"))  # of buckets with two members at least
 
@@ -157,10 +173,14 @@ def near_duplicates(
 
     # What is left: documents in buckets with members of more than one component.
     placed = members.join(joined, members.id == joined.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-    left_over = placed.join(open_keys, "key", "left_semi").select("id", "comp").distinct()
-    sets = texts.join(left_over, "id").select("id", "text", "comp").mapInArrow(_sets(width, keep_comp=True), "id long, comp long, shingles array<long>")
-    across = pairs_across(sets, threshold, scratch).join(stars, ["a", "b"], "left_anti")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
+    left_over = scratch.save(placed.join(open_keys, "key"))
+    few = left_over.where(F.col("size") <= SMALL)
+    other = few.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
+    across = few.join(other, "key").where("id < id2 and comp <> comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    many = left_over.where(F.col("size") > SMALL).select("id", "comp").distinct()
+    sets = texts.join(many, "id").select("id", "text", "comp").mapInArrow(_sets(width, keep_comp=True), "id long, comp long, shingles array<long>")
+    across = across.unionByName(pairs_across(sets, threshold, scratch)).distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.save(_verified(across, reps, texts, threshold, width, scratch))
     if more.isEmpty():
         whole = joined
@@ -168,7 +188,6 @@ def near_duplicates(
         whole = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
 
     classes = classes.join(whole, classes.rep == whole.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    rows = sketched.select("id", "n_shingles", "fp")
     return (
         rows.join(classes, "fp", "left")
         .select(
@@ -197,11 +216,33 @@ def pairs_across(sets: DataFrame, threshold: Fraction, scratch: Scratch) -> Data
     num, den = threshold.numerator, threshold.denominator
     length = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
     prefix = ranked.withColumn("place", F.row_number().over(in_order) + F.col("n") - F.count("*").over(whole)).where((F.col("place") <= length) & (F.col("c1") < F.col("c2")))
-    prefix = scratch.save(prefix.select("token", "id", "comp", "n"))
+    prefix = scratch.save(prefix.select("token", "id", "comp", "n", "place", _size_class(F.col("n")).alias("size")))
     scratch.drop(tokens)
-    other = prefix.select("token", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-    alike = (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
-    return prefix.join(other, "token").where(alike).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    # Two sets of n and m with the threshold t share at least t / (1 + t) (n + m) shingles. A set whose first shared
+    # shingle comes too late for that with even the smallest set that has the shingle (and isn't too small) has no pair there.
+    met = prefix.groupBy("token").agg(F.collect_set("size").alias("sizes"))  # a few hundred sizes at most
+    t = num / den
+    smallest = F.array_min(F.filter("sizes", lambda k: k >= _size_class(F.col("n") * t)))
+    other_n = F.greatest(F.floor(F.pow(F.lit(SIZE_STEP), smallest) - 1e-6), F.ceil(F.col("n") * num / den))
+    fits = prefix.join(met, "token").where(1 + F.col("n") - F.col("place") >= _overlap(F.col("n"), other_n, threshold)).select("token", "id", "comp", "n", "place")
+    fits = scratch.save(fits)
+    still = fits.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token")
+    one = scratch.save(fits.join(still, "token", "left_semi"))
+    scratch.drop(prefix, fits)
+    other = one.select("token", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    room = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    alike = (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (room >= _overlap(F.col("n"), F.col("n2"), threshold))
+    alike &= F.least("n", "n2") * den >= F.greatest("n", "n2") * num
+    return one.join(other, "token").where(alike).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n.cast("double"), F.lit(1.0))) / float(np.log(SIZE_STEP)) + 1e-9)
+
+
+def _overlap(n: Column, m: Column, threshold: Fraction) -> Column:
+    """Least number of shared shingles of sets of n and m that reach the threshold."""
+    return F.ceil((n + m) * threshold.numerator / (threshold.numerator + threshold.denominator) - 1e-6)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: Fraction, width: int, scratch: Scratch) -> DataFrame:
