@@ -41,6 +41,7 @@ NOT_CONTENT = frozenset(
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SIGMA = 1.0
+_NAME_END = re.compile(r"[^a-z0-9]+")
 HOLDS = 0.85
 
 
@@ -51,7 +52,7 @@ class Element:
     label: str
     barred: bool
     linked: bool
-    preformatted: bool = False
+    in_article: bool = False
     mass: float = 0.0
 
 
@@ -67,6 +68,8 @@ class Block:
 class Blocks(HTMLParser):
     """The text blocks of a page: maximal runs of text without a block element's border between."""
 
+    never = HIDDEN | FORM | FRAME
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = [Element("#root", None, "", False, False)]
@@ -108,24 +111,18 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         parent = self.open[-1]
-        given = {k: v or "" for k, v in attrs}
-        names = re.split(r"[^a-z0-9]+", f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower())
-        in_article = False
-        e = parent
-        while e is not None and not in_article:
-            in_article, e = e.tag in ("article", "main"), e.parent
-        barred = (
-            parent.barred
-            or tag in HIDDEN
-            or tag in FORM
-            or tag in FRAME
-            or tag == "header" and not in_article
-            or tag not in ("html", "body", "article", "main") and not NOT_CONTENT.isdisjoint(names)
-            or "hidden" in given
-            or given.get("aria-hidden") == "true"
-            or "display:none" in given.get("style", "").replace(" ", "").lower()
-        )
-        self.open.append(Element(tag, parent, tag + "." + " ".join(sorted(filter(None, names))), barred, parent.linked or tag == "a"))
+        barred, names = parent.barred or tag in self.never or tag == "header" and not parent.in_article, ()
+        if attrs and not barred:
+            given = {k: v or "" for k, v in attrs}
+            names = sorted(filter(None, _NAME_END.split(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower())))
+            barred = (
+                tag not in ("html", "body", "article", "main") and not NOT_CONTENT.isdisjoint(names)
+                or "hidden" in given
+                or given.get("aria-hidden") == "true"
+                or "display:none" in given.get("style", "").replace(" ", "").lower()
+            )
+        label = f"{tag}.{' '.join(names)}" if names else tag
+        self.open.append(Element(tag, parent, label, barred, parent.linked or tag == "a", parent.in_article or tag in ("article", "main")))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -227,17 +224,18 @@ def main_text(html: str | None) -> str:
     return "\n".join(kept)
 
 
-def visible_text(html: str | None) -> str:
-    """All visible text, block by block, boilerplate included."""
+class Visible(Blocks):
+    """The text blocks of a page, boilerplate included."""
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        if (e := self.open[-1]).tag == tag and e.parent is not None:
+            e.barred = e.parent.barred or tag in HIDDEN
 
-    class All(Blocks):
-        def handle_starttag(self, tag, attrs):
-            super().handle_starttag(tag, attrs)
-            if self.open[-1].tag == tag and tag not in VOID and tag != "br":
-                e = self.open[-1]
-                e.barred = e.parent.barred or tag in HIDDEN
 
-    parser = All()
+def visible_text(html: str | None) -> str:
+    """All visible text, block by block, boilerplate included."""
+    parser = Visible()
     parser.feed(html or "")
     parser.close()
     parser.close_block()
