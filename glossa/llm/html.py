@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.shared import bounded_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video datalist".split())
 FORM = frozenset("form button select textarea option fieldset label input".split())
@@ -259,6 +261,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 names=["page_id", "url", "text", "n_chars"],
             )
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

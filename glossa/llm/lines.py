@@ -84,12 +84,12 @@ def sketches(hashes: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
 
 
 def _banded(width: int, bands: int, rows: int):
-    """(row, text) to (id, row, line, first, bands): a row for each line that isn't blank."""
+    """(row, text) to (id, row, line, first, digest, bands): a row for each line that isn't blank; digest and bands where id is first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 40
         seen: dict[bytes, int] = {}
-        ids, of, numbers, firsts, texts = [], [], [], [], []
+        ids, of, numbers, firsts, digests, texts = [], [], [], [], [], []
 
         def out() -> pa.RecordBatch:
             fresh = [k for k, (i, f) in enumerate(zip(ids, firsts)) if i == f]
@@ -104,10 +104,10 @@ def _banded(width: int, bands: int, rows: int):
             sizes[np.array(fresh, np.int64) + 1] = bands
             listed = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(keys.ravel()))
             batch = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(firsts, pa.int64()), listed],
-                names=["id", "row", "line", "first", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(firsts, pa.int64()), pa.array(digests, pa.binary()), listed],
+                names=["id", "row", "line", "first", "digest", "bands"],
             )
-            for column in (ids, of, numbers, firsts, texts):
+            for column in (ids, of, numbers, firsts, digests, texts):
                 column.clear()
             return batch
 
@@ -122,7 +122,8 @@ def _banded(width: int, bands: int, rows: int):
                     first = seen.setdefault(key, next_id)
                     if len(seen) > SEEN_LINES:
                         seen.clear()
-                    ids.append(next_id), of.append(row), numbers.append(number), firsts.append(first), texts.append(line if first == next_id else "")
+                    ids.append(next_id), of.append(row), numbers.append(number), firsts.append(first)
+                    digests.append(key if first == next_id else None), texts.append(line if first == next_id else "")
                     next_id += 1
                     held += len(texts[-1])
                 if held > CHUNK_CHARS:
@@ -196,11 +197,15 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = scratch.save(numbered.select("row", "text").mapInArrow(_banded(width, BANDS, ROWS), "id long, row long, line int, first long, bands array<long>"))
+    lines = scratch.save(numbered.select("row", "text").mapInArrow(_banded(width, BANDS, ROWS), "id long, row long, line int, first long, digest binary, bands array<long>"))
     buckets = Window.partitionBy("key")
     members = lines.where("id = first").select("id", F.explode("bands").alias("key"))
     members = members.withColumns({"hub": F.min("id").over(buckets), "last": F.max("id").over(buckets)}).where("hub < last").drop("last")
-    members = scratch.save(members)
+    # Of lines that are equal, whose smallest id is in all their buckets too, only that one goes on.
+    fresh = lines.where("id = first").select("id", "digest")
+    equal = fresh.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
+    equal = scratch.save(fresh.join(equal, "digest").where("id <> rep").select("id", "rep"))
+    members = scratch.save(members.join(equal, "id", "left_anti"))
 
     wanted = lines.join(members.select("id").distinct(), "id", "left_semi").groupBy("row").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
     texts = scratch.save(numbered.join(wanted, "row").select("text", "wanted").mapInArrow(_wanted, "id long, text string"))
@@ -226,6 +231,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not more.isEmpty():
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
 
+    same_as = equal.join(joined, equal["rep"] == joined["node"], "left").select(F.col("id").alias("node"), F.coalesce("component", "rep").alias("component"))
+    joined = scratch.save(joined.unionByName(same_as))
     whole = lines.join(joined, lines["first"] == joined["node"], "left").select("row", "line", F.coalesce("component", "first").alias("comp"))
     whole = whole.join(numbered.select("row", "doc_id"), "row")
     least = whole.groupBy("comp").agg(F.min(F.struct("doc_id", "row", "line")).alias("least"))

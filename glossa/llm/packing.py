@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.shared import bounded_batches
 from glossa.llm.tokens import VOCABULARY, Encoder
 
 END_ID = 1
@@ -185,7 +186,6 @@ def pack(
     limits: Limits = Limits(),
     end_id: int = END_ID,
     vocabulary: str = VOCABULARY,
-    batch_rows: int = 256,
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids: one row per piece.
 
@@ -196,6 +196,7 @@ def pack(
     empty table gives no pieces. Every sequence is full but those that end a partition,
     whose lengths are powers of two, or which a limit other than tokens has closed.
     """
+    bounded_batches(docs.sparkSession)
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     if loss_col:
         columns.append(F.col(loss_col).cast("long").alias("loss"))

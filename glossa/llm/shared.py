@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 _own_dirs: dict[str, str] = {}
 
 
@@ -22,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES, as texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -31,6 +38,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/glossa/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.n = 0

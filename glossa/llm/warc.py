@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.html import visible_text
+from glossa.llm.shared import bounded_batches
 
 HEADER_ORDER = (
     "WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Refers-To", "WARC-Block-Digest", "WARC-Payload-Digest", "Content-Type", "Content-Length",
@@ -115,6 +116,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
                 columns = zip(*rows) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns)], names=names)
 
+    bounded_batches(responses.sparkSession)
     return responses.select(
         F.col("record_id").cast("string"), F.col("target_uri").cast("string"), F.col("date").cast("string"), F.col("block").cast("binary")
     ).mapInArrow(run, RECORD)
