@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 
 class WordHashes(dict):
