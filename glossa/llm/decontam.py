@@ -146,8 +146,9 @@ def prepared(benchmark: DataFrame, id_col: str, text_col: str, width: int, broad
 
 def without_spans(text: Column, spans: Column) -> Column:
     """The text without the words in `spans` and the separators after them."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), F.lit(0))
-    head = F.regexp_extract(text, r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
+    gap = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # the text still has A-Z
+    pieces = F.regexp_extract_all(text, F.lit(f"[^{gap}]+[{gap}]*"), F.lit(0))
+    head = F.regexp_extract(text, f"^[{gap}]*", 0)
     kept = F.filter(pieces, lambda _, i: ~F.exists(spans, lambda s: (s["first"] <= i) & (i < s["last"])))
     return F.when(F.size(spans) > 0, F.concat(head, F.array_join(kept, ""))).otherwise(text)
 
