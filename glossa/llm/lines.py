@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.minhash import pairs_across
-from glossa.llm.shared import Scratch, components
+from glossa.llm.shared import Scratch, components, merged_components
 from glossa.llm.words import mix
 
 WIDTH = 9
@@ -84,12 +84,12 @@ def sketches(hashes: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
 
 
 def _banded(width: int, bands: int, rows: int):
-    """(row, text) to (id, row, line, first, digest, bands): a row for each line that isn't blank; digest and bands where id is first."""
+    """(row, doc_id, text) to (id, row, doc_id, line, first, digest, bands): a row for each line that isn't blank; digest and bands where id is first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         next_id = TaskContext.get().partitionId() << 40
         seen: dict[bytes, int] = {}
-        ids, of, numbers, firsts, digests, texts = [], [], [], [], [], []
+        ids, of, docs, numbers, firsts, digests, texts = [], [], [], [], [], [], []
 
         def out() -> pa.RecordBatch:
             fresh = [k for k, (i, f) in enumerate(zip(ids, firsts)) if i == f]
@@ -104,16 +104,16 @@ def _banded(width: int, bands: int, rows: int):
             sizes[np.array(fresh, np.int64) + 1] = bands
             listed = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(keys.ravel()))
             batch = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(firsts, pa.int64()), pa.array(digests, pa.binary()), listed],
-                names=["id", "row", "line", "first", "digest", "bands"],
+                [pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(firsts, pa.int64()), pa.array(digests, pa.binary()), listed],
+                names=["id", "row", "doc_id", "line", "first", "digest", "bands"],
             )
-            for column in (ids, of, numbers, firsts, digests, texts):
+            for column in (ids, of, docs, numbers, firsts, digests, texts):
                 column.clear()
             return batch
 
         held = 0
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 for number, line in enumerate((text.as_py() or "").split("\n")):
                     line = plain(line)
                     if not line:
@@ -122,7 +122,7 @@ def _banded(width: int, bands: int, rows: int):
                     first = seen.setdefault(key, next_id)
                     if len(seen) > SEEN_LINES:
                         seen.clear()
-                    ids.append(next_id), of.append(row), numbers.append(number), firsts.append(first)
+                    ids.append(next_id), of.append(row), docs.append(doc_id), numbers.append(number), firsts.append(first)
                     digests.append(key if first == next_id else None), texts.append(line if first == next_id else "")
                     next_id += 1
                     held += len(texts[-1])
@@ -197,7 +197,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = scratch.save(numbered.select("row", "text").mapInArrow(_banded(width, BANDS, ROWS), "id long, row long, line int, first long, digest binary, bands array<long>"))
+    lines = scratch.save(numbered.select("row", "doc_id", "text").mapInArrow(_banded(width, BANDS, ROWS), "id long, row long, doc_id long, line int, first long, digest binary, bands array<long>"))
     buckets = Window.partitionBy("key")
     members = lines.where("id = first").select("id", F.explode("bands").alias("key"))
     members = members.withColumns({"hub": F.min("id").over(buckets), "last": F.max("id").over(buckets)}).where("hub < last").drop("last")
@@ -229,12 +229,11 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rare = pairs_across(sets, threshold, scratch).select(F.col("b").alias("a"), F.col("a").alias("b"))
     more = verified(across.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+        joined = merged_components(joined, more, scratch)
 
     same_as = equal.join(joined, equal["rep"] == joined["node"], "left").select(F.col("id").alias("node"), F.coalesce("component", "rep").alias("component"))
     joined = scratch.save(joined.unionByName(same_as))
-    whole = lines.join(joined, lines["first"] == joined["node"], "left").select("row", "line", F.coalesce("component", "first").alias("comp"))
-    whole = whole.join(numbered.select("row", "doc_id"), "row")
+    whole = scratch.save(lines.join(joined, lines["first"] == joined["node"], "left").select("row", "doc_id", "line", F.coalesce("component", "first").alias("comp")))
     least = whole.groupBy("comp").agg(F.min(F.struct("doc_id", "row", "line")).alias("least"))
     same = (F.col("row") == F.col("least.row")) & (F.col("line") == F.col("least.line"))
     return whole.join(least, "comp").select(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import Scratch, components
+from glossa.llm.shared import Scratch, components, merged_components
 from glossa.llm.words import MULTIPLIER, WordHashes, mix, shingle_set
 
 WIDTH = 5
@@ -182,10 +182,7 @@ def near_duplicates(
     sets = texts.join(many, "id").select("id", "text", "comp").mapInArrow(_sets(width, keep_comp=True), "id long, comp long, shingles array<long>")
     across = across.unionByName(pairs_across(sets, threshold, scratch)).distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.save(_verified(across, reps, texts, threshold, width, scratch))
-    if more.isEmpty():
-        whole = joined
-    else:
-        whole = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+    whole = joined if more.isEmpty() else merged_components(joined, more, scratch)
 
     classes = classes.join(whole, classes.rep == whole.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return (

@@ -71,31 +71,41 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    mark = None
-    while True:
+    while not _is_star_forest(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u moves to u's smallest neighbour.
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.save(large)
         # Small star: u and its smaller neighbours move to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        moved = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        moved = scratch.save(moved)
+        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        moved = scratch.save(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         scratch.drop(now, large)
         now = moved
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == mark:
-            break
-        mark = found
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def with_columns_of(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra columns of the input can't clash with inner names."""
-    return df.select(*[F.col(n) for n in names])
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each u of edges (u > v) has one v, which has none itself: then v is u's component."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    inner = edges.join(edges.select(F.col("v").alias("p")).distinct(), F.col("u") == F.col("p"), "left_semi").select("u")
+    return twice.unionByName(inner).isEmpty()
+
+
+def merged_components(joined: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """joined (node, component) with further links a, b between or outside its components.
+
+    Only the graph of the components that the new links touch is searched.
+    """
+    placed = more
+    for side in ("a", "b"):
+        own = joined.select(F.col("node").alias(f"n{side}"), F.col("component").alias(f"c{side}"))
+        placed = placed.join(own, placed[side] == own[f"n{side}"], "left")
+    placed = scratch.save(placed.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    top = components(placed.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch).select(F.col("node").alias("t"), F.col("component").alias("c"))
+    ends = placed.select(F.col("a").alias("node"), F.col("ca").alias("component")).unionByName(placed.select(F.col("b").alias("node"), F.col("cb").alias("component")))
+    every = joined.unionByName(ends.distinct().join(joined.select("node"), "node", "left_anti"))
+    return scratch.save(every.join(top, every["component"] == top["t"], "left").select("node", F.coalesce("c", "component").alias("component")))
