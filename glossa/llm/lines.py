@@ -31,7 +31,8 @@ BANDS, ROWS = 16, 4
 THRESHOLD = Fraction(4, 5)
 SMALL = 16
 SEEN_LINES = 300_000
-CHUNK_CHARS = 250_000
+CHUNK_CHARS = 60_000
+BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -40,6 +41,21 @@ def plain(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def windows(code: np.ndarray, width: int) -> np.ndarray:
+    """The polynomial hash of every `width` codes in a row, from those of half as many."""
+    if width == 1:
+        return code.copy()
+    half = windows(code, width // 2)
+    n, step = len(code) - 2 * (width // 2) + 1, width // 2
+    total = half[:n] * np.uint64(pow(BASE, step, 1 << 64))
+    total += half[step : step + n]
+    if width % 2:
+        total = total[: len(code) - width + 1]
+        total *= np.uint64(BASE)
+        total += code[width - 1 :]
+    return total
+
+
 def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all character shingles of all lines, one line after the other, and each line's count.
 
@@ -48,10 +64,7 @@ def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     lines = [x if len(x) >= width else x + "\0" * (width - len(x)) for x in lines]
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    total = np.zeros(max(0, len(code) - width + 1), np.uint64)
-    for j in range(width):
-        total *= np.uint64(0x9E3779B97F4A7C15)
-        total += code[j : j + len(total)]
+    total = windows(code, width)
     n = size - width + 1
     starts = np.cumsum(size) - size
     at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
@@ -67,8 +80,8 @@ def sketches(hashes: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
         value = hashes * np.uint64(2 * i * 0x632BE5AB + 0xD1B54A32D192ED03)
         value ^= value >> np.uint64(29)
         value *= np.uint64(0xBF58476D1CE4E5B9)
+        # A place takes a range of values, in which the least is as random as the rest.
         place = ((value >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64) if i < places else i - places
-        value = mix(value)
         least = np.full(len(lines) * places, _EMPTY, np.uint64)
         np.minimum.at(least, np.repeat(np.arange(len(lines)) * places, counts) + place, value)
         now = found[lines]
@@ -98,7 +111,7 @@ def _banded(width: int, bands: int, rows: int):
                 found = sketches(*shingles([texts[k] for k in fresh], width), bands * rows).reshape(len(fresh), bands, rows)
                 mixed = np.zeros((len(fresh), bands), np.uint64)
                 for r in range(rows):
-                    mixed = mix(mixed * np.uint64(0x9E3779B97F4A7C15) + found[:, :, r])
+                    mixed = mix(mixed * np.uint64(BASE) + found[:, :, r])
                 keys = mix(mixed + np.arange(bands, dtype=np.uint64)).view(np.int64)
             sizes = np.zeros(len(ids) + 1, np.int32)
             sizes[np.array(fresh, np.int64) + 1] = bands
@@ -152,11 +165,15 @@ def _alike(threshold: Fraction, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, set] = {}
+        held = 0
 
         def grams(line: str) -> set:
+            nonlocal held
             if line not in memo:
-                if sum(map(len, memo.values())) + len(line) > 200_000:
+                if held + len(line) > 200_000:
                     memo.clear()
+                    held = 0
+                held += len(line)
                 memo[line] = {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
             return memo[line]
 
@@ -226,7 +243,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = few.join(other, "key").where("id < id2 and comp <> comp2").select(F.col("id2").alias("a"), F.col("id").alias("b"))
     many = left_over.where(F.col("n") > SMALL).select("id", "comp").distinct()
     sets = texts.join(many, "id").select("id", "comp", "text").mapInArrow(_line_sets(width), "id long, comp long, shingles array<long>")
-    rare = pairs_across(sets, threshold, scratch).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    rare = pairs_across(sets, threshold, scratch, unique=True).select(F.col("b").alias("a"), F.col("a").alias("b"))
     more = verified(across.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         joined = merged_components(joined, more, scratch)

@@ -196,7 +196,7 @@ def near_duplicates(
     )
 
 
-def pairs_across(sets: DataFrame, threshold: Fraction, scratch: Scratch) -> DataFrame:
+def pairs_across(sets: DataFrame, threshold: Fraction, scratch: Scratch, unique: bool = False) -> DataFrame:
     """Pairs a < b of sets (id, comp, shingles) in different components that may reach the threshold; exact by prefixes.
 
     With all sets in one order of shingles, two sets that reach the threshold t share one
@@ -204,8 +204,10 @@ def pairs_across(sets: DataFrame, threshold: Fraction, scratch: Scratch) -> Data
     what single copies have for themselves comes first, what a hot passage or a large
     group shares comes last, and so pairs that are alike but not enough rarely meet.
     Shingles in one component only can't join two and merely count as earlier places.
+    unique: no id comes twice, so that there are no equal rows to look for.
     """
-    tokens = scratch.save(sets.select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("token")).distinct())
+    tokens = sets.select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    tokens = scratch.save(tokens if unique else tokens.distinct())
     known = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("df > 1")
     ranked = tokens.join(known, "token").select("id", "comp", "n", "token", "df", "c1", "c2")
     in_order = Window.partitionBy("id").orderBy("df", "token")
