@@ -260,3 +260,18 @@ def test_quality_classifier(spark, sf_dir):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
     assert quality.score(odd, model).count() == 3
     assert quality.train(docs, labels.limit(0)) is None and quality.keep_good(docs, None).count() == docs.count()
+
+
+def test_quality_hears_all_unlabelled_documents(spark):
+    rows, labels = [], []
+    for i in range(400):  # labelled: the words decide, and source s says the same
+        good = i % 2
+        rows.append((i, f"{'fine' if good else 'vile'} w{i % 7}", "en", "clean" if good else "spam", 10))
+        labels.append((i, good, 0))
+    # Unlabelled: more than any old bound, and only the last of them have the word "rare".
+    rows += [(1000 + i, f"fine w{i % 7}", "en", "clean", 10) for i in range(12000)]
+    rows += [(50000 + i, f"rare x{i}", "en", "spam", 10) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    places = quality.Places(quality.TEXT_PLACES)
+    assert model.text.weights[places["rare"]] < -0.3
