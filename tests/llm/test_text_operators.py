@@ -275,3 +275,16 @@ def test_quality_hears_all_unlabelled_documents(spark):
     model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     places = quality.Places(quality.TEXT_PLACES)
     assert model.text.weights[places["rare"]] < -0.3
+
+
+def test_quality_with_few_bad_labels(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    bad = "quality = 0 or toxic = 1"
+    few = labels.where(bad).orderBy("doc_id").limit(2).unionByName(labels.where(f"not ({bad})")).localCheckpoint()
+    model = quality.train(docs, few, rounds=1)  # held out by a hash alone, either side may be of one kind
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    worst = {r.doc_id for r in few.where(bad).collect()}
+    assert max(got[i] for i in worst) < sum(got.values()) / len(got)
+    assert quality.train(docs, few.where(bad).limit(1).unionByName(few.where(f"not ({bad})")), rounds=1) is not None
+    with pytest.raises(ValueError):
+        quality.train(docs, few.where(f"not ({bad})"))
