@@ -34,6 +34,7 @@ RIDGE = 2e-4
 #: The combination leans to half of either logit as if by so many rows, and no view counts less than this or against its own labels.
 MIX_ROWS, MIX_LEAST = 5, 0.1
 STEPS, MORE_STEPS, LEAST_GAIN = 40, 15, 1e-4
+MOST_BYTES = 32 << 20
 HELD_OUT = 5  # one labelled document of so many calibrates
 SMALL = 50  # a kind with fewer labels isn't held out: all of it calibrates by cross-fitting
 REJECT_BELOW = 0.5
@@ -117,7 +118,7 @@ class Rows:
 
 
 def _summed(rows: DataFrame, parts: int, of: Callable[[Rows], np.ndarray], width: int) -> np.ndarray:
-    """The sum of of(batch) over all batches; where there are many partitions, executors add most of them up."""
+    """The sum of of(batch) over all batches: one part of it a task, few tasks a core, and executors add up what is too much for the driver."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -133,8 +134,9 @@ def _summed(rows: DataFrame, parts: int, of: Callable[[Rows], np.ndarray], width
                 total += np.frombuffer(x.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    found = rows.mapInArrow(first, "sums binary")
-    if parts > 16:
+    parts = min(parts, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    found = rows.coalesce(max(1, parts)).mapInArrow(first, "sums binary")
+    if parts * width * 8 > MOST_BYTES:
         found = found.repartition(math.isqrt(parts)).mapInArrow(again, "sums binary")
     return np.sum([np.frombuffer(r.sums) for r in found.collect()], axis=0) if parts else np.zeros(width)
 
