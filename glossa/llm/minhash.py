@@ -1,14 +1,15 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Documents with equal shingle sets fall into one class; only one of each goes on.
-2. Signatures of BANDS * ROWS min-hashes; documents that agree in all rows of a band
-   are candidates. At similarity 0.75 a pair is missed with probability
-   (1 - 0.75**ROWS)**BANDS, about 1e-6.
-3. Each bucket first compares its members with its smallest member only (a star),
-   never all pairs. Buckets whose members are then in one component are done. In the
-   others, members of different components are compared: all of them in buckets of up
-   to SMALL, else those that share one of their rarest shingles early enough for the
-   similarity (prefix and position filters, both exact).
+1. Documents with equal shingle sets are one node, named by a 64-bit hash of the set:
+   two different sets of n fall together with probability n**2 / 2**65.
+2. Signatures of BANDS * ROWS min-hashes, of which bytes are kept; nodes that agree in
+   all rows of a band are candidates. At similarity 0.75 a pair is missed with
+   probability (1 - 0.75**ROWS)**BANDS, about 5e-6.
+3. Each bucket first compares its members with its hubs only (stars), never all pairs.
+   Buckets whose members are then in one component are done. In the others, members of
+   different components are compared: all of them in buckets of up to SMALL, else those
+   that share one of their rarest shingles early enough for the similarity (prefix and
+   position filters, both exact).
 4. A candidate pair is compared batch by batch of its signatures and dropped as soon
    as the posterior probability of a similarity at the threshold falls under MISS.
 5. Survivors are verified exactly on their full shingle sets.
@@ -27,26 +28,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.llm.buckets import members
 from glossa.llm.shared import Scratch, components, merged_components
 from glossa.llm.words import MULTIPLIER, WordHashes, mix, shingle_set
 
 WIDTH = 5
-BANDS, ROWS = 51, 5
+BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-9
 SEED = 20240501
 SMALL = 16
+SEEN_SETS = 300_000
 SIZE_STEP = 1.05
 
 
 def least_matches(threshold: float, n_hashes: int, batch: int, miss: float) -> list[tuple[int, int]]:
-    """(n, m): a pair with fewer than m agreements in its first n min-hashes is dropped.
+    """(n, m): a pair with fewer than m agreements in its first n signature bytes is dropped.
 
-    With a uniform prior on the similarity s and m agreements of n, the posterior is
-    Beta(m + 1, n - m + 1), and P(s >= t) = P(Binomial(n + 1, t) <= m). m is the least
-    count for which that is at least `miss`.
+    Bytes of different min-hashes agree by chance once in 256 times, so a similarity s
+    shows as a rate of s + (1 - s) / 256. With a uniform prior on the rate and m
+    agreements of n, the posterior is Beta(m + 1, n - m + 1), and P(rate >= t) =
+    P(Binomial(n + 1, t) <= m). m is the least count for which that is at least `miss`.
     """
-    t, found = float(threshold), []
+    t, found = threshold + (1 - threshold) / 256, []
     for n in range(batch, n_hashes + 1, batch):
         below, m = 0.0, 0
         while m <= n:
@@ -58,54 +62,56 @@ def least_matches(threshold: float, n_hashes: int, batch: int, miss: float) -> l
     return found
 
 
+def node_of(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def _sketches(width: int, bands: int, rows: int):
-    """Arrow batches of (id, text) to (id, n_shingles, fp, sig)."""
+    """(id, text) to (id, n_shingles, node, sig, bands): node is null without shingles, sig and bands are too where the task has given them lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
         k = bands * rows
         odd = (rng.integers(0, 2**31, (k, 1), np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
         flip = rng.integers(0, 2**32, (k, 1), np.uint32)
-        memo = WordHashes()
+        memo, seen = WordHashes(), set()
         for batch in batches:
-            sizes, fps, sigs = [], [], []
+            sizes, nodes, full, at = [], [], [], []
             for text in batch.column(1):
                 shingles = shingle_set(text.as_py(), width, memo)
                 sizes.append(len(shingles))
-                fps.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                if not len(shingles):
-                    sigs.append(b"")
+                nodes.append(node_of(shingles) if len(shingles) else None)
+                if not len(shingles) or nodes[-1] in seen:
                     continue
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(nodes[-1])
                 x = (shingles >> np.uint64(32)).astype(np.uint32)
                 sig = np.full(k, 0xFFFFFFFF, np.uint32)
                 for i in range(0, len(x), 8192):  # bounded memory for very long texts
                     np.minimum(sig, ((x[None, i : i + 8192] ^ flip) * odd).min(axis=1), out=sig)
-                sigs.append(sig.tobytes())
+                at.append(len(sizes) - 1)
+                full.append(sig)
+            sigs: list = [None] * len(sizes)
+            keys: list = [None] * len(sizes)
+            if full:
+                every = np.array(full)
+                wide = every.reshape(-1, bands, rows).astype(np.uint64)
+                found = np.zeros(wide.shape[:2], np.uint64)
+                for r in range(rows):
+                    found = mix(found * MULTIPLIER + wide[:, :, r])
+                found = mix(found + np.arange(bands, dtype=np.uint64))
+                low = (every >> np.uint32(11)).astype(np.uint8)  # of the least values the upper bits are alike
+                for i, sig, key in zip(at, low, found):
+                    sigs[i], keys[i] = sig.tobytes(), key.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())],
-                names=["id", "n_shingles", "fp", "sig"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())],
+                names=["id", "n_shingles", "node", "sig", "bands"],
             )
 
     return run
 
 
-def _banded(bands: int, rows: int):
-    """(id, sig) to (id, key) for each band."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, bands, rows).astype(np.uint64)
-            keys = np.zeros(sigs.shape[:2], np.uint64)
-            for r in range(rows):
-                keys = mix(keys * MULTIPLIER + sigs[:, :, r])
-            keys = mix(keys + np.arange(bands, dtype=np.uint64)).view(np.int64)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
-            for lo in range(0, len(ids), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 100_000]), pa.array(keys.ravel()[lo : lo + 100_000])], names=["id", "key"])
-
-    return run
-
-
 def _passing(threshold: float, n_hashes: int):
     """Arrow batches of (a, b, sig_a, sig_b) to the (a, b) that no batch of hashes rules out."""
     bounds = least_matches(threshold, n_hashes, BATCH, MISS)
@@ -113,7 +119,7 @@ def _passing(threshold: float, n_hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alive = np.arange(batch.num_rows)
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, n_hashes) if batch.num_rows else np.empty((0, n_hashes), np.uint32) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, n_hashes) for i in (2, 3))
             agreed, done = np.zeros(batch.num_rows, np.int64), 0
             for n, least in bounds:
                 agreed[alive] += (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
@@ -124,15 +130,14 @@ def _passing(threshold: float, n_hashes: int):
     return run
 
 
-def _sets(width: int, keep_comp: bool = False):
+def _sets(width: int):
+    """(text) to (node, shingles)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            sets = pa.array([shingle_set(t.as_py(), width, memo).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
-            if keep_comp:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sets], names=["id", "comp", "shingles"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["id", "shingles"])
+            sets = [shingle_set(t.as_py(), width, memo) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
@@ -153,49 +158,70 @@ def near_duplicates(
     id count as one document that has the links of each of them. Columns other than the
     two named are ignored, whatever their names. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = scratch.save(texts.mapInArrow(_sketches(width, BANDS, ROWS), "id long, n_shingles long, fp binary, sig binary"))
-    rows = scratch.save(sketched.select("id", "n_shingles", "fp"))
-    classes = rows.where("n_shingles > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    reps = scratch.save(
-        sketched.where("n_shingles > 0").join(classes, (sketched.fp == classes.fp) & (sketched.id == classes.rep), "left_semi").select("id", "sig").distinct()
-    )
-    scratch.drop(sketched)
-    banded = reps.mapInArrow(_banded(BANDS, ROWS), "id long, key long")
-    shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    members = scratch.save(banded.join(shared, "key"))  # of buckets with two members at least
-
-    stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    found = scratch.save(_verified(stars, reps, texts, threshold, width, scratch))
-    joined = components(found, scratch)
+    sketched = scratch.save(texts.mapInArrow(_sketches(width, BANDS, ROWS), "id long, n_shingles long, node long, sig binary, bands binary"))
+    rows = scratch.save(sketched.select("id", "n_shingles", "node"))
+    named = rows.where("node is not null and id is not null")
+    found_in = members(sketched.where("bands is not null and id is not null").select("node", "bands"), BANDS, scratch)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """node, shingles: once for each of some distinct nodes."""
+        first = named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+        sets = texts.join(first, "id", "left_semi").select("text").mapInArrow(_sets(width), "node long, shingles array<long>")
+        return scratch.save(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets reach the threshold: pruned by signatures first."""
+        sigs = sketched.where("sig is not null").select("node", "sig").join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
+        both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+        likely = scratch.save(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_passing(float(threshold), BANDS * ROWS), "a long, b long"))
+        sets = sets_of(_ends(likely))
+        num, den = threshold.numerator, threshold.denominator
+        both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        both = both.withColumn("both", F.size(F.array_intersect("x", "y")).cast("long"))
+        kept = scratch.save(both.where(F.lit(den) * F.col("both") >= F.lit(num) * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
+        scratch.drop(likely, sets)
+        return kept
+
+    stars = scratch.save(found_in.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    # Nodes that share an id are one document.
+    several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
+    by_id = named.join(several, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    joined = components(verified(stars).unionByName(by_id), scratch)
 
     # What is left: documents in buckets with members of more than one component.
-    placed = members.join(joined, members.id == joined.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
+    scratch.drop(found_in)
     few = left_over.where(F.col("size") <= SMALL)
-    other = few.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    across = few.join(other, "key").where("id < id2 and comp <> comp2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    many = left_over.where(F.col("size") > SMALL).select("id", "comp").distinct()
-    sets = texts.join(many, "id").select("id", "text", "comp").mapInArrow(_sets(width, keep_comp=True), "id long, comp long, shingles array<long>")
-    across = across.unionByName(pairs_across(sets, threshold, scratch)).distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.save(_verified(across, reps, texts, threshold, width, scratch))
+    other = few.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
+    across = few.join(other, "key").where("node < node2 and comp <> comp2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    many = scratch.save(left_over.where(F.col("size") > SMALL).select("node", "comp").distinct())
+    sets = sets_of(many.select("node")).join(many, "node").select(F.col("node").alias("id"), "comp", "shingles")
+    across = across.unionByName(pairs_across(sets, threshold, scratch)).distinct()
+    # A pair goes from its smaller node, as a star's does.
+    more = verified(across.join(stars, ["a", "b"], "left_anti"))
     whole = joined if more.isEmpty() else merged_components(joined, more, scratch)
 
-    classes = classes.join(whole, classes.rep == whole.node, "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    # The smallest id of each component; a node without links is a component of its own.
+    ids = named.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    ids = scratch.save(ids.join(whole.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").where("n > 1 or component is not null").select("node", "least", F.coalesce("component", "node").alias("comp")))
+    least = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
+    by_node = ids.join(scratch.save(least), "comp").select("node", "component_id")
+    linked = F.col("id").isNotNull()
     return (
-        rows.join(classes, "fp", "left")
-        .select(
-            F.col("id").alias("doc_id"),
-            "n_shingles",
-            F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
-        )
+        rows.join(by_node, "node", "left")
+        .select(F.col("id").alias("doc_id"), "n_shingles", F.when(linked, F.coalesce("component_id", "id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def pairs_across(sets: DataFrame, threshold: Fraction, scratch: Scratch, unique: bool = False) -> DataFrame:
     """Pairs a < b of sets (id, comp, shingles) in different components that may reach the threshold; exact by prefixes.
 
@@ -208,7 +234,7 @@ def pairs_across(sets: DataFrame, threshold: Fraction, scratch: Scratch, unique:
     """
     tokens = sets.select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     tokens = scratch.save(tokens if unique else tokens.distinct())
-    known = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("df > 1")
+    known = scratch.save(tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("df > 1"))
     ranked = tokens.join(known, "token").select("id", "comp", "n", "token", "df", "c1", "c2")
     in_order = Window.partitionBy("id").orderBy("df", "token")
     whole = Window.partitionBy("id")
@@ -219,15 +245,15 @@ def pairs_across(sets: DataFrame, threshold: Fraction, scratch: Scratch, unique:
     scratch.drop(tokens)
     # Two sets of n and m with the threshold t share at least t / (1 + t) (n + m) shingles. A set whose first shared
     # shingle comes too late for that with even the smallest set that has the shingle (and isn't too small) has no pair there.
-    met = prefix.groupBy("token").agg(F.collect_set("size").alias("sizes"))  # a few hundred sizes at most
+    met = scratch.save(prefix.groupBy("token").agg(F.collect_set("size").alias("sizes")))  # a few hundred sizes at most; saved, so that the join may split a hot token
     t = num / den
     smallest = F.array_min(F.filter("sizes", lambda k: k >= _size_class(F.col("n") * t)))
     other_n = F.greatest(F.floor(F.pow(F.lit(SIZE_STEP), smallest) - 1e-6), F.ceil(F.col("n") * num / den))
     fits = prefix.join(met, "token").where(1 + F.col("n") - F.col("place") >= _overlap(F.col("n"), other_n, threshold)).select("token", "id", "comp", "n", "place")
     fits = scratch.save(fits)
-    still = fits.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token")
+    still = scratch.save(fits.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("token"))
     one = scratch.save(fits.join(still, "token", "left_semi"))
-    scratch.drop(prefix, fits)
+    scratch.drop(prefix, fits, known, met, still)
     other = one.select("token", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
     room = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     alike = (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (room >= _overlap(F.col("n"), F.col("n2"), threshold))
@@ -244,29 +270,5 @@ def _overlap(n: Column, m: Column, threshold: Fraction) -> Column:
     return F.ceil((n + m) * threshold.numerator / (threshold.numerator + threshold.denominator) - 1e-6)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: Fraction, width: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold: pruned by signatures first."""
-    likely = pairs
-    for n_hashes in (BATCH, BANDS * ROWS):  # few pairs outlive the first batch, so few carry whole signatures
-        sig = reps.select(F.col("id").alias("k"), F.substring("sig", 1, 4 * n_hashes).alias("sig"))
-        with_both = (
-            likely.join(sig.select(F.col("k").alias("a"), F.col("sig").alias("sig_a")), "a")
-            .join(sig.select(F.col("k").alias("b"), F.col("sig").alias("sig_b")), "b")
-            .select("a", "b", "sig_a", "sig_b")
-        )
-        likely = scratch.save(with_both.mapInArrow(_passing(float(threshold), n_hashes), "a long, b long").distinct())
-    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.save(texts.join(needed, "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
-    num, den = threshold.numerator, threshold.denominator
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    return (
-        likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        .withColumn("both", both)
-        .where(F.lit(den) * F.col("both") >= F.lit(num) * (F.size("x") + F.size("y") - F.col("both")))
-        .select("a", "b")
-    )
-
-
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -72,6 +72,9 @@ def test_near_duplicates_odd_rows(spark):
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and sum(r.component_id == 1 for r in got) == 3 and all(r.kept for r in got if r.doc_id is None)
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    a, b = "a b c d e f g", "z y x w v u t"
+    got = minhash.near_duplicates(spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (7, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 7, True)]
 
 
 def test_least_matches_bounds_the_posterior():
