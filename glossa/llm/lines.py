@@ -1,12 +1,14 @@
 """Line dedup: near-equal lines by MinHash over character shingles.
 
-1. Every line that isn't blank gets a sketch of BANDS * ROWS places, filled by rounds
-   of hashing (each place is a min-hash of the line's shingles); lines that agree in
-   all ROWS of a band are candidates. Repeats within a task point at their first line.
-2. A bucket compares its members with its smallest only. Buckets that then hold more
-   than one component compare members of different components: all of them up to
-   SMALL members, in larger buckets those that share a rare shingle (prefix filter).
-3. Candidates are verified by the exact Jaccard similarity of their shingle sets.
+1. Every line that isn't blank is a node, named by a 64-bit hash of its plain form: two
+   different lines of n fall together with probability n**2 / 2**65. A node gets a sketch
+   of BANDS * ROWS places, filled by rounds of hashing (each place is a min-hash of the
+   line's shingles); nodes that agree in all ROWS of a band are candidates.
+2. A bucket compares its members with its hubs only. Buckets that then hold more than one
+   component compare members of different components: all of them up to SMALL members,
+   in larger buckets those that share a rare shingle (prefix filter).
+3. Candidates whose sketches differ too much are pruned, as in near-duplicate search, and
+   the rest verified by the exact Jaccard similarity of their shingle sets.
 4. Components by distributed union-find; the first line of each is kept.
 """
 
@@ -18,17 +20,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.minhash import pairs_across
+from glossa.llm.buckets import members
+from glossa.llm.minhash import pairs_across, passing
 from glossa.llm.shared import Scratch, components, merged_components
 from glossa.llm.words import mix
 
 WIDTH = 9
 BANDS, ROWS = 16, 4
 THRESHOLD = Fraction(4, 5)
+BATCH = 16
 SMALL = 16
 SEEN_LINES = 300_000
 CHUNK_CHARS = 60_000
@@ -96,31 +99,30 @@ def sketches(hashes: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
     return found
 
 
-def _banded(width: int, bands: int, rows: int):
-    """(row, doc_id, text) to (id, row, doc_id, line, first, digest, bands): a row for each line that isn't blank; digest and bands where id is first."""
+_LINES = "row long, doc_id long, line int, node long, text string, sketch binary, bands binary"
+
+
+def _sketched(width: int, bands: int, rows: int):
+    """(row, doc_id, text) to _LINES: a row for each line that isn't blank; text, sketch and bands are null where the task has given them lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_id = TaskContext.get().partitionId() << 40
-        seen: dict[bytes, int] = {}
-        ids, of, docs, numbers, firsts, digests, texts = [], [], [], [], [], [], []
+        seen: set[int] = set()
+        of, docs, numbers, nodes, texts, fresh = [], [], [], [], [], []
 
         def out() -> pa.RecordBatch:
-            fresh = [k for k, (i, f) in enumerate(zip(ids, firsts)) if i == f]
-            keys = np.empty((0, bands), np.int64)
+            sketch: list = [None] * len(of)
+            banded: list = [None] * len(of)
             if fresh:
-                found = sketches(*shingles([texts[k] for k in fresh], width), bands * rows).reshape(len(fresh), bands, rows)
+                found = sketches(*shingles([texts[k] for k in fresh], width), bands * rows)
                 mixed = np.zeros((len(fresh), bands), np.uint64)
                 for r in range(rows):
-                    mixed = mix(mixed * np.uint64(BASE) + found[:, :, r])
-                keys = mix(mixed + np.arange(bands, dtype=np.uint64)).view(np.int64)
-            sizes = np.zeros(len(ids) + 1, np.int32)
-            sizes[np.array(fresh, np.int64) + 1] = bands
-            listed = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(keys.ravel()))
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(firsts, pa.int64()), pa.array(digests, pa.binary()), listed],
-                names=["id", "row", "doc_id", "line", "first", "digest", "bands"],
-            )
-            for column in (ids, of, docs, numbers, firsts, digests, texts):
+                    mixed = mix(mixed * np.uint64(BASE) + found.reshape(-1, bands, rows)[:, :, r])
+                keys, low = mix(mixed + np.arange(bands, dtype=np.uint64)), found.astype(np.uint8)
+                for k, x, y in zip(fresh, low, keys):
+                    sketch[k], banded[k] = x.tobytes(), y.tobytes()
+            types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((of, docs, numbers, nodes, texts, sketch, banded), types)], names=[f.split()[0] for f in _LINES.split(", ")])
+            for column in (of, docs, numbers, nodes, texts, fresh):
                 column.clear()
             return batch
 
@@ -131,14 +133,17 @@ def _banded(width: int, bands: int, rows: int):
                     line = plain(line)
                     if not line:
                         continue
-                    key = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-                    first = seen.setdefault(key, next_id)
-                    if len(seen) > SEEN_LINES:
-                        seen.clear()
-                    ids.append(next_id), of.append(row), docs.append(doc_id), numbers.append(number), firsts.append(first)
-                    digests.append(key if first == next_id else None), texts.append(line if first == next_id else "")
-                    next_id += 1
-                    held += len(texts[-1])
+                    node = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    of.append(row), docs.append(doc_id), numbers.append(number), nodes.append(node)
+                    if node in seen:
+                        texts.append(None)
+                    else:
+                        if len(seen) >= SEEN_LINES:
+                            seen.clear()
+                        seen.add(node)
+                        fresh.append(len(texts)), texts.append(line)
+                        held += len(line)
+                    held += 8
                 if held > CHUNK_CHARS:
                     yield out()
                     held = 0
@@ -147,18 +152,6 @@ def _banded(width: int, bands: int, rows: int):
     return run
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted: array of (line, id)) to (id, text of the line)."""
-    for batch in batches:
-        ids, texts = [], []
-        for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-            lines = (text.as_py() or "").split("\n")
-            for w in wanted:
-                ids.append(w["id"])
-                texts.append(plain(lines[w["line"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
-
-
 def _alike(threshold: Fraction, width: int):
     """(a, b, x, y) to the (a, b) whose lines x and y reach the threshold on their shingle sets."""
     num, den = threshold.numerator, threshold.denominator
@@ -212,69 +205,92 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give no lines. A pair at the threshold is missed with probability
     (1 - threshold**ROWS)**BANDS, 2e-4; the more alike, the less.
     """
-    scratch = Scratch(docs.sparkSession)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = scratch.save(numbered.select("row", "doc_id", "text").mapInArrow(_banded(width, BANDS, ROWS), "id long, row long, doc_id long, line int, first long, digest binary, bands array<long>"))
-    buckets = Window.partitionBy("key")
-    members = lines.where("id = first").select("id", F.explode("bands").alias("key"))
-    members = members.withColumns({"hub": F.min("id").over(buckets), "last": F.max("id").over(buckets)}).where("hub < last").drop("last")
-    # Of lines that are equal, whose smallest id is in all their buckets too, only that one goes on.
-    fresh = lines.where("id = first").select("id", "digest")
-    equal = fresh.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
-    equal = scratch.save(fresh.join(equal, "digest").where("id <> rep").select("id", "rep"))
-    members = scratch.save(members.join(equal, "id", "left_anti"))
-
-    wanted = lines.join(members.select("id").distinct(), "id", "left_semi").groupBy("row").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
-    texts = scratch.save(numbered.join(wanted, "row").select("text", "wanted").mapInArrow(_wanted, "id long, text string"))
+    return _grouped(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold, width, Scratch(docs.sparkSession))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return scratch.save(both.select("a", "b", "x", "y").mapInArrow(_alike(threshold, width), "a long, b long"))
 
-    stars = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    found = verified(stars)
-    joined = components(found, scratch)
+def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scratch) -> DataFrame:
+    """line_groups() of (row, doc_id, text). The table is read once, so its row numbers needn't be the same at every reading."""
+    whole = scratch.save(numbered.select("row", "doc_id", "text").mapInArrow(_sketched(width, BANDS, ROWS), _LINES))
+    lines = scratch.save(whole.select("row", "doc_id", "line", "node"))
+    found_in = members(whole.where("bands is not null").select("node", "bands"), BANDS, scratch)
+    # Of all nodes that have to be compared, once each.
+    met = scratch.save(found_in.select("node").distinct())
+    kept = whole.where("text is not null").select("node", "text", "sketch").join(met, "node", "left_semi")
+    texts = scratch.save(kept.groupBy("node").agg(F.min("text").alias("text"), F.min("sketch").alias("sketch")))
+    scratch.drop(whole, met)
 
-    placed = members.join(joined, members.id == joined.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("n")).where("c1 < c2 and n > 2").select("key", "n")
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = pairs
+        for columns, passes in ((("sketch",), passing(float(threshold), BANDS * ROWS, BATCH)), (("text",), _alike(threshold, width))):
+            a, b = (texts.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
+            both = likely.join(a, "a").join(b, "b").select("a", "b", *[f"{c}_{s}" for c in columns for s in "ab"])
+            likely = scratch.save(both.mapInArrow(passes, "a long, b long"))
+        return likely
+
+    stars = scratch.save(found_in.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    joined = components(verified(stars), scratch)
+
+    placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
-    few = left_over.where(F.col("n") <= SMALL).select("key", "id", "comp")
-    other = few.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    across = few.join(other, "key").where("id < id2 and comp <> comp2").select(F.col("id2").alias("a"), F.col("id").alias("b"))
-    many = left_over.where(F.col("n") > SMALL).select("id", "comp").distinct()
-    sets = texts.join(many, "id").select("id", "comp", "text").mapInArrow(_line_sets(width), "id long, comp long, shingles array<long>")
-    rare = pairs_across(sets, threshold, scratch, unique=True).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    more = verified(across.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"))
+    scratch.drop(found_in)
+    few = left_over.where(F.col("size") <= SMALL).select("key", "node", "comp")
+    other = few.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
+    across = few.join(other, "key").where("node < node2 and comp <> comp2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    many = left_over.where(F.col("size") > SMALL).select("node", "comp").distinct()
+    sets = texts.join(many, "node").select(F.col("node").alias("id"), "comp", "text").mapInArrow(_line_sets(width), "id long, comp long, shingles array<long>")
+    across = across.unionByName(pairs_across(sets, threshold, scratch, unique=True)).distinct()
+    more = verified(across.join(stars, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         joined = merged_components(joined, more, scratch)
 
-    same_as = equal.join(joined, equal["rep"] == joined["node"], "left").select(F.col("id").alias("node"), F.coalesce("component", "rep").alias("component"))
-    joined = scratch.save(joined.unionByName(same_as))
-    whole = scratch.save(lines.join(joined, lines["first"] == joined["node"], "left").select("row", "doc_id", "line", F.coalesce("component", "first").alias("comp")))
-    least = whole.groupBy("comp").agg(F.min(F.struct("doc_id", "row", "line")).alias("least"))
-    same = (F.col("row") == F.col("least.row")) & (F.col("line") == F.col("least.line"))
-    return whole.join(least, "comp").select(
-        "row", "doc_id", F.col("line").cast("long").alias("line_no"), F.col("least.doc_id").alias("first_doc_id"), F.col("least.line").cast("long").alias("first_line_no"), same.alias("kept")
+    # The first line of each component. A node without links and repeats is its own and takes no further part.
+    at = F.struct("doc_id", "row", "line")
+    nodes = lines.groupBy("node").agg(F.min(at).alias("at"), F.count("*").alias("n"))
+    nodes = scratch.save(nodes.join(joined.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").where("n > 1 or component is not null").select("node", "at", F.coalesce("component", "node").alias("comp")))
+    least = scratch.save(nodes.groupBy("comp").agg(F.min("at").alias("first")))
+    first = scratch.save(nodes.join(least, "comp").select("node", "first"))
+    placed = lines.join(first, "node", "left").select("row", "doc_id", "line", F.coalesce("first", at).alias("first"))
+    same = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
+    return placed.select(
+        "row", "doc_id", F.col("line").cast("long").alias("line_no"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").cast("long").alias("first_line_no"), same.alias("kept")
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True, **options) -> DataFrame:
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text, cut) to (row, text): without the lines whose numbers are in cut, an array."""
+    for batch in batches:
+        texts = []
+        for text, cut in zip(batch.column(1), batch.column(2)):
+            lines, gone = text.as_py().split("\n"), set(cut.as_py())
+            texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True, threshold: Fraction = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """The columns of docs, texts without the lines that aren't kept. Blank lines stay.
 
     A document of which no line is left but blank ones, and which had others, goes as a
-    whole unless drop_emptied is false. Null and blank texts stay as they are.
+    whole unless drop_emptied is false. Null and blank texts stay as they are. Rows are
+    numbered and written once, and matched by that number: ids may repeat or be null, and
+    columns may have any names.
     """
     scratch = Scratch(docs.sparkSession)
-    groups = line_groups(docs, id_col, text_col, **options)
-    cut = groups.groupBy("row").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("_cut"), F.count("*").alias("_n")).where(F.size("_cut") > 0)
+    # All columns in one, whose name can't clash with theirs.
+    numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")))
+    groups = _grouped(numbered.select("row", F.col("all").getField(id_col).cast("long").alias("doc_id"), F.col("all").getField(text_col).alias("text")), threshold, width, scratch)
+    cut = groups.groupBy("row").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("cut"), F.count("*").alias("n")).where(F.size("cut") > 0)
     cut = scratch.save(cut)
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    both = numbered.join(cut, numbered["_row"] == cut["row"], "left")
+    some = cut.where(F.size("cut") < F.col("n")) if drop_emptied else cut
+    texts = numbered.select("row", F.col("all").getField(text_col).alias("text")).join(some.select("row", "cut"), "row").mapInArrow(_without, "row long, text string")
+    made = numbered.join(texts.select("row", F.lit(True).alias("changed"), F.col("text").alias("shorter")), "row", "left")
     if drop_emptied:
-        both = both.where(F.col("_n").isNull() | (F.size("_cut") < F.col("_n")))
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_cut", i.cast("long"))), "\n")
-    text = F.when(F.col("_n").isNull(), F.col(text_col)).otherwise(left)
-    return both.select(*[text.alias(c) if c == text_col else numbered[c] for c in docs.columns])
+        made = made.join(cut.where(F.size("cut") == F.col("n")).select("row"), "row", "left_anti")
+    def column(c: str) -> Column:
+        own = F.col("all").getField(c)
+        return (F.when(F.col("changed"), F.col("shorter")).otherwise(own) if c == text_col else own).alias(c)
+
+    return made.select(*map(column, docs.columns))
 
 
 def op7_fuzzy_lines(spark, sf_dir: str) -> DataFrame:

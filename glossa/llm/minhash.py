@@ -112,12 +112,14 @@ def _sketches(width: int, bands: int, rows: int):
     return run
 
 
-def _passing(threshold: float, n_hashes: int):
+def passing(threshold: float, n_hashes: int, batch_size: int = BATCH):
     """Arrow batches of (a, b, sig_a, sig_b) to the (a, b) that no batch of hashes rules out."""
-    bounds = least_matches(threshold, n_hashes, BATCH, MISS)
+    bounds = least_matches(threshold, n_hashes, batch_size, MISS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             alive = np.arange(batch.num_rows)
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, n_hashes) for i in (2, 3))
             agreed, done = np.zeros(batch.num_rows, np.int64), 0
@@ -175,7 +177,7 @@ def near_duplicates(
         """The pairs (a, b) whose full sets reach the threshold: pruned by signatures first."""
         sigs = sketched.where("sig is not null").select("node", "sig").join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
         both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        likely = scratch.save(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_passing(float(threshold), BANDS * ROWS), "a long, b long"))
+        likely = scratch.save(both.select("a", "b", "sig_a", "sig_b").mapInArrow(passing(float(threshold), BANDS * ROWS), "a long, b long"))
         sets = sets_of(_ends(likely))
         num, den = threshold.numerator, threshold.denominator
         both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")

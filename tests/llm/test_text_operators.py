@@ -213,12 +213,15 @@ def test_fuzzy_lines(spark, monkeypatch, small):
 
 
 def test_dedup_lines(spark):
-    docs = [(1, "Alpha beta gamma\n\nshort"), (2, "alpha  beta gamma"), (3, "alpha beta gamma\nnew line"), (None, None), (4, "")]
-    table = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, _n string")
-    got = lines.dedup_lines(table.withColumnRenamed("_n", "n"))
-    assert got.columns == ["doc_id", "text", "n"]
-    assert {r.doc_id: r.text for r in got.collect()} == {1: "Alpha beta gamma\n\nshort", 3: "new line", None: None, 4: ""}
-    assert lines.line_groups(table.limit(0)).count() == 0
+    docs = [(1, "Alpha beta gamma\n\nshort"), (2, "alpha  beta gamma"), (3, "alpha beta gamma\nnew line"), (None, None), (4, ""), (3, "short\nother\nOther"), (5, "\n \n")]
+    table = spark.createDataFrame([(i, t, "k", 7, "c", "l") for i, t in docs], "doc_id long, text string, _n string, _row int, _cut string, row string")
+    got = lines.dedup_lines(table)
+    assert got.columns == table.columns
+    assert all((r._n, r._row, r._cut, r.row) == ("k", 7, "c", "l") for r in got.collect())
+    want = [(1, "Alpha beta gamma\n\nshort"), (3, "new line"), (3, "other"), (None, None), (4, ""), (5, "\n \n")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert sorted(((r.doc_id, r.text) for r in lines.dedup_lines(table, drop_emptied=False).collect()), key=str) == sorted([*want, (2, "")], key=str)
+    assert lines.line_groups(table.limit(0)).count() == 0 and lines.dedup_lines(table.limit(0)).count() == 0
 
 
 def test_separator_scan(spark):
