@@ -1,10 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-Every text block has a tag path from the root. Text length, punctuation and the share of
-link text are aggregated per path; the path scores are smoothed over the blocks in page
-order and fused with the paths' own; paths over a threshold are content. The main
-container is the deepest element that holds nearly all of the content score; what it
-holds is the main text, without the parts whose element or class names say otherwise.
+Every text block has a tag path from the root. Text without links, and punctuation, are
+aggregated per path; a path's own ratio is smoothed over the blocks in page order, fused
+with the smoothed one, and weighed by the tags and names on the path. Paths over a
+threshold are content. The container of their blocks also admits the headings and short
+blocks between them, path by path.
+
+Tags and names are weights and no verdict: where an element that they speak against
+holds most of the page's text, and not beside an article, they don't count.
 """
 
 from __future__ import annotations
@@ -24,38 +27,63 @@ from glossa.llm.shared import bounded_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video datalist".split())
-FORM = frozenset("form button select textarea option fieldset label input".split())
-FRAME = frozenset("nav footer aside menu dialog".split())
+IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
+CONTROLS = frozenset("button select textarea option optgroup label legend".split())
+FRAME = frozenset("nav footer aside menu dialog form fieldset".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br label".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open p (HTML's own rule), and elements that end an open one of the same kind.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
 )
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDED = frozenset().union({"p"}, *ENDS.values())
 SCOPE = frozenset("html body table td th ul ol dl div article section main aside nav header footer blockquote form".split())
-#: Words in class, id or role that mark an element as something other than the article.
-NOT_CONTENT = frozenset(
+#: Words in class or id that speak against an element, if a name has no words but these and NEUTRAL ones: "has-sidebar" and "comments-open" don't.
+AGAINST = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner sidebar sidebars aside comment comments commentlist disqus respond reply replies "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations widget widgets toolbar search skip skiplink complementary contentinfo dialog alert".split()
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
+    "subscription signup login share sharing social related recommended recommendations teaser teasers trending widget widgets toolbar search skip skiplink alert".split()
 )
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons center col column container content device form frame group header icons inner item items left link links list main mobile outer page panel post posts "
+    "primary right row secondary section site slot stories sticky text thread title top unit wrap wrapper".split()
+)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Openings of headings over lists of other pages, in the languages of the corpus.
+ELSEWHERE = re.compile(r"(?:more|related|read (?:more|also|next)|see also|also read|latest|most read|popular|trending|recommended|mehr|weitere|lesen sie|lire aussi|à lire|plus d|más|relacionad|lea también|ver también)\b", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
+DEPTH = 512  # deeper elements count as part of the last
+WEIGHT = 0.1
 SIGMA = 1.0
-_NAME_END = re.compile(r"[^a-z0-9]+")
-HOLDS = 0.85
+SHARE = 0.3  # the threshold, of the mean score of the page's text
+HOLDS, MOST = 0.85, 0.5
+LINKS = 0.6
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
 
 @dataclass(eq=False)
 class Element:
     tag: str
     parent: Element | None
-    label: str
-    barred: bool
-    linked: bool
-    in_article: bool = False
+    depth: int
+    path: int
+    against: bool = False
+    barred: bool = False
+    linked: bool = False
+    tops: int = 0
+    articles: int = 0
+    text: float = 0.0
     mass: float = 0.0
+    weight: float = 1.0
+
+    def upwards(self) -> Iterator[Element]:
+        e: Element | None = self
+        while e is not None:
+            yield e
+            e = e.parent
 
 
 @dataclass
@@ -67,16 +95,41 @@ class Block:
     text: str = ""
 
 
+def speaks_against(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    if tag in FRAME or tag == "header" and not in_article:
+        return True
+    if tag in ("html", "body", "article", "main"):
+        return False
+    if attrs.get("role", "").strip().lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        return True
+    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
+        return True
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if not AGAINST.isdisjoint(words) and all(w in AGAINST or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
 class Blocks(HTMLParser):
     """The text blocks of a page: maximal runs of text without a block element's border between."""
 
-    never = HIDDEN | FORM | FRAME
+    barring = HIDDEN | CONTROLS
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = [Element("#root", None, "", False, False)]
+        self.paths: dict[tuple, int] = {}
+        self.root = Element("#root", None, 0, 0)
+        self.open = [self.root]
+        self.count: dict[str, int] = defaultdict(int)  # open elements by tag
         self.blocks: list[Block] = []
         self.block: Block | None = None
+        self.skipped = 0  # open elements beyond DEPTH
+
+    def parse_marked_section(self, i, report=1):
+        """Sections such as <![x]> are comments that end at the next ">"."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
 
     def close_block(self) -> None:
         if self.block is not None:
@@ -86,10 +139,22 @@ class Blocks(HTMLParser):
             self.block = None
 
     def pop_to(self, index: int) -> None:
-        if any(e.tag not in INLINE for e in self.open[index:]):
+        gone = self.open[index:]
+        if any(e.tag not in INLINE for e in gone):
             self.close_block()
+        for e in gone:
+            self.count[e.tag] -= 1
         del self.open[index:]
 
+    def end_open(self, tags) -> None:
+        """Ends the innermost element of one of the tags, if it is in scope."""
+        if any(self.count[t] for t in tags):
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in tags:
+                    return self.pop_to(i)
+                if self.open[i].tag in SCOPE:
+                    return
+
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             if self.block is not None:
@@ -97,34 +162,31 @@ class Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self.close_block()
+        if self.count["head"] and tag not in IN_HEAD:  # an open head ends where the body's elements begin
+            if (at := next((i for i, e in enumerate(self.open) if e.tag == "head"), 0)) and at == len(self.open) - 1:
+                self.pop_to(at)
         if tag in ENDS_P:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag == "p":
-                    self.pop_to(i)
-                    break
-                if self.open[i].tag in SCOPE:
-                    break
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in ENDS.get(tag, ()):
-                self.pop_to(i)
-                break
-            if self.open[i].tag in SCOPE:
-                break
+            self.end_open(("p",))
+        if tag in ENDS:
+            self.end_open(ENDS[tag])
         if tag in VOID:
             return
+        if len(self.open) > DEPTH:
+            self.skipped += 1
+            return
         parent = self.open[-1]
-        barred, names = parent.barred or tag in self.never or tag == "header" and not parent.in_article, ()
-        if attrs and not barred:
-            given = {k: v or "" for k, v in attrs}
-            names = sorted(filter(None, _NAME_END.split(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower())))
-            barred = (
-                tag not in ("html", "body", "article", "main") and not NOT_CONTENT.isdisjoint(names)
-                or "hidden" in given
-                or given.get("aria-hidden") == "true"
-                or "display:none" in given.get("style", "").replace(" ", "").lower()
-            )
-        label = f"{tag}.{' '.join(names)}" if names else tag
-        self.open.append(Element(tag, parent, label, barred, parent.linked or tag == "a", parent.in_article or tag in ("article", "main")))
+        given = {k: v or "" for k, v in attrs}
+        names = tuple(given["class"].split()) if "class" in given else ()
+        path = self.paths.setdefault((parent.path, tag, names), len(self.paths) + 1)
+        e = Element(tag, parent, len(self.open), path, barred=parent.barred or tag in self.barring, linked=parent.linked or tag == "a")
+        if not e.barred:
+            e.against = speaks_against(tag, given, bool(self.count["article"] or self.count["main"]))
+        if tag in ("h1", "main", "article"):
+            for up in e.upwards():
+                up.tops += tag != "article"
+                up.articles += tag == "article"
+        self.count[tag] += 1
+        self.open.append(e)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -134,12 +196,17 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             return self.handle_starttag("br", [])
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                self.pop_to(i)
-                return
-            if tag in INLINE and self.open[i].tag in SCOPE:
-                return
+        if self.skipped and tag not in VOID:
+            self.skipped -= 1
+            if tag not in INLINE:
+                self.close_block()
+            return
+        if self.count[tag]:
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag == tag:
+                    return self.pop_to(i)
+                if tag in INLINE and self.open[i].tag in SCOPE:
+                    return
 
     def handle_data(self, data):
         e = self.open[-1]
@@ -158,90 +225,137 @@ class Blocks(HTMLParser):
         self.block.link_chars += n * e.linked
 
 
-def text_blocks(html: str | None) -> list[Block]:
-    parser = Blocks()
+def parsed(html: str | None, kind=Blocks) -> Blocks:
+    parser = kind()
     parser.feed(html or "")
     parser.close()
     parser.close_block()
-    return parser.blocks
-
-
-def _path(e: Element) -> str:
-    names = []
-    while e.parent is not None:
-        names.append(e.label)
-        e = e.parent
-    return "/".join(reversed(names))
+    return parser
+
+
+def _weigh(page: Blocks) -> None:
+    """Weights of the elements: those that something speaks against count less, but for one that holds most of the text."""
+    for b in page.blocks:
+        for e in b.element.upwards():
+            e.text += b.chars - b.link_chars
+    root, done = page.root, {page.root}
+    for b in page.blocks:
+        line = []
+        for e in b.element.upwards():
+            if e in done:
+                break
+            line.append(e)
+        for e in reversed(line):
+            done.add(e)
+            e.weight = e.parent.weight
+            if e.against:
+                share = e.text / max(1.0, root.text)
+                beside = root.tops - e.tops + root.articles - e.articles  # headlines and articles that aren't in it
+                if not (share >= MOST and e.tops or share >= HOLDS and (not beside or e.articles == root.articles > 0)):
+                    e.weight *= WEIGHT
+
+
+def path_scores(paths: list[int], chars: list[int], marks: list[int], linked: list[float], weights: list[float]) -> tuple[dict[int, float], dict[int, float]]:
+    """Of each path the fused score and the smoothed ratio of its surroundings; one entry of the lists a block, in page order.
+
+    A path's own ratio is the mean text without links of its blocks, times the root of
+    one more than their mean punctuation marks. Smoothed are the weighted ratios of all
+    blocks by a Gaussian over five; a path has the mean of its blocks. The fused score is
+    the geometric mean of both, weighted.
+    """
+    nodes, text, points, weight = (defaultdict(float) for _ in range(4))
+    for p, c, m, k, w in zip(paths, chars, marks, linked, weights):
+        nodes[p] += 1
+        text[p] += c - k
+        points[p] += m
+        weight[p] = max(weight[p], w)
+    own = {p: text[p] / nodes[p] * (1 + points[p] / nodes[p]) ** 0.5 for p in nodes}
+    reach = np.arange(-2, 3)
+    kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
+    line = np.array([own[p] * w for p, w in zip(paths, weights)])
+    around = np.convolve(np.pad(line, 2, "edge"), kernel / kernel.sum(), "valid")
+    smooth: dict[int, float] = defaultdict(float)
+    for p, x in zip(paths, around.tolist()):
+        smooth[p] += x / nodes[p]
+    return {p: weight[p] * (own[p] * smooth[p]) ** 0.5 for p in nodes}, smooth
 
 
 def main_text(html: str | None) -> str:
-    blocks = text_blocks(html)
-    if not blocks:
+    page = parsed(html)
+    if not page.blocks:
         return ""
-    paths = [_path(b.element) for b in blocks]
-    chars, marks, linked, nodes = (defaultdict(float) for _ in range(4))
-    for path, b in zip(paths, blocks):
-        chars[path] += len(b.text)
-        marks[path] += len(PUNCTUATION.findall(b.text))
-        linked[path] += b.link_chars / max(1, b.chars) * len(b.text)
-        nodes[path] += 1
-    # Ratio of a path: mean text of its blocks without link text, raised by punctuation.
-    ratio = {p: (chars[p] - linked[p]) / nodes[p] * (1 + marks[p] / nodes[p]) ** 0.5 for p in chars}
-    own = np.array([ratio[p] for p in paths])
-    reach = np.arange(-2, 3)
-    kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
-    smooth = np.convolve(np.pad(own, 2, "edge"), kernel / kernel.sum(), "valid")
-    fused = np.sqrt(own * smooth)
-    threshold = min(fused.mean(), float(np.median(fused))) if len(fused) > 1 else 0.0
-    score = np.array([len(b.text) - b.link_chars for b in blocks]) * (fused >= threshold * 0.5)
-    if score.sum() <= 0:
-        score = np.array([len(b.text) for b in blocks], np.float64)
-    for b, s in zip(blocks, score):
-        e = b.element
-        while e is not None:
-            e.mass += s
-            e = e.parent
-    # The deepest element that holds nearly all of the mass; an article or main element may hold it alone.
-    total = float(score.sum())
-    container = max((b.element for b in blocks), key=lambda e: e.mass)
-    while container.parent is not None and container.mass < HOLDS * total:
-        container = container.parent
-    e = container
-    while e is not None:  # paragraphs alone are no container: their article is
-        if e.tag in ("article", "main"):
-            container = e
-            break
-        e = e.parent
-    if container.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre") and container.parent is not None:
+    _weigh(page)
+    if all(b.element.weight < MOST for b in page.blocks):  # everything is spoken against: then it says nothing
+        for b in page.blocks:
+            for e in b.element.upwards():
+                e.weight = 1.0
+    return "\n".join(b.text for b in content(page.blocks))
+
+
+def content(blocks: list[Block]) -> list[Block]:
+    paths, weights = [b.element.path for b in blocks], [b.element.weight for b in blocks]
+    chars = [len(b.text) for b in blocks]
+    linked = [b.link_chars / max(1, b.chars) * n for b, n in zip(blocks, chars)]
+    fused, smooth = path_scores(paths, chars, [len(PUNCTUATION.findall(b.text)) for b in blocks], linked, weights)
+    mass = np.array([(n - k) * w for n, k, w in zip(chars, linked, weights)])
+    score = np.array([fused[p] for p in paths])
+    threshold = SHARE * float((mass * score).sum() / mass.sum()) if mass.sum() > 0 else 0.0
+    chosen = np.array([s >= threshold and w >= MOST for s, w in zip(score, weights)])
+    if not (mass * chosen).any():
+        mass = np.array(chars, np.float64)  # links alone
+        chosen = np.array(weights) >= MOST
+    for b, m, c in zip(blocks, mass, chosen):
+        if c:
+            for e in b.element.upwards():
+                e.mass += float(m)
+    # The deepest element that holds nearly all of the chosen text; its article or, without one, its main element.
+    total = float((mass * chosen).sum())
+    container = max((b.element for b, c in zip(blocks, chosen) if c), key=lambda e: e.mass)
+    container = next((e for e in container.upwards() if e.mass >= HOLDS * total), container)
+    above = list(container.upwards())
+    whole = next((e for tag in ("article", "main") for e in above if e.tag == tag and e.weight >= MOST), None)
+    if whole is not None:
+        container = whole
+    elif container.tag in HEADINGS | {"p", "li", "td", "blockquote", "pre"} and container.parent is not None:
         container = container.parent
-    kept = []
-    whole = container.tag in ("article", "main")
-    for b, path, f in zip(blocks, paths, fused):
-        e = b.element
-        while e is not None and e is not container:
-            e = e.parent
-        mostly_links = linked[path] > 0.6 * chars[path]
-        if e is container and (whole and not (mostly_links and b.element.tag == "li") or not mostly_links and (f >= 0.05 * threshold or b.element.tag[0] == "h")):
-            kept.append(b.text)
-    return "\n".join(kept)
+
+    share = defaultdict(list)
+    for p, n, k in zip(paths, chars, linked):
+        share[p].append((n, k))
+    of_links = {p: sum(k for _, k in x) > LINKS * sum(n for n, _ in x) for p, x in share.items()}
+    within = [b.element.depth >= container.depth and container in b.element.upwards() for b in blocks]
+    own_title = any(x and b.element.tag == "h1" for x, b in zip(within, blocks))
+    kept, started, titled, elsewhere = [], False, False, False
+    for i, (b, p, inside) in enumerate(zip(blocks, paths, within)):
+        started |= inside
+        if b.element.weight < MOST:
+            continue
+        if b.element.tag in HEADINGS:
+            after = next((j for j in range(i + 1, len(blocks)) if weights[j] >= MOST), None)
+            elsewhere = after is not None and of_links[paths[after]] and bool(ELSEWHERE.match(b.text))
+        elif not of_links[p]:
+            elsewhere = False
+        if elsewhere:
+            continue
+        if inside:
+            good = bool(chosen[i]) or not of_links[p] or whole is not None or smooth[p] >= threshold / 2
+        else:  # what scores like the article, and before it its title, with what stands between
+            titled |= b.element.tag == "h1" and not own_title
+            good = bool(chosen[i]) or titled and not started and not of_links[p]
+        if good:
+            kept.append(b)
+    return kept
 
 
 class Visible(Blocks):
     """The text blocks of a page, boilerplate included."""
 
-    def handle_starttag(self, tag, attrs):
-        super().handle_starttag(tag, attrs)
-        if (e := self.open[-1]).tag == tag and e.parent is not None:
-            e.barred = e.parent.barred or tag in HIDDEN
+    barring = HIDDEN
 
 
 def visible_text(html: str | None) -> str:
     """All visible text, block by block, boilerplate included."""
-    parser = Visible()
-    parser.feed(html or "")
-    parser.close()
-    parser.close_block()
-    return "\n".join(b.text for b in parser.blocks)
+    return "\n".join(b.text for b in parsed(html, Visible).blocks)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators on pages, urls, WARC records and vectors, and the pipeline."""
 
 import gzip
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -40,6 +42,55 @@ def test_main_text_odd_pages(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "é", 1), (1, None, "", 0), (None, "x", "", 0)], key=str)
 
 
+BODY_TEXT = "Body text, it is long and has commas, too. " * 5
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="post has-sidebar"><h1>T</h1><p>One two, three four. Five six, seven.</p><p>More text here.</p></div><div class="sidebar"><p>Side text here, with words.</p></div>', ["T", "One two, three four. Five six, seven.", "More text here."]),
+        ('<div class="single comments-open"><p>One two, three four. Five six, seven.</p><p>More text here.</p></div><section id="comments"><p>First, I say! Very nice.</p><p>Second, I say it is so very, very nice.</p></section>', ["One two, three four. Five six, seven.", "More text here."]),
+        ('<form id="aspnetForm"><div id="header"><ul><li><a href=x>A</a></ul></div><div id="main"><h1>T</h1><p>One two, three four. Five six, seven.</p><label>Mail</label><button>Go</button></div><div class="sidebar">Side, text.</div></form>', ["T", "One two, three four. Five six, seven."]),
+        (f'<div id=page><div class=menu><a href=1>m</a></div><div><h1>Head</h1><p>Lead text, of one sentence.</p><div><p>{BODY_TEXT}</p><p>{BODY_TEXT}</p></div></div><footer>foot text here</footer></div>', ["Head", "Lead text, of one sentence.", BODY_TEXT.strip(), BODY_TEXT.strip()]),
+        (f"<article><h1>T</h1><p>{BODY_TEXT}</p><h2>Sources</h2><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><h3>More stories</h3><ul><li><a href=a>A</a><li><a href=b>B</a></ul></article>", ["T", BODY_TEXT.strip(), "Sources", "One", "Two"]),
+        ("<head><title>x</title><p>Text in a page, without an end of its head.", ["Text in a page, without an end of its head."]),
+        ("<p>a<![foo]>b</p><![CDATA[ x ]]><p>c", ["ab", "c"]),
+    ],
+)
+def test_main_text_without_markup_to_lean_on(page, want):
+    assert html.main_text(page).split("\n") == want
+
+
+def test_path_scores_equal_brute_force():
+    rng = random.Random(11)
+    rows = [(rng.randrange(6), rng.randrange(1, 300), rng.randrange(9), rng.random(), rng.choice([0.1, 1.0])) for _ in range(60)]
+    weight_of = {p: rng.choice([0.1, 1.0]) for p in range(6)}
+    rows = [(p, n, m, n * k if k < 0.4 else 0.0, weight_of[p]) for p, n, m, k, _ in rows]
+    fused, smooth = html.path_scores(*map(list, zip(*rows)))
+
+    def own(p):
+        mine = [r for r in rows if r[0] == p]
+        return sum(r[1] - r[3] for r in mine) / len(mine) * math.sqrt(1 + sum(r[2] for r in mine) / len(mine))
+
+    kernel = [math.exp(-k * k / 2) for k in (-2, -1, 0, 1, 2)]
+    around = [sum(w * own(rows[min(max(i + k, 0), 59)][0]) * weight_of[rows[min(max(i + k, 0), 59)][0]] for k, w in zip((-2, -1, 0, 1, 2), kernel)) / sum(kernel) for i in range(60)]
+    for p in range(6):
+        mine = [around[i] for i in range(60) if rows[i][0] == p]
+        assert smooth[p] == pytest.approx(sum(mine) / len(mine)) and fused[p] == pytest.approx(weight_of[p] * math.sqrt(own(p) * sum(mine) / len(mine)))
+
+
+def test_broken_pages_end_in_time():
+    rng = random.Random(12)
+    pieces = ["<![", "<!", "<![foo]>", "<p>", "</p>", "<b>", "</b>", "<div class='a b'>", "</div>", "text, more. ", "&amp", "<", ">", "<a href=x>", "</a>", "<table><td>", "</table>", "<!--", "-->", "<script>", "</script>", "\x00", "<head>", "<br>", "<svg/>"]
+    for _ in range(300):
+        page = "".join(rng.choice(pieces) for _ in range(40))
+        assert isinstance(html.main_text(page), str) and isinstance(html.visible_text(page), str)
+    began = time.time()
+    for tags in ("<div>", "<b><p>", "<ul><li>", "<b>"):
+        assert html.main_text(tags * 20_000 + "deep") == "deep"
+    assert time.time() - began < 10
+
+
 def test_url_parts_and_rules(spark):
     cases = {
         "http://WWW.Example.COM/EN/x?q#f": ("www.example.com", "/EN/x"), "https://a.net/fr/1": ("a.net", "/fr/1"), "x": ("", ""), None: ("", ""), "a://b://c/d": ("b:", "//c/d"),
