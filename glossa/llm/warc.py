@@ -8,7 +8,6 @@ the conversion record holds the visible text of HTML and plain-text payloads.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
@@ -27,6 +26,7 @@ HEADER_ORDER = (
 )
 #: What identifiers of derivatives are derived from, so that a repeated run gives the same ones.
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+MOST_INFLATED = 256 << 20
 RECORD = "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, payload_digest string, source_status int, source_headers map<string,string>, source_block_digest string, source_payload_digest string, block string"
 
 
@@ -43,7 +43,7 @@ def parse_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     if not gap or not lines or not lines[0].startswith("HTTP/"):
         return None, {}, block
     words = lines[0].split()
-    status = int(words[1]) if len(words) > 1 and words[1].isdigit() and len(words[1]) < 6 else None
+    status = int(words[1]) if len(words) > 1 and re.fullmatch("[0-9]{1,5}", words[1]) else None
     headers: dict[str, str] = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
@@ -53,8 +53,11 @@ def parse_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     return status, headers, payload
 
 
-def decoded(payload: bytes, headers: dict[str, str]) -> str:
-    """The payload as text: transfer and content encodings undone, bytes by the charset named (else UTF-8)."""
+def decoded(payload: bytes, headers: dict[str, str], most: int = MOST_INFLATED) -> str | None:
+    """The payload as text: transfer and content encodings undone, bytes by the charset named (else UTF-8).
+
+    None if it inflates to more than `most` bytes.
+    """
     if "chunked" in headers.get("transfer-encoding", "").lower():
         out, at = [], 0
         while (end := payload.find(b"\r\n", at)) >= 0:
@@ -68,10 +71,13 @@ def decoded(payload: bytes, headers: dict[str, str]) -> str:
                 break
         payload = b"".join(out) if out else payload
     if (encoding := headers.get("content-encoding", "").lower()) in ("gzip", "x-gzip", "deflate"):
+        inflate = zlib.decompressobj(47 if "gzip" in encoding else 15)
         try:
-            payload = zlib.decompressobj(47 if "gzip" in encoding else 15).decompress(payload)
+            payload = inflate.decompress(payload, most + 1)
         except zlib.error:
             pass  # mislabelled: taken as it is
+        if len(payload) > most and inflate.unconsumed_tail:
+            return None
     charset = re.search(r"charset=[\"']?([\w.:-]+)", headers.get("content-type", ""), re.I)
     try:
         return payload.decode(charset[1] if charset else "utf-8", "replace")
@@ -87,10 +93,9 @@ def derivatives_of(record_id: str | None, uri: str | None, date: str | None, blo
     fields = [("source-status", "" if status is None else str(status)), ("source-block-digest", sources[2]), ("source-payload-digest", sources[3])]
     fields += [(f"source-header-{k}", v) for k, v in headers.items()]
     made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields))]
-    if kind in ("text/html", "application/xhtml+xml"):
-        made.append(("conversion", "text/plain; charset=utf-8", visible_text(decoded(payload, headers))))
-    elif kind == "text/plain":
-        made.append(("conversion", "text/plain; charset=utf-8", decoded(payload, headers)))
+    html = kind in ("text/html", "application/xhtml+xml")
+    if (html or kind == "text/plain") and (text := decoded(payload, headers)) is not None:
+        made.append(("conversion", "text/plain; charset=utf-8", visible_text(text) if html else text))
     for warc_type, content_type, text in made:
         own = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{warc_type} {record_id} {uri} {date} {sources[2]}')}>"
         data = text.encode("utf-8", "replace")
@@ -102,7 +107,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
     responses: record_id, target_uri, date, block (binary: the HTTP message). Columns of
     the result: those of RECORD. Null blocks count as empty: they have no status, no
-    headers and no conversion. Blocks that aren't HTTP are payload as a whole. Rows that
+    headers and no conversion. Blocks that aren't HTTP are payload as a whole. A payload
+    that inflates to more than MOST_INFLATED bytes has no conversion. Rows that
     repeat give the same records again, with the same identifiers; null identifiers,
     targets and dates stay null. Extra columns are ignored; no responses, no records.
     """
@@ -122,40 +128,61 @@ def derivatives(responses: DataFrame) -> DataFrame:
     ).mapInArrow(run, RECORD)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a WARC file, plain or gzip (whole or by record)."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        n = int(headers.get("Content-Length", "0"))
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+#: Between two records. What precedes it isn't read as text: Spark's text source keeps a line's bytes as they are.
+BETWEEN = "\r\n\r\nWARC/1."
+_READ = "warc_type string, record_id string, target_uri string, refers_to string, date string, headers map<string,string>, block binary"
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int | None]:
+    """Headers, block and the block's length as named (None if it isn't) of a record without its first "WARC/1."."""
+    head, _, block = data.partition(b"\r\n\r\n")
+    headers = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    length = headers.get("Content-Length", "")
+    return headers, block, int(length) if re.fullmatch("[0-9]{1,18}", length) else None
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, piece) to _READ: a record whose block is shorter than named goes on in the next pieces of its file."""
+    named = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Refers-To", "WARC-Date")
+    names = [f.split()[0] for f in _READ.replace("map<string,string>", "map").split(", ")]
+
+    def out(data: bytes) -> Iterator[pa.RecordBatch]:
+        headers, block, n = parse_record(data)
+        if headers:
+            values = [pa.array([headers.get(x)], pa.string()) for x in named]
+            values += [pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block if n is None else block[:n]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(values, names=names)
+
+    file, held, short = None, [], 0
+    for batch in batches:
+        for name, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = piece.as_py()
+            if held and name == file and short > 0:
+                short -= len(BETWEEN) + len(data)
+                held.append(data)
+                continue
+            if held:
+                yield from out(BETWEEN.encode().join(held))
+            data = data.removeprefix(b"WARC/1.") if name != file else data
+            _, block, n = parse_record(data)
+            file, held, short = name, [data], (n or 0) - len(block)
+    if held:
+        yield from out(BETWEEN.encode().join(held))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """warc_type, record_id, target_uri, refers_to, date, headers, block: one row per record of the WARC files.
 
-    A file is read by one task, whole: Spark's binary source takes files up to 2 GB.
+    Files may be of any size, as Spark's text source streams them with the border of two
+    records as its line end: plain files in parallel parts, gzip files (by record or
+    whole) by one task each. Records without or with a bad Content-Length end at the next
+    border. A file that breaks off, or whose gzip stream does, gives the records before,
+    and of the last what is there. A block that has a record's border in it is put together
+    again by its Content-Length, unless a plain file is parted in it.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Refers-To", "WARC-Date")
-        for batch in batches:
-            for data in batch.column(0):
-                for headers, block in parse_warc(data.as_py()):
-                    values = [pa.array([headers.get(n)], pa.string()) for n in named]
-                    values += [pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(values, names=["warc_type", "record_id", "target_uri", "refers_to", "date", "headers", "block"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(
-        run, "warc_type string, record_id string, target_uri string, refers_to string, date string, headers map<string,string>, block binary"
-    )
+    pieces = spark.read.option("lineSep", BETWEEN).option("ignoreCorruptFiles", "true").text(path)
+    bounded_batches(spark)
+    return pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInArrow(_records, _READ)
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:

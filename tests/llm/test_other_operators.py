@@ -145,6 +145,38 @@ def test_warc_derivatives(spark, tmp_path):
     assert warc.derivatives(table.limit(0)).count() == 0
 
 
+def test_warc_of_broken_responses():
+    record = lambda block: list(warc.derivatives_of("<r>", "u", None, block))
+    for head in (b"HTTP/1.1 \xc2\xb200 OK\r\n", b"HTTP/1.1\r\n", b"HTTP/1.1 99999999 OK\r\n", b"HTTP/1.1 \xd9\xa3\r\n"):
+        assert record(head + b"Content-Type: text/html\r\n\r\n<![foo]>x")[0][9] is None
+    assert [r[1] for r in record(http(b"<![ x", "text/html"))] == ["metadata", "conversion"]
+    bomb = gzip.compress(b"a" * 5_000_000)
+    assert warc.decoded(bomb, {"content-encoding": "gzip"}, most=1_000_000) is None and len(warc.decoded(bomb, {"content-encoding": "gzip"}, most=5_000_000)) == 5_000_000
+    assert warc.decoded(bomb[:1000], {"content-encoding": "gzip"}).startswith("aaa") and warc.decoded(b"no gzip", {"content-encoding": "gzip"}) == "no gzip"
+
+
+def warc_record(i, block, length=None):
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %s\r\n\r\n" % (i, str(len(block) if length is None else length).encode()) + block + b"\r\n\r\n"
+
+
+def test_read_warc_of_broken_files(spark, tmp_path):
+    blocks = [b"one\r\n\r\ntwo\n", b"", b"\xff\xfe\x00 \r\n\r\nWARC/1.0\r\nWARC-Type: inner\r\n\r\nx", b"caf\xe9" * 1000]
+    whole = b"".join(warc_record(i, x) for i, x in enumerate(blocks))
+    files = {
+        "plain.warc": whole, "whole.warc.gz": gzip.compress(whole), "each.warc.gz": b"".join(gzip.compress(warc_record(i, x)) for i, x in enumerate(blocks)),
+        "length.warc": warc_record(0, b"a", "abc") + warc_record(1, b"b", "\u00b2") + warc_record(2, b"c", -5), "empty.warc": b"", "other.warc": b"no warc",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    read = lambda name: {r.record_id: bytes(r.block) for r in warc.read_warc(spark, str(tmp_path / name)).collect()}
+    want = {f"<{i}>": x for i, x in enumerate(blocks)}
+    assert read("plain.warc") == read("whole.warc.gz") == read("each.warc.gz") == want
+    assert {k: v.strip() for k, v in read("length.warc").items()} == {"<0>": b"a", "<1>": b"b", "<2>": b"c"} and read("empty.warc") == {} == read("other.warc")
+    (tmp_path / "cut.warc.gz").write_bytes(files["each.warc.gz"][:-20])
+    assert {k: v for k, v in want.items() if k != "<3>"}.items() <= read("cut.warc.gz").items()
+    assert len(warc.read_warc(spark, str(tmp_path / "*.gz")).collect()) >= 11
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(None, 1), (5, 5)]
