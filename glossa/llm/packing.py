@@ -89,18 +89,18 @@ class Pool:
 
 
 def _powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
-    """The last, unfilled sequence as sequences whose lengths are powers of two, so that none is padded."""
+    """An unfilled sequence as sequences whose lengths are powers of two, so that none is padded."""
     left = sum(p[2] for p in pieces)
-    queue = list(pieces)
+    queue = list(reversed(pieces))
     while left:
         size = 1 << (left.bit_length() - 1)
         left -= size
         out = []
         while size:
-            row, start, length = queue.pop(0)
+            row, start, length = queue.pop()
             cut = min(size, length)
             if cut < length:
-                queue.insert(0, (row, start + cut, length - cut))
+                queue.append((row, start + cut, length - cut))
             out.append((row, start, cut))
             size -= cut
         yield out
@@ -143,6 +143,14 @@ def _packer(limits: Limits, end_id: int, vocabulary: str, with_loss: bool):
             held = 0
             return pa.RecordBatch.from_arrays([*arrays, ids], schema=schema)
 
+        def fill() -> None:
+            pieces = pool.fill()
+            if sum(p[2] for p in pieces) < limits.tokens:  # closed by another limit, or the last
+                for part in _powers(pieces):
+                    put(part)
+            else:
+                put(pieces)
+
         for batch in batches:
             losses = batch.column(2).to_pylist() if with_loss else None
             for k, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
@@ -161,16 +169,11 @@ def _packer(limits: Limits, end_id: int, vocabulary: str, with_loss: bool):
                     pool.add(row, start, n - start, min(loss, n - start))
                 row += 1
                 while pool.n >= 2 * POOL:
-                    put(pool.fill())
+                    fill()
                 if held >= 500_000:
                     yield flush()
         while pool.n:
-            pieces = pool.fill()
-            if sum(p[2] for p in pieces) < limits.tokens:
-                for part in _powers(pieces):
-                    put(part)
-            else:
-                put(pieces)
+            fill()
             if held >= 500_000:
                 yield flush()
         yield flush()
@@ -193,8 +196,8 @@ def pack(
     Each id lies in exactly one piece. loss_col names the count of a document's last
     tokens that bear loss; null, or no such column: all of them. Rows that repeat an id
     are packed each on its own; a null id stays null. Extra columns are ignored, and an
-    empty table gives no pieces. Every sequence is full but those that end a partition,
-    whose lengths are powers of two, or which a limit other than tokens has closed.
+    empty table gives no pieces. A sequence that isn't full, as it ends a partition or a
+    limit other than tokens has closed it, is cut into such whose lengths are powers of two.
     """
     bounded_batches(docs.sparkSession)
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]

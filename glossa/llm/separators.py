@@ -26,10 +26,10 @@ BLOCKS = "file string, block long, ids binary"
 
 
 def token_blocks(docs: DataFrame, text_col: str = "text", end_id: int = END_OF_TEXT, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """file, block, ids: the documents of each partition as one flat file of 32-bit ids, each ended by end_id."""
+    """file, block, ids: the documents of each partition as one flat file of 32-bit ids, each ended by end_id, which no text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, parts, held, block = Encoder(vocabulary), [], 0, 0
+        encoder, parts, held, block = Encoder(vocabulary, special=False), [], 0, 0
         file = f"part-{TaskContext.get().partitionId():08d}"
 
         def cut(all_of_it: bool) -> Iterator[pa.RecordBatch]:

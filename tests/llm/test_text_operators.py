@@ -128,13 +128,21 @@ def test_decontaminate_spans_and_documents(spark):
     assert decontam.contamination(docs, empty).where("n_hit > 0").count() == 0 and decontam.contamination(docs.limit(0), bench).count() == 0
 
 
+def exact_ids(texts):
+    """Ids as the contract calls for them: the tokenizers file, no special tokens added, then 1."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [(*f.ids, 1) for f in found]
+
+
 def test_packing_is_exact(spark):
     rng = random.Random(5)
-    docs = [(i, prose(rng, rng.choice([0, 1, 30, 300, 3000]))) for i in range(60)] + [(60, None), (60, "again"), (None, "no id"), (61, "<|endoftext|>")]
+    docs = [(i, prose(rng, rng.choice([0, 1, 30, 300, 3000]))) for i in range(60)] + [(60, None), (60, "again"), (None, "no id"), (61, "a <|endoftext|> b"), (62, "<|endoftext|>"), (63, "<|endoftext|><|endoftext|")]
+    docs += [(i, "two words") for i in range(100, 4000)]  # very many short ones: the limit on segments closes sequences
     got = packing.pack(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, start int").coalesce(2)).collect()
-    encoder, want = Encoder(), Counter()
-    for i, t in docs:
-        want[i, tuple(np.append(encoder.encode(t), 1).tolist())] += 1
+    want = Counter(zip((i for i, _ in docs), exact_ids([t for _, t in docs])))
     by_sequence = {}
     for r in got:
         assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
@@ -143,13 +151,14 @@ def test_packing_is_exact(spark):
         pieces.sort(key=lambda r: r.offset)
         assert [p.offset for p in pieces] == np.cumsum([0] + [p.length for p in pieces])[:-1].tolist()
         size = sum(p.length for p in pieces)
-        assert size <= 2048 and (size == 2048 or size & (size - 1) == 0)
+        assert size <= 2048 and size & (size - 1) == 0  # nothing is padded
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, []).append(r)
     whole = Counter()
-    for i in {i for i, _ in docs} - {60}:
-        pieces = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
-        whole[i, tuple(x for p in pieces for x in p.ids)] += 1
-    for p in (r for r in got if r.doc_id == 60):
-        whole[60, tuple(p.ids)] += 1
+    for i, pieces in of.items():
+        for p in [[p] for p in pieces] if i == 60 else [sorted(pieces, key=lambda r: r.start)]:
+            whole[i, tuple(x for q in p for x in q.ids)] += 1
     assert whole == want
 
 
@@ -172,10 +181,12 @@ def test_tokens_equal_the_tokenizers_file():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    exact, encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Encoder()
-    exact.encode_special_tokens = True
-    for text in ("don't  stop", "  x", " \n\n a", "a\n\n\nb  ", "àéÿ×÷ˆ", "１２3٣", "a\u00a0b", "<|endoftext|> x", "日本語 🙂", "I'm we'Re 12a34", "x\r\ny", "\n \n"):
-        assert exact.encode(text, add_special_tokens=False).ids == encoder.encode(text).tolist()
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for special in (True, False):
+        exact.encode_special_tokens = not special
+        encoder = Encoder(special=special)
+        for text in ("don't  stop", "  x", " \n\n a", "a\n\n\nb  ", "àéÿ×÷ˆ", "１２3٣", "a\u00a0b", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "日本語 🙂", "I'm we'Re 12a34", "x\r\ny", "\n \n"):
+            assert exact.encode(text, add_special_tokens=False).ids == encoder.encode(text).tolist()
 
 
 def fuzzy_lines_expected(docs):
@@ -244,8 +255,9 @@ def test_separator_scan(spark):
 
 def test_separator_scan_of_documents_and_files(spark, tmp_path):
     docs = corpus()
+    encoder = Encoder(special=False)
+    docs.append((99, "ends <|endoftext|> not here"))
     table = spark.createDataFrame(docs, "doc_id long, text string")
-    encoder = Encoder()
     want = sorted(len(encoder.encode(t)) for _, t in docs)
     blocks = separators.token_blocks(table, block_tokens=64)
     assert sorted(r.n_tokens for r in separators.document_counts(blocks).collect()) == want
