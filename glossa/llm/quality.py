@@ -348,15 +348,35 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Classifie
     """None, with a warning, if no document at hand has a label; an error if their labels are of one kind only.
 
     A label is good if quality is 1 and toxic is 0, a null in either counting as such;
-    of labels that repeat an id the worst counts.
+    of labels that repeat an id the worst counts. Rows with a null id have no label.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = featured(docs.where("doc_id is not null"), labels, scratch)
+    rows = featured(docs, labels, scratch)
     found = _trained(rows, rounds)
     scratch.drop(rows)
     return found
 
 
+def _scored(rows: DataFrame, model: Classifier) -> DataFrame:
+    """doc_id, score of the rows of featured()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                text, meta = Rows(batch).logits((model.text, model.meta))
+                found = _sigmoid(model.mix[0] * text + model.mix[1] * meta + model.mix[2])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
+
+    return rows.withColumn("fold", F.lit(0)).mapInArrow(run, "doc_id long, score double")
+
+
+def trained_and_scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """score() of docs by train() on them; their features are found once."""
+    rows = featured(docs, labels, Scratch(docs.sparkSession))
+    model = _trained(rows, rounds)
+    return score(docs, None) if model is None else _scored(rows, model)
+
+
 def score(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id") -> DataFrame:
     """doc_id, score: one row per input row; score is the probability of a good document.
 
@@ -394,4 +414,4 @@ def keep_good(docs: DataFrame, model: Classifier | None, least: float = REJECT_B
 
 def op6_co_training(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return score(docs, train(docs, labels)).withColumn("kept", F.col("score") >= REJECT_BELOW)
+    return trained_and_scored(docs, labels).withColumn("kept", F.col("score") >= REJECT_BELOW)

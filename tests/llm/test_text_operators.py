@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossa.llm import decontam, lines, minhash, packing, quality, separators
 from glossa.llm.tokens import Encoder
@@ -268,18 +269,36 @@ def test_separator_scan_of_documents_and_files(spark, tmp_path):
 
 
 def test_quality_classifier(spark, sf_dir):
+    """Held-out documents: the combined views beat either alone, and exchanging labels doesn't hurt."""
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     train, held = labels.where("doc_id % 4 > 0"), labels.where("doc_id % 4 = 0")
-    model = quality.train(docs, train, rounds=1)
-    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     good = {r.doc_id: r.quality == 1 and r.toxic == 0 for r in held.collect()}
-    right = sum((got[i] >= 0.5) == g for i, g in good.items() if i in got)
-    assert right / len(good) > 0.85
+    model = quality.train(docs, train)
+
+    def right(mix):
+        got = {r.doc_id: r.score for r in quality.score(docs, quality.Classifier(model.text, model.meta, mix)).collect()}
+        return sum((got[i] >= 0.5) == g for i, g in good.items() if i in got) / len(good)
+
+    both = right(model.mix)
+    assert both > 0.85 and both >= right((1.0, 0.0, 0.0)) - 0.03 and both > right((0.0, 1.0, 0.0)) - 0.01
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
     assert quality.score(odd, model).count() == 3
     assert quality.train(docs, labels.limit(0)) is None and quality.keep_good(docs, None).count() == docs.count()
 
 
+def test_scores_equal_a_plain_recomputation(spark, sf_dir):
+    """Rows of the query equal scores found one by one from the model's weights."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.limit(2)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")))
+    docs = docs.withColumns({"good": F.lit(7), "words": F.lit("x")})
+    model = quality.train(docs, labels, rounds=2)
+    got = Counter((r.doc_id, round(r.score, 5)) for r in quality.trained_and_scored(docs, labels, rounds=2).collect())
+    want, places = Counter(), (quality.Places(quality.TEXT_PLACES), quality.Places(quality.META_PLACES))
+    for r in docs.collect():
+        want[r.doc_id, round(model.score(r.text, r.lang, r.source, r.n_chars, *places), 5)] += 1
+    assert sum((got & want).values()) >= 0.99 * sum(want.values()) and sum(got.values()) == sum(want.values())
+
+
 def test_quality_hears_all_unlabelled_documents(spark):
     rows, labels = [], []
     for i in range(400):  # labelled: the words decide, and source s says the same
