@@ -5,7 +5,7 @@
    of BANDS * ROWS places, filled by rounds of hashing (each place is a min-hash of the
    line's shingles); nodes that agree in all ROWS of a band are candidates.
 2. A bucket compares its members with its hubs only. Buckets that then hold more than one
-   component compare members of different components: all of them up to SMALL members,
+   component compare members of different components: by sketches up to SMALL members,
    in larger buckets those that share a rare shingle (prefix filter).
 3. Candidates whose sketches differ too much are pruned, as in near-duplicate search, and
    the rest verified by the exact Jaccard similarity of their shingle sets.
@@ -24,17 +24,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.buckets import members
-from glossa.llm.minhash import pairs_across, passing
-from glossa.llm.shared import Scratch, components, merged_components
-from glossa.llm.words import mix
+from glossa.llm.minhash import apart, nearest, pairs_across, passing, within_buckets
+from glossa.llm.shared import Scratch, components, few, merged_components
+from glossa.llm.words import MULTIPLIER, mix
 
 WIDTH = 9
 BANDS, ROWS = 16, 4
 THRESHOLD = Fraction(4, 5)
 BATCH = 16
-SMALL = 16
+SMALL = 512
 SEEN_LINES = 300_000
 CHUNK_CHARS = 60_000
+BASE = 0x9E3779B1
+MIX = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+_EMPTY = np.uint32(0xFFFFFFFF)
+
+
+def plain(line: str) -> str:
+    """Lower case, white space runs as one space, trimmed."""
+    return " ".join(line.lower().split())
+
+
+def windows(code: np.ndarray, width: int) -> np.ndarray:
+    """The polynomial hash of every `width` codes in a row, from those of half as many."""
+    if width == 1:
+        return code.copy()
+    half = windows(code, width // 2)
+    n, step = len(code) - 2 * (width // 2) + 1, width // 2
+    total = half[:n] * np.uint32(pow(BASE, step, 1 << 32))
+    total += half[step : step + n]
+    if width % 2:
+        total = total[: len(code) - width + 1]
+        total *= np.uint32(BASE)
+        total += code[width - 1 :]
+    return total
+
+
+def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all character shingles of all lines, one line after the other, and each line's count.
+
+    A line shorter than `width` is one shingle.
+    """
+    lines = [x if len(x) >= width else x + "\0" * (width - len(x)) for x in lines]
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    total = windows(code, width)
+    total ^= total >> np.uint32(16)
+    for factor, shift in zip(MIX, (13, 16)):
+        total *= factor
+        total ^= total >> np.uint32(shift)
+    inside = np.ones(len(code), bool)  # windows that don't reach into the next line
+    ends = np.cumsum(size)
+    for k in range(1, width):
+        inside[ends - k] = False
+    return total[inside[: len(total)]], size - width + 1
+
+
+def sketches(hashes: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
+    """For each line `places` min-hashes. Round i spreads the shingles over all places and
+    fills those still empty; after `places` rounds, a round for each place fills the rest."""
+    found = np.full((len(n), places), _EMPTY, np.uint32)
+    lines, counts = np.arange(len(n)), n
+    for i in range(2 * places):
+        value = hashes * np.uint32((2 * i * 0x632BE5AB + 0xD192ED03) & 0xFFFFFFFF)
+        value ^= value >> np.uint32(15)
+        value *= MIX[1]
+        # A place takes a range of values, in which the least is as random as the rest.
+        at = np.repeat(np.arange(len(lines)) * places, counts)
+        at += (value >> np.uint32(16)) * np.uint32(places) >> np.uint32(16) if i < places else i - places
+        least = np.full(len(lines) * places, _EMPTY, np.uint32)
+        np.minimum.at(least, at, value)
+        now = found[lines]
+        now = np.where(now == _EMPTY, least.reshape(-1, places), now)
+        found[lines] = now
+        open_ = (now == _EMPTY).any(axis=1)
+        if not open_.any():
+            break
+        if not open_.all():
+            hashes = hashes[np.repeat(open_, counts)]
+            lines, counts = lines[open_], counts[open_]
+    return found
+
+
+_LINES = 300_000
+CHUNK_CHARS = 60_000
 BASE = 0x9E3779B97F4A7C15
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -116,7 +189,7 @@ def _sketched(width: int, bands: int, rows: int):
                 found = sketches(*shingles([texts[k] for k in fresh], width), bands * rows)
                 mixed = np.zeros((len(fresh), bands), np.uint64)
                 for r in range(rows):
-                    mixed = mix(mixed * np.uint64(BASE) + found.reshape(-1, bands, rows)[:, :, r])
+                    mixed = mix(mixed * MULTIPLIER + found.reshape(-1, bands, rows)[:, :, r])
                 keys, low = mix(mixed + np.arange(bands, dtype=np.uint64)), found.astype(np.uint8)
                 for k, x, y in zip(fresh, low, keys):
                     sketch[k], banded[k] = x.tobytes(), y.tobytes()
@@ -187,7 +260,8 @@ def _alike(threshold: Fraction, width: int):
 def _line_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingles([x.as_py()], width)[0]).view(np.int64) for x in batch.column(2)]
+            texts = batch.column(2).to_pylist()
+            sets = [np.unique([xxhash.xxh3_64_intdigest(x[i : i + width].encode("utf-8", "surrogatepass")) for i in range(max(1, len(x) - width + 1))]).astype(np.uint64).view(np.int64) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "comp", "shingles"])
 
     return run
@@ -215,7 +289,7 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
     found_in = members(whole.where("bands is not null").select("node", "bands"), BANDS, scratch)
     # Of all nodes that have to be compared, once each.
     met = scratch.save(found_in.select("node").distinct())
-    kept = whole.where("text is not null").select("node", "text", "sketch").join(met, "node", "left_semi")
+    kept = whole.where("text is not null").select("node", "text", "sketch").join(few(met), "node", "left_semi")
     texts = scratch.save(kept.groupBy("node").agg(F.min("text").alias("text"), F.min("sketch").alias("sketch")))
     scratch.drop(whole, met)
 
@@ -227,20 +301,21 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
             likely = scratch.save(both.mapInArrow(passes, "a long, b long"))
         return likely
 
-    stars = scratch.save(found_in.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    joined = components(verified(stars), scratch)
+    stars = scratch.save(found_in.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys")))
+    best = scratch.save(nearest(stars))
+    joined = components(verified(best), scratch)
+    rest = scratch.save(apart(stars, joined).join(best, ["a", "b"], "left_anti"))
+    joined = merged_components(joined, verified(rest), scratch)
 
     placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
-    few = left_over.where(F.col("size") <= SMALL).select("key", "node", "comp")
-    other = few.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-    across = few.join(other, "key").where("node < node2 and comp <> comp2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    across = within_buckets(left_over.where(F.col("size") <= SMALL), texts.select("node", "sketch"), float(threshold), BANDS * ROWS, BATCH)
     many = left_over.where(F.col("size") > SMALL).select("node", "comp").distinct()
     sets = texts.join(many, "node").select(F.col("node").alias("id"), "comp", "text").mapInArrow(_line_sets(width), "id long, comp long, shingles array<long>")
     across = across.unionByName(pairs_across(sets, threshold, scratch, unique=True)).distinct()
-    more = verified(across.join(stars, ["a", "b"], "left_anti"))
+    more = verified(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         joined = merged_components(joined, more, scratch)
 

@@ -7,9 +7,9 @@
    probability (1 - 0.75**ROWS)**BANDS, about 5e-6.
 3. Each bucket first compares its members with its hubs only (stars), never all pairs.
    Buckets whose members are then in one component are done. In the others, members of
-   different components are compared: all of them in buckets of up to SMALL, else those
-   that share one of their rarest shingles early enough for the similarity (prefix and
-   position filters, both exact).
+   different components are compared: by signatures inside buckets of up to SMALL, else
+   those that share one of their rarest shingles early enough for the similarity (prefix
+   and position filters, both exact).
 4. A candidate pair is compared batch by batch of its signatures and dropped as soon
    as the posterior probability of a similarity at the threshold falls under MISS.
 5. Survivors are verified exactly on their full shingle sets.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.buckets import members
-from glossa.llm.shared import Scratch, components, merged_components
+from glossa.llm.shared import Scratch, components, few, merged_components
 from glossa.llm.words import MULTIPLIER, WordHashes, mix, shingle_set
 
 WIDTH = 5
@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-9
 SEED = 20240501
-SMALL = 16
+SMALL = 512
 SEEN_SETS = 300_000
 SIZE_STEP = 1.05
 
@@ -132,6 +132,57 @@ def passing(threshold: float, n_hashes: int, batch_size: int = BATCH):
     return run
 
 
+def _compared(threshold: float, n_hashes: int, batch_size: int):
+    """Rows (key, node, comp, sig) of one bucket after the other to its pairs (a, b) that passing() would leave, of different components."""
+    bounds = least_matches(threshold, n_hashes, batch_size, MISS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(nodes, comps, sigs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            order = np.argsort(nodes)
+            nodes, comps, x = nodes[order], comps[order], np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, n_hashes)[order]
+            a, b = np.nonzero(np.triu(comps[:, None] != comps[None, :]))
+            for lo in range(0, len(a), 1 << 16):
+                i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
+                agreed, done = np.zeros(len(i), np.int64), 0
+                for n, least in bounds:
+                    agreed += (x[i, done:n] == x[j, done:n]).sum(axis=1)
+                    left = agreed >= least
+                    i, j, agreed, done = i[left], j[left], agreed[left], n
+                yield nodes[i], nodes[j]
+
+        def out(found) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+        key, held, sigs, found = None, [], [], []
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            for k, node, comp, sig in zip(*(c.tolist() for c in columns), batch.column(3).to_pylist()):
+                if k != key and held:
+                    found += pairs(*np.array(held, np.int64).T, sigs)
+                    held, sigs = [], []
+                    if sum(len(x) for x, _ in found) > 100_000:
+                        yield out(found)
+                        found = []
+                key = k
+                held.append((node, comp)), sigs.append(sig)
+        if held:
+            found += pairs(*np.array(held, np.int64).T, sigs)
+        if found:
+            yield out(found)
+
+    return run
+
+
+def within_buckets(members: DataFrame, sigs: DataFrame, threshold: float, n_hashes: int, batch_size: int) -> DataFrame:
+    """Pairs a < b of bucket members (key, node, comp), distinct in a bucket, that signatures (node, sig) don't rule out.
+
+    A bucket is compared whole in one task, so its size must be bounded.
+    """
+    node, sig = sigs.columns
+    rows = members.select("key", "node", "comp").join(sigs.select(F.col(node).alias("node"), F.col(sig).alias("sig")), "node").select("key", "node", "comp", "sig")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(threshold, n_hashes, batch_size), "a long, b long").distinct()
+
+
 def _sets(width: int):
     """(text) to (node, shingles)."""
 
@@ -165,17 +216,25 @@ def near_duplicates(
     sketched = scratch.save(texts.mapInArrow(_sketches(width, BANDS, ROWS), "id long, n_shingles long, node long, sig binary, bands binary"))
     rows = scratch.save(sketched.select("id", "n_shingles", "node"))
     named = rows.where("node is not null and id is not null")
+    reps = scratch.save(named.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     found_in = members(sketched.where("bands is not null and id is not null").select("node", "bands"), BANDS, scratch)
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """node, shingles: once for each of some distinct nodes."""
-        first = named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
-        sets = texts.join(first, "id", "left_semi").select("text").mapInArrow(_sets(width), "node long, shingles array<long>")
-        return scratch.save(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+        nodes = scratch.save(nodes)
+        first = scratch.save(reps.join(few(nodes), "node", "left_semi").select(F.col("least").alias("id")).distinct())
+        sets = texts.join(few(first), "id", "left_semi").select("text").mapInArrow(_sets(width), "node long, shingles array<long>")
+        sets = scratch.save(sets.join(few(nodes), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+        scratch.drop(nodes, first)
+        return sets
+
+    def sigs_of(nodes: DataFrame) -> DataFrame:
+        """node, sig: once for each of some distinct nodes."""
+        return sketched.where("sig is not null").select("node", "sig").join(few(scratch.save(nodes)), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold: pruned by signatures first."""
-        sigs = sketched.where("sig is not null").select("node", "sig").join(_ends(pairs), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
+        sigs = sigs_of(_ends(pairs))
         both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
         likely = scratch.save(both.select("a", "b", "sig_a", "sig_b").mapInArrow(passing(float(threshold), BANDS * ROWS), "a long, b long"))
         sets = sets_of(_ends(likely))
@@ -186,30 +245,31 @@ def near_duplicates(
         scratch.drop(likely, sets)
         return kept
 
-    stars = scratch.save(found_in.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    # A node is compared with the hub that it shares most keys with, then with those it isn't joined with yet.
+    stars = scratch.save(found_in.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys")))
+    best = scratch.save(nearest(stars))
     # Nodes that share an id are one document.
     several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
     by_id = named.join(several, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    joined = components(verified(stars).unionByName(by_id), scratch)
+    joined = components(verified(best).unionByName(by_id), scratch)
+    rest = scratch.save(apart(stars, joined).join(best, ["a", "b"], "left_anti"))
+    joined = merged_components(joined, verified(rest), scratch)
 
     # What is left: documents in buckets with members of more than one component.
     placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
-    few = left_over.where(F.col("size") <= SMALL)
-    other = few.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"))
-    across = few.join(other, "key").where("node < node2 and comp <> comp2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    across = within_buckets(left_over.where(F.col("size") <= SMALL), sigs_of(left_over.select("node").distinct()), float(threshold), BANDS * ROWS, BATCH)
     many = scratch.save(left_over.where(F.col("size") > SMALL).select("node", "comp").distinct())
     sets = sets_of(many.select("node")).join(many, "node").select(F.col("node").alias("id"), "comp", "shingles")
     across = across.unionByName(pairs_across(sets, threshold, scratch)).distinct()
     # A pair goes from its smaller node, as a star's does.
-    more = verified(across.join(stars, ["a", "b"], "left_anti"))
+    more = verified(scratch.save(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")))
     whole = joined if more.isEmpty() else merged_components(joined, more, scratch)
 
     # The smallest id of each component; a node without links is a component of its own.
-    ids = named.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    ids = scratch.save(ids.join(whole.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").where("n > 1 or component is not null").select("node", "least", F.coalesce("component", "node").alias("comp")))
+    ids = scratch.save(reps.join(whole.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").where("n > 1 or component is not null").select("node", "least", F.coalesce("component", "node").alias("comp")))
     least = ids.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_node = ids.join(scratch.save(least), "comp").select("node", "component_id")
     linked = F.col("id").isNotNull()
@@ -220,6 +280,19 @@ def near_duplicates(
     )
 
 
+def nearest(stars: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, keys) the one of each b with most keys in common."""
+    return stars.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+
+
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) that joined (node, component) doesn't have in one component."""
+    for s in "ab":
+        own = joined.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+        pairs = pairs.join(own, s, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 

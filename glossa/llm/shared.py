@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BROADCAST_KEYS = 400_000
 _own_dirs: dict[str, str] = {}
 
 
@@ -66,6 +67,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(keys: DataFrame) -> DataFrame:
+    """A saved table of one long a row, broadcast in its next join if it is a few megabytes at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
