@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space characters.
-SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# The white space characters, and the punctuation that meanings are compared without.
+SPACE = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+PUNCTUATION = ".,;:!?()[]{}\"'"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -22,7 +23,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def js_trim(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
+
+
+def _folded(c: Column, dropped: str) -> Column:
+    """In lower case, ё as е, without the dropped characters, white space runs as one space, trimmed; null is empty. One pass but for the runs."""
+    one = F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё" + SPACE + dropped, "е" + " " * len(SPACE))
+    return F.trim(F.regexp_replace(one, " {2,}", " "))
 
 
 def normalize_graphic(c: Column) -> Column:
@@ -32,15 +39,12 @@ def normalize_graphic(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Trimmed, in lower case, ё as е, white space runs as one space; null is empty."""
-    folded = F.translate(F.lower(js_trim(F.coalesce(c, F.lit("")))), "ё", "е")
-    return F.regexp_replace(folded, f"{SPACE}+", " ")
+    return _folded(c, "")
 
 
 def normalize_semantic(c: Column) -> Column:
     """In lower case, ё as е, without . , ; : ! ? ( ) [ ] { } " ', white space runs as one space, trimmed; null is empty."""
-    folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е")
-    bare = F.regexp_replace(folded, "[.,;:!?()\\[\\]{}\"']", "")
-    return js_trim(F.regexp_replace(bare, f"{SPACE}+", " "))
+    return _folded(c, PUNCTUATION)
 
 
 def semantic_tokens(c: Column) -> Column:

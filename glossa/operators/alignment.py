@@ -3,12 +3,15 @@
 Words are normalised and cut once per distinct word, features are found once per
 distinct segment, similarities once per pair of distinct segments. The score of a pair
 is then native: its table's rows are folded with aggregate(), and a cell looks its
-similarities up by number in one constant array.
+similarities up by number in one constant array. Where there are too many distinct
+segments for that, each pair gets the similarities of its own segments from their
+features. A row of the table is copied for each of its cells, which suits words and not
+whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +20,8 @@ from pyspark.sql import functions as F
 from glossa.sources.phonology import FEATURES, Phonology, normalize_ipa
 
 TOTAL_WEIGHT = sum(weight for weight, _ in FEATURES.values())
-MAX_SEGMENTS = 1000
+#: Distinct segments up to which their similarities are one constant of the plan (an alphabet with marks is a few hundred).
+MAX_SEGMENTS = 500
 GAP = "-"
 
 
@@ -68,33 +72,22 @@ def segment_pairs(features: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.token").alias("a"), F.col("b.token").alias("b"), distance.alias("distance"), similarity.alias("similarity"))
 
 
-def similarity_table(tokens: DataFrame, phonology: Phonology) -> tuple[list[str], list[float]]:
-    """The distinct tokens in order and their similarities, row by row. At most MAX_SEGMENTS tokens: an
-    alphabet of segments with marks is a few hundred, so more means that the words aren't transcriptions."""
-    features = token_features(tokens, phonology)
-    n = features.limit(MAX_SEGMENTS + 1).count()
-    if n > MAX_SEGMENTS:
-        raise ValueError(f"more than {MAX_SEGMENTS} distinct segments")
+def similarity_table(features: DataFrame) -> tuple[list[str], list[float]]:
+    """The distinct tokens of token_features() in order and their similarities, row by row: for MAX_SEGMENTS of them at most."""
     pairs = segment_pairs(features).orderBy("a", "b").collect()
     return sorted({p.a for p in pairs}), [p.similarity for p in pairs]
 
 
-def _score(a: Column, b: Column, sims: Column, size: int, phonology: Phonology) -> Column:
-    """Greatest alignment score of two arrays of token numbers."""
-    n, m = F.size(a), F.size(b)
+def _score(n: Column, m: Column, sim: Callable[[Column, Column], Column], phonology: Phonology) -> Column:
+    """Greatest alignment score of n and m segments; sim(i, j) is the similarity of the i-th and the j-th, from 0."""
     gap, expansion = float(phonology.gap_penalty), float(phonology.expansion_penalty)
 
-    def sim(x: Column, y: Column) -> Column:
-        return F.get(sims, x * size + y)
-
     def row(acc: Column, i: Column) -> Column:
-        here, before = F.get(a, i - 1), F.get(a, i - 2)
-
         def cell(left: Column, j: Column) -> Column:
-            there, prior = F.get(b, j - 1), F.get(b, j - 2)
-            match = F.get(acc["above"], j - 1) + 2 * sim(here, there) - 1
-            one_two = F.get(acc["above"], j - 2) + (sim(here, prior) + sim(here, there)) - 1 + expansion
-            two_one = F.get(acc["top"], j - 1) + (sim(there, before) + sim(there, here)) - 1 + expansion
+            here = sim(i - 1, j - 1)
+            match = F.get(acc["above"], j - 1) + 2 * here - 1
+            one_two = F.get(acc["above"], j - 2) + (sim(i - 1, j - 2) + here) - 1 + expansion
+            two_one = F.get(acc["top"], j - 1) + (sim(i - 2, j - 1) + here) - 1 + expansion
             best = F.greatest(match, F.get(acc["above"], j) + gap, F.get(left, j - 1) + gap, one_two, two_one)  # nulls, out of the table, don't count
             return F.concat(left, F.array(best))
 
@@ -108,7 +101,33 @@ def _score(a: Column, b: Column, sims: Column, size: int, phonology: Phonology)
     return F.when(n == 0, m * F.lit(gap)).otherwise(F.element_at(whole, -1))
 
 
-def aligned_scores(pairs: DataFrame, phonology: Phonology = Phonology()) -> DataFrame:
+def _numbered(tokens: DataFrame, features: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+    """tokens with numbers, each segment's place in the alphabet, and the similarity of two numbers."""
+    names, sims = similarity_table(features)
+    table = F.split(F.lit(",".join(map(repr, sims))), ",").cast("array<double>") if sims else F.array().cast("array<double>")
+    alphabet = F.split(F.lit("\x01".join(names)), "\x01")
+    numbers = F.transform("tokens", lambda t: (F.array_position(alphabet, t) - 1).cast("int"))
+    return tokens.withColumn("numbers", numbers), lambda x, y: F.get(table, x * len(names) + y)
+
+
+def _featured(tokens: DataFrame, features: DataFrame) -> DataFrame:
+    """tokens with numbers, each segment's text and features: what pairs compare without a common table."""
+    named = features.select("token", F.struct("token", *[F.col(f"`{f}`") for f in FEATURES]).alias("f"))
+    each = tokens.select("word", F.posexplode("tokens").alias("at", "token")).join(named, "token")
+    own = each.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("own")).select(F.col("word").alias("w"), F.transform("own", lambda x: x["f"]).alias("numbers"))
+    return tokens.join(own, F.col("word").eqNullSafe(F.col("w")), "left").drop("w")
+
+
+def _similarity_of(x: Column, y: Column) -> Column:
+    """The similarity of two segments as _featured() has them."""
+    total = F.lit(0.0)
+    for name, (weight, span) in FEATURES.items():
+        total = total + F.least(F.lit(1.0), F.abs(x[name] - y[name]) / float(span)) * float(weight)
+    known = x["place"].isNotNull() & ~F.isnan(x["place"]) & y["place"].isNotNull() & ~F.isnan(y["place"])
+    return F.when(x["token"] == y["token"], 1.0).when(known, 1 - total / float(TOTAL_WEIGHT)).otherwise(0.0)
+
+
+def aligned_scores(pairs: DataFrame, phonology: Phonology = Phonology(), max_segments: int = MAX_SEGMENTS) -> DataFrame:
     """The columns of pairs (with a, b), tokens_a, tokens_b, raw, similarity, distance.
 
     raw is the greatest sum of scores over matches, gaps and one-to-two moves; similarity
@@ -116,20 +135,21 @@ def aligned_scores(pairs: DataFrame, phonology: Phonology = Phonology()) -> Data
     """
     words = pairs.select(F.col("a").alias("word")).unionByName(pairs.select(F.col("b").alias("word")))
     tokens = tokenized(words, phonology)
-    names, sims = similarity_table(tokens.select(F.explode("tokens").alias("token")), phonology)
-    table = F.split(F.lit(",".join(map(repr, sims))), ",").cast("array<double>") if sims else F.array().cast("array<double>")
-    alphabet = F.split(F.lit("\x01".join(names)), "\x01")
-    # Numbered once per word, so that a pair's cells only compare numbers.
-    numbers = F.transform("tokens", lambda t: (F.array_position(alphabet, t) - 1).cast("int"))
-    numbered = tokens.select("word", "tokens", numbers.alias("numbers"))
+    features = token_features(tokens.select(F.explode("tokens").alias("token")), phonology)
+    small = features.limit(max_segments + 1).count() <= max_segments
+    numbered, sim = _numbered(tokens, features) if small else (_featured(tokens, features), None)
     x, y = (numbered.select(F.col("word").alias(f"_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("numbers").alias(f"_n{s}")) for s in "ab")
     both = pairs.join(x, F.col("a").eqNullSafe(F.col("_a"))).join(y, F.col("b").eqNullSafe(F.col("_b")))
-    scored = both.withColumn("raw", _score(F.col("_na"), F.col("_nb"), table, len(names), phonology))
     n, m = F.size("tokens_a"), F.size("tokens_b")
+    if sim is not None:
+        raw = _score(n, m, lambda i, j: sim(F.get("_na", i), F.get("_nb", j)), phonology)
+    else:  # the pair's own table first, so that no two segments are compared twice
+        both = both.withColumn("_sims", F.flatten(F.transform("_na", lambda p: F.transform("_nb", lambda q: _similarity_of(p, q)))))
+        raw = _score(n, m, lambda i, j: F.when((i >= 0) & (j >= 0), F.get("_sims", i * m + j)), phonology)
     longest = F.greatest(n, m)
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("raw") + longest) / (2 * F.greatest(longest, F.lit(1)))))
     similarity = F.when(longest == 0, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(inside)
-    return scored.withColumn("similarity", similarity).withColumn("distance", 1 - F.col("similarity")).drop("_a", "_b", "_na", "_nb")
+    return both.withColumn("raw", raw).withColumn("similarity", similarity).withColumn("distance", 1 - F.col("similarity")).drop("_a", "_b", "_na", "_nb", "_sims")
 
 
 def unknown_segments(words: DataFrame, phonology: Phonology = Phonology()) -> DataFrame:
@@ -208,19 +228,34 @@ def best_paths(a: list[str], b: list[str], phonology: Phonology, memo: dict) ->
 
 
 def explained(pairs: DataFrame, phonology: Phonology = Phonology()) -> DataFrame:
-    """a, b, place, seg_a, seg_b, similarity, distance, note: a row for each place of the first alignment.
+    """a, b, place, seg_a, seg_b, similarity, distance, note, features_a, features_b, unknown_a, unknown_b: a row for each place of the first alignment.
 
     A gap has similarity 0 and note "gap". The two segments of a one-to-two move are
-    compared as one joined segment, of which only the first base counts.
+    compared as one joined segment, of which only the first base counts. Features are
+    arrays in the order of FEATURES, null for gaps and unknown bases; unknown_a and
+    unknown_b are the words' segments without features.
     """
     first = F.posexplode(F.get("alignments", F.lit(0))).alias("place", "pair")
     each = alignments(pairs, phonology).select("a", "b", first).select("a", "b", "place", F.col("pair.a").alias("seg_a"), F.col("pair.b").alias("seg_b"))
 
-    @F.pandas_udf("double")
-    def similar(x: pd.Series, y: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<similarity:double,features_a:array<double>,features_b:array<double>>")
+    def compared(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         memo: dict = {}
-        return pd.Series([0.0 if GAP in (p, q) else segment_similarity(p, q, phonology, memo) for p, q in zip(x, y)], dtype="float64")
+        known: dict = {GAP: None}
+
+        def of(segment: str) -> list[float] | None:
+            if segment not in known:
+                f = phonology.features(segment)
+                known[segment] = None if f is None else [float(f[name]) for name in FEATURES]
+            return known[segment]
+
+        rows = [(0.0, None, None) if GAP in (p, q) else (segment_similarity(p, q, phonology, memo), of(p), of(q)) for p, q in zip(x, y)]
+        return pd.DataFrame(rows, columns=["similarity", "features_a", "features_b"])
 
     gap = (F.col("seg_a") == GAP) | (F.col("seg_b") == GAP)
-    each = each.withColumn("similarity", similar("seg_a", "seg_b"))
-    return each.withColumns({"distance": 1 - F.col("similarity"), "note": F.when(gap, "gap")})
+    each = each.withColumn("_c", compared("seg_a", "seg_b")).select("a", "b", "place", "seg_a", "seg_b", "_c.similarity", (1 - F.col("_c.similarity")).alias("distance"), F.when(gap, "gap").alias("note"), "_c.features_a", "_c.features_b")
+    unknown = unknown_segments(pairs.select(F.col("a").alias("word")).unionByName(pairs.select(F.col("b").alias("word"))), phonology)
+    for s in "ab":
+        own = unknown.select(F.col("word").alias(f"_{s}"), F.col("unknown").alias(f"unknown_{s}"))
+        each = each.join(own, F.col(s).eqNullSafe(F.col(f"_{s}"))).drop(f"_{s}")
+    return each

@@ -55,28 +55,102 @@ _PHONETIC = _table_sql(_LETTERS, f"case when x[i] = y[j] then 0.0 when list_cont
 _SYMBOLS = _values([(s, *(float(f[n]) for n in phonology.FEATURES)) for s, f in phonology.INVENTORY.items()])
 _FEATURE_COLUMNS = ", ".join(f"f_{n}" for n in phonology.FEATURES)
 _GAPS = " + ".join(f"least(1.0, abs(p.f_{n} - q.f_{n}) / {float(r)}) * {float(w)}" for n, (w, r) in phonology.FEATURES.items())
-_SEGMENT = f"""symbol(s, {_FEATURE_COLUMNS}) as {_SYMBOLS},
+
+
+def _segment_sql(changed: str = "") -> str:
+    """CTEs to symbol (features of each symbol) and sim(a, b, d); changed: what replaces some of the given symbols."""
+    return f"""given(s, {_FEATURE_COLUMNS}) as {_SYMBOLS},
+symbol as (select * from given{changed}),
 sim as (select p.s as a, q.s as b, case when p.s = q.s then 0.0 else ({_GAPS}) / {float(sum(w for w, _ in phonology.FEATURES.values()))} end as d from symbol p, symbol q)"""
+
+
+_SEGMENT = _segment_sql()
+#: q as a sound of one's own, and w as another spelling of v.
+_OWN_SOUNDS = f""" where s not in ('q', 'w') union all select 'w', {_FEATURE_COLUMNS} from given where s = 'v'
+  union all select 'q', {", ".join(str(float({"place": 50, "manner": 2, "voice": 1}.get(n, 0))) for n in phonology.FEATURES)}"""
 #: Of ASCII words the five affricates are the only segments of two letters.
 _ALINE_TOKENS = "regexp_extract_all(word, '(ts|dz|pf|bv|kx|[^ ./()\\[\\]{}|])')"
-_ALINE = f"""with recursive {WORD}, {_SEGMENT},
+
+
+def _aline_sql(gap: float = -0.65, expansion: float = -0.18, changed: str = "") -> str:
+    """CTEs to score(a, b, x, y, n, m, t, raw, longest): each pair's segments x and y (texts) and whole table t, row after row from (0, 0)."""
+    return f"""with recursive {WORD}, {_segment_sql(changed)},
 unit as (select word, {_ALINE_TOKENS} as u from word),
 tok as (select distinct unnest(u) as t from unit),
 inv as (select list(t order by t) as names from tok),
-flat as (select list(1 - d order by a, b) as sims from sim where a in (select t from tok) and b in (select t from tok)),
-num as (select word, list_transform(u, lambda t: list_position(names, t) - 1) as u from unit, inv),
-cell(a, b, x, y, i, j, top, above, here) as (
-  select p.word, q.word, p.u, q.u, 1, 1, cast(null as double[]), list_transform(range(0, len(q.u) + 1), lambda k: k * -0.65::double), [-0.65::double] from num p, num q
+flat as (select list(coalesce(1 - d, case when p.t = q.t then 1.0 else 0.0 end) order by p.t, q.t) as sims from tok p cross join tok q left join sim on a = p.t and b = q.t),
+num as (select word, u as own, list_transform(u, lambda t: list_position(names, t) - 1) as u from unit, inv),
+cell(a, b, xs, ys, x, y, i, j, top, above, here, t) as (
+  select p.word, q.word, p.own, q.own, p.u, q.u, 1, 1, cast(null as double[]), list_transform(range(0, len(q.u) + 1), lambda k: k * {gap}::double), [{gap}::double],
+    list_transform(range(0, len(q.u) + 1), lambda k: k * {gap}::double) from num p, num q
   union all
-  select a, b, x, y, case when j <= len(y) then i else i + 1 end, case when j <= len(y) then j + 1 else 1 end,
+  select a, b, xs, ys, x, y, case when j <= len(y) then i else i + 1 end, case when j <= len(y) then j + 1 else 1 end,
     case when j <= len(y) then top else above end, case when j <= len(y) then above else here end,
     case when j <= len(y) then list_append(here, greatest(
-      above[j] + 2 * sims[x[i] * len(names) + y[j] + 1] - 1, above[j + 1] - 0.65, here[j] - 0.65,
-      above[j - 1] + sims[x[i] * len(names) + y[j - 1] + 1] + sims[x[i] * len(names) + y[j] + 1] - 1.18,
-      top[j] + sims[y[j] * len(names) + x[i - 1] + 1] + sims[y[j] * len(names) + x[i] + 1] - 1.18)) else [(i + 1) * -0.65::double] end
+      above[j] + 2 * sims[x[i] * len(names) + y[j] + 1] - 1, above[j + 1] + {gap}, here[j] + {gap},
+      above[j - 1] + sims[x[i] * len(names) + y[j - 1] + 1] + sims[x[i] * len(names) + y[j] + 1] - 1 + {expansion},
+      top[j] + sims[y[j] * len(names) + x[i - 1] + 1] + sims[y[j] * len(names) + x[i] + 1] - 1 + {expansion})) else [(i + 1) * {gap}::double] end,
+    case when j <= len(y) then t else list_concat(t, here) end
   from cell, inv, flat where i <= len(x)),
-score as (select a, b, above[len(y) + 1] as raw, greatest(len(x), len(y)) as longest from cell where i = len(x) + 1)"""
+score as (select a, b, xs as x, ys as y, len(x) as n, len(y) as m, t, above[len(y) + 1] as raw, greatest(len(x), len(y)) as longest from cell where i = len(x) + 1)"""
+
+
+_ALINE = _aline_sql()
 _ALINE_SIMILARITY = "greatest(0.0, least(1.0, (raw + longest) / (2 * longest)))"
+#: The walk from the words' ends: moves (name, segments of a, of b, score), tried in the order of their names.
+_SIM = "coalesce((select 1 - d from sim where sim.a = {0} and sim.b = {1}), case when {0} = {1} then 1.0 else 0.0 end)"
+
+
+def _walk_sql(most: int) -> str:
+    """CTEs to path(a, b, nth, moves, parts): the first `most` optimal ways through the table, parts being (segment, segment) in order."""
+    return f"""{_ALINE},
+pairsim as (select p.t as p, q.t as q, {_SIM.format('p.t', 'q.t')} as s from tok p cross join tok q),
+step(a, b, x, y, m, t, i, j, moves, parts) as (
+  select a, b, x, y, m, t, n, m, '', cast([] as struct(p varchar, q varchar)[]) from score
+  union all
+  select w.a, w.b, x, y, m, t, i - di, j - dj, moves || move,
+    list_prepend({{'p': coalesce(nullif(array_to_string(x[i - di + 1 : i], ''), ''), '-'), 'q': coalesce(nullif(array_to_string(y[j - dj + 1 : j], ''), ''), '-')}}, parts)
+  from step w
+  cross join (values ('1', 1, 1), ('2', 1, 0), ('3', 0, 1), ('4', 1, 2), ('5', 2, 1)) v(move, di, dj)
+  left join pairsim s1 on di > 0 and dj > 0 and s1.p = x[i] and s1.q = y[j]
+  left join pairsim s2 on dj = 2 and s2.p = x[i] and s2.q = y[j - 1]
+  left join pairsim s3 on di = 2 and s3.p = x[i - 1] and s3.q = y[j]
+  where i >= di and j >= dj and (i > 0 or j > 0)
+    and abs(t[(i - di) * (m + 1) + j - dj + 1] + case move when '1' then 2 * s1.s - 1 when '2' then -0.65 when '3' then -0.65 when '4' then s1.s + s2.s - 1.18 else s1.s + s3.s - 1.18 end
+      - t[i * (m + 1) + j + 1]) <= 1e-10),
+path as (select * from (select a, b, parts, row_number() over (partition by a, b order by moves) as nth from step where i = 0 and j = 0) where nth <= {most})"""
+
+
+def _aligned_sql(most: int, gaps: bool) -> str:
+    kept = "parts" if gaps else "list_filter(parts, lambda p: p.p <> '-' and p.q <> '-')"
+    return f"""{_walk_sql(most)}
+      select a, b, round(any_value(raw), 9) as raw, count(*) as n, string_agg(array_to_string(list_transform({kept}, lambda p: p.p || ':' || p.q), ' '), ' / ' order by nth) as alignments
+      from path join score using (a, b) group by a, b"""
+
+
+#: A joined segment's features are those of its first base: an affricate or a letter.
+_BASE = "regexp_extract({0}, '^(ts|dz|pf|bv|kx|.)')"
+_FEATURE_LIST = "array_to_string(list_transform([{0}], lambda x: cast(cast(x as decimal(9, 3)) as varchar)), ' ')"
+_UNKNOWN = "coalesce((select string_agg(u.t, '|' order by nth) from (select t, min(nth) as nth from (select unnest(unit.u) as t, generate_subscripts(unit.u, 1) as nth from unit where word = {0}) group by t) u where u.t not in (select s from symbol)), '')"
+
+#: The marks once more, written out for SQL: mark, when, feature, the new value from v.
+_MARKED = [
+    ("ː", "true", "long", "1"), ("ˑ", "true", "long", "greatest(v, 0.5)"), ("ʰ", "true", "aspirated", "1"), ("ʱ", "true", "aspirated", "1"), ("ʱ", "true", "voice", "1"),
+    ("ʲ", "syl = 0", "place", "v * 0.65 + 55 * 0.35"), ("ʲ", "syl = 0", "height", "greatest(v, 0.6)"), ("ʲ", "true", "back", "v * 0.65"), ("ʲ", "syl <> 0", "height", "least(1, v + 0.1)"),
+    ("ʷ", "true", "round", "1"), ("ʷ", "true", "back", "greatest(v, 0.6)"), ("ˠ", "syl = 0", "place", "v * 0.7 + 21"), ("ˠ", "syl = 0", "back", "greatest(v, 0.65)"), ("ˠ", "syl <> 0", "back", "v * 0.7 + 0.3"),
+    ("ˤ", "syl = 0", "place", "v * 0.7 + 28.5"), ("ˤ", "syl = 0", "back", "greatest(v, 0.75)"), ("ˤ", "syl <> 0", "back", "v * 0.7 + 0.3"), ("̃", "true", "nasal", "greatest(v, 0.8)"),
+    ("˞", "true", "rhotic", "1"), ("̥", "true", "voice", "0"), ("̬", "true", "voice", "1"), ("̪", "true", "place", "v * 0.45 + 13.75"), ("̺", "true", "place", "v * 0.75 + 7.5"), ("̻", "true", "place", "v * 0.75 + 7.5"),
+    ("̟", "true", "place", "v * 0.92"), ("̠", "true", "place", "v * 0.92 + 8"), ("̩", "true", "syllabic", "1"), ("̩", "true", "sonorant", "1"), ("̯", "true", "syllabic", "0"), ("̚", "true", "manner", "1"),
+    ("̝", "syl = 1", "height", "least(1, v + 0.1)"), ("̝", "syl <> 1", "manner", "greatest(1, v - 0.15)"), ("̞", "syl = 1", "height", "greatest(0, v - 0.1)"), ("̞", "syl <> 1", "manner", "least(4.5, v + 0.15)"),
+    ("̈", "syl = 1", "back", "v * 0.5 + 0.25"), ("̹", "true", "round", "least(1, v + 0.3)"), ("̜", "true", "round", "greatest(0, v - 0.3)"),
+]
+
+
+def _marked_column(feature: str) -> str:
+    rules = [f"when mark = '{m}' and {w.replace('syl', 'f_syllabic')} then {x.replace('v', f'f_{feature}')}" for m, w, f, x in _MARKED if f == feature]
+    value = f"case {' '.join(rules)} else f_{feature} end" if rules else f"f_{feature}"
+    return f'round(cast({value} as double), 9) as "{feature}"'
+
 
 _JACCARD = f"""jac as (
   select conv_id, turn, len(list_intersect(x, y)) as common, greatest(len(list_distinct(list_concat(x, y))), 1) as uni
@@ -89,6 +163,15 @@ _COSINE = """cos as (
               from embeddings p join embeddings q on q.vec_id = p.vec_id + 1)) a)"""
 _MOVED = "greatest(0.0, least(1.0, (c + 1) / 2))"
 
+#: Words as the aligner reads them.
+_IPA = "nfc_normalize(lower(word))"
+for _from, _to in (("͜", "͡"), ("ɡ", "g"), ("ʧ", "t͡ʃ"), ("ʤ", "d͡ʒ"), ("ʦ", "t͡s"), ("ʣ", "d͡z"), ("ꭧ", "t͡s"), ("ꭦ", "d͡z"), (":", "ː"), ("''", "ˈ"), ("ˁ", "ˤ")):
+    _IPA = f"replace({_IPA}, '{_from}', '{_to}')"
+_AFFRICATES = "ts dz tʃ dʒ tɕ dʑ ʈʂ ɖʐ pf bv kx gɣ".split()
+_MULTI = "|".join([a[0] + tie + a[1] for tie in "͜͡" for a in _AFFRICATES] + _AFFRICATES)
+_APART = r"ˈˌ. \t\n\r/\[\](){}‖|"
+_MODIFIERS = "".join(dict.fromkeys(m for m, *_ in _MARKED))
+
 #: Expected by hand: id, similarity, distance, reason, error.
 _ANSWERS = [
     (1, 0.62, 0.38, "x", False), (2, 0.62, 0.38, "", False), (3, 0.5, 0.5, "", False), (4, 0.62, 0.38, "", False), (5, 0.15, 0.85, "", False),
@@ -162,22 +245,44 @@ ORACLE_SQL = {
     "shift_similarity": f"""with {WORD} select a.word as a, b.word as b, cast(greatest({", ".join(
         f"case when length({x}.word) >= {s + 3} and length({y}.word) >= 3 and substr({x}.word, {s + 1}, 3) = substr({y}.word, 1, 3) then {score} else 0.0 end"
         for s, score in enumerate((1.0, 0.5, 0.4, 0.3)) for x, y in (("a", "b"), ("b", "a")))}) as double) as similarity from word a, word b""",
-    "segment_distance": f"with {_SEGMENT} select a, b, round(d, 9) as distance, round(1 - d, 9) as similarity from sim where a between 'a' and 'z' and b between 'a' and 'z' and length(a) = 1 and length(b) = 1 and ascii(a) < 128 and ascii(b) < 128",
+    "segment_distance": f"with {_SEGMENT} select a, b, round(d, 9) as distance, round(1 - d, 9) as similarity from sim",
+    # Where a mark composes with the last letter, the first letter of what comes out is the base, without marks.
+    "marked_segments": f"""with symbol(s, {_FEATURE_COLUMNS}) as {_SYMBOLS}, mark as (select unnest([{", ".join(_quoted(m) for m in dict.fromkeys(m for m, *_ in _MARKED))}]) as mark),
+      token as (select s as symbol, mark, nfc_normalize(s || mark) as t from symbol cross join mark),
+      based as (select token.symbol, case when t = token.symbol || mark then mark else '' end as mark, mark as given, case when t = token.symbol || mark then token.symbol else left(t, 1) end as base from token)
+      select b.symbol, given as mark, {", ".join(map(_marked_column, phonology.FEATURES))} from based b left join symbol on s = base""",
     "segment_inventory": f"select s as symbol, {', '.join(f'cast(f_{n} as double) as {chr(34)}{n}{chr(34)}' for n in phonology.FEATURES)} from {_SYMBOLS} t(s, {_FEATURE_COLUMNS})",
     "feature_weights": f"select name, cast(weight as double) as weight, cast(r as double) as \"range\" from {_values([(n, float(w), float(r)) for n, (w, r) in phonology.FEATURES.items()])} t(name, weight, r)",
     "aline_tokens": f"with {WORD} select word, array_to_string({_ALINE_TOKENS}, '|') as tokens from word",
-    "unknown_segments": """select word, coalesce(array_to_string(list_filter(list_distinct_in_order, lambda c: not c between 'a' and 'z'), '|'), '') as unknown
-      from (select word, list_transform(list_sort(list_transform(list_distinct(string_split(word, '')), lambda c: [lpad(cast(instr(word, c) as varchar), 5, '0'), c])), lambda p: p[2]) as list_distinct_in_order
-            from (select lang as word from documents union select source from documents))""",
+    "unknown_segments": f"""with symbol(s, {_FEATURE_COLUMNS}) as {_SYMBOLS},
+      word as (select distinct unnest(string_split(translate(text, chr(10) || chr(9) || chr(13), '   '), ' ')) as word from documents),
+      ipa as (select word, regexp_extract_all({_IPA}, '((?:{_MULTI}|[^{_APART}])[{_MODIFIERS}]*)') as u from word where word <> ''),
+      each as (select word, unnest(u) as t, generate_subscripts(u, 1) as nth from ipa),
+      odd as (select word, t, min(nth) as nth from each where regexp_extract(t, '^({_MULTI}|.)', 1) not in (select s from symbol) group by word, t)
+      select word, coalesce(string_agg(t, '|' order by nth), '') as unknown from ipa left join odd using (word) group by word""",
     "aline_scores": f"{_ALINE} select a, b, round(raw, 9) as raw, round({_ALINE_SIMILARITY}, 9) as similarity, round(1 - {_ALINE_SIMILARITY}, 9) as distance from score",
+    "aline_options": f"{_aline_sql(-0.4, -0.3, _OWN_SOUNDS)} select a, b, round(raw, 9) as raw, round({_ALINE_SIMILARITY}, 9) as similarity, round(1 - {_ALINE_SIMILARITY}, 9) as distance from score",
+    "aline_align": _aligned_sql(20, True),
+    "aline_matches": _aligned_sql(2, False),
+    "aline_explain": f"""{_walk_sql(1)},
+      place as (select a, b, unnest(parts) as p, generate_subscripts(parts, 1) - 1 as place from path),
+      seg as (select a, b, place, p.p as seg_a, p.q as seg_b, p.p = '-' or p.q = '-' as gap from place),
+      know as (
+        select seg.*, case when gap then 0.0 when seg_a = seg_b then 1.0 else coalesce(1 - d, case when fa.s is not null and fa.s = fb.s then 1.0 else 0.0 end) end as similarity,
+          case when not gap and fa.s is not null then {_FEATURE_LIST.format(", ".join(f"fa.f_{n}" for n in phonology.FEATURES))} end as features_a,
+          case when not gap and fb.s is not null then {_FEATURE_LIST.format(", ".join(f"fb.f_{n}" for n in phonology.FEATURES))} end as features_b
+        from seg left join symbol fa on fa.s = {_BASE.format("seg_a")} left join symbol fb on fb.s = {_BASE.format("seg_b")} left join sim on sim.a = fa.s and sim.b = fb.s),
+      odd as (select word, {_UNKNOWN.format("w.word")} as unknown from word w)
+      select k.a, k.b, place, seg_a, seg_b, round(similarity, 9) as similarity, round(1 - similarity, 9) as distance, case when gap then 'gap' end as note, features_a, features_b,
+        x.unknown as unknown_a, y.unknown as unknown_b from know k join odd x on x.word = k.a join odd y on y.word = k.b""",
     "jaccard_distance": f"with {_MEANINGS}, {_JACCARD} select conv_id, turn, round(common / uni, 9) as similarity, round(1 - common / uni, 9) as distance, common as intersection, uni as \"union\" from jac",
     "cosine_similarity": f"with {_COSINE} select vec_id, round(c, 9) as cosine from cos",
     "embedding_distance": f"with {_COSINE} select vec_id, round({_MOVED}, 9) as similarity, round(1 - {_MOVED}, 9) as distance from cos",
     "combined_distance": f"""with {_MEANINGS}, {_JACCARD}, {_COSINE},
-      r as (select conv_id % 500 as vec_id, min(1 - common / uni) as rule from jac group by 1),
-      c2 as (select vec_id, rule, 1 - {_MOVED} as other from r left join cos using (vec_id)),
-      d as (select vec_id, other, coalesce(0.7 * rule + 0.3 * other, rule) as d from c2)
-      select vec_id, round(d, 9) as distance, round(1 - d, 9) as similarity, case when other is null then 1.0::double else 0.7::double end as rule_weight,
+      r as (select conv_id, turn, (conv_id * 31 + turn) % (select count(*) from embeddings) as vec_id, 1 - common / uni as rule from jac),
+      c2 as (select conv_id, turn, rule, 1 - {_MOVED} as other from r left join cos using (vec_id)),
+      d as (select conv_id, turn, other, coalesce(0.7 * rule + 0.3 * other, rule) as d from c2)
+      select conv_id, turn, round(d, 9) as distance, round(1 - d, 9) as similarity, case when other is null then 1.0::double else 0.7::double end as rule_weight,
         case when other is null then 0.0::double else 0.3::double end as embedding_weight from d""",
     "parse_manual_response": f"select cast(id as int) as id, cast(s as double) as similarity, cast(d as double) as distance, reason, error from {_values(_ANSWERS)} t(id, s, d, reason, error)",
     "build_prompt": f"with {_MEANINGS} select conv_id, turn, {_PROMPT_SQL} as prompt from (select conv_id, turn, case when turn % 4 = 0 then '' else asked end as logical, answered as international from meaning)",
@@ -188,6 +293,18 @@ ORACLE_SQL = {
         array_to_string(list_filter([{_REASON_LIST}], lambda x: x is not null), ' ') as reasons,
         case when enough then case when manual is not null then 'rule_plus_manual_embedding' when use_llm then 'rule_fallback' else 'rule_only' end end as method
       from final""",
+    "semantic_method": f"""with {_RECORD},
+      vec as (select vec_id, cast(embedding as double[]) as v from embeddings),
+      asked as (
+        select f.*, manual is null and use_llm as asks, p.v as vx, q.v as vy from final f
+        left join vec p on p.vec_id = length(f.logical) % (select count(*) from embeddings)
+        left join vec q on q.vec_id = length(f.international) % (select count(*) from embeddings)),
+      near as (
+        select *, case when asks then list_sum(list_transform(range(1, len(vx) + 1), lambda i: vx[i] * vy[i]))
+          / (sqrt(list_sum(list_transform(vx, lambda v: v * v))) * sqrt(list_sum(list_transform(vy, lambda v: v * v)))) end as c from asked),
+      blended as (select *, case when c is null then final else 0.7 * rule + 0.3 * (1 - {_MOVED}) end as d from near)
+      select conv_id, turn, case when manual is not null then 'rule_plus_manual_embedding' when use_llm then 'rule_plus_embedding' else 'rule_only' end as method,
+        round(d, 9) as distance, round(1 - d, 9) as similarity, cast(null as varchar) as error from blended""",
     "lexicon_components": f"with {_COMPONENT_SQL} select * from part_of",
     "components_by_category": f"with {_COMPONENT_SQL} select category, count(*) as n, string_agg(form, ' ' order by o) as forms from (select *, row_number() over () as o from part_of) group by category",
     "prefix_variants": f"""with {_COMPONENT_SQL}, v(prefix_id, form, note, note_en) as {_values(_VARIANTS)}
@@ -209,4 +326,11 @@ ORACLE_SQL = {
       select conv_id, turn, case when conv_id % 7 = 0 then '' else 're/vis/ion' end as regular_word, asked as logical_meaning,
         case when conv_id % 7 >= 4 then 're/vis/ion/u' else '' end as naturalistic_word, conv_id % 7 = 6 as use_llm, '{URL}' as ollama_url, '{MODEL}' as embedding_model,
         case when conv_id % 7 = 3 then 'distance: ' || turn % 10 || '0' else '' end as manual_response from meaning""",
+    "migrated_components": f"""with {_MEANINGS}
+      select conv_id, turn, 0::bigint as place, '1' as id, 'root' as type, 'root' as label, substr(asked, 1, 5) as form, cast(null as varchar) as category, 'n' as assimilation_note from meaning
+      union all select conv_id, turn, 1, '2', 'component', case when turn % 3 = 0 then 'C' else 'old' end, '-er', case turn % 3 when 0 then 'C' when 1 then '' end, case when turn % 3 = 2 then 'raw' else 'n' end from meaning""",
+    "has_value": r"select doc_id, regexp_matches(coalesce(text, ''), '\S') as has_value, regexp_matches(coalesce(substr(text, 1, 1), ''), '\S') as starts_with_value from documents",
+    "blank_words": "select p_partkey, case when p_size % 3 = 2 then 1.0::double end as similarity, case when p_size % 3 = 2 then '1.000' else 'Please fill in both words' end as shown from part",
+    "number_helpers": """select p_partkey, round(case when p_size % 7 in (0, 1) then 0.0 else greatest(0.0, least(1.0, (p_size - 25) / 20)) end, 9)::double as clamped,
+      round(case when p_size % 7 in (0, 1) then 0.0 else p_size * 0.65 + 19.25 end, 9)::double as moved, true as equal, false as apart from part""",
 }

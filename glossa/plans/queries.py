@@ -12,6 +12,10 @@ from glossa.plans.fixtures import CHOICES, PARTS, RESPONSES, ROOTS, rows_of
 from glossa.sources import lexicon, phonology, state
 
 
+#: With the inventory's diphthongs as segments.
+WHOLE = phonology.Phonology().merged(merge_diphthongs=True)
+
+
 def normalize_graphic(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select("p_partkey", text.normalize_graphic(F.col("p_name")).alias("word"))
@@ -84,15 +88,22 @@ def shift_similarity(spark, sf_dir):
     return tables.part_pairs(spark, sf_dir).select("a", "b", edit.shift_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-def _letters(spark):
-    return spark.createDataFrame([(c,) for c in "abcdefghijklmnopqrstuvwxyz"], "token string")
-
-
 def segment_distance(spark, sf_dir):
-    found = alignment.segment_pairs(alignment.token_features(_letters(spark)))
+    """All pairs of the inventory's symbols."""
+    symbols = phonology.segments(spark).select(F.col("symbol").alias("token"))
+    found = alignment.segment_pairs(alignment.token_features(symbols, WHOLE))
     return found.select("a", "b", F.round("distance", 9).alias("distance"), F.round("similarity", 9).alias("similarity"))
 
 
+def marked_segments(spark, sf_dir):
+    """Every symbol of the inventory with every mark: its features."""
+    symbols = phonology.segments(spark).select("symbol")
+    marks = spark.createDataFrame([(m,) for m in phonology.DIACRITICS], "mark string")
+    each = symbols.join(F.broadcast(marks), how="cross").withColumn("token", F.concat("symbol", "mark"))
+    found = each.join(alignment.token_features(each.select("token"), WHOLE), "token")
+    return found.select("symbol", "mark", *[F.round(f"`{f}`", 9).alias(f) for f in phonology.FEATURES])
+
+
 def segment_inventory(spark, sf_dir):
     return phonology.segments(spark)
 
@@ -107,9 +118,9 @@ def aline_tokens(spark, sf_dir):
 
 
 def unknown_segments(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("lang").alias("word"))
-    sources = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("word"))
-    found = alignment.unknown_segments(docs.union(sources))
+    """The distinct words of all documents."""
+    words = F.explode(F.split(F.translate("text", "\n\t\r", "   "), " ")).alias("word")
+    found = alignment.unknown_segments(tables.documents(spark, sf_dir).select(words).where("word <> ''"))
     return found.select("word", F.array_join("unknown", "|").alias("unknown"))
 
 
@@ -118,15 +129,32 @@ def aline_scores(spark, sf_dir):
     return found.select("a", "b", *[F.round(c, 9).alias(c) for c in ("raw", "similarity", "distance")])
 
 
-def aline_align(spark, sf_dir):
-    found = alignment.alignments(tables.part_pairs(spark, sf_dir))
+def aline_options(spark, sf_dir):
+    """Other penalties, a symbol of one's own and an alias."""
+    options = phonology.Phonology().merged(gap_penalty=-0.4, expansion_penalty=-0.3).with_feature("q", place=50.0, manner=2.0, voice=1.0).with_alias("w", "v")
+    found = alignment.aligned_scores(tables.part_pairs(spark, sf_dir), options)
+    return found.select("a", "b", *[F.round(c, 9).alias(c) for c in ("raw", "similarity", "distance")])
+
+
+def _shown(found: DataFrame) -> DataFrame:
     shown = F.transform("alignments", lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["a"], F.lit(":"), x["b"])), " "))
     return found.select("a", "b", F.round("raw", 9).alias("raw"), F.size("alignments").cast("long").alias("n"), F.array_join(shown, " / ").alias("alignments"))
 
 
+def aline_align(spark, sf_dir):
+    return _shown(alignment.alignments(tables.part_pairs(spark, sf_dir)))
+
+
+def aline_matches(spark, sf_dir):
+    """Two alignments at most, without their gaps."""
+    return _shown(alignment.alignments(tables.part_pairs(spark, sf_dir), phonology.Phonology().merged(return_gaps=False, max_alignments=2)))
+
+
 def aline_explain(spark, sf_dir):
     found = alignment.explained(tables.part_pairs(spark, sf_dir))
-    return found.withColumns({c: F.round(c, 9) for c in ("similarity", "distance")})
+    shown = {f"features_{s}": F.array_join(F.transform(f"features_{s}", lambda x: x.cast("decimal(9,3)").cast("string")), " ") for s in "ab"}
+    shown |= {f"unknown_{s}": F.array_join(f"unknown_{s}", "|") for s in "ab"} | {c: F.round(c, 9) for c in ("similarity", "distance")}
+    return found.withColumns(shown | {"place": F.col("place").cast("long")})
 
 
 def jaccard_distance(spark, sf_dir):
@@ -144,10 +172,13 @@ def embedding_distance(spark, sf_dir):
 
 
 def combined_distance(spark, sf_dir):
-    rule = tables.meanings(spark, sf_dir).groupBy((F.col("conv_id") % 500).alias("vec_id")).agg(F.min(semantic.jaccard(F.col("asked"), F.col("answered"))["distance"]).alias("rule"))
+    """Every pair of meanings, with the vectors whose number its conversation and turn come to."""
     other = tables.vector_pairs(spark, sf_dir).select("vec_id", semantic.embedding_distance(F.col("a"), F.col("b"))["distance"].alias("other"))
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.count("*").alias("n"))
+    rule = tables.meanings(spark, sf_dir).select("conv_id", "turn", semantic.jaccard(F.col("asked"), F.col("answered"))["distance"].alias("rule"))
+    rule = rule.join(F.broadcast(n), how="cross").withColumn("vec_id", (F.col("conv_id") * 31 + F.col("turn")) % F.col("n"))
     found = rule.join(other, "vec_id", "left").withColumn("c", semantic.combined(F.col("rule"), F.col("other")))
-    return found.select("vec_id", *[F.round(f"c.{c}", 9).alias(c) for c in ("distance", "similarity", "rule_weight", "embedding_weight")])
+    return found.select("conv_id", "turn", *[F.round(f"c.{c}", 9).alias(c) for c in ("distance", "similarity", "rule_weight", "embedding_weight")])
 
 
 def parse_manual_response(spark, sf_dir):
@@ -160,11 +191,11 @@ def build_prompt(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    """text, model, vector: the meanings with the vectors of their conversations' numbers, some without any."""
+    """text, model, vector: a vector for every distinct meaning, by its length."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    both = tables.meanings(spark, sf_dir).where("conv_id % 7 = 6").select("conv_id", F.explode(F.array("asked", "answered")).alias("text"))
-    both = both.groupBy(classify.js_trim(F.col("text")).alias("text")).agg(F.min("conv_id").alias("conv_id")).where("conv_id % 3 > 0")
-    found = both.withColumn("vec_id", F.length("text") % 400).join(vectors.select(F.col("vec_id").cast("int"), "embedding"), "vec_id")
+    n = vectors.agg(F.count("*").alias("n"))
+    texts = tables.meanings(spark, sf_dir).select(F.explode(F.array("asked", "answered")).alias("text")).select(classify.js_trim(F.col("text")).alias("text")).distinct()
+    found = texts.join(F.broadcast(n), how="cross").withColumn("vec_id", F.length("text") % F.col("n")).join(vectors.select("vec_id", "embedding"), "vec_id")
     return found.select("text", F.lit(classify.MODEL).alias("model"), F.col("embedding").alias("vector"))
 
 
@@ -229,3 +260,35 @@ def session_roundtrip(spark, sf_dir):
     sessions = records.select("conv_id", "turn", state.saved(records).alias("document"))
     found = state.restored(sessions, "document")
     return found.select("conv_id", "turn", "regular_word", "logical_meaning", "naturalistic_word", "use_llm", "ollama_url", "embedding_model", "manual_response")
+
+
+def migrated_components(spark, sf_dir):
+    """Sessions as they were stored once: components of either type, with the label and the note of the time."""
+    k = F.col("turn") % 3
+    part = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
+    root = part(id=F.lit("1"), type=F.lit("root"), label=F.lit("Root"), form=F.substring("asked", 1, 5), category=F.lit(None).cast("string"), assimilationNote=F.lit("n"), assimilationNoteRaw=F.lit(""))
+    other = part(id=F.lit("2"), type=F.lit("component"), label=F.lit("old"), form=F.lit("-er"), category=F.when(k == 0, "C").when(k == 1, ""), assimilationNote=F.lit("n"), assimilationNoteRaw=F.when(k == 2, "raw"))
+    stored = tables.meanings(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct(F.lit("w").alias("regularWord"), F.array(root, other).alias("components"))).alias("document"))
+    found = state.restored(stored, "document").select("conv_id", "turn", F.posexplode("components").alias("place", "c"))
+    return found.select("conv_id", "turn", F.col("place").cast("long").alias("place"), *[F.col(f"c.{c}").alias(c) for c in ("id", "type", "label", "form", "category", "assimilation_note")])
+
+
+def has_value(spark, sf_dir):
+    return tables.documents(spark, sf_dir).select("doc_id", text.has_value(F.col("text")).alias("has_value"), text.has_value(F.substring("text", 1, 1)).alias("starts_with_value"))
+
+
+def blank_words(spark, sf_dir):
+    """Comparisons of which a third each has no second word, a blank one, and the same word."""
+    k = F.col("p_size") % 3
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("a"), F.when(k == 1, "  ").when(k == 2, F.upper("p_name")).alias("b"))
+    return pairs.compared(part, "graphic", "en").select("p_partkey", "similarity", "shown")
+
+
+def number_helpers(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    x = F.col("p_size").cast("double")
+    odd = F.when(F.col("p_size") % 7 == 0, F.lit(float("nan"))).when(F.col("p_size") % 7 == 1, F.lit(float("inf"))).otherwise(x)
+    return part.select(
+        "p_partkey", F.round(semantic.clamp01((odd - 25) / 20), 9).alias("clamped"), F.round(semantic.weighted_move(odd, 55, 0.35), 9).alias("moved"),
+        semantic.almost_equal(x * 0.1, x / 10).alias("equal"), semantic.almost_equal(x * 0.1, x / 10 + 1e-9).alias("apart"),
+    )
