@@ -1,8 +1,10 @@
 """Near-duplicate vectors: a navigable small-world graph per shard, every shard queried.
 
 Equal vectors fall into one class. Classes are dealt to shards by a hash; each shard's
-graph is built by one task and stored. Then every class queries every shard: tasks hold
-one shard's graph and stream one slice of the queries past it. Beams widen until audits
+graph is built by one task and stored. Then every class queries every shard: a task holds
+one shard's graph and streams queries past it, of which it keeps a batch at a time. As
+queries take no memory, there are only so many slices of them as keep all cores busy, or
+a lost task cheap; a graph is shipped once for each slice. Beams widen until audits
 against a scan of the shard pass. Links found are verified by cosine in double precision;
 each task gives counts and a spanning forest of its links, not its pairs, and the forests
 are united by distributed union-find.
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.hnsw import Graph
@@ -23,7 +25,7 @@ from glossa.llm.shared import Scratch, components
 COSINE = 0.9
 SHARDS = 8
 SHARD_ROWS = 200_000
-SLICE_ROWS = 50_000
+SLICE_ROWS = 2_000_000
 BEAM = 16
 AUDIT_RECALL, AUDITS = 0.995, 16
 SLACK = 1e-4
@@ -96,6 +98,16 @@ def _loaded(rows: list[tuple], dim: int) -> Graph:
     return Graph(_unit([r[3] for r in rows], dim).astype(np.float32), levels, layers)
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers of which repartition(n, number) puts each into a partition of its own, so that no task gets two of them."""
+    at, size = {}, 8 * n
+    while len(at) < n:
+        place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        at = {r.p: r.i for r in spark.range(size, numPartitions=1).groupBy(place.alias("p")).agg(F.min("id").cast("int").alias("i")).collect()}
+        size *= 4
+    return [at[p] for p in range(n)]
+
+
 class Forest(dict):
     """Union-find over the ids that one task has linked."""
 
@@ -188,16 +200,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = rows.where("vec is not null and id is not null")
     classes = scratch.save(usable.groupBy("dim", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     n = classes.count()
-    shards, slices = max(shards, -(-n // shard_rows)), max(3, -(-n // slice_rows))
+    spark = vectors.sparkSession
+    shards = max(shards, -(-n // shard_rows))
+    slices = max(-(-2 * spark.sparkContext.defaultParallelism // shards), -(-n // slice_rows))
     shard = F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int")
-    dealt = classes.select("dim", shard.alias("shard"), "rep", "copies", "vec").repartition(4 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", "vec")
+    keys = F.array(*map(F.lit, partition_keys(spark, shards)))
+    dealt = classes.select("dim", shard.alias("shard"), "rep", "copies", "vec", F.get(keys, shard).alias("part")).repartition(shards, "part").drop("part").sortWithinPartitions("dim", "shard", "vec")
     graphs = scratch.save(dealt.mapInArrow(_graphs, _GRAPH))
 
     task = F.col("shard") * slices + F.col("slice")
     of_graph = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select(task.alias("task"), "dim", F.lit(0).alias("kind"), "place", "rep", "copies", "vec", "level", "links")
     asked = classes.withColumn("slice", F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     asked = asked.select(task.alias("task"), "dim", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("place"), "rep", F.lit(None).cast("long").alias("copies"), "vec", F.lit(None).cast("int").alias("level"), F.lit(None).cast("binary").alias("links"))
-    both = of_graph.unionByName(asked).repartition(4 * shards * slices, "task").sortWithinPartitions("task", "dim", "kind", "place", "rep")
+    keys = F.array(*map(F.lit, partition_keys(spark, shards * slices)))
+    both = of_graph.unionByName(asked).withColumn("part", F.get(keys, F.col("task"))).repartition(shards * slices, "part").drop("part").sortWithinPartitions("task", "dim", "kind", "place", "rep")
     found = scratch.save(both.mapInArrow(_searched(cosine), "a long, b long, n long"))
 
     linked = components(found.where("b is not null").select("a", "b"), scratch)

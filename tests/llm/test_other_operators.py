@@ -234,6 +234,30 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_of_large_shards(spark):
+    """Two shards of over 5,000 vectors each: links and components against all pairs, in double precision."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(900, 32))
+    x = np.concatenate([c + rng.choice([0.1, 0.2, 0.3]) * rng.normal(size=(k, 32)) for c, k in zip(centres, rng.integers(1, 12, 900))] + [rng.normal(size=(6000, 32))]).astype(np.float32)
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), shards=2).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    links = np.zeros(len(x), np.int64)
+    label = np.arange(len(x))
+    pairs = np.concatenate([np.argwhere(unit[lo : lo + 1000] @ unit.T >= 0.9) + [lo, 0] for lo in range(0, len(x), 1000)])
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    np.add.at(links, pairs[:, 0], 1)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, pairs[:, 0], label[pairs[:, 1]])
+        if (least == label).all():
+            break
+        label = least
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert len(x) > 10_500 and links.sum() > 10_000
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    assert np.mean([got[i].component_id == label[i] for i in range(len(x))]) >= 0.995
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage on what the one before kept: columns, and its promise."""
     from glossa.llm import decontam, minhash
