@@ -5,8 +5,8 @@
    of BANDS * ROWS places, filled by rounds of hashing (each place is a min-hash of the
    line's shingles); nodes that agree in all ROWS of a band are candidates.
 2. A bucket compares its members with its hubs only. Buckets that then hold more than one
-   component compare members of different components: by sketches up to SMALL members,
-   in larger buckets those that share a rare shingle (prefix filter).
+   component compare members of different components: all of them up to SMALL members, in
+   larger buckets those that share a rare shingle (prefix filter).
 3. Candidates whose sketches differ too much are pruned, as in near-duplicate search, and
    the rest verified by the exact Jaccard similarity of their shingle sets.
 4. Components by distributed union-find; the first line of each is kept.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.buckets import members
-from glossa.llm.minhash import apart, nearest, pairs_across, passing, within_buckets
+from glossa.llm.minhash import MISS, apart, least_matches, nearest, pairs_across, passing
 from glossa.llm.shared import Scratch, components, few, merged_components
 from glossa.llm.words import MULTIPLIER, mix
 
@@ -35,9 +35,10 @@ BATCH = 16
 SMALL = 512
 SEEN_LINES = 300_000
 CHUNK_CHARS = 60_000
-BASE = 0x9E3779B1
+BASES = {4: 0x9E3779B1, 8: 0x9E3779B97F4A7C15}
 MIX = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _EMPTY = np.uint32(0xFFFFFFFF)
+BAND = np.uint64(63)  # the bits of a key that name its band
 
 
 def plain(line: str) -> str:
@@ -46,20 +47,27 @@ def plain(line: str) -> str:
 
 
 def windows(code: np.ndarray, width: int) -> np.ndarray:
-    """The polynomial hash of every `width` codes in a row, from those of half as many."""
+    """The polynomial hash, in the type of code, of every `width` codes in a row, from those of half as many."""
     if width == 1:
         return code.copy()
+    kind, base = code.dtype.type, BASES[code.dtype.itemsize]
     half = windows(code, width // 2)
     n, step = len(code) - 2 * (width // 2) + 1, width // 2
-    total = half[:n] * np.uint32(pow(BASE, step, 1 << 32))
+    total = half[:n] * kind(pow(base, step, 1 << 8 * code.dtype.itemsize))
     total += half[step : step + n]
     if width % 2:
         total = total[: len(code) - width + 1]
-        total *= np.uint32(BASE)
+        total *= kind(base)
         total += code[width - 1 :]
     return total
 
 
+def line_set(line: str, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a line."""
+    code = np.frombuffer(line.ljust(width, "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.unique(mix(windows(code, width)))
+
+
 def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of all character shingles of all lines, one line after the other, and each line's count.
 
@@ -190,7 +198,7 @@ def _sketched(width: int, bands: int, rows: int):
                 mixed = np.zeros((len(fresh), bands), np.uint64)
                 for r in range(rows):
                     mixed = mix(mixed * MULTIPLIER + found.reshape(-1, bands, rows)[:, :, r])
-                keys, low = mix(mixed + np.arange(bands, dtype=np.uint64)), found.astype(np.uint8)
+                keys, low = mix(mixed) & ~BAND | np.arange(bands, dtype=np.uint64), found.astype(np.uint8)
                 for k, x, y in zip(fresh, low, keys):
                     sketch[k], banded[k] = x.tobytes(), y.tobytes()
             types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()
@@ -225,34 +233,90 @@ def _sketched(width: int, bands: int, rows: int):
     return run
 
 
+class Sets(dict):
+    """line_set() of lines; a memo, emptied when it holds much."""
+
+    def __init__(self, width: int):
+        super().__init__()
+        self.width, self.held = width, 0
+
+    def __missing__(self, line: str) -> np.ndarray:
+        if self.held > 500_000:
+            self.clear()
+            self.held = 0
+        self.held += len(line)
+        self[line] = found = line_set(line, self.width)
+        return found
+
+
+def reaches(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
+    """Whether the Jaccard similarity of two sets, as sorted arrays, is at least the threshold."""
+    num, den = threshold.numerator, threshold.denominator
+    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    both = int((both[1:] == both[:-1]).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def _alike(threshold: Fraction, width: int):
     """(a, b, x, y) to the (a, b) whose lines x and y reach the threshold on their shingle sets."""
-    num, den = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, set] = {}
-        held = 0
+        sets = Sets(width)
+        for batch in batches:
+            kept = [k for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if reaches(sets[x], sets[y], threshold)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
-        def grams(line: str) -> set:
-            nonlocal held
-            if line not in memo:
-                if held + len(line) > 200_000:
-                    memo.clear()
-                    held = 0
-                held += len(line)
-                memo[line] = {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
-            return memo[line]
+    return run
+
+
+def _joined(threshold: Fraction, width: int, bands: int, rows: int):
+    """Rows (key, node, comp, sketch, text) of one bucket after the other to links (a, b) that join its components.
 
+    Two nodes are compared in the bucket of the first band that they share, if their
+    sketches allow it and earlier links of the bucket haven't joined them.
+    """
+    least = least_matches(float(threshold), bands * rows, bands * rows, MISS)[-1][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, links = Sets(width), []
+
+        def bucket(key: int, held: list[tuple]) -> None:
+            x = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), bands, rows)
+            up = {r[1]: r[1] for r in held}
+
+            def root(c: int) -> int:
+                while up[c] != c:
+                    up[c] = c = up[up[c]]
+                return c
+
+            for i in range(len(held) - 1):
+                same = x[i] == x[i + 1 :]
+                first = same.all(axis=2).argmax(axis=1) == key & int(BAND)
+                for j in (np.flatnonzero(first & (same.sum(axis=(1, 2)) >= least)) + i + 1).tolist():
+                    a, b = root(held[i][1]), root(held[j][1])
+                    if a != b and reaches(sets[held[i][3]], sets[held[j][3]], threshold):
+                        up[a] = b
+                        links.append((held[i][0], held[j][0]))
+
+        def out() -> pa.RecordBatch:
+            found = np.array(links, np.int64).reshape(-1, 2)
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        key, held = None, []
         for batch in batches:
-            kept = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if x != y:
-                    x, y = {x[i : i + width] for i in range(max(1, len(x) - width + 1))}, grams(y)
-                    both = len(x & y)
-                    if den * both < num * (len(x) + len(y) - both):
-                        continue
-                kept.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], names=["a", "b"])
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key and held:
+                    bucket(key, held)
+                    held = []
+                key = k
+                held.append(tuple(row))
+            yield out()
+        if held:
+            bucket(key, held)
+        yield out()
 
     return run
 
@@ -260,8 +324,7 @@ def _alike(threshold: Fraction, width: int):
 def _line_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            sets = [np.unique([xxhash.xxh3_64_intdigest(x[i : i + width].encode("utf-8", "surrogatepass")) for i in range(max(1, len(x) - width + 1))]).astype(np.uint64).view(np.int64) for x in texts]
+            sets = [line_set(x.as_py(), width).view(np.int64) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["id", "comp", "shingles"])
 
     return run
@@ -311,11 +374,12 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
-    across = within_buckets(left_over.where(F.col("size") <= SMALL), texts.select("node", "sketch"), float(threshold), BANDS * ROWS, BATCH)
+    small = left_over.where(F.col("size") <= SMALL).join(texts, "node").select("key", "node", "comp", "sketch", "text")
+    inside = small.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(threshold, width, BANDS, ROWS), "a long, b long")
     many = left_over.where(F.col("size") > SMALL).select("node", "comp").distinct()
     sets = texts.join(many, "node").select(F.col("node").alias("id"), "comp", "text").mapInArrow(_line_sets(width), "id long, comp long, shingles array<long>")
-    across = across.unionByName(pairs_across(sets, threshold, scratch, unique=True)).distinct()
-    more = verified(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"))
+    across = pairs_across(sets, threshold, scratch, unique=True)
+    more = scratch.save(inside.unionByName(verified(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"))))
     if not more.isEmpty():
         joined = merged_components(joined, more, scratch)
 

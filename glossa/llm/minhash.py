@@ -35,7 +35,7 @@ from glossa.llm.words import MULTIPLIER, WordHashes, mix, shingle_set
 WIDTH = 5
 BANDS, ROWS = 32, 4
 BATCH = 32
-MISS = 1e-9
+MISS = 1e-6
 SEED = 20240501
 SMALL = 512
 SEEN_SETS = 300_000
