@@ -5,7 +5,7 @@ that starts at a multiple of k. So only every k-th position of a document is loo
 in a hash set of all k-word runs of the benchmark's windows; where a block is known, the
 few windows that may cover it are looked up in the set of windows and so verified word
 by word. Both sets come from the benchmark alone. They are broadcast while the windows
-number at most `broadcast_windows`, and joined by shuffle beyond it.
+number at most `broadcast_windows` and take few bytes, and joined by shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from glossa.llm.shared import Scratch
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_WINDOWS = 50_000
+BROADCAST_WINDOWS, BROADCAST_BYTES = 50_000, 8 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -44,23 +44,24 @@ def windows_of(benchmark: DataFrame, id_col: str, text_col: str, width: int) ->
 def _hits(docs: DataFrame, windows: DataFrame, k: int, small: bool) -> DataFrame:
     """row, n_words, first, last, item: the windows of 2k - 1 or 2k words in each document, first being 0-based.
 
-    Also a row with null first, last and item for each document: the block "" stands
-    for the document itself, so that one scan serves both.
+    Also a row with null first, last and item for each document. Where the sets are
+    broadcast, the block "" stands for the document itself, so that one scan serves both.
     """
     lengths = [n for n in (2 * k - 1, 2 * k) if n > 0]
     wanted = windows.where(F.col("n").isin(lengths))
-    one = windows.sparkSession.range(1)
     inner = F.transform(
         F.sequence(F.lit(1), F.col("n") - k + 1), lambda i: F.array_join(F.slice(F.split("window", " "), i, F.lit(k)), " ")
     )
-    runs = wanted.select(F.explode(inner).alias("block")).distinct().unionByName(one.select(F.lit("").alias("block")))
-    wanted = wanted.unionByName(one.select(F.lit(None).cast("string").alias("item"), F.lit(0).alias("n"), F.lit("").alias("window")))
+    runs = wanted.select(F.explode(inner).alias("block")).distinct()
     block_pattern = r"[^ ]+" if k == 1 else r"(?:[^ ]+ ){%d}[^ ]+" % (k - 1)
-    blocks = F.concat(F.array(F.lit("")), F.regexp_extract_all("clean", F.lit(block_pattern), F.lit(0)))
+    blocks = F.regexp_extract_all("clean", F.lit(block_pattern), F.lit(0))
     if small:
-        at = docs.select("row", "words", F.posexplode(blocks).alias("nth", "block")).join(F.broadcast(runs), "block")
+        one = windows.sparkSession.range(1)
+        runs = runs.unionByName(one.select(F.lit("").alias("block")))
+        wanted = wanted.unionByName(one.select(F.lit(None).cast("string").alias("item"), F.lit(0).alias("n"), F.lit("").alias("window")))
+        at = docs.select("row", "words", F.posexplode(F.concat(F.array(F.lit("")), blocks)).alias("nth", "block")).join(F.broadcast(runs), "block")
     else:  # the words come back by a join of their own, as a shuffled row for each block mustn't carry them all
-        at = docs.select("row", F.posexplode(blocks).alias("nth", "block")).join(runs.hint("merge"), "block").select("row", "nth")
+        at = docs.select("row", F.posexplode(blocks).alias("nth", "block")).withColumn("nth", F.col("nth") + 1).join(runs.hint("merge"), "block").select("row", "nth")
         at = at.join(docs.select("row", "words").hint("merge"), "row")
     # Block nth (1-based) starts at word (nth - 1) * k; a window of n words that covers it starts at most n - k before.
     start = (F.col("nth") - 1) * k
@@ -75,9 +76,13 @@ def _hits(docs: DataFrame, windows: DataFrame, k: int, small: bool) -> DataFrame
     tried = tried.where("c.first >= 0 and c.first + c.n <= n_words").select("row", "n_words", "c.first", "c.n", "c.window")
     found = tried.join(F.broadcast(wanted) if small else wanted.hint("merge"), ["n", "window"])
     real = F.col("n") > 0
-    return found.select(
+    found = found.select(
         "row", "n_words", F.when(real, F.col("first")).alias("first"), F.when(real, F.col("first") + F.col("n")).alias("last"), "item"
     )
+    if small:
+        return found
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("first", "int"), ("last", "int"), ("item", "string"))]
+    return found.unionByName(docs.select("row", F.size("words").alias("n_words"), *nothing))
 
 
 def contamination(
@@ -104,6 +109,8 @@ def contamination(
     clean = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("clean"))
     clean = clean.select(F.struct(F.monotonically_increasing_id().alias("at"), "doc_id").alias("row"), "clean", words_of(F.col("clean")).alias("words"))
     blocks = sorted({(n + 1) // 2 for n in lengths} | {(width + 1) // 2})
+    if not small or len(blocks) > 1:  # read more than once: numbered and written before
+        clean = Scratch(docs.sparkSession).save(clean.drop("words")).withColumn("words", words_of(F.col("clean")))
     hits = None
     for k in blocks:
         found = _hits(clean, windows, k, small)
@@ -113,16 +120,18 @@ def contamination(
         F.array_sort(F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "last")))).alias("at"),
         F.array_sort(F.collect_set("item")).alias("items"),
     )
+    # Windows in order of their starts grow the run at hand, or close it and begin the next.
+    span = "struct<first:int,last:int>"
+    run = lambda f, l: F.struct(F.greatest(f, F.lit(0)).cast("int").alias("first"), l.cast("int").alias("last"))
+    closed = lambda acc: F.when(acc["now"]["last"] > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
     runs = F.aggregate(
         "at",
-        F.array().cast("array<struct<first:int,last:int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, F.greatest(F.size(done), F.lit(1)))["last"] >= x["first"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(done, F.greatest(F.size(done), F.lit(1)))["first"].alias("first"), F.greatest(F.element_at(done, F.greatest(F.size(done), F.lit(1)))["last"], x["last"]).alias("last"))),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(x["first"].alias("first"), x["last"].alias("last"))))),
+        F.struct(F.array().cast(f"array<{span}>").alias("done"), run(F.lit(0), F.lit(0)).alias("now")),
+        lambda acc, x: F.when(
+            (acc["now"]["last"] > 0) & (acc["now"]["last"] >= x["first"]),
+            F.struct(acc["done"].alias("done"), run(acc["now"]["first"], F.greatest(acc["now"]["last"], x["last"])).alias("now")),
+        ).otherwise(F.struct(closed(acc).alias("done"), run(x["first"], x["last"]).alias("now"))),
+        closed,
     )
     grouped = grouped.withColumn("spans", runs)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + (x["last"] - x["first"]))
@@ -140,31 +149,38 @@ def contamination(
 def prepared(benchmark: DataFrame, id_col: str, text_col: str, width: int, broadcast_windows: int) -> tuple[DataFrame, list[int], bool]:
     """The table of windows, their lengths (at most `width` numbers) and whether they are few enough to broadcast."""
     windows = Scratch(benchmark.sparkSession).save(windows_of(benchmark, id_col, text_col, width))
-    known = windows.agg(F.collect_set("n").alias("n"), F.count("*").alias("all")).first()
-    return windows, known["n"], known["all"] <= broadcast_windows
+    known = windows.agg(F.collect_set("n").alias("n"), F.count("*").alias("all"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes")).first()
+    return windows, known["n"], known["all"] <= broadcast_windows and known["bytes"] <= BROADCAST_BYTES
 
 
 def without_spans(text: Column, spans: Column) -> Column:
-    """The text without the words in `spans` and the separators after them."""
+    """The text without the words in `spans`, which are in order and apart, and the separators after them."""
     gap = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # the text still has A-Z
     pieces = F.regexp_extract_all(text, F.lit(f"[^{gap}]+[{gap}]*"), F.lit(0))
     head = F.regexp_extract(text, f"^[{gap}]*", 0)
-    kept = F.filter(pieces, lambda _, i: ~F.exists(spans, lambda s: (s["first"] <= i) & (i < s["last"])))
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["last"]))
+    ends = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.size(pieces)))
+    kept = F.flatten(F.zip_with(begins, ends, lambda b, e: F.slice(pieces, b + 1, F.greatest(e - b, F.lit(0)))))
     return F.when(F.size(spans) > 0, F.concat(head, F.array_join(kept, ""))).otherwise(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: str = "documents", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The columns of docs, without contaminated documents or (cut="spans") without the hit words.
 
-    Rows are matched by id: rows that repeat an id go if one of them is contaminated,
-    and with cut="spans" ids must be unique. Rows with a null id stay as they are.
+    Whole documents go by id: rows that repeat an id go if one of them is contaminated,
+    and rows with a null id stay. Words are cut row by row, of rows that are numbered and
+    written before; ids may repeat or be null. Columns may have any names.
     """
-    found = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").alias("_hit"), F.col("spans").alias("_spans"))
     if cut == "documents":
-        return docs.join(found, docs[id_col] == found["_hit"], "left_anti")
-    joined = docs.join(found, docs[id_col] == found["_hit"], "left")
-    text = F.coalesce(without_spans(F.col(text_col), F.col("_spans")), F.col(text_col))
-    return joined.withColumn(text_col, text).drop("_hit", "_spans")
+        found = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").alias("gone"))
+        rows = docs.select(F.struct("*").alias("all"))
+        return rows.join(found, F.col("all").getField(id_col) == F.col("gone"), "left_anti").select("all.*")
+    rows = Scratch(docs.sparkSession).save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")))
+    text = F.col("all").getField(text_col)
+    found = contamination(rows.select("row", text.alias("text")), benchmark, "row", "text", **options).where("contaminated").select(F.col("doc_id").alias("hit"), "spans")
+    joined = rows.join(found, F.col("row") == F.col("hit"), "left")
+    shorter = F.coalesce(without_spans(text, F.col("spans")), text)
+    return joined.select(*[(shorter if c == text_col else F.col("all").getField(c)).alias(c) for c in docs.columns])
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

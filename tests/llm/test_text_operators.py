@@ -121,12 +121,19 @@ def test_contamination(spark, most):
 
 
 def test_decontaminate_spans_and_documents(spark):
-    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "Start. A b, c d e f g h i j? End!"), (2, "clean"), (3, None)], "doc_id long, text string")
-    assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {2, 3}
-    assert {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, cut="spans").collect()} == {1: "Start. End!", 2: "clean", 3: None}
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "p q")], "item_id long, text string")
+    rows = [(1, "Start. A b, c d e f g h i j? End!"), (2, "clean"), (3, None), (None, "p q x"), (2, "- p q, p q p r P Q."), (4, "p q")]
+    docs = spark.createDataFrame([(i, t, 1, "s", 2, "r") for i, t in rows], "doc_id long, text string, _hit int, _spans string, hit int, row string")
+    got = decontam.decontaminate(docs, bench)
+    assert got.columns == docs.columns and [(r.doc_id, r.text, r._hit) for r in got.sort("text").collect()] == [(3, None, 1), (None, "p q x", 1)]
+    got = decontam.decontaminate(docs, bench, cut="spans")
+    assert got.columns == docs.columns and all((r._hit, r._spans, r.hit, r.row) == (1, "s", 2, "r") for r in got.collect())
+    want = [(1, "Start. End!"), (2, "clean"), (3, None), (None, "x"), (2, "- p r "), (4, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
     empty = bench.limit(0)
     assert decontam.contamination(docs, empty).where("n_hit > 0").count() == 0 and decontam.contamination(docs.limit(0), bench).count() == 0
+    spans = decontam.contamination(spark.createDataFrame([(1, "p q p q z p q")], "doc_id long, text string"), bench).first().spans
+    assert [tuple(s) for s in spans] == [(0, 4), (5, 7)]
 
 
 def exact_ids(texts):
