@@ -106,14 +106,53 @@ def test_url_parts_and_rules(spark):
     assert rule["http://myexample.com/en/"] == ("com/", "allow") and rule["https://a.net/fr/1"] == ("net/fr/", "block") and rule["x"][0] is None
 
 
+def reputation(spark, urls_of, labels):
+    table = spark.createDataFrame(urls_of, "page_id long, url string").withColumn("host", urls.host_and_path(F.col("url"))[0])
+    return {r.site: r.bad_bound for r in urls.host_reputation(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), Scratch(spark)).collect()}
+
+
 def test_reputation_shrinks_and_blocks(spark):
-    pages = [(i, f"http://bad.site.org/{i}") for i in range(60)] + [(100 + i, f"http://good{i % 9}.other.org/") for i in range(90)] + [(300, "http://new.site.org/"), (301, "http://new.other.org/")]
+    pages = [(i, f"http://bad.site.org/{i}") for i in range(60)] + [(100 + i, f"http://good{i % 9}.other.org/") for i in range(90)] + [(300, "http://new.site.org:8080/"), (301, "http://me@new.other.org./")]
     labels = [(i, 0, 0) for i in range(60)] + [(100 + i, 1, int(i % 30 == 0)) for i in range(90)] + [(300, None, None)]
-    known = urls.host_reputation(
-        spark.createDataFrame(pages, "page_id long, url string").withColumn("host", urls.host_and_path(F.col("url"))[0]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), Scratch(spark)
-    )
-    bound = {r.host: r.bad_bound for r in known.collect()}
-    assert bound["bad.site.org"] > bound["new.site.org"] > 0.5 > 0.2 > bound["new.other.org"]
+    bound = reputation(spark, pages, labels)
+    assert bound["bad.site.org"] >= bound["new.site.org"] > 0.5 > 0.2 > bound["new.other.org"]
+    # One bad label of two blocks nobody, and no labels nobody either.
+    assert max(reputation(spark, pages, [(0, 0, 0), (100, 1, 0)]).values()) < urls.MAX_BAD
+    assert max(reputation(spark, pages, []).values()) < 0.1
+
+
+def test_registered_domains(spark):
+    cases = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("x.com", "com"), "com": ("com", "com"), "": ("", ""), "u.github.io": ("u.github.io", "github.io"), "10.0.0.1": ("10.0.0.1", ""),
+        "[::1]": ("[::1]", ""), "a.b.c.ck": ("b.c.ck", "c.ck"), "a.www.ck": ("www.ck", "ck"), "a.b.c.d.example.org": ("example.org", "org"),
+    }
+    domain, suffix = urls.domain_and_suffix(F.col("site"))
+    got = {r.site: (r.d, r.s) for r in spark.createDataFrame([(c,) for c in cases], "site string").select("site", domain.alias("d"), suffix.alias("s")).collect()}
+    assert got == cases
+    sites = spark.createDataFrame([("u:p@x.com:80",), ("x.com.",), ("[::1]:443",), ("",)], "host string").select(urls.site_of(F.col("host")).alias("s"))
+    assert [r.s for r in sites.collect()] == ["x.com", "x.com", "[::1]", ""]
+
+
+def test_beta_quantile(spark):
+    """Against the posterior integrated numerically."""
+    cases = [(a, b) for a in (0.6, 2.0, 9.5, 60.0, 900.0) for b in (0.7, 2.5, 19.0, 400.0)]
+    got = spark.createDataFrame(cases, "a double, b double").select("a", "b", urls.beta_quantile(F.col("a"), F.col("b")).alias("q")).collect()
+    x = (np.arange(400_000) + 0.5) / 400_000
+    for r in got:
+        dense = (r.a - 1) * np.log(x) + (r.b - 1) * np.log1p(-x)
+        mass = np.exp(dense - dense.max()).cumsum()
+        exact = x[np.searchsorted(mass, 0.1 * mass[-1])]
+        assert r.q == pytest.approx(exact, abs=0.02), (r.a, r.b, exact)
+
+
+def test_many_rules(spark):
+    """Joined by suffixes, rules give what they give as conditions."""
+    rules = list(urls.RULES) + [("block", f"h{i}.example.com/p/") for i in range(30)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://h3.example.com/p/x", "http://a.h3.example.com/p/", "http://h3.example.com/q", "http://www.example.com/en/", "x", None, "http://a.net/fr/", "http://h3.example.com/p/x"])], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    few = sorted(map(tuple, urls.judge_urls(pages, labels, rules).collect()))
+    many = sorted(map(tuple, urls.judge_urls(pages, labels, rules + [("block", f"none{i}.org/") for i in range(2000)]).collect()))
+    assert few == many and few[0][3] == "h3.example.com/p/"
 
 
 def http(body, kind="text/html", extra=""):
