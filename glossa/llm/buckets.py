@@ -8,14 +8,18 @@ range and sorted again in the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from glossa.llm.shared import Scratch
 
+BAND = np.uint64(63)  # the bits of a key that name its band
+LONG_TEXT = 100_000
 CHUNK_KEYS = 1 << 20
 PART_BYTES = 32 << 20
 RANGES_A_PART = 4
@@ -103,3 +107,92 @@ def members(banded: DataFrame, bands: int, scratch: Scratch) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-16 * n // PART_BYTES))
     dealt = banded.select("node", "bands").mapInArrow(_packed(RANGES_A_PART * parts), "part int, keys binary, nodes binary, hubs binary")
     return scratch.save(dealt.repartition(parts, "part").mapInArrow(_unpacked, "key long, node long, hub long"))
+
+
+class Sets(dict):
+    """Sets of texts, as sorted arrays of 64-bit hashes; a memo, emptied when it holds much."""
+
+    def __init__(self, make: Callable[[str], np.ndarray]):
+        super().__init__()
+        self.make, self.held = make, 0
+
+    def __missing__(self, text: str) -> np.ndarray:
+        if self.held > 1_000_000:
+            self.clear()
+            self.held = 0
+        found = self.make(text)
+        self.held += len(text) + 50
+        self[text] = found
+        return found
+
+
+def reaches(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
+    """Whether the Jaccard similarity of two sets, as sorted arrays, is at least the threshold."""
+    num, den = threshold.numerator, threshold.denominator
+    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    both = int((both[1:] == both[:-1]).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fraction, bands: int, rows: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, links = Sets(maker()), []
+
+        def bucket(key: int, held: list[tuple]) -> None:
+            x = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), bands, rows)
+            up = {r[1]: r[1] for r in held}
+
+            def root(c: int) -> int:
+                while up[c] != c:
+                    up[c] = c = up[up[c]]
+                return c
+
+            for i in range(len(held) - 1):
+                same = x[i] == x[i + 1 :]
+                first = same.all(axis=2).argmax(axis=1) == key & int(BAND)
+                for j in (np.flatnonzero(first & (same.sum(axis=(1, 2)) >= least)) + i + 1).tolist():
+                    (m, c, _, s), (n, d, _, t) = held[i], held[j]
+                    c, d = root(c), root(d)
+                    if c == d:
+                        continue
+                    sure = s is not None and t is not None
+                    if not sure or reaches(sets[s], sets[t], threshold):
+                        links.append((min(m, n), max(m, n), sure))
+                        if sure:
+                            up[c] = d
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*links) if links else ([], [], [])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
+            links.clear()
+            return batch
+
+        key, held = None, []
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key and held:
+                    bucket(key, held)
+                    held = []
+                key = k
+                held.append(tuple(row))
+            yield out()
+        if held:
+            bucket(key, held)
+        yield out()
+
+    return run
+
+
+def joined_in_buckets(rows: DataFrame, maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fraction, bands: int, rows_a_band: int, least: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, sure), a < b, that join components of one bucket of (key, node, comp, sig, text); sizes of buckets must be bounded.
+
+    Two nodes are compared in the bucket of the first band that they share, if at least
+    `least` bytes of their signatures agree and earlier links of the bucket haven't
+    joined them: exactly, by the sets that maker()(text) gives, so that it is sure. Long
+    texts don't travel with every key: pairs of these are given as they are, not sure.
+    """
+    text = F.when(F.length("text") <= LONG_TEXT, F.col("text")).alias("text")
+    dealt = rows.select("key", "node", "comp", "sig", text).repartition("key").sortWithinPartitions("key")
+    return scratch.save(dealt.mapInArrow(_joined(maker, threshold, bands, rows_a_band, least), "a long, b long, sure boolean"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.buckets import members
+from glossa.llm.buckets import BAND, Sets, joined_in_buckets, members, reaches
 from glossa.llm.minhash import MISS, apart, least_matches, nearest, pairs_across, passing
 from glossa.llm.shared import Scratch, components, few, merged_components
 from glossa.llm.words import MULTIPLIER, mix
@@ -38,7 +39,6 @@ CHUNK_CHARS = 60_000
 BASES = {4: 0x9E3779B1, 8: 0x9E3779B97F4A7C15}
 MIX = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _EMPTY = np.uint32(0xFFFFFFFF)
-BAND = np.uint64(63)  # the bits of a key that name its band
 
 
 def plain(line: str) -> str:
@@ -233,37 +233,11 @@ def _sketched(width: int, bands: int, rows: int):
     return run
 
 
-class Sets(dict):
-    """line_set() of lines; a memo, emptied when it holds much."""
-
-    def __init__(self, width: int):
-        super().__init__()
-        self.width, self.held = width, 0
-
-    def __missing__(self, line: str) -> np.ndarray:
-        if self.held > 500_000:
-            self.clear()
-            self.held = 0
-        self.held += len(line)
-        self[line] = found = line_set(line, self.width)
-        return found
-
-
-def reaches(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
-    """Whether the Jaccard similarity of two sets, as sorted arrays, is at least the threshold."""
-    num, den = threshold.numerator, threshold.denominator
-    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
-        return False
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    both = int((both[1:] == both[:-1]).sum())
-    return den * both >= num * (len(x) + len(y) - both)
-
-
 def _alike(threshold: Fraction, width: int):
     """(a, b, x, y) to the (a, b) whose lines x and y reach the threshold on their shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(width)
+        sets = Sets(partial(line_set, width=width))
         for batch in batches:
             kept = [k for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if reaches(sets[x], sets[y], threshold)]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], names=["a", "b"])
@@ -271,56 +245,6 @@ def _alike(threshold: Fraction, width: int):
     return run
 
 
-def _joined(threshold: Fraction, width: int, bands: int, rows: int):
-    """Rows (key, node, comp, sketch, text) of one bucket after the other to links (a, b) that join its components.
-
-    Two nodes are compared in the bucket of the first band that they share, if their
-    sketches allow it and earlier links of the bucket haven't joined them.
-    """
-    least = least_matches(float(threshold), bands * rows, bands * rows, MISS)[-1][1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, links = Sets(width), []
-
-        def bucket(key: int, held: list[tuple]) -> None:
-            x = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), bands, rows)
-            up = {r[1]: r[1] for r in held}
-
-            def root(c: int) -> int:
-                while up[c] != c:
-                    up[c] = c = up[up[c]]
-                return c
-
-            for i in range(len(held) - 1):
-                same = x[i] == x[i + 1 :]
-                first = same.all(axis=2).argmax(axis=1) == key & int(BAND)
-                for j in (np.flatnonzero(first & (same.sum(axis=(1, 2)) >= least)) + i + 1).tolist():
-                    a, b = root(held[i][1]), root(held[j][1])
-                    if a != b and reaches(sets[held[i][3]], sets[held[j][3]], threshold):
-                        up[a] = b
-                        links.append((held[i][0], held[j][0]))
-
-        def out() -> pa.RecordBatch:
-            found = np.array(links, np.int64).reshape(-1, 2)
-            links.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-        key, held = None, []
-        for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key and held:
-                    bucket(key, held)
-                    held = []
-                key = k
-                held.append(tuple(row))
-            yield out()
-        if held:
-            bucket(key, held)
-        yield out()
-
-    return run
-
-
 def _line_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,12 +298,14 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
-    small = left_over.where(F.col("size") <= SMALL).join(texts, "node").select("key", "node", "comp", "sketch", "text")
-    inside = small.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(threshold, width, BANDS, ROWS), "a long, b long")
+    small = left_over.where(F.col("size") <= SMALL).join(texts.withColumnRenamed("sketch", "sig"), "node")
+    least = least_matches(float(threshold), BANDS * ROWS, BANDS * ROWS, MISS)[-1][1]
+    inside = joined_in_buckets(small, lambda: partial(line_set, width=width), threshold, BANDS, ROWS, least, scratch)
     many = left_over.where(F.col("size") > SMALL).select("node", "comp").distinct()
     sets = texts.join(many, "node").select(F.col("node").alias("id"), "comp", "text").mapInArrow(_line_sets(width), "id long, comp long, shingles array<long>")
-    across = pairs_across(sets, threshold, scratch, unique=True)
-    more = scratch.save(inside.unionByName(verified(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"))))
+    across = inside.where("not sure").select("a", "b").unionByName(pairs_across(sets, threshold, scratch, unique=True)).distinct()
+    across = across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
+    more = scratch.save(inside.where("sure").select("a", "b").unionByName(verified(across)))
     if not more.isEmpty():
         joined = merged_components(joined, more, scratch)
 

@@ -7,8 +7,8 @@
    probability (1 - 0.75**ROWS)**BANDS, about 5e-6.
 3. Each bucket first compares its members with its hubs only (stars), never all pairs.
    Buckets whose members are then in one component are done. In the others, members of
-   different components are compared: by signatures inside buckets of up to SMALL, else
-   those that share one of their rarest shingles early enough for the similarity (prefix
+   different components are compared: in buckets of up to SMALL in place, else those that
+   share one of their rarest shingles early enough for the similarity (prefix
    and position filters, both exact).
 4. A candidate pair is compared batch by batch of its signatures and dropped as soon
    as the posterior probability of a similarity at the threshold falls under MISS.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import partial
 from math import comb
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.buckets import members
+from glossa.llm.buckets import BAND, joined_in_buckets, members
 from glossa.llm.shared import Scratch, components, few, merged_components
 from glossa.llm.words import MULTIPLIER, WordHashes, mix, shingle_set
 
@@ -100,7 +101,7 @@ def _sketches(width: int, bands: int, rows: int):
                 found = np.zeros(wide.shape[:2], np.uint64)
                 for r in range(rows):
                     found = mix(found * MULTIPLIER + wide[:, :, r])
-                found = mix(found + np.arange(bands, dtype=np.uint64))
+                found = mix(found) & ~BAND | np.arange(bands, dtype=np.uint64)
                 low = (every >> np.uint32(11)).astype(np.uint8)  # of the least values the upper bits are alike
                 for i, sig, key in zip(at, low, found):
                     sigs[i], keys[i] = sig.tobytes(), key.tobytes()
@@ -132,65 +133,25 @@ def passing(threshold: float, n_hashes: int, batch_size: int = BATCH):
     return run
 
 
-def _compared(threshold: float, n_hashes: int, batch_size: int):
-    """Rows (key, node, comp, sig) of one bucket after the other to its pairs (a, b) that passing() would leave, of different components."""
-    bounds = least_matches(threshold, n_hashes, batch_size, MISS)
+def _sets(width: int):
+    """(text) to (node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(nodes, comps, sigs) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            order = np.argsort(nodes)
-            nodes, comps, x = nodes[order], comps[order], np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, n_hashes)[order]
-            a, b = np.nonzero(np.triu(comps[:, None] != comps[None, :]))
-            for lo in range(0, len(a), 1 << 16):
-                i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                agreed, done = np.zeros(len(i), np.int64), 0
-                for n, least in bounds:
-                    agreed += (x[i, done:n] == x[j, done:n]).sum(axis=1)
-                    left = agreed >= least
-                    i, j, agreed, done = i[left], j[left], agreed[left], n
-                yield nodes[i], nodes[j]
-
-        def out(found) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], names=["a", "b"])
-
-        key, held, sigs, found = None, [], [], []
+        memo = WordHashes()
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            for k, node, comp, sig in zip(*(c.tolist() for c in columns), batch.column(3).to_pylist()):
-                if k != key and held:
-                    found += pairs(*np.array(held, np.int64).T, sigs)
-                    held, sigs = [], []
-                    if sum(len(x) for x, _ in found) > 100_000:
-                        yield out(found)
-                        found = []
-                key = k
-                held.append((node, comp)), sigs.append(sig)
-        if held:
-            found += pairs(*np.array(held, np.int64).T, sigs)
-        if found:
-            yield out(found)
+            sets = [shingle_set(t.as_py(), width, memo) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
 
-def within_buckets(members: DataFrame, sigs: DataFrame, threshold: float, n_hashes: int, batch_size: int) -> DataFrame:
-    """Pairs a < b of bucket members (key, node, comp), distinct in a bucket, that signatures (node, sig) don't rule out.
-
-    A bucket is compared whole in one task, so its size must be bounded.
-    """
-    node, sig = sigs.columns
-    rows = members.select("key", "node", "comp").join(sigs.select(F.col(node).alias("node"), F.col(sig).alias("sig")), "node").select("key", "node", "comp", "sig")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(threshold, n_hashes, batch_size), "a long, b long").distinct()
-
-
-def _sets(width: int):
-    """(text) to (node, shingles)."""
+def _named(width: int):
+    """(text) to (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width, memo) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(shingle_set(t.as_py(), width, memo)) for t in batch.column(0)], pa.int64()), batch.column(0).cast(pa.string())], names=["node", "text"])
 
     return run
 
@@ -219,14 +180,20 @@ def near_duplicates(
     reps = scratch.save(named.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     found_in = members(sketched.where("bands is not null and id is not null").select("node", "bands"), BANDS, scratch)
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """node, shingles: once for each of some distinct nodes."""
+    def read_of(nodes: DataFrame, run, schema: str, column: str) -> DataFrame:
+        """node and what run makes of its text: once for each of some distinct nodes."""
         nodes = scratch.save(nodes)
         first = scratch.save(reps.join(few(nodes), "node", "left_semi").select(F.col("least").alias("id")).distinct())
-        sets = texts.join(few(first), "id", "left_semi").select("text").mapInArrow(_sets(width), "node long, shingles array<long>")
-        sets = scratch.save(sets.join(few(nodes), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")))
+        read = texts.join(few(first), "id", "left_semi").select("text").mapInArrow(run, schema)
+        read = scratch.save(read.join(few(nodes), "node", "left_semi").groupBy("node").agg(F.min(column).alias(column)))
         scratch.drop(nodes, first)
-        return sets
+        return read
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return read_of(nodes, _sets(width), "node long, shingles array<long>", "shingles")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return read_of(nodes, _named(width), "node long, text string", "text")
 
     def sigs_of(nodes: DataFrame) -> DataFrame:
         """node, sig: once for each of some distinct nodes."""
@@ -260,12 +227,15 @@ def near_duplicates(
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
-    across = within_buckets(left_over.where(F.col("size") <= SMALL), sigs_of(left_over.select("node").distinct()), float(threshold), BANDS * ROWS, BATCH)
+    small = scratch.save(left_over.where(F.col("size") <= SMALL).join(sigs_of(left_over.select("node").distinct()), "node"))
+    least = least_matches(float(threshold), BANDS * ROWS, BATCH, MISS)[-1][1]
+    inside = joined_in_buckets(small.join(texts_of(small.select("node").distinct()), "node"), lambda: partial(shingle_set, width=width, memo=WordHashes()), threshold, BANDS, ROWS, least, scratch)
     many = scratch.save(left_over.where(F.col("size") > SMALL).select("node", "comp").distinct())
     sets = sets_of(many.select("node")).join(many, "node").select(F.col("node").alias("id"), "comp", "shingles")
-    across = across.unionByName(pairs_across(sets, threshold, scratch)).distinct()
+    across = inside.where("not sure").select("a", "b").unionByName(pairs_across(sets, threshold, scratch)).distinct()
     # A pair goes from its smaller node, as a star's does.
-    more = verified(scratch.save(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")))
+    across = scratch.save(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"))
+    more = scratch.save(inside.where("sure").select("a", "b").unionByName(verified(across)))
     whole = joined if more.isEmpty() else merged_components(joined, more, scratch)
 
     # The smallest id of each component; a node without links is a component of its own.
