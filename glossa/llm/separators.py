@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import Scratch
+from glossa.llm.shared import Scratch, bounded_batches
 from glossa.llm.tokens import VOCABULARY, Encoder
 
 END_OF_TEXT = 50256
@@ -54,18 +54,64 @@ def token_blocks(docs: DataFrame, text_col: str = "text", end_id: int = END_OF_T
     return docs.select(F.col(text_col)).mapInArrow(run, BLOCKS)
 
 
-def read_token_files(spark: SparkSession, path: str, itemsize: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block, ids: flat files of little-endian ids in blocks. Spark's binary source takes files up to 2 GB."""
+def _pieces(block_bytes: int):
+    """(file, start, size, piece), pieces without the byte 10 between them, to (file, start, size, nth, data): data of about block_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = itemsize * block_tokens
+        key, held, n, nth = None, [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            nonlocal held, n, nth
+            columns = [[key[0]], [key[1]], [key[2]], [nth], [b"\n".join(held) + b"\n"]]
+            held, n, nth = [], 0, nth + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["file", "start", "size", "nth", "data"])
+
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1)):
-                data = memoryview(data.as_buffer())
-                for i, lo in enumerate(range(0, len(data), size)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([i], pa.int64()), pa.array([bytes(data[lo : lo + size])], pa.binary())], names=["file", "block", "ids"])
+            for file, start, size, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, start, size) != key:
+                    if held:
+                        yield out()
+                    key, nth = (file, start, size), 0
+                held.append(piece)
+                n += len(piece) + 1
+                if n >= block_bytes:
+                    yield out()
+        if held:
+            yield out()
+
+    return run
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCKS)
+
+def read_token_files(spark: SparkSession, path: str, itemsize: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """file, block, ids: flat files, of any size, of little-endian ids in blocks of about block_tokens.
+
+    Spark's text source reads the parts of a file in parallel, with the byte 10 as its
+    line end: it keeps all other bytes as they are. Parts begin and end anywhere in an
+    id, so a scan over the blocks' sizes finds each block's place in its file, and ids
+    over a border are stitched. Bytes after a file's last whole id don't count; empty
+    files, and such of a UTF-8 mark alone, have no blocks.
+    """
+    bounded_batches(spark)
+    place = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"), ("file_size", "size"))]
+    pieces = spark.read.option("lineSep", "\n").text(path).select(*place, F.col("value").cast("binary").alias("piece"))
+    raw = Scratch(spark).save(pieces.mapInArrow(_pieces(itemsize * block_tokens), "file string, start long, size long, nth int, data binary"))
+    file, none = Window.partitionBy("file"), F.lit(b"")
+    order = file.orderBy("start", "nth")
+    brief = raw.select("file", "start", "nth", "size", F.octet_length("data").cast("long").alias("n"), F.substring("data", 1, itemsize).alias("head"))
+    # The source takes a leading mark of UTF-8 away, and the last piece has a line end that may not be there.
+    marked = F.when(F.sum("n").over(file) <= F.col("size") - 2, 3).otherwise(0)
+    brief = brief.withColumns({
+        "block": F.row_number().over(order).cast("long") - 1, "mark": marked, "before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "next": F.concat(*[F.coalesce(F.lead("head", k).over(order), none) for k in range(1, itemsize + 1)]),
+    })
+    first = F.col("block") == 0
+    brief = brief.withColumn("at", F.when(first, 0).otherwise(F.col("before") + F.col("mark"))).withColumn("end", F.least(F.col("before") + F.col("mark") + F.col("n"), "size"))
+    brief = brief.withColumns({"skip": F.pmod(-F.col("at"), F.lit(itemsize)).cast("int"), "need": F.pmod(-F.col("end"), F.lit(itemsize)).cast("int"), "own": (F.col("end") - F.col("at")).cast("int")})
+    data = F.concat(F.when(first & (F.col("mark") > 0), F.lit(b"\xef\xbb\xbf")).otherwise(none), F.col("data"))
+    own = F.substring(data, F.col("skip") + 1, F.greatest(F.col("own") - F.col("skip"), F.lit(0)))
+    ids = F.when(F.col("own") <= F.col("skip"), none).otherwise(F.concat(own, F.substring("next", F.lit(1), F.col("need"))))
+    keys = brief.select("file", "start", "nth", "block", "mark", "skip", "need", "own", "next")
+    return raw.join(keys, ["file", "start", "nth"]).select("file", "block", ids.alias("ids"))
 
 
 def _scan(end_id: int, itemsize: int):

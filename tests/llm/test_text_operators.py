@@ -261,6 +261,27 @@ def test_separator_scan(spark):
     assert separators.document_counts(table.limit(0), 9, 2).count() == 0
 
 
+@pytest.mark.parametrize("itemsize", [2, 4])
+def test_token_files_in_parts(spark, tmp_path, itemsize):
+    """Parts and blocks begin anywhere: the ids come back whole, whatever bytes they have."""
+    rng = np.random.default_rng(itemsize)
+    plain = rng.integers(0, 40, 3000).astype(f"<u{itemsize}").tobytes()
+    mark = b"\xef\xbb\xbf\x00"
+    files = {"a": plain, "b": b"\n" * 401, "c": plain[:37], "d": b"", "e": mark + plain[:400], "f": bytes([10, 0] * 200), "g": mark, "h": bytes(rng.integers(0, 256, 5000, np.uint8))}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for tokens in (1, 7, 1000):
+            got = {}
+            for r in separators.read_token_files(spark, str(tmp_path), itemsize, tokens).orderBy("file", "block").collect():
+                assert len(r.ids) % itemsize == 0 or r.file[-1] in "bcegh"
+                got[r.file[-1]] = got.get(r.file[-1], b"") + bytes(r.ids)
+            assert {k: v[: len(v) // itemsize * itemsize] for k, v in got.items()} == {k: v[: len(v) // itemsize * itemsize] for k, v in files.items() if v}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_separator_scan_of_documents_and_files(spark, tmp_path):
     docs = corpus()
     encoder = Encoder(special=False)
