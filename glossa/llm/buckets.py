@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.shared import Scratch
+from glossa.llm.words import MULTIPLIER, mix
 
 BAND = np.uint64(63)  # the bits of a key that name its band
 LONG_TEXT = 100_000
@@ -61,8 +62,10 @@ def _packed(parts: int):
             bands = batch.column(1)
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(bands.to_pylist()), np.uint64)
-            held.append((keys, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(keys) // batch.num_rows)))
+            keys = np.frombuffer(b"".join(bands.to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            band = np.arange(keys.shape[1], dtype=np.uint64)
+            keys = (mix(keys + (band + np.uint64(1)) * MULTIPLIER) & ~BAND | band).ravel()
+            held.append((keys, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(band))))
             n += len(keys)
             if n >= CHUNK_KEYS:
                 yield out()
@@ -96,9 +99,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def members(banded: DataFrame, bands: int, scratch: Scratch) -> DataFrame:
-    """key, node, hub: the nodes of every key that two different nodes have.
+    """key, node, hub: the nodes of every key, a band's value, that two different nodes have.
 
-    banded: node (long), bands (binary: `bands` 64-bit keys), saved. hub is the smallest
+    banded: node (long), bands (binary: a 64-bit value for each of `bands` bands), saved. hub is the smallest
     node of the key among some of its nodes; the links of nodes and hubs of a key connect
     all of its nodes, with a smallest one to which every other leads. Nodes may repeat.
     """
@@ -141,7 +144,7 @@ def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fractio
         sets, links = Sets(maker()), []
 
         def bucket(key: int, held: list[tuple]) -> None:
-            x = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), bands, rows)
+            x = np.frombuffer(b"".join(r[2] for r in held), f"u{len(held[0][2]) // (bands * rows)}").reshape(len(held), bands, rows)
             up = {r[1]: r[1] for r in held}
 
             def root(c: int) -> int:
@@ -157,8 +160,8 @@ def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fractio
                     c, d = root(c), root(d)
                     if c == d:
                         continue
-                    sure = s is not None and t is not None
-                    if not sure or reaches(sets[s], sets[t], threshold):
+                    sure = s.is_valid and t.is_valid
+                    if not sure or reaches(sets[s.as_py()], sets[t.as_py()], threshold):
                         links.append((min(m, n), max(m, n), sure))
                         if sure:
                             up[c] = d
@@ -171,12 +174,12 @@ def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fractio
 
         key, held = None, []
         for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, node, comp, sig, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 if k != key and held:
                     bucket(key, held)
                     held = []
                 key = k
-                held.append(tuple(row))
+                held.append((node, comp, sig, text))
             yield out()
         if held:
             bucket(key, held)
@@ -189,7 +192,7 @@ def joined_in_buckets(rows: DataFrame, maker: Callable[[], Callable[[str], np.nd
     """Pairs (a, b, sure), a < b, that join components of one bucket of (key, node, comp, sig, text); sizes of buckets must be bounded.
 
     Two nodes are compared in the bucket of the first band that they share, if at least
-    `least` bytes of their signatures agree and earlier links of the bucket haven't
+    `least` parts of their signatures agree and earlier links of the bucket haven't
     joined them: exactly, by the sets that maker()(text) gives, so that it is sure. Long
     texts don't travel with every key: pairs of these are given as they are, not sure.
     """

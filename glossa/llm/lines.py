@@ -7,8 +7,9 @@
 2. A bucket compares its members with its hubs only. Buckets that then hold more than one
    component compare members of different components: all of them up to SMALL members, in
    larger buckets those that share a rare shingle (prefix filter).
-3. Candidates whose sketches differ too much are pruned, as in near-duplicate search, and
-   the rest verified by the exact Jaccard similarity of their shingle sets.
+3. Candidates whose sketches differ too much for the threshold (posterior probability
+   under MISS) are pruned, and the rest verified by the exact Jaccard similarity of their
+   shingle sets.
 4. Components by distributed union-find; the first line of each is kept.
 """
 
@@ -24,15 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.buckets import BAND, Sets, joined_in_buckets, members, reaches
-from glossa.llm.minhash import MISS, apart, least_matches, nearest, pairs_across, passing
+from glossa.llm.buckets import Sets, joined_in_buckets, members, reaches
+from glossa.llm.minhash import least_matches, nearest, pairs_across
 from glossa.llm.shared import Scratch, components, few, merged_components
-from glossa.llm.words import MULTIPLIER, mix
+from glossa.llm.words import mix
 
 WIDTH = 9
 BANDS, ROWS = 16, 4
 THRESHOLD = Fraction(4, 5)
-BATCH = 16
+MISS = 1e-4
 SMALL = 512
 SEEN_LINES = 300_000
 CHUNK_CHARS = 60_000
@@ -180,29 +181,30 @@ def sketches(hashes: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
     return found
 
 
-_LINES = "row long, doc_id long, line int, node long, text string, sketch binary, bands binary"
+_LINES = "row long, doc_id long, line int, node long, text string, sketch binary"
 
 
 def _sketched(width: int, bands: int, rows: int):
-    """(row, doc_id, text) to _LINES: a row for each line that isn't blank; text, sketch and bands are null where the task has given them lately."""
+    """(row, doc_id, text) to _LINES: a row for each line that isn't blank; text and sketch are null where the task has given them lately.
+
+    Of a min-hash 16 bits are kept, so that the ROWS of a band are one 64-bit value.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         of, docs, numbers, nodes, texts, fresh = [], [], [], [], [], []
 
         def out() -> pa.RecordBatch:
-            sketch: list = [None] * len(of)
-            banded: list = [None] * len(of)
+            sizes = np.zeros(len(of) + 1, np.int32)
+            data = b""
             if fresh:
-                found = sketches(*shingles([texts[k] for k in fresh], width), bands * rows)
-                mixed = np.zeros((len(fresh), bands), np.uint64)
-                for r in range(rows):
-                    mixed = mix(mixed * MULTIPLIER + found.reshape(-1, bands, rows)[:, :, r])
-                keys, low = mix(mixed) & ~BAND | np.arange(bands, dtype=np.uint64), found.astype(np.uint8)
-                for k, x, y in zip(fresh, low, keys):
-                    sketch[k], banded[k] = x.tobytes(), y.tobytes()
-            types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((of, docs, numbers, nodes, texts, sketch, banded), types)], names=[f.split()[0] for f in _LINES.split(", ")])
+                data = sketches(*shingles([texts[k] for k in fresh], width), bands * rows).astype(np.uint16).tobytes()
+                sizes[np.array(fresh) + 1] = 2 * bands * rows
+            valid = np.packbits(sizes[1:] > 0, bitorder="little").tobytes()
+            sketch = pa.Array.from_buffers(pa.binary(), len(of), [pa.py_buffer(valid), pa.py_buffer(np.cumsum(sizes, dtype=np.int32)), pa.py_buffer(data)])
+            types = pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()
+            columns = [pa.array(c, t) for c, t in zip((of, docs, numbers, nodes, texts), types)]
+            batch = pa.RecordBatch.from_arrays([*columns, sketch], names=[f.split()[0] for f in _LINES.split(", ")])
             for column in (of, docs, numbers, nodes, texts, fresh):
                 column.clear()
             return batch
@@ -233,13 +235,17 @@ def _sketched(width: int, bands: int, rows: int):
     return run
 
 
-def _alike(threshold: Fraction, width: int):
-    """(a, b, x, y) to the (a, b) whose lines x and y reach the threshold on their shingle sets."""
+def _alike(threshold: Fraction, width: int, least: int):
+    """(a, b, sketch_a, sketch_b, text_a, text_b) to the (a, b) whose sketches allow it and whose lines reach the threshold on their shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(partial(line_set, width=width))
         for batch in batches:
-            kept = [k for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())) if reaches(sets[x], sets[y], threshold)]
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+            likely = np.flatnonzero((x == y).sum(axis=1) >= least).tolist()
+            kept = [k for k in likely if reaches(sets[batch.column(4)[k].as_py()], sets[batch.column(5)[k].as_py()], threshold)]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(kept, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -264,7 +270,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     then line. row numbers the input's rows, so that repeated and null ids are documents
     of their own. Null and empty texts have no lines; extra columns are ignored; no rows
     give no lines. A pair at the threshold is missed with probability
-    (1 - threshold**ROWS)**BANDS, 2e-4; the more alike, the less.
+    (1 - threshold**ROWS)**BANDS, 2e-4, or MISS; the more alike, the less.
     """
     return _grouped(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), threshold, width, Scratch(docs.sparkSession))
 
@@ -273,39 +279,37 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
     """line_groups() of (row, doc_id, text). The table is read once, so its row numbers needn't be the same at every reading."""
     whole = scratch.save(numbered.select("row", "doc_id", "text").mapInArrow(_sketched(width, BANDS, ROWS), _LINES))
     lines = scratch.save(whole.select("row", "doc_id", "line", "node"))
-    found_in = members(whole.where("bands is not null").select("node", "bands"), BANDS, scratch)
+    found_in = members(whole.where("sketch is not null").select("node", F.col("sketch").alias("bands")), BANDS, scratch)
     # Of all nodes that have to be compared, once each.
     met = scratch.save(found_in.select("node").distinct())
     kept = whole.where("text is not null").select("node", "text", "sketch").join(few(met), "node", "left_semi")
     texts = scratch.save(kept.groupBy("node").agg(F.min("text").alias("text"), F.min("sketch").alias("sketch")))
     scratch.drop(whole, met)
+    least = least_matches(float(threshold), BANDS * ROWS, BANDS * ROWS, MISS)[-1][1]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = pairs
-        for columns, passes in ((("sketch",), passing(float(threshold), BANDS * ROWS, BATCH)), (("text",), _alike(threshold, width))):
-            a, b = (texts.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
-            both = likely.join(a, "a").join(b, "b").select("a", "b", *[f"{c}_{s}" for c in columns for s in "ab"])
-            likely = scratch.save(both.mapInArrow(passes, "a long, b long"))
-        return likely
-
-    stars = scratch.save(found_in.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys")))
-    best = scratch.save(nearest(stars))
-    joined = components(verified(best), scratch)
-    rest = scratch.save(apart(stars, joined).join(best, ["a", "b"], "left_anti"))
-    joined = merged_components(joined, verified(rest), scratch)
+        a, b = (texts.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b", "text_a", "text_b")
+        return scratch.save(both.mapInArrow(_alike(threshold, width, least), "a long, b long"))
+
+    # A node is compared with the hub that it shares most keys with.
+    best = scratch.save(nearest(found_in.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))))
+    joined = scratch.save(components(verified(best), scratch))
 
     placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
     small = left_over.where(F.col("size") <= SMALL).join(texts.withColumnRenamed("sketch", "sig"), "node")
-    least = least_matches(float(threshold), BANDS * ROWS, BANDS * ROWS, MISS)[-1][1]
     inside = joined_in_buckets(small, lambda: partial(line_set, width=width), threshold, BANDS, ROWS, least, scratch)
     many = left_over.where(F.col("size") > SMALL).select("node", "comp").distinct()
     sets = texts.join(many, "node").select(F.col("node").alias("id"), "comp", "text").mapInArrow(_line_sets(width), "id long, comp long, shingles array<long>")
-    across = inside.where("not sure").select("a", "b").unionByName(pairs_across(sets, threshold, scratch, unique=True)).distinct()
-    across = across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti")
-    more = scratch.save(inside.where("sure").select("a", "b").unionByName(verified(across)))
+    across = inside.where("not sure").select("a", "b")
+    if not many.isEmpty():
+        across = across.unionByName(pairs_across(sets, threshold, scratch, unique=True))
+    more = inside.where("sure").select("a", "b")
+    if not across.isEmpty():
+        more = more.unionByName(verified(across.distinct().join(best, ["a", "b"], "left_anti")))
     if not more.isEmpty():
         joined = merged_components(joined, more, scratch)
 

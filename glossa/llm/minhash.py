@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.buckets import BAND, joined_in_buckets, members
+from glossa.llm.buckets import joined_in_buckets, members
 from glossa.llm.shared import Scratch, components, few, merged_components
 from glossa.llm.words import MULTIPLIER, WordHashes, mix, shingle_set
 
@@ -101,7 +101,6 @@ def _sketches(width: int, bands: int, rows: int):
                 found = np.zeros(wide.shape[:2], np.uint64)
                 for r in range(rows):
                     found = mix(found * MULTIPLIER + wide[:, :, r])
-                found = mix(found) & ~BAND | np.arange(bands, dtype=np.uint64)
                 low = (every >> np.uint32(11)).astype(np.uint8)  # of the least values the upper bits are alike
                 for i, sig, key in zip(at, low, found):
                     sigs[i], keys[i] = sig.tobytes(), key.tobytes()
@@ -212,30 +211,30 @@ def near_duplicates(
         scratch.drop(likely, sets)
         return kept
 
-    # A node is compared with the hub that it shares most keys with, then with those it isn't joined with yet.
-    stars = scratch.save(found_in.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys")))
-    best = scratch.save(nearest(stars))
+    # A node is compared with the hub that it shares most keys with.
+    best = scratch.save(nearest(found_in.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))))
     # Nodes that share an id are one document.
     several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
     by_id = named.join(several, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    joined = components(verified(best).unionByName(by_id), scratch)
-    rest = scratch.save(apart(stars, joined).join(best, ["a", "b"], "left_anti"))
-    joined = merged_components(joined, verified(rest), scratch)
+    joined = scratch.save(components(verified(best).unionByName(by_id), scratch))
 
     # What is left: documents in buckets with members of more than one component.
     placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2 and size > 2").select("key", "size")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
-    small = scratch.save(left_over.where(F.col("size") <= SMALL).join(sigs_of(left_over.select("node").distinct()), "node"))
+    small = left_over.where(F.col("size") <= SMALL)
+    nodes = scratch.save(small.select("node").distinct())
     least = least_matches(float(threshold), BANDS * ROWS, BATCH, MISS)[-1][1]
-    inside = joined_in_buckets(small.join(texts_of(small.select("node").distinct()), "node"), lambda: partial(shingle_set, width=width, memo=WordHashes()), threshold, BANDS, ROWS, least, scratch)
+    inside = joined_in_buckets(small.join(sigs_of(nodes), "node").join(texts_of(nodes), "node"), lambda: partial(shingle_set, width=width, memo=WordHashes()), threshold, BANDS, ROWS, least, scratch)
     many = scratch.save(left_over.where(F.col("size") > SMALL).select("node", "comp").distinct())
-    sets = sets_of(many.select("node")).join(many, "node").select(F.col("node").alias("id"), "comp", "shingles")
-    across = inside.where("not sure").select("a", "b").unionByName(pairs_across(sets, threshold, scratch)).distinct()
-    # A pair goes from its smaller node, as a star's does.
-    across = scratch.save(across.join(best, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"))
-    more = scratch.save(inside.where("sure").select("a", "b").unionByName(verified(across)))
+    across = inside.where("not sure").select("a", "b")
+    if not many.isEmpty():
+        sets = sets_of(many.select("node")).join(many, "node").select(F.col("node").alias("id"), "comp", "shingles")
+        across = across.unionByName(pairs_across(sets, threshold, scratch))
+    more = inside.where("sure").select("a", "b")
+    if not across.isEmpty():  # a pair goes from its smaller node, as a star's does
+        more = more.unionByName(verified(scratch.save(across.distinct().join(best, ["a", "b"], "left_anti"))))
     whole = joined if more.isEmpty() else merged_components(joined, more, scratch)
 
     # The smallest id of each component; a node without links is a component of its own.
@@ -255,14 +254,6 @@ def nearest(stars: DataFrame) -> DataFrame:
     return stars.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
 
 
-def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs (a, b) that joined (node, component) doesn't have in one component."""
-    for s in "ab":
-        own = joined.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-        pairs = pairs.join(own, s, "left")
-    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
