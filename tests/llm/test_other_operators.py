@@ -315,5 +315,5 @@ def test_pipeline(spark, sf_dir):
             ids = docs.select("doc_id").distinct().count()
     assert sizes[1] > 0.6 * sizes[0] and docs.select("doc_id").distinct().count() == ids
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
