@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import warnings
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,8 @@ ROUNDS = 2
 CONFIDENT = 0.98
 #: Weight of all exchanged labels of a kind in the last round, to that of the given ones.
 SHARE = 0.5
-RIDGE = 2e-4
+RIDGE = 5e-5
+STEM, FORMS = 5, (2, 3, 5)  # a word's first letters, and numbers of distinct words that share them
 #: The combination leans to half of either logit as if by so many rows, and no view counts less than this or against its own labels.
 MIX_ROWS, MIX_LEAST = 5, 0.1
 STEPS, MORE_STEPS, LEAST_GAIN = 40, 15, 1e-4
@@ -57,11 +59,14 @@ class Places(dict):
 
 
 def text_features(text: str | None, places: Places) -> set[int]:
-    """Places of the words, of the symbols at words, and of the text's shape."""
+    """Places of the words, of stems that several words share, of the symbols at words, and of the text's shape."""
     text = text or ""
     words = text.split()
     distinct = set(words)
-    found = {places[w] for w in {x.lower().strip(_EDGE) for x in distinct} if w}
+    plain = {x.lower().strip(_EDGE) for x in distinct}
+    found = {places[w] for w in plain if w}
+    for stem, n in Counter([w[:STEM] for w in plain if len(w) > STEM]).items():
+        found |= {places[f"stem {stem} {k}"] for k in FORMS if n >= k}
     found |= {places["symbols " + s] for s in set(_SYMBOLS.findall(" ".join(distinct)))}
     n, letters = len(words), len(text)
     upper = sum(w.isupper() and len(w) > 1 for w in words)
