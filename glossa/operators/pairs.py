@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.edit import PHONETIC_PAIRS, graphic_distance, phonetic_distance, phonetic_tokens
+from glossa.functions.edit import PHONETIC_PAIRS, graphic_distance, graphic_similarity, phonetic_distance, phonetic_tokens
 from glossa.functions.text import fixed3, let, normalize_graphic
 
 # The texts of the explanations.
@@ -24,9 +24,30 @@ def distinct_words(df: DataFrame, column: str) -> DataFrame:
     return df.select(normalize_graphic(F.col(column)).alias("word")).where("word <> ''").distinct()
 
 
+#: Words up to which one side of all pairs is broadcast.
+BROADCAST_WORDS = 100_000
+
+
 def all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b: every pair of two tables of words, for vocabularies small enough that all pairs are wanted."""
-    return a.select(F.col("word").alias("a")).join(b.select(F.col("word").alias("b")), how="cross")
+    other = b.select(F.col("word").alias("b"))
+    if other.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        other = F.broadcast(other)
+    return a.select(F.col("word").alias("a")).join(other, how="cross")
+
+
+def most_similar(words: DataFrame, k: int) -> DataFrame:
+    """a, b, similarity: the k most similar pairs a < b of distinct words, ties in order of the words.
+
+    Pairs are made for as high a similarity as k of them reach; all of them only if no k do.
+    """
+    for least in (0.8, 0.6, 0.4, 0.2):
+        found = similar_pairs(words, words, least).where("a < b").select("a", "b", F.round("similarity", 9).alias("similarity"))
+        top = found.orderBy(F.desc("similarity"), "a", "b").limit(k)
+        if top.count() == k:
+            return top
+    found = all_pairs(words, words).where("a < b").withColumn("similarity", F.round(graphic_similarity(F.col("a"), F.col("b")), 9))
+    return found.orderBy(F.desc("similarity"), "a", "b").limit(k)
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, least: float, q: int = 2) -> DataFrame:

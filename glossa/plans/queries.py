@@ -48,8 +48,7 @@ def graphic_similarity(spark, sf_dir):
 
 
 def graphic_topk(spark, sf_dir):
-    found = graphic_similarity(spark, sf_dir).where("a < b")
-    return found.orderBy(F.desc("similarity"), "a", "b").limit(20)
+    return pairs.most_similar(tables.part_words(spark, sf_dir), 20)
 
 
 def graphic_blocked_join(spark, sf_dir):

@@ -15,7 +15,7 @@ def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = part_words(spark, sf_dir)
-    return all_pairs(words, F.broadcast(words))
+    return all_pairs(words, words)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,15 @@ def test_pruned_join_is_exact(spark, least):
     assert got == {(p, q) for p in a for q in b if 1 - plain_graphic(p, q) / max(len(p), len(q)) >= least}
 
 
+@pytest.mark.parametrize("letters", ["abc", "abcdefghijklmnop"])
+def test_most_similar(spark, letters):
+    """The same pairs as all of them in order, whether many are alike or few."""
+    ws = sorted({w for w in words(30, 5, letters) if w})
+    scored = sorted((-round(1 - plain_graphic(a, b) / max(len(a), len(b)), 9), a, b) for a in ws for b in ws if a < b)
+    got = pairs.most_similar(spark.createDataFrame([(w,) for w in ws], "word string"), 15).collect()
+    assert [(r.a, r.b, -r.similarity) for r in got] == [(a, b, pytest.approx(s)) for s, a, b in scored[:15]]
+
+
 def test_normalisation(spark):
     assert one(spark, text.normalize_graphic(F.col("a")), a="﻿  AbC　") == "abc"
     assert one(spark, text.normalize_text(F.col("a")), a=" Ёж \t  И ") == "еж и" and one(spark, text.normalize_text(F.col("a")), a=None) == ""
