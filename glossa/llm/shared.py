@@ -103,9 +103,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether each u of edges (u > v) has one v, which has none itself: then v is u's component."""
-    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-    inner = edges.join(edges.select(F.col("v").alias("p")).distinct(), F.col("u") == F.col("p"), "left_semi").select("u")
-    return twice.unionByName(inner).isEmpty()
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("downs")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
+    return roles.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs")).where("ups > 1 or ups = 1 and downs = 1").isEmpty()
 
 
 def merged_components(joined: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
