@@ -20,9 +20,10 @@ from fractions import Fraction
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.buckets import Sets, joined_in_buckets, members, reaches
@@ -326,14 +327,16 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
     )
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, cut) to (row, text): without the lines whose numbers are in cut, an array."""
-    for batch in batches:
-        texts = []
-        for text, cut in zip(batch.column(1), batch.column(2)):
-            lines, gone = text.as_py().split("\n"), set(cut.as_py())
-            texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
+    """Each text without the lines whose numbers are in cut; null texts stay."""
+
+    def left(text: str | None, cut) -> str | None:
+        if text is None:
+            return None
+        gone = set(cut)
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+    return pd.Series(map(left, text, cut), dtype=object)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True, threshold: Fraction = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -350,16 +353,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = _grouped(numbered.select("row", F.col("all").getField(id_col).cast("long").alias("doc_id"), F.col("all").getField(text_col).alias("text")), threshold, width, scratch)
     cut = groups.groupBy("row").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("cut"), F.count("*").alias("n")).where(F.size("cut") > 0)
     cut = scratch.save(cut)
-    some = cut.where(F.size("cut") < F.col("n")) if drop_emptied else cut
-    texts = numbered.select("row", F.col("all").getField(text_col).alias("text")).join(some.select("row", "cut"), "row").mapInArrow(_without, "row long, text string")
-    made = numbered.join(texts.select("row", F.lit(True).alias("changed"), F.col("text").alias("shorter")), "row", "left")
+    made = numbered.join(cut, "row", "left")
     if drop_emptied:
-        made = made.join(cut.where(F.size("cut") == F.col("n")).select("row"), "row", "left_anti")
-    def column(c: str) -> Column:
-        own = F.col("all").getField(c)
-        return (F.when(F.col("changed"), F.col("shorter")).otherwise(own) if c == text_col else own).alias(c)
-
-    return made.select(*map(column, docs.columns))
+        made = made.where(F.col("n").isNull() | (F.size("cut") < F.col("n")))
+    text = F.col("all").getField(text_col)
+    shorter = F.pandas_udf(_without, "string")(F.when(F.col("n").isNotNull(), text), F.col("cut"))  # only texts that change travel to Python
+    return made.select(*[(F.coalesce(shorter, text) if c == text_col else F.col("all").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
