@@ -103,7 +103,8 @@ def members(banded: DataFrame, bands: int, scratch: Scratch) -> DataFrame:
 
     banded: node (long), bands (binary: a 64-bit value for each of `bands` bands), saved. hub is the smallest
     node of the key among some of its nodes; the links of nodes and hubs of a key connect
-    all of its nodes, with a smallest one to which every other leads. Nodes may repeat.
+    all of its nodes, with a smallest one to which every other leads. A hub of some may
+    come twice, as a node of the others too. Nodes of `banded` may repeat.
     """
     spark = banded.sparkSession
     n = banded.count() * bands

@@ -293,11 +293,11 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b", "text_a", "text_b")
         return scratch.save(both.mapInArrow(_alike(threshold, width, least), "a long, b long"))
 
-    # A node is compared with the hub that it shares most keys with.
+    # A node is compared with the hubs that it shares most keys with.
     best = scratch.save(nearest(found_in.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))))
     joined = scratch.save(components(verified(best), scratch))
 
-    placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    placed = found_in.select("key", "node").join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)

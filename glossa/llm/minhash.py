@@ -211,7 +211,7 @@ def near_duplicates(
         scratch.drop(likely, sets)
         return kept
 
-    # A node is compared with the hub that it shares most keys with.
+    # A node is compared with the hubs that it shares most keys with.
     best = scratch.save(nearest(found_in.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))))
     # Nodes that share an id are one document.
     several = named.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("id", "a")
@@ -219,7 +219,7 @@ def near_duplicates(
     joined = scratch.save(components(verified(best).unionByName(by_id), scratch))
 
     # What is left: documents in buckets with members of more than one component.
-    placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    placed = found_in.select("key", "node").join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
@@ -249,9 +249,10 @@ def near_duplicates(
     )
 
 
-def nearest(stars: DataFrame) -> DataFrame:
-    """Of the pairs (a, b, keys) the one of each b with most keys in common."""
-    return stars.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a")).select("a", "b")
+def nearest(stars: DataFrame, most: int = 2) -> DataFrame:
+    """Of the pairs (a, b, keys) those of each b with most keys in common, `most` at the most. A node has a few pairs for each of its keys."""
+    best = F.slice(F.sort_array(F.collect_list(F.struct("keys", "a")), asc=False), 1, most)
+    return stars.groupBy("b").agg(best.alias("best")).select(F.explode("best").alias("x"), "b").select("x.a", "b")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
