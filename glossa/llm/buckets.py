@@ -20,7 +20,7 @@ from glossa.llm.shared import Scratch
 from glossa.llm.words import MULTIPLIER, mix
 
 BAND = np.uint64(63)  # the bits of a key that name its band
-LONG_TEXT = 100_000
+LONG_TEXT = 20_000
 CHUNK_KEYS = 1 << 20
 PART_BYTES = 32 << 20
 RANGES_A_PART = 4
@@ -153,10 +153,17 @@ def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fractio
                     up[c] = c = up[up[c]]
                 return c
 
-            for i in range(len(held) - 1):
-                same = x[i] == x[i + 1 :]
-                first = same.all(axis=2).argmax(axis=1) == key & int(BAND)
-                for j in (np.flatnonzero(first & (same.sum(axis=(1, 2)) >= least)) + i + 1).tolist():
+            # Any two of different components have one that isn't in the largest: only these are compared with the rest.
+            comps = np.array([r[1] for r in held])
+            kinds, sizes = np.unique(comps, return_counts=True)
+            left = np.ones(len(held), bool)
+            for i in np.flatnonzero(comps != kinds[sizes.argmax()]).tolist():
+                left[i] = False
+                others = np.flatnonzero(left & (comps != comps[i]))
+                same = x[others] == x[i]
+                agreed = same.sum(axis=(1, 2))
+                met = np.flatnonzero((agreed >= least) & (same.all(axis=2).argmax(axis=1) == key & int(BAND)))
+                for j in others[met[np.argsort(-agreed[met], kind="stable")]].tolist():
                     (m, c, _, s), (n, d, _, t) = held[i], held[j]
                     c, d = root(c), root(d)
                     if c == d:

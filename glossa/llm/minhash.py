@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-6
 SEED = 20240501
-SMALL = 512
+SMALL = 2048
 SEEN_SETS = 300_000
 SIZE_STEP = 1.05
 
@@ -219,7 +219,7 @@ def near_duplicates(
     joined = scratch.save(components(verified(best).unionByName(by_id), scratch))
 
     # What is left: documents in buckets with members of more than one component.
-    placed = found_in.select("key", "node").join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    placed = found_in.select("key", "node").distinct().join(joined.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
@@ -249,7 +249,7 @@ def near_duplicates(
     )
 
 
-def nearest(stars: DataFrame, most: int = 2) -> DataFrame:
+def nearest(stars: DataFrame, most: int = 1) -> DataFrame:
     """Of the pairs (a, b, keys) those of each b with most keys in common, `most` at the most. A node has a few pairs for each of its keys."""
     best = F.slice(F.sort_array(F.collect_list(F.struct("keys", "a")), asc=False), 1, most)
     return stars.groupBy("b").agg(best.alias("best")).select(F.explode("best").alias("x"), "b").select("x.a", "b")
