@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from glossa.llm.bpe import op13_duckdb_bpe
+from glossa.llm.crosswalk import op12_token_links
 from glossa.llm.decontam import OP4_SQL, op4_decontamination
 from glossa.llm.html import op2_tag_path_ratios
 from glossa.llm.lines import op7_fuzzy_lines
 from glossa.llm.minhash import op1_minhash_near_dedup
+from glossa.llm.negatives import OP11_SQL, op11_ivf_negatives
 from glossa.llm.packing import op5_vector_packing
 from glossa.llm.quality import op6_co_training
 from glossa.llm.separators import op9_separator_scan
@@ -24,8 +27,12 @@ QUERIES = {
     "op8_host_reputation": op8_host_reputation,
     "op9_separator_scan": op9_separator_scan,
     "op10_hnsw_near_vectors": op10_hnsw_near_vectors,
+    "op11_ivf_negatives": op11_ivf_negatives,
+    "op12_token_links": op12_token_links,
+    "op13_duckdb_bpe": op13_duckdb_bpe,
 }
 ORACLE_SQL = {
     "op4_decontamination": OP4_SQL,
     "op8_host_reputation": OP8_SQL,
+    "op11_ivf_negatives": OP11_SQL,
 }
