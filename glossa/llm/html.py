@@ -1,13 +1,16 @@
 """Main text of web pages by tag-path ratios.
 
 Every text block has a tag path from the root. Text without links, and punctuation, are
-aggregated per path; a path's own ratio is smoothed over the blocks in page order, fused
-with the smoothed one, and weighed by the tags and names on the path. Paths over a
-threshold are content. The container of their blocks also admits the headings and short
-blocks between them, path by path.
-
-Tags and names are weights and no verdict: where an element that they speak against
-holds most of the page's text, and not beside an article, they don't count.
+aggregated per path. A path's own ratio is smoothed twice: over the blocks in page order,
+and up the path, over all text below each of its prefixes. Fused with the first it says
+which paths are content: they choose the container of the article, and what else is part
+of it. Fused with the second it says which paths of the container stay, so that short
+blocks beside long ones do and lists of links don't. A heading goes with the blocks that
+it heads.
+
+Tags and names are weights of the fused scores: where an element that they speak against
+holds most of the page's text, and not beside an article, they don't count. Menus have no
+weight of their own, as their text is links.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video datalist".split())
 IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
 CONTROLS = frozenset("button select textarea option optgroup label legend".split())
-FRAME = frozenset("nav footer aside menu dialog form fieldset".split())
+FRAME = frozenset("footer aside dialog form fieldset".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br label".split()
 )
@@ -43,24 +46,27 @@ ENDED = frozenset().union({"p"}, *ENDS.values())
 SCOPE = frozenset("html body table td th ul ol dl div article section main aside nav header footer blockquote form".split())
 #: Words in class or id that speak against an element, if a name has no words but these and NEUTRAL ones: "has-sidebar" and "comments-open" don't.
 AGAINST = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner sidebar sidebars aside comment comments commentlist disqus respond reply replies "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
-    "subscription signup login share sharing social related recommended recommendations teaser teasers trending widget widgets toolbar search skip skiplink alert".split()
+    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner sidebar sidebars aside comment comments commentlist discussion discussions disqus respond "
+    "reply replies footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
+    "recommendations teaser teasers trending widget widgets search alert".split()
 )
+#: The same of link lists, which no heading brings back.
+MENUS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar skip skiplink".split())
 NEUTRAL = frozenset(
-    "area bar block bottom box button buttons center col column container content device form frame group header icons inner item items left link links list main mobile outer page panel post posts "
-    "primary right row secondary section site slot stories sticky text thread title top unit wrap wrapper".split()
+    "area bar block bottom box button buttons center col column container content device form frame google group header icons inner item items left link links list main mobile outer page panel post "
+    "posts primary reader readers right row secondary section site slot stories sticky text thread title top unit user users visitor visitors wrap wrapper".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+ROLES = frozenset("banner contentinfo complementary search dialog alertdialog alert".split())
+MENU_ROLES = frozenset("navigation menu menubar toolbar".split())
 #: Openings of headings over lists of other pages, in the languages of the corpus.
 ELSEWHERE = re.compile(r"(?:more|related|read (?:more|also|next)|see also|also read|latest|most read|popular|trending|recommended|mehr|weitere|lesen sie|lire aussi|à lire|plus d|más|relacionad|lea también|ver también)\b", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 DEPTH = 512  # deeper elements count as part of the last
-WEIGHT = 0.1
+WEIGHT = 0.02
 SIGMA = 1.0
-SHARE = 0.3  # the threshold, of the mean score of the page's text
+SHARE, LEAST = 0.3, 0.05  # the thresholds on content paths and in their container, of the mean score of the page's text
+FADES, OWN = 0.75, 0.25  # of a prefix one step further up; the exponent of a path's own ratio there
 HOLDS, MOST = 0.85, 0.5
-LINKS = 0.6
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
 
@@ -70,9 +76,12 @@ class Element:
     parent: Element | None
     depth: int
     path: int
+    number: int = 0
+    last: int = 0  # the number of the last element inside
     against: bool = False
     barred: bool = False
     linked: bool = False
+    menu: bool = False
     tops: int = 0
     articles: int = 0
     text: float = 0.0
@@ -95,6 +104,15 @@ class Block:
     text: str = ""
 
 
+def named(attrs: dict[str, str], words: frozenset[str]) -> bool:
+    """Whether a name in class or id has one of the words, and no others but NEUTRAL ones."""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        found = [w.lower() for w in _NAME.findall(name)]
+        if not words.isdisjoint(found) and all(w in words or w in NEUTRAL for w in found):
+            return True
+    return False
+
+
 def speaks_against(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in FRAME or tag == "header" and not in_article:
         return True
@@ -102,35 +120,87 @@ def speaks_against(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False
     if attrs.get("role", "").strip().lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        words = [w.lower() for w in _NAME.findall(name)]
-        if not AGAINST.isdisjoint(words) and all(w in AGAINST or w in NEUTRAL for w in words):
-            return True
-    return False
-
+    return "display:none" in attrs.get("style", "").replace(" ", "").lower() or named(attrs, AGAINST)
+
+
+def is_menu(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in ("nav", "menu") or attrs.get("role", "").strip().lower() in MENU_ROLES or tag not in ("html", "body", "article", "main") and named(attrs, MENUS)
+
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?")
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title")}
+
+
+class Markup:
+    """Reads a page from start to end, once: what an unclosed tag or comment holds goes, as in a browser."""
+
+    def feed(self, html: str) -> None:
+        at, size = 0, len(html)
+        while at < size:
+            lt = html.find("<", at)
+            if lt < 0 or lt + 1 == size:
+                return self.handle_data(unescape(html[at:]))
+            after = html[lt + 1]
+            if not (after in "!?/" or after.isascii() and after.isalpha()):  # a "<" of the text
+                more = html.find("<", lt + 1)
+                more = size if more < 0 else more
+                self.handle_data(unescape(html[at:more]))
+                at = more
+                continue
+            if lt > at:
+                self.handle_data(unescape(html[at:lt]))
+            if html.startswith("<!--", lt):
+                end = lt + 3 if html.startswith("<!-->", lt) else html.find("-->", lt + 4 - html.startswith("<!--->", lt))
+                if end < 0:
+                    return
+                at = html.find(">", end) + 1
+            elif tag := _TAG.match(html, lt):
+                at = self.tag(html, tag)
+            elif after.isalpha() or html[lt + 2 : lt + 3].isalpha() and after == "/":
+                return
+            else:  # <!doctype>, <?x>, </>
+                at = html.find(">", lt) + 1
+                if not at:
+                    return
 
-class Blocks(HTMLParser):
+    def tag(self, html: str, tag: re.Match) -> int:
+        """Handles a tag; where what follows it begins."""
+        name, at = tag[2].lower(), tag.end()
+        if tag[1]:
+            self.handle_endtag(name)
+            return at
+        attrs: dict[str, str] = {}
+        for key, value in _ATTRIBUTE.findall(tag[3]):
+            attrs.setdefault(key.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+        self.handle_starttag(name, attrs)
+        if tag[3].endswith("/") and name in ("svg", "iframe", "script"):
+            self.handle_endtag(name)
+        elif name in RAW:
+            end = RAW[name].search(html, at)
+            stop = end.start() if end else len(html)
+            if name in ("textarea", "title"):
+                self.handle_data(unescape(html[at:stop]))
+            return stop
+        return at
+
+
+class Blocks(Markup):
     """The text blocks of a page: maximal runs of text without a block element's border between."""
 
     barring = HIDDEN | CONTROLS
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.paths: dict[tuple, int] = {}
+        self.parents: list[int] = [0]  # of paths
         self.root = Element("#root", None, 0, 0)
         self.open = [self.root]
+        self.elements = [self.root]  # each after those around it
         self.count: dict[str, int] = defaultdict(int)  # open elements by tag
         self.blocks: list[Block] = []
         self.block: Block | None = None
         self.skipped = 0  # open elements beyond DEPTH
 
-    def parse_marked_section(self, i, report=1):
-        """Sections such as <![x]> are comments that end at the next ">"."""
-        end = self.rawdata.find(">", i + 3)
-        return end + 1 if end >= 0 else -1
-
     def close_block(self) -> None:
         if self.block is not None:
             self.block.text = " ".join("".join(self.block.parts).split())
@@ -155,7 +225,7 @@ class Blocks(HTMLParser):
                 if self.open[i].tag in SCOPE:
                     return
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag: str, given: dict[str, str]) -> None:
         if tag == "br":
             if self.block is not None:
                 self.block.parts.append(" ")
@@ -175,27 +245,22 @@ class Blocks(HTMLParser):
             self.skipped += 1
             return
         parent = self.open[-1]
-        given = {k: v or "" for k, v in attrs}
         names = tuple(given["class"].split()) if "class" in given else ()
-        path = self.paths.setdefault((parent.path, tag, names), len(self.paths) + 1)
-        e = Element(tag, parent, len(self.open), path, barred=parent.barred or tag in self.barring, linked=parent.linked or tag == "a")
+        path = self.paths.setdefault((parent.path, tag, names), len(self.parents))
+        if path == len(self.parents):
+            self.parents.append(parent.path)
+        e = Element(tag, parent, len(self.open), path, len(self.elements), barred=parent.barred or tag in self.barring, linked=parent.linked or tag == "a")
         if not e.barred:
             e.against = speaks_against(tag, given, bool(self.count["article"] or self.count["main"]))
-        if tag in ("h1", "main", "article"):
-            for up in e.upwards():
-                up.tops += tag != "article"
-                up.articles += tag == "article"
+            e.menu = parent.menu or is_menu(tag, given)
+        e.tops, e.articles = int(tag in ("h1", "main")), int(tag == "article")
         self.count[tag] += 1
         self.open.append(e)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "iframe", "script"):
-            self.handle_endtag(tag)
+        self.elements.append(e)
 
     def handle_endtag(self, tag):
         if tag == "br":
-            return self.handle_starttag("br", [])
+            return self.handle_starttag("br", {})
         if self.skipped and tag not in VOID:
             self.skipped -= 1
             if tag not in INLINE:
@@ -228,7 +293,6 @@ class Blocks(HTMLParser):
 def parsed(html: str | None, kind=Blocks) -> Blocks:
     parser = kind()
     parser.feed(html or "")
-    parser.close()
     parser.close_block()
     return parser
 
@@ -236,39 +300,46 @@ def parsed(html: str | None, kind=Blocks) -> Blocks:
 def _weigh(page: Blocks) -> None:
     """Weights of the elements: those that something speaks against count less, but for one that holds most of the text."""
     for b in page.blocks:
-        for e in b.element.upwards():
-            e.text += b.chars - b.link_chars
-    root, done = page.root, {page.root}
-    for b in page.blocks:
-        line = []
-        for e in b.element.upwards():
-            if e in done:
-                break
-            line.append(e)
-        for e in reversed(line):
-            done.add(e)
-            e.weight = e.parent.weight
-            if e.against:
-                share = e.text / max(1.0, root.text)
-                beside = root.tops - e.tops + root.articles - e.articles  # headlines and articles that aren't in it
-                if not (share >= MOST and e.tops or share >= HOLDS and (not beside or e.articles == root.articles > 0)):
-                    e.weight *= WEIGHT
+        b.element.text += b.chars - b.link_chars
+    for e in reversed(page.elements):
+        e.last = max(e.last, e.number)
+        if e.parent is not None:
+            e.parent.text += e.text
+            e.parent.tops += e.tops
+            e.parent.articles += e.articles
+            e.parent.last = max(e.parent.last, e.last)
+    root = page.root
+    for e in page.elements[1:]:
+        e.weight = e.parent.weight
+        if e.against:
+            share = e.text / max(1.0, root.text)
+            beside = root.tops - e.tops + root.articles - e.articles  # headlines and articles that aren't in it
+            if not (share >= MOST and e.tops or share >= HOLDS and (not beside or e.articles == root.articles > 0)):
+                e.weight *= WEIGHT
 
 
-def path_scores(paths: list[int], chars: list[int], marks: list[int], linked: list[float], weights: list[float]) -> tuple[dict[int, float], dict[int, float]]:
-    """Of each path the fused score and the smoothed ratio of its surroundings; one entry of the lists a block, in page order.
+@dataclass
+class Ratios:
+    """Of each path its own ratio, the smoothed one of its surroundings, and the best one of its prefixes."""
+
+    own: dict[int, float]
+    smooth: dict[int, float]
+    above: dict[int, float]
+
+
+def path_ratios(paths: list[int], chars: list[int], marks: list[int], linked: list[float], weights: list[float], parents: list[int]) -> Ratios:
+    """One entry of the lists a block, in page order; parents: the path above each path.
 
     A path's own ratio is the mean text without links of its blocks, times the root of
     one more than their mean punctuation marks. Smoothed are the weighted ratios of all
-    blocks by a Gaussian over five; a path has the mean of its blocks. The fused score is
-    the geometric mean of both, weighted.
+    blocks by a Gaussian over five; a path has the mean of its blocks. A prefix has the
+    mean ratio of the text below it, which fades by FADES for each step up.
     """
-    nodes, text, points, weight = (defaultdict(float) for _ in range(4))
-    for p, c, m, k, w in zip(paths, chars, marks, linked, weights):
+    nodes, text, points = (defaultdict(float) for _ in range(3))
+    for p, c, m, k in zip(paths, chars, marks, linked):
         nodes[p] += 1
         text[p] += c - k
         points[p] += m
-        weight[p] = max(weight[p], w)
     own = {p: text[p] / nodes[p] * (1 + points[p] / nodes[p]) ** 0.5 for p in nodes}
     reach = np.arange(-2, 3)
     kernel = np.exp(-(reach**2) / (2 * SIGMA**2))
@@ -277,7 +348,24 @@ def path_scores(paths: list[int], chars: list[int], marks: list[int], linked: li
     smooth: dict[int, float] = defaultdict(float)
     for p, x in zip(paths, around.tolist()):
         smooth[p] += x / nodes[p]
-    return {p: weight[p] * (own[p] * smooth[p]) ** 0.5 for p in nodes}, smooth
+    mass, rated, above = defaultdict(float), defaultdict(float), {}
+    for p, c, k, w in zip(paths, chars, linked, weights):
+        mass[p] += (c - k) * w
+        rated[p] += (c - k) * w * own[p]
+    for p in range(len(parents) - 1, 0, -1):  # a path's number is greater than its parent's
+        mass[parents[p]] += mass[p]
+        rated[parents[p]] += rated[p]
+    most = max(own.values(), default=0.0)
+    for p in nodes:
+        best, at, fade = 0.0, p, 1.0
+        while True:
+            if mass[at] > 0:
+                best = max(best, fade * rated[at] / mass[at])
+            if at == 0 or fade * most <= best:
+                break
+            at, fade = parents[at], fade * FADES
+        above[p] = best
+    return Ratios(own, smooth, above)
 
 
 def main_text(html: str | None) -> str:
@@ -286,28 +374,30 @@ def main_text(html: str | None) -> str:
         return ""
     _weigh(page)
     if all(b.element.weight < MOST for b in page.blocks):  # everything is spoken against: then it says nothing
-        for b in page.blocks:
-            for e in b.element.upwards():
-                e.weight = 1.0
-    return "\n".join(b.text for b in content(page.blocks))
+        for e in page.elements:
+            e.weight = 1.0
+    return "\n".join(b.text for b in content(page))
 
 
-def content(blocks: list[Block]) -> list[Block]:
+def content(page: Blocks) -> list[Block]:
+    blocks, parents = page.blocks, page.parents
     paths, weights = [b.element.path for b in blocks], [b.element.weight for b in blocks]
     chars = [len(b.text) for b in blocks]
     linked = [b.link_chars / max(1, b.chars) * n for b, n in zip(blocks, chars)]
-    fused, smooth = path_scores(paths, chars, [len(PUNCTUATION.findall(b.text)) for b in blocks], linked, weights)
+    ratios = path_ratios(paths, chars, [len(PUNCTUATION.findall(b.text)) for b in blocks], linked, weights, parents)
+    of_text = 1 - np.bincount(paths, linked) / np.maximum(1, np.bincount(paths, chars))  # the share of a path's text that isn't links
+    score = np.array([w * (ratios.own[p] * ratios.smooth[p]) ** 0.5 for p, w in zip(paths, weights)])
+    inner = np.array([w * of_text[p] * ratios.own[p] ** OWN * ratios.above[p] ** (1 - OWN) for p, w in zip(paths, weights)])
     mass = np.array([(n - k) * w for n, k, w in zip(chars, linked, weights)])
-    score = np.array([fused[p] for p in paths])
-    threshold = SHARE * float((mass * score).sum() / mass.sum()) if mass.sum() > 0 else 0.0
-    chosen = np.array([s >= threshold and w >= MOST for s, w in zip(score, weights)])
-    if not (mass * chosen).any():
-        mass = np.array(chars, np.float64)  # links alone
-        chosen = np.array(weights) >= MOST
-    for b, m, c in zip(blocks, mass, chosen):
-        if c:
-            for e in b.element.upwards():
-                e.mass += float(m)
+    mean = float((mass * score).sum() / mass.sum()) if mass.sum() > 0 else 0.0
+    chosen, stays = (score >= SHARE * mean) & (score > 0), (inner >= LEAST * mean) & (inner > 0)
+    if not (mass * chosen).any():  # links alone
+        mass, chosen = np.array(chars, np.float64), np.array(weights) >= MOST
+        stays = chosen
+    for b, m in zip(blocks, mass * chosen):
+        b.element.mass += float(m)
+    for e in reversed(page.elements[1:]):
+        e.parent.mass += e.mass
     # The deepest element that holds nearly all of the chosen text; its article or, without one, its main element.
     total = float((mass * chosen).sum())
     container = max((b.element for b, c in zip(blocks, chosen) if c), key=lambda e: e.mass)
@@ -319,32 +409,25 @@ def content(blocks: list[Block]) -> list[Block]:
     elif container.tag in HEADINGS | {"p", "li", "td", "blockquote", "pre"} and container.parent is not None:
         container = container.parent
 
-    share = defaultdict(list)
-    for p, n, k in zip(paths, chars, linked):
-        share[p].append((n, k))
-    of_links = {p: sum(k for _, k in x) > LINKS * sum(n for n, _ in x) for p, x in share.items()}
-    within = [b.element.depth >= container.depth and container in b.element.upwards() for b in blocks]
+    within = [container.number <= b.element.number <= container.last for b in blocks]
     own_title = any(x and b.element.tag == "h1" for x, b in zip(within, blocks))
-    kept, started, titled, elsewhere = [], False, False, False
-    for i, (b, p, inside) in enumerate(zip(blocks, paths, within)):
+    kept, started, titled = np.zeros(len(blocks), bool), False, False
+    for i, (b, inside) in enumerate(zip(blocks, within)):
         started |= inside
-        if b.element.weight < MOST:
-            continue
-        if b.element.tag in HEADINGS:
-            after = next((j for j in range(i + 1, len(blocks)) if weights[j] >= MOST), None)
-            elsewhere = after is not None and of_links[paths[after]] and bool(ELSEWHERE.match(b.text))
-        elif not of_links[p]:
-            elsewhere = False
-        if elsewhere:
-            continue
         if inside:
-            good = bool(chosen[i]) or not of_links[p] or whole is not None or smooth[p] >= threshold / 2
+            kept[i] = stays[i]
         else:  # what scores like the article, and before it its title, with what stands between
             titled |= b.element.tag == "h1" and not own_title
-            good = bool(chosen[i]) or titled and not started and not of_links[p]
-        if good:
-            kept.append(b)
-    return kept
+            kept[i] = chosen[i] or titled and not started and stays[i]
+    # A heading in the article over blocks none of which stays brings its links back, or goes with them.
+    heads = [i for i, b in enumerate(blocks) if b.element.tag in HEADINGS]
+    for i, end in zip(heads, [*heads[1:], len(blocks)]):
+        below = [j for j in range(i + 1, end) if within[j]]
+        if blocks[i].element.tag != "h1" and kept[i] and below and not kept[below].any():
+            back = [j for j in below if weights[j] >= MOST and not blocks[j].element.menu]
+            kept[back] = not ELSEWHERE.match(blocks[i].text)
+            kept[i] = kept[back].any()
+    return [b for b, k in zip(blocks, kept) if k]
 
 
 class Visible(Blocks):
