@@ -140,12 +140,13 @@ def reaches(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fraction, bands: int, rows: int, least: int):
+def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fraction, bands: int, hashes: int, bounds: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, links = Sets(maker()), []
 
         def bucket(key: int, held: list[tuple]) -> None:
-            x = np.frombuffer(b"".join(r[2] for r in held), f"u{len(held[0][2]) // (bands * rows)}").reshape(len(held), bands, rows)
+            sigs = np.frombuffer(b"".join(r[2] for r in held), f"u{len(held[0][2]) // hashes}").reshape(len(held), hashes)
+            own = np.frombuffer(b"".join(r[3] or r[2] for r in held), np.uint64).reshape(len(held), bands)
             up = {r[1]: r[1] for r in held}
 
             def root(c: int) -> int:
@@ -160,11 +161,13 @@ def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fractio
             for i in np.flatnonzero(comps != kinds[sizes.argmax()]).tolist():
                 left[i] = False
                 others = np.flatnonzero(left & (comps != comps[i]))
-                same = x[others] == x[i]
-                agreed = same.sum(axis=(1, 2))
-                met = np.flatnonzero((agreed >= least) & (same.all(axis=2).argmax(axis=1) == key & int(BAND)))
-                for j in others[met[np.argsort(-agreed[met], kind="stable")]].tolist():
-                    (m, c, _, s), (n, d, _, t) = held[i], held[j]
+                others = others[(own[others] == own[i]).argmax(axis=1) == key & int(BAND)]
+                agreed, done = np.zeros(len(others), np.int64), 0
+                for n, least in bounds:
+                    agreed += (sigs[others, done:n] == sigs[i, done:n]).sum(axis=1)
+                    others, agreed, done = others[agreed >= least], agreed[agreed >= least], n
+                for j in others[np.argsort(-agreed, kind="stable")].tolist():
+                    (m, c, _, _, s), (n, d, _, _, t) = held[i], held[j]
                     c, d = root(c), root(d)
                     if c == d:
                         continue
@@ -182,12 +185,12 @@ def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fractio
 
         key, held = None, []
         for batch in batches:
-            for k, node, comp, sig, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+            for k, *row, text in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
                 if k != key and held:
                     bucket(key, held)
                     held = []
                 key = k
-                held.append((node, comp, sig, text))
+                held.append((*row, text))
             yield out()
         if held:
             bucket(key, held)
@@ -196,14 +199,16 @@ def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fractio
     return run
 
 
-def joined_in_buckets(rows: DataFrame, maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fraction, bands: int, rows_a_band: int, least: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, sure), a < b, that join components of one bucket of (key, node, comp, sig, text); sizes of buckets must be bounded.
+def joined_in_buckets(rows: DataFrame, maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fraction, bands: int, hashes: int, bounds: list[tuple[int, int]], scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, sure), a < b, that join components of one bucket of (key, node, comp, sig, bands, text); sizes of buckets must be bounded.
 
-    Two nodes are compared in the bucket of the first band that they share, if at least
-    `least` parts of their signatures agree and earlier links of the bucket haven't
-    joined them: exactly, by the sets that maker()(text) gives, so that it is sure. Long
-    texts don't travel with every key: pairs of these are given as they are, not sure.
+    bands are the values that members() got; null: sig is these bytes. Two nodes are
+    compared in the bucket of the first band whose value they share, batch by batch of
+    `hashes` signature parts: fewer than m agreements in the first n, for any (n, m) of
+    `bounds`, drop the pair. Earlier links of the bucket needn't be found again. What is
+    left is verified exactly, by the sets that maker()(text) gives, so that it is sure.
+    Long texts don't travel with every key: pairs of these are given as they are, not sure.
     """
     text = F.when(F.length("text") <= LONG_TEXT, F.col("text")).alias("text")
-    dealt = rows.select("key", "node", "comp", "sig", text).repartition("key").sortWithinPartitions("key")
-    return scratch.save(dealt.mapInArrow(_joined(maker, threshold, bands, rows_a_band, least), "a long, b long, sure boolean"))
+    dealt = rows.select("key", "node", "comp", "sig", "bands", text).repartition("key").sortWithinPartitions("key")
+    return scratch.save(dealt.mapInArrow(_joined(maker, threshold, bands, hashes, bounds), "a long, b long, sure boolean"))

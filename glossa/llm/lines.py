@@ -116,72 +116,6 @@ def sketches(hashes: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
     return found
 
 
-_LINES = 300_000
-CHUNK_CHARS = 60_000
-BASE = 0x9E3779B97F4A7C15
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
-def plain(line: str) -> str:
-    """Lower case, white space runs as one space, trimmed."""
-    return " ".join(line.lower().split())
-
-
-def windows(code: np.ndarray, width: int) -> np.ndarray:
-    """The polynomial hash of every `width` codes in a row, from those of half as many."""
-    if width == 1:
-        return code.copy()
-    half = windows(code, width // 2)
-    n, step = len(code) - 2 * (width // 2) + 1, width // 2
-    total = half[:n] * np.uint64(pow(BASE, step, 1 << 64))
-    total += half[step : step + n]
-    if width % 2:
-        total = total[: len(code) - width + 1]
-        total *= np.uint64(BASE)
-        total += code[width - 1 :]
-    return total
-
-
-def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all character shingles of all lines, one line after the other, and each line's count.
-
-    A line shorter than `width` is one shingle.
-    """
-    lines = [x if len(x) >= width else x + "\0" * (width - len(x)) for x in lines]
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    total = windows(code, width)
-    n = size - width + 1
-    starts = np.cumsum(size) - size
-    at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
-    return mix(total[at]), n
-
-
-def sketches(hashes: np.ndarray, n: np.ndarray, places: int) -> np.ndarray:
-    """For each line `places` min-hashes. Round i spreads the shingles over all places and
-    fills those still empty; after `places` rounds, a round for each place fills the rest."""
-    found = np.full((len(n), places), _EMPTY, np.uint64)
-    lines, counts = np.arange(len(n)), n
-    for i in range(2 * places):
-        value = hashes * np.uint64(2 * i * 0x632BE5AB + 0xD1B54A32D192ED03)
-        value ^= value >> np.uint64(29)
-        value *= np.uint64(0xBF58476D1CE4E5B9)
-        # A place takes a range of values, in which the least is as random as the rest.
-        place = ((value >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.int64) if i < places else i - places
-        least = np.full(len(lines) * places, _EMPTY, np.uint64)
-        np.minimum.at(least, np.repeat(np.arange(len(lines)) * places, counts) + place, value)
-        now = found[lines]
-        now = np.where(now == _EMPTY, least.reshape(-1, places), now)
-        found[lines] = now
-        open_ = (now == _EMPTY).any(axis=1)
-        if not open_.any():
-            break
-        if not open_.all():
-            hashes = hashes[np.repeat(open_, counts)]
-            lines, counts = lines[open_], counts[open_]
-    return found
-
-
 _LINES = "row long, doc_id long, line int, node long, text string, sketch binary"
 
 
@@ -286,7 +220,8 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
     kept = whole.where("text is not null").select("node", "text", "sketch").join(few(met), "node", "left_semi")
     texts = scratch.save(kept.groupBy("node").agg(F.min("text").alias("text"), F.min("sketch").alias("sketch")))
     scratch.drop(whole, met)
-    least = least_matches(float(threshold), BANDS * ROWS, BANDS * ROWS, MISS)[-1][1]
+    bounds = least_matches(float(threshold), BANDS * ROWS, BANDS * ROWS, MISS)
+    least = bounds[-1][1]
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("node").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab")
@@ -301,8 +236,8 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).where("c1 < c2").select("key", "size")
     left_over = scratch.save(placed.join(open_keys, "key"))
     scratch.drop(found_in)
-    small = left_over.where(F.col("size") <= SMALL).join(texts.withColumnRenamed("sketch", "sig"), "node")
-    inside = joined_in_buckets(small, lambda: partial(line_set, width=width), threshold, BANDS, ROWS, least, scratch)
+    small = left_over.where(F.col("size") <= SMALL).join(texts.withColumnRenamed("sketch", "sig"), "node").withColumn("bands", F.lit(None).cast("binary"))
+    inside = joined_in_buckets(small, lambda: partial(line_set, width=width), threshold, BANDS, BANDS * ROWS, bounds, scratch)
     many = left_over.where(F.col("size") > SMALL).select("node", "comp").distinct()
     sets = texts.join(many, "node").select(F.col("node").alias("id"), "comp", "text").mapInArrow(_line_sets(width), "id long, comp long, shingles array<long>")
     across = inside.where("not sure").select("a", "b")

@@ -194,9 +194,10 @@ def near_duplicates(
     def texts_of(nodes: DataFrame) -> DataFrame:
         return read_of(nodes, _named(width), "node long, text string", "text")
 
-    def sigs_of(nodes: DataFrame) -> DataFrame:
-        """node, sig: once for each of some distinct nodes."""
-        return sketched.where("sig is not null").select("node", "sig").join(few(scratch.save(nodes)), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
+    def sigs_of(nodes: DataFrame, *more: str) -> DataFrame:
+        """node, sig and more columns: once for each of some distinct nodes."""
+        columns = ("sig", *more)
+        return sketched.where("sig is not null").select("node", *columns).join(few(scratch.save(nodes)), "node", "left_semi").groupBy("node").agg(*(F.min(c).alias(c) for c in columns))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets reach the threshold: pruned by signatures first."""
@@ -225,8 +226,8 @@ def near_duplicates(
     scratch.drop(found_in)
     small = left_over.where(F.col("size") <= SMALL)
     nodes = scratch.save(small.select("node").distinct())
-    least = least_matches(float(threshold), BANDS * ROWS, BATCH, MISS)[-1][1]
-    inside = joined_in_buckets(small.join(sigs_of(nodes), "node").join(texts_of(nodes), "node"), lambda: partial(shingle_set, width=width, memo=WordHashes()), threshold, BANDS, ROWS, least, scratch)
+    bounds = least_matches(float(threshold), BANDS * ROWS, BATCH, MISS)
+    inside = joined_in_buckets(small.join(sigs_of(nodes, "bands"), "node").join(texts_of(nodes), "node"), lambda: partial(shingle_set, width=width, memo=WordHashes()), threshold, BANDS, BANDS * ROWS, bounds, scratch)
     many = scratch.save(left_over.where(F.col("size") > SMALL).select("node", "comp").distinct())
     across = inside.where("not sure").select("a", "b")
     if not many.isEmpty():

@@ -5,13 +5,17 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.llm import decontam, lines, minhash, packing, quality, separators
+from glossa.llm import buckets, decontam, lines, minhash, packing, quality, separators
+from glossa.llm.shared import Scratch
 from glossa.llm.tokens import Encoder
+from glossa.llm.words import WordHashes, shingle_set
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -68,6 +72,44 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     test_near_duplicates(spark)
 
 
+def test_near_duplicates_loses_no_link(spark):
+    """Groups of three texts of 100 words at all similarities about the threshold, most of which meet in open buckets only."""
+    rng = random.Random(77)
+    docs, want = [], 0
+    for g in range(1500):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(100)]
+        sets = []
+        for k in range(3):
+            words = list(base)
+            for at in rng.sample(range(100), rng.randrange(0, 5) if k else 0):
+                words[at] = f"x{rng.randrange(10**7)}"
+            docs.append((3 * g + k, " ".join(words)))
+            sets.append(word_set(docs[-1][1]))
+        up = list(range(3))
+        for a, b in ((0, 1), (0, 2), (1, 2)):
+            if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                lo, hi = sorted((up[a], up[b]))
+                up = [lo if x == hi else x for x in up]
+        docs[-3:] = [(*d, 3 * g + up[k]) for k, d in enumerate(docs[-3:])]
+        want += len(set(up)) < 3
+    rng.shuffle(docs)
+    table = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table).collect()}
+    assert got == {d: c for d, _, c in docs} and want > 500
+
+
+def test_buckets_compare_by_band_values(spark):
+    """Signature bytes that agree by chance in an earlier band hide no pair from the bucket of its first common band."""
+    bands, hashes = 4, 8
+    values = [np.array(v, np.uint64) for v in ([1, 2, 3, 4], [9, 8, 3, 4], [9, 2, 3, 7])]
+    sigs = [bytes([5, 5, 1, 1, 2, 2, 3, 3]), bytes([5, 5, 4, 4, 2, 2, 3, 3]), bytes([6, 6, 1, 1, 2, 2, 9, 9])]
+    keys = {2: [0, 1, 2], 1: [0, 2], 3: [0, 1], 0: [1, 2]}  # nodes by band
+    rows = [((1 << 20) + band, n, n, sigs[n], values[n].tobytes(), "a b c d e f") for band, nodes in keys.items() for n in nodes]
+    table = spark.createDataFrame(rows, "key long, node long, comp long, sig binary, bands binary, text string")
+    found = buckets.joined_in_buckets(table, lambda: partial(shingle_set, width=5, memo=WordHashes()), Fraction(3, 4), bands, hashes, [(4, 0), (8, 2)], Scratch(spark))
+    assert {(r.a, r.b) for r in found.collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "z y x w v u t"), (2, "z y x w v u t")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
