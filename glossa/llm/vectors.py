@@ -198,7 +198,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     scratch = Scratch(vectors.sparkSession)
     rows = scratch.save(vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(_prepared, "id long, dim int, vec binary"))
     usable = rows.where("vec is not null and id is not null")
-    classes = scratch.save(usable.groupBy("dim", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    # Numbers of their own, as two classes may have the same smallest id.
+    classes = scratch.save(usable.groupBy("dim", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     n = classes.count()
     spark = vectors.sparkSession
     shards = max(shards, -(-n // shard_rows))
@@ -216,11 +217,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     both = of_graph.unionByName(asked).withColumn("part", F.get(keys, F.col("task"))).repartition(shards * slices, "part").drop("part").sortWithinPartitions("task", "dim", "kind", "place", "rep")
     found = scratch.save(both.mapInArrow(_searched(cosine), "a long, b long, n long"))
 
-    linked = components(found.where("b is not null").select("a", "b"), scratch)
-    # Rows of one class are linked with each other, and rows that share an id with each other's links.
+    links = found.where("b is not null").select("a", "b")
+    # Rows that share an id share a component, but aren't linked by that.
+    key = F.xxhash64("vec")
+    several = scratch.save(usable.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x < y").select("id"))
+    if not several.isEmpty():
+        of_id = scratch.save(usable.join(several, "id").select("id", "dim", "vec").join(classes, ["dim", "vec"]).select("id", "rep").distinct())
+        links = links.unionByName(of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("b")), "id").select(F.col("rep").alias("a"), "b").where("a <> b"))
+    linked = components(links, scratch)
+    # Rows of one class are linked with each other.
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     by_class = classes.join(counts, "rep", "left").join(linked, classes["rep"] == linked["node"], "left")
-    by_class = by_class.select("vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("comp"))
+    by_class = by_class.select("vec", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    tops = by_class.where("component is not null").groupBy("component").agg(F.min("least").alias("top"))
+    by_class = by_class.join(tops, "component", "left").select("vec", "n_links", F.coalesce("top", "least").alias("comp"))
     return rows.join(by_class, (rows["vec"] == by_class["vec"]) & rows["id"].isNotNull(), "left").select(
         F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "id").alias("component_id"),
         F.coalesce(F.coalesce("comp", "id") == F.col("id"), F.lit(True)).alias("kept"),

@@ -53,10 +53,42 @@ def parse_http(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
     return status, headers, payload
 
 
+def inflated(payload: bytes, encoding: str, most: int) -> bytes | None:
+    """The bytes of a gzip payload, of all its members, or of a deflate payload, with or without zlib's frame.
+
+    What breaks off gives what is there. Named gzip and not so (without its first two
+    bytes), or deflate and plain ASCII text, it is taken as it is. None: an encoding
+    that isn't known, bytes that aren't of it, or more than `most` of them.
+    """
+    if encoding in ("gzip", "x-gzip"):
+        if not payload.startswith(b"\x1f\x8b"):
+            return payload
+        kinds = (31,)
+    elif encoding == "deflate":
+        kinds = (15, -15)
+    else:
+        return None
+    for kind in kinds:
+        out, size, rest = [], 0, payload
+        try:
+            while rest and (not out or kind == 31 and rest.startswith(b"\x1f\x8b")):
+                inflate = zlib.decompressobj(kind)
+                out.append(inflate.decompress(rest, most + 1 - size))
+                size += len(out[-1])
+                if size > most:
+                    return None
+                rest = inflate.unused_data
+            return b"".join(out)
+        except zlib.error:
+            continue
+    return payload if encoding == "deflate" and payload.isascii() else None
+
+
 def decoded(payload: bytes, headers: dict[str, str], most: int = MOST_INFLATED) -> str | None:
     """The payload as text: transfer and content encodings undone, bytes by the charset named (else UTF-8).
 
-    None if it inflates to more than `most` bytes.
+    Encodings are undone from the last one named to the first. None if one isn't known or
+    fails, or if the payload inflates to more than `most` bytes.
     """
     if "chunked" in headers.get("transfer-encoding", "").lower():
         out, at = [], 0
@@ -70,13 +102,11 @@ def decoded(payload: bytes, headers: dict[str, str], most: int = MOST_INFLATED)
             if not n:
                 break
         payload = b"".join(out) if out else payload
-    if (encoding := headers.get("content-encoding", "").lower()) in ("gzip", "x-gzip", "deflate"):
-        inflate = zlib.decompressobj(47 if "gzip" in encoding else 15)
-        try:
-            payload = inflate.decompress(payload, most + 1)
-        except zlib.error:
-            pass  # mislabelled: taken as it is
-        if len(payload) > most and inflate.unconsumed_tail:
+    for encoding in reversed([e.strip() for e in headers.get("content-encoding", "").lower().split(",")]):
+        if encoding in ("", "identity"):
+            continue
+        payload = inflated(payload, encoding, most)
+        if payload is None:
             return None
     charset = re.search(r"charset=[\"']?([\w.:-]+)", headers.get("content-type", ""), re.I)
     try:

@@ -310,6 +310,24 @@ def test_warc_of_broken_responses():
     assert warc.decoded(bomb[:1000], {"content-encoding": "gzip"}).startswith("aaa") and warc.decoded(b"no gzip", {"content-encoding": "gzip"}) == "no gzip"
 
 
+def test_content_encodings():
+    import zlib
+
+    text = b"plain text, " * 50
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(text) + raw.flush()
+    many = gzip.compress(text) + gzip.compress(b"and more")
+    cases = {
+        ("br", text): None, ("gzip, br", gzip.compress(text)): None, ("zstd", text): None, ("", text): text, ("identity", text): text, ("gzip, identity", gzip.compress(text)): text,
+        ("deflate", zlib.compress(text)): text, ("deflate", raw): text, ("deflate", text): text, ("deflate", b"\xff\xfe\xfd\xfc"): None, ("x-gzip", many): text + b"and more",
+        ("deflate, gzip", gzip.compress(zlib.compress(text))): text, ("gzip", gzip.compress(text) + b"\0\0"): text, ("gzip", b"\x1f\x8bno"): None, ("gzip", b""): b"",
+    }
+    for (encoding, payload), want in cases.items():
+        assert warc.decoded(payload, {"content-encoding": encoding}) == (want if want is None else want.decode()), encoding
+    assert len(list(warc.derivatives_of("r", "u", None, http(text, "text/plain", "Content-Encoding: br\r\n")))) == 1
+    assert warc.decoded(many, {"content-encoding": "gzip"}, most=len(text) + 7) is None
+
+
 def warc_record(i, block, length=None):
     return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %s\r\n\r\n" % (i, str(len(block) if length is None else length).encode()) + block + b"\r\n\r\n"
 
@@ -389,6 +407,14 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(1, a), (1, b), (2, [1.0, 0.01, 0.1]), (3, [0.01, 1.0, 0.1]), (4, [0.0, 0.0, -1.0]), (4, [0.0, 0.0, -1.0]), (5, [-1.0, 0.0, 0.0]), (None, a)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shards=2).collect()
+    want = [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4), (5, 0, 5), (None, 0, None)]
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_near_vectors_of_large_shards(spark):
     """Two shards of over 5,000 vectors each: links and components against all pairs, in double precision."""
     rng = np.random.default_rng(8)

@@ -387,7 +387,7 @@ def test_quality_hears_all_unlabelled_documents(spark):
 def test_quality_with_few_bad_labels(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     bad = "quality = 0 or toxic = 1"
-    few = labels.where(bad).orderBy("doc_id").limit(2).unionByName(labels.where(f"not ({bad})")).localCheckpoint()
+    few = spark.createDataFrame(labels.where(bad).orderBy("doc_id").limit(2).unionByName(labels.where(f"not ({bad})")).collect(), labels.schema)
     model = quality.train(docs, few, rounds=1)  # held out by a hash alone, either side may be of one kind
     got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
     worst = {r.doc_id for r in few.where(bad).collect()}
