@@ -250,6 +250,27 @@ def near_duplicates(
     )
 
 
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = Fraction(3, 4), width: int = WIDTH) -> DataFrame:
+    """The columns of docs, one row of each component of near-duplicates: that of the smallest id (nulls last), then any one.
+
+    Rows are numbered and written once, so that each is a document of its own, whether its
+    id repeats or is null. Texts without words are linked with nothing and stay; columns
+    may have any names.
+    """
+    scratch = Scratch(docs.sparkSession)
+    numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")))
+    rows = numbered.select("row", F.col("all").getField(text_col).alias("text"))
+    groups = near_duplicates(rows, "row", "text", threshold, width).select(F.col("doc_id").alias("row"), "component_id")
+    several = scratch.save(groups.where("row <> component_id"))
+    grouped = several.unionByName(several.select(F.col("component_id").alias("row"), "component_id").distinct())
+    id_ = F.col("all").getField(id_col)
+    placed = scratch.save(grouped.join(numbered.select("row", F.struct(id_.isNull(), id_, "row").alias("at")), "row"))
+    first = placed.groupBy("component_id").agg(F.min("at").alias("first"))
+    gone = scratch.save(placed.join(first, "component_id").where("at <> first").select(F.col("row").alias("gone")))
+    left = numbered.join(few(gone), F.col("row") == F.col("gone"), "left_anti")
+    return left.select(*(F.col("all").getField(c).alias(c) for c in docs.columns))
+
+
 def nearest(stars: DataFrame, most: int = 1) -> DataFrame:
     """Of the pairs (a, b, keys) those of each b with most keys in common, `most` at the most. A node has a few pairs for each of its keys."""
     best = F.slice(F.sort_array(F.collect_list(F.struct("keys", "a")), asc=False), 1, most)

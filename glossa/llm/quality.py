@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import Scratch
+from glossa.llm.shared import Scratch, bounded_batches
 
 TEXT_PLACES, META_PLACES = 1 << 16, 1 << 10
 ROUNDS = 2
@@ -405,16 +405,16 @@ def keep_good(docs: DataFrame, model: Classifier | None, least: float = REJECT_B
     """The rows of docs, with its columns, whose score is at least `least`."""
     if model is None:
         return docs
+    at = [docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")]
 
-    @F.pandas_udf("double")
-    def scored(text, lang, source, n_chars):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_text, of_meta = Places(TEXT_PLACES), Places(META_PLACES)
-        rows = zip(*(c.astype(object).where(c.notna(), None) for c in (text, lang, source, n_chars)))
-        return pd.Series([model.score(*x, of_text, of_meta) for x in rows], dtype="float64")
+        for batch in batches:
+            scores = [model.score(*x, of_text, of_meta) for x in zip(*(batch.column(i).to_pylist() for i in at))]
+            yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
 
-    return docs.where(scored("text", "lang", "source", "n_chars") >= least)
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_co_training(spark, sf_dir: str) -> DataFrame:

@@ -110,6 +110,15 @@ def test_buckets_compare_by_band_values(spark):
     assert {(r.a, r.b) for r in found.collect()} == {(0, 1), (0, 2), (1, 2)}
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = "a b c d e f g", "z y x w v u t", "one two three four five six"
+    rows = [(3, a, 1), (3, a, 2), (2, a, 3), (5, b, 4), (5, c, 5), (None, b, 6), (None, None, 7), (None, "", 8), (1, None, 9), (1, None, 9)]
+    got = minhash.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3))
+    assert got.columns == ["doc_id", "text", "row"]
+    assert sorted(r.row for r in got.collect()) == [3, 4, 5, 7, 8, 9, 9]
+    assert minhash.dedup_documents(spark.createDataFrame([], "doc_id long, text string, gone int")).count() == 0
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f g"), (1, "a b c d e f g"), (1, "z y x w v u t"), (2, "z y x w v u t")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
