@@ -1,27 +1,22 @@
 """Phonetic alignment of word pairs by weighted features of their segments.
 
-Words are normalised and cut once per distinct word, features are found once per
-distinct segment, similarities once per pair of distinct segments. The score of a pair
-is then native: its table's rows are folded with aggregate(), and a cell looks its
-similarities up by number in one constant array. Where there are too many distinct
-segments for that, each pair gets the similarities of its own segments from their
-features. A row of the table is copied for each of its cells, which suits words and not
-whole texts.
+Words are normalised and cut once per distinct word. Scores and alignments are found in
+Arrow batches: all pairs of a batch whose words have the same numbers of segments are
+scored in step, and a batch looks features up once per distinct segment.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.operators.scoring import TABLE, Segments, raw_scores
 from glossa.sources.phonology import FEATURES, Phonology, normalize_ipa
 
 TOTAL_WEIGHT = sum(weight for weight, _ in FEATURES.values())
-#: Distinct segments up to which their similarities are one constant of the plan (an alphabet with marks is a few hundred).
-MAX_SEGMENTS = 500
 GAP = "-"
 
 
@@ -64,92 +59,37 @@ def _distance(a: str, b: str) -> Column:
     return F.when(F.col(f"{a}.token") == F.col(f"{b}.token"), 0.0).when(unknown, 1.0).otherwise(total / float(TOTAL_WEIGHT))
 
 
-def segment_pairs(features: DataFrame) -> DataFrame:
-    """a, b, distance, similarity for all pairs of the tokens of token_features(): an inventory, not a corpus."""
-    pairs = features.alias("a").join(F.broadcast(features.alias("b")), how="cross")
+def segment_pairs(features: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """a, b, distance, similarity for all pairs of the tokens of token_features(), or of these and others: inventories, not corpora."""
+    pairs = features.alias("a").join(F.broadcast((features if others is None else others).alias("b")), how="cross")
     distance = _distance("a", "b")
     similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance))
     return pairs.select(F.col("a.token").alias("a"), F.col("b.token").alias("b"), distance.alias("distance"), similarity.alias("similarity"))
 
 
-def similarity_table(features: DataFrame) -> tuple[list[str], list[float]]:
-    """The distinct tokens of token_features() in order and their similarities, row by row: for MAX_SEGMENTS of them at most."""
-    pairs = segment_pairs(features).orderBy("a", "b").collect()
-    return sorted({p.a for p in pairs}), [p.similarity for p in pairs]
-
-
-def _score(n: Column, m: Column, sim: Callable[[Column, Column], Column], phonology: Phonology) -> Column:
-    """Greatest alignment score of n and m segments; sim(i, j) is the similarity of the i-th and the j-th, from 0."""
-    gap, expansion = float(phonology.gap_penalty), float(phonology.expansion_penalty)
-
-    def row(acc: Column, i: Column) -> Column:
-        def cell(left: Column, j: Column) -> Column:
-            here = sim(i - 1, j - 1)
-            match = F.get(acc["above"], j - 1) + 2 * here - 1
-            one_two = F.get(acc["above"], j - 2) + (sim(i - 1, j - 2) + here) - 1 + expansion
-            two_one = F.get(acc["top"], j - 1) + (sim(i - 2, j - 1) + here) - 1 + expansion
-            best = F.greatest(match, F.get(acc["above"], j) + gap, F.get(left, j - 1) + gap, one_two, two_one)  # nulls, out of the table, don't count
-            return F.concat(left, F.array(best))
-
-        start = F.array(i * F.lit(gap))
-        made = F.when(m == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), start, cell))
-        return F.struct(acc["above"].alias("top"), made.alias("above"))
-
-    first = F.transform(F.sequence(F.lit(0), m), lambda j: j * F.lit(gap))
-    begin = F.struct(F.lit(None).cast("array<double>").alias("top"), first.alias("above"))
-    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), begin, row)["above"]
-    return F.when(n == 0, m * F.lit(gap)).otherwise(F.element_at(whole, -1))
-
-
-def _numbered(tokens: DataFrame, features: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
-    """tokens with numbers, each segment's place in the alphabet, and the similarity of two numbers."""
-    names, sims = similarity_table(features)
-    table = F.split(F.lit(",".join(map(repr, sims))), ",").cast("array<double>") if sims else F.array().cast("array<double>")
-    alphabet = F.split(F.lit("\x01".join(names)), "\x01")
-    numbers = F.transform("tokens", lambda t: (F.array_position(alphabet, t) - 1).cast("int"))
-    return tokens.withColumn("numbers", numbers), lambda x, y: F.get(table, x * len(names) + y)
-
-
-def _featured(tokens: DataFrame, features: DataFrame) -> DataFrame:
-    """tokens with numbers, each segment's text and features: what pairs compare without a common table."""
-    named = features.select("token", F.struct("token", *[F.col(f"`{f}`") for f in FEATURES]).alias("f"))
-    each = tokens.select("word", F.posexplode("tokens").alias("at", "token")).join(named, "token")
-    own = each.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("own")).select(F.col("word").alias("w"), F.transform("own", lambda x: x["f"]).alias("numbers"))
-    return tokens.join(own, F.col("word").eqNullSafe(F.col("w")), "left").drop("w")
-
-
-def _similarity_of(x: Column, y: Column) -> Column:
-    """The similarity of two segments as _featured() has them."""
-    total = F.lit(0.0)
-    for name, (weight, span) in FEATURES.items():
-        total = total + F.least(F.lit(1.0), F.abs(x[name] - y[name]) / float(span)) * float(weight)
-    known = x["place"].isNotNull() & ~F.isnan(x["place"]) & y["place"].isNotNull() & ~F.isnan(y["place"])
-    return F.when(x["token"] == y["token"], 1.0).when(known, 1 - total / float(TOTAL_WEIGHT)).otherwise(0.0)
-
-
-def aligned_scores(pairs: DataFrame, phonology: Phonology = Phonology(), max_segments: int = MAX_SEGMENTS) -> DataFrame:
+def aligned_scores(pairs: DataFrame, phonology: Phonology = Phonology(), max_segments: int = TABLE) -> DataFrame:
     """The columns of pairs (with a, b), tokens_a, tokens_b, raw, similarity, distance.
 
     raw is the greatest sum of scores over matches, gaps and one-to-two moves; similarity
-    is (raw + longest) / (2 longest) in [0, 1], 1 if both are empty, 0 if one is.
+    is (raw + longest) / (2 longest) in [0, 1], 1 if both are empty, 0 if one is. A batch's
+    segments are compared in one table if there are at most max_segments of them, else pair by pair.
     """
     words = pairs.select(F.col("a").alias("word")).unionByName(pairs.select(F.col("b").alias("word")))
     tokens = tokenized(words, phonology)
-    features = token_features(tokens.select(F.explode("tokens").alias("token")), phonology)
-    small = features.limit(max_segments + 1).count() <= max_segments
-    numbered, sim = _numbered(tokens, features) if small else (_featured(tokens, features), None)
-    x, y = (numbered.select(F.col("word").alias(f"_{s}"), F.col("tokens").alias(f"tokens_{s}"), F.col("numbers").alias(f"_n{s}")) for s in "ab")
-    both = pairs.join(x, F.col("a").eqNullSafe(F.col("_a"))).join(y, F.col("b").eqNullSafe(F.col("_b")))
+    x, y = (tokens.select(F.col("word").alias(f"_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    both = pairs.join(x, F.col("a").eqNullSafe(F.col("_a"))).join(y, F.col("b").eqNullSafe(F.col("_b"))).drop("_a", "_b")
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        segments = Segments(phonology)
+        for a, b in batches:
+            yield pd.Series(raw_scores(a, b, phonology, segments, max_segments))
+
     n, m = F.size("tokens_a"), F.size("tokens_b")
-    if sim is not None:
-        raw = _score(n, m, lambda i, j: sim(F.get("_na", i), F.get("_nb", j)), phonology)
-    else:  # the pair's own table first, so that no two segments are compared twice
-        both = both.withColumn("_sims", F.flatten(F.transform("_na", lambda p: F.transform("_nb", lambda q: _similarity_of(p, q)))))
-        raw = _score(n, m, lambda i, j: F.when((i >= 0) & (j >= 0), F.get("_sims", i * m + j)), phonology)
     longest = F.greatest(n, m)
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("raw") + longest) / (2 * F.greatest(longest, F.lit(1)))))
     similarity = F.when(longest == 0, 1.0).when((n == 0) | (m == 0), 0.0).otherwise(inside)
-    return both.withColumn("raw", raw).withColumn("similarity", similarity).withColumn("distance", 1 - F.col("similarity")).drop("_a", "_b", "_na", "_nb", "_sims")
+    return both.withColumn("raw", scored("tokens_a", "tokens_b")).withColumn("similarity", similarity).withColumn("distance", 1 - F.col("similarity"))
 
 
 def unknown_segments(words: DataFrame, phonology: Phonology = Phonology()) -> DataFrame:

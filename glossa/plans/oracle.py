@@ -5,7 +5,6 @@ from __future__ import annotations
 from glossa.functions.edit import PHONETIC_PAIRS
 from glossa.functions.semantic import PROMPT
 from glossa.operators.classify import MODEL, REASONS, URL
-from glossa.plans.fixtures import RESPONSES
 from glossa.sources import lexicon, phonology
 
 
@@ -33,12 +32,20 @@ _MEANINGS = """meaning as (
   from conversations u join conversations s using (conv_id) where u.role = 'user' and s.role = 'assistant' and s.turn = u.turn + 1)"""
 
 
-def _table_sql(items: str, cost: str) -> str:
-    """CTEs to distance(a, b, n, m, d): the edit table of every pair, cell by cell; x and y are the items' lists."""
-    return f"""with recursive {WORD},
+def _letter_words(table: str) -> str:
+    return f"voc as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from {table})"
+
+
+VOC = _letter_words("documents")
+
+
+def _table_sql(items: str, cost: str, other: str = "") -> str:
+    """CTEs to distance(a, b, n, m, d): the edit table of every pair, cell by cell; x and y are the items' lists. other: a CTE voc of words for the pairs' first side."""
+    first = f"{other}, mine as (select word, {items} as u from voc)," if other else ""
+    return f"""with recursive {WORD}, {first}
 unit as (select word, {items} as u from word),
 cell(a, b, x, y, i, j, above, here) as (
-  select p.word, q.word, p.u, q.u, 1, 1, list_transform(range(0, len(q.u) + 1), lambda k: cast(k as double)), [cast(1 as double)] from unit p, unit q
+  select p.word, q.word, p.u, q.u, 1, 1, list_transform(range(0, len(q.u) + 1), lambda k: cast(k as double)), [cast(1 as double)] from {'mine' if other else 'unit'} p, unit q
   union all
   select a, b, x, y, case when j <= len(y) then i else i + 1 end, case when j <= len(y) then j + 1 else 1 end,
     case when j <= len(y) then above else here end,
@@ -48,7 +55,8 @@ distance as (select a, b, len(x) as n, len(y) as m, above[len(y) + 1] as d from
 
 
 _LETTERS = "string_split(word, '')"
-_GRAPHIC = _table_sql(_LETTERS, "case when x[i] = y[j] then 0.0 when (j > 1 and x[i] = y[j - 1]) or (i > 1 and x[i - 1] = y[j]) then 0.5 else 1.0 end")
+_GRAPHIC_COST = "case when x[i] = y[j] then 0.0 when (j > 1 and x[i] = y[j - 1]) or (i > 1 and x[i - 1] = y[j]) then 0.5 else 1.0 end"
+_GRAPHIC = _table_sql(_LETTERS, _GRAPHIC_COST)
 _SIMILAR = "[" + ", ".join(_quoted(f"{a}|{b}") for p in PHONETIC_PAIRS for a, b in (p, p[::-1])) + "]"
 _PHONETIC = _table_sql(_LETTERS, f"case when x[i] = y[j] then 0.0 when list_contains({_SIMILAR}, x[i] || '|' || y[j]) then 0.5 else 1.0 end")
 
@@ -72,17 +80,18 @@ _OWN_SOUNDS = f""" where s not in ('q', 'w') union all select 'w', {_FEATURE_COL
 _ALINE_TOKENS = "regexp_extract_all(word, '(ts|dz|pf|bv|kx|[^ ./()\\[\\]{}|])')"
 
 
-def _aline_sql(gap: float = -0.65, expansion: float = -0.18, changed: str = "") -> str:
+def _aline_sql(gap: float = -0.65, expansion: float = -0.18, changed: str = "", other: str = "") -> str:
     """CTEs to score(a, b, x, y, n, m, t, raw, longest): each pair's segments x and y (texts) and whole table t, row after row from (0, 0)."""
-    return f"""with recursive {WORD}, {_segment_sql(changed)},
-unit as (select word, {_ALINE_TOKENS} as u from word),
+    both = f"{other}, every as (select word, true as mine from voc union all select word, false from word)," if other else "every as (select word, true as mine from word union all select word, false from word),"
+    return f"""with recursive {WORD}, {both} {_segment_sql(changed)},
+unit as (select word, mine, {_ALINE_TOKENS} as u from every),
 tok as (select distinct unnest(u) as t from unit),
 inv as (select list(t order by t) as names from tok),
 flat as (select list(coalesce(1 - d, case when p.t = q.t then 1.0 else 0.0 end) order by p.t, q.t) as sims from tok p cross join tok q left join sim on a = p.t and b = q.t),
-num as (select word, u as own, list_transform(u, lambda t: list_position(names, t) - 1) as u from unit, inv),
+num as (select word, mine, u as own, list_transform(u, lambda t: list_position(names, t) - 1) as u from unit, inv),
 cell(a, b, xs, ys, x, y, i, j, top, above, here, t) as (
   select p.word, q.word, p.own, q.own, p.u, q.u, 1, 1, cast(null as double[]), list_transform(range(0, len(q.u) + 1), lambda k: k * {gap}::double), [{gap}::double],
-    list_transform(range(0, len(q.u) + 1), lambda k: k * {gap}::double) from num p, num q
+    list_transform(range(0, len(q.u) + 1), lambda k: k * {gap}::double) from num p, num q where p.mine and not q.mine
   union all
   select a, b, xs, ys, x, y, case when j <= len(y) then i else i + 1 end, case when j <= len(y) then j + 1 else 1 end,
     case when j <= len(y) then top else above end, case when j <= len(y) then above else here end,
@@ -97,6 +106,7 @@ score as (select a, b, xs as x, ys as y, len(x) as n, len(y) as m, t, above[len(
 
 _ALINE = _aline_sql()
 _ALINE_SIMILARITY = "greatest(0.0, least(1.0, (raw + longest) / (2 * longest)))"
+_USED = f"used as (select t, count(*) as n_words from (select unnest(list_distinct({_ALINE_TOKENS})) as t from voc) group by t)"
 #: The walk from the words' ends: moves (name, segments of a, of b, score), tried in the order of their names.
 _SIM = "coalesce((select 1 - d from sim where sim.a = {0} and sim.b = {1}), case when {0} = {1} then 1.0 else 0.0 end)"
 
@@ -172,19 +182,21 @@ _MULTI = "|".join([a[0] + tie + a[1] for tie in "͜͡" for a in _AFFRICATES] + _
 _APART = r"ˈˌ. \t\n\r/\[\](){}‖|"
 _MODIFIERS = "".join(dict.fromkeys(m for m, *_ in _MARKED))
 
-#: Expected by hand: id, similarity, distance, reason, error.
-_ANSWERS = [
-    (1, 0.62, 0.38, "x", False), (2, 0.62, 0.38, "", False), (3, 0.5, 0.5, "", False), (4, 0.62, 0.38, "", False), (5, 0.15, 0.85, "", False),
-    (6, 0.985, 0.015, "", False), (7, None, None, None, True), (8, None, None, None, None), (9, None, None, None, None), (10, 0.4, 0.6, "", False),
-    (11, 0.7, 0.3, "", False), (12, 0.5, 1.0, "", False), (13, 1.0, 0.0, "", False), (14, 0.0, 1.0, "", False),
-]
-assert len(_ANSWERS) == len(RESPONSES)
-
 _PARTS = _lines(lexicon.COMPONENTS)
 _RULES = _lines(lexicon.ASSIMILATIONS)
 _VARIANTS = _lines(lexicon.PREFIX_VARIANTS)
 _COMPONENT_SQL = f"part_of(id, category, form, meaning, meaning_en) as {_values(_PARTS)}"
 
+#: Of sets bag(id, w): every pair that has a word in common.
+_SET_PAIRS = """word as (select id, len(w) as n, unnest(w) as w from bag),
+  pair as (select x.id as a, y.id as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as common from word x join word y on x.w = y.w and x.id < y.id group by x.id, y.id)
+  select a, b, common, n + m - common as "union" from pair"""
+#: How many of voc's words have each form of a table: begin with it, end with it, or are it.
+_COUNTED = """counted as (
+  select f.form, count(word) as n_words from (select distinct form from {0}) f left join voc on
+    case when f.form like '-%' then ends_with(word, replace(f.form, '-', '')) when f.form like '%-' then starts_with(word, replace(f.form, '-', '')) else word = f.form end
+  group by f.form)"""
+
 _RECORD = f"""{_MEANINGS},
 record as (
   select conv_id, turn, case when conv_id % 7 = 0 then '' else 're/vis/ion' end as regular, {_TRIM.format('asked')} as logical,
@@ -241,18 +253,25 @@ ORACLE_SQL = {
     "phonetic_tokens": f"with {WORD} select word, length(word) as n, array_to_string(string_split(word, ''), '|') as tokens from word",
     "phonetic_distance": f"{_PHONETIC} select a, b, d as distance from distance",
     "phonetic_similarity": f"{_PHONETIC} select a, b, round(1 - d / greatest(n, m), 9) as similarity from distance",
-    "phonetic_pairs": f"select x, y from {_values(PHONETIC_PAIRS)} t(x, y) union select y, x from {_values(PHONETIC_PAIRS)} t(x, y)",
+    "phonetic_pairs": f"""with {VOC}, sound as (select distinct unnest(string_split(word, '')) as s from voc),
+      pair as (select x, y from {_values(PHONETIC_PAIRS)} t(x, y) union select y, x from {_values(PHONETIC_PAIRS)} t(x, y))
+      select x, y from pair where x in (select s from sound) and y in (select s from sound)""",
     "shift_similarity": f"""with {WORD} select a.word as a, b.word as b, cast(greatest({", ".join(
         f"case when length({x}.word) >= {s + 3} and length({y}.word) >= 3 and substr({x}.word, {s + 1}, 3) = substr({y}.word, 1, 3) then {score} else 0.0 end"
         for s, score in enumerate((1.0, 0.5, 0.4, 0.3)) for x, y in (("a", "b"), ("b", "a")))}) as double) as similarity from word a, word b""",
-    "segment_distance": f"with {_SEGMENT} select a, b, round(d, 9) as distance, round(1 - d, 9) as similarity from sim",
+    "segment_distance": f"""with {VOC}, {_SEGMENT}, own as (select distinct unnest({_ALINE_TOKENS}) as t from voc)
+      select a, b, round(d, 9) as distance, round(1 - d, 9) as similarity from sim where a in (select t from own)""",
     # Where a mark composes with the last letter, the first letter of what comes out is the base, without marks.
-    "marked_segments": f"""with symbol(s, {_FEATURE_COLUMNS}) as {_SYMBOLS}, mark as (select unnest([{", ".join(_quoted(m) for m in dict.fromkeys(m for m, *_ in _MARKED))}]) as mark),
+    "marked_segments": f"""with {VOC}, {_USED}, symbol(s, {_FEATURE_COLUMNS}) as {_SYMBOLS}, mark as (select unnest([{", ".join(_quoted(m) for m in dict.fromkeys(m for m, *_ in _MARKED))}]) as mark),
       token as (select s as symbol, mark, nfc_normalize(s || mark) as t from symbol cross join mark),
-      based as (select token.symbol, case when t = token.symbol || mark then mark else '' end as mark, mark as given, case when t = token.symbol || mark then token.symbol else left(t, 1) end as base from token)
-      select b.symbol, given as mark, {", ".join(map(_marked_column, phonology.FEATURES))} from based b left join symbol on s = base""",
-    "segment_inventory": f"select s as symbol, {', '.join(f'cast(f_{n} as double) as {chr(34)}{n}{chr(34)}' for n in phonology.FEATURES)} from {_SYMBOLS} t(s, {_FEATURE_COLUMNS})",
-    "feature_weights": f"select name, cast(weight as double) as weight, cast(r as double) as \"range\" from {_values([(n, float(w), float(r)) for n, (w, r) in phonology.FEATURES.items()])} t(name, weight, r)",
+      based as (select token.symbol, case when token.t = token.symbol || mark then mark else '' end as mark, mark as given, case when token.t = token.symbol || mark then token.symbol else left(token.t, 1) end as base from token)
+      select b.symbol, given as mark, {", ".join(map(_marked_column, phonology.FEATURES))}, coalesce(n_words, 0) as n_words
+      from based b left join symbol on s = base left join used on t = b.symbol""",
+    "segment_inventory": f"""with {VOC}, {_USED}
+      select s as symbol, {', '.join(f'cast(f_{n} as double) as {chr(34)}{n}{chr(34)}' for n in phonology.FEATURES)}, coalesce(n_words, 0) as n_words from {_SYMBOLS} v(s, {_FEATURE_COLUMNS}) left join used on t = s""",
+    "feature_weights": f"""with {VOC}, {_USED}, seen as (select * from {_SYMBOLS} v(s, {_FEATURE_COLUMNS}) join used on t = s),
+      mean as ({" union all ".join(f"select '{n}' as name, round(sum(f_{n} * n_words) / sum(n_words), 6)::double as mean from seen" for n in phonology.FEATURES)})
+      select name, cast(weight as double) as weight, cast(r as double) as "range", mean from {_values([(n, float(w), float(r)) for n, (w, r) in phonology.FEATURES.items()])} t(name, weight, r) join mean using (name)""",
     "aline_tokens": f"with {WORD} select word, array_to_string({_ALINE_TOKENS}, '|') as tokens from word",
     "unknown_segments": f"""with symbol(s, {_FEATURE_COLUMNS}) as {_SYMBOLS},
       word as (select distinct unnest(string_split(translate(text, chr(10) || chr(9) || chr(13), '   '), ' ')) as word from documents),
@@ -284,7 +303,11 @@ ORACLE_SQL = {
       d as (select conv_id, turn, other, coalesce(0.7 * rule + 0.3 * other, rule) as d from c2)
       select conv_id, turn, round(d, 9) as distance, round(1 - d, 9) as similarity, case when other is null then 1.0::double else 0.7::double end as rule_weight,
         case when other is null then 0.0::double else 0.3::double end as embedding_weight from d""",
-    "parse_manual_response": f"select cast(id as int) as id, cast(s as double) as similarity, cast(d as double) as distance, reason, error from {_values(_ANSWERS)} t(id, s, d, reason, error)",
+    "parse_manual_response": r"""with answer as (
+        select conv_id, turn, conv_id % 7 as k, length(text) % 100 as given, case when length(text) % 100 > 1 then length(text) % 100 / 100.0 else length(text) % 100 end as x,
+          trim(regexp_replace(text, '[0-9\s]', '', 'g')) = '' as nothing from conversations)
+      select conv_id, turn, round(case when k in (0, 2) then x when k in (1, 3) then 1 - x end, 9)::double as similarity, round(case when k in (0, 2) then 1 - x when k in (1, 3) then x end, 9)::double as distance,
+        case k when 0 then 'r' || turn when 1 then '' when 2 then '' when 3 then '' end as reason, case when k <= 3 then false when k = 4 and not nothing then true end as error from answer""",
     "build_prompt": f"with {_MEANINGS} select conv_id, turn, {_PROMPT_SQL} as prompt from (select conv_id, turn, case when turn % 4 = 0 then '' else asked end as logical, answered as international from meaning)",
     "classify_words": f"""with {_RECORD}
       select conv_id, turn,
@@ -305,21 +328,37 @@ ORACLE_SQL = {
       blended as (select *, case when c is null then final else 0.7 * rule + 0.3 * (1 - {_MOVED}) end as d from near)
       select conv_id, turn, case when manual is not null then 'rule_plus_manual_embedding' when use_llm then 'rule_plus_embedding' else 'rule_only' end as method,
         round(d, 9) as distance, round(1 - d, 9) as similarity, cast(null as varchar) as error from blended""",
-    "lexicon_components": f"with {_COMPONENT_SQL} select * from part_of",
-    "components_by_category": f"with {_COMPONENT_SQL} select category, count(*) as n, string_agg(form, ' ' order by o) as forms from (select *, row_number() over () as o from part_of) group by category",
-    "prefix_variants": f"""with {_COMPONENT_SQL}, v(prefix_id, form, note, note_en) as {_values(_VARIANTS)}
-      select id, p.form as base_form, v.form, note, note_en from part_of p join v on id = prefix_id where category like 'Приставки%'""",
-    "root_assimilations": f"select value, label, coalesce(auto_form, '') as auto_form, root_form, root_meaning, f is not null as fixed, label_en, root_meaning_en from {_values(_RULES)} t(value, label, auto_form, root_form, root_meaning, f, label_en, root_meaning_en)",
-    "localize_components": f"""select * from {_values([
-        ("u1", "Primary root word", "видеть", "No assimilation", ""), ("u2", "Primary root word", "to sit", "1. seder — sess- (to sit)", ""),
-        ("u3", "Prefixes", "opposite meaning; also “in”", "", "before p and m"), ("suf-er", "Noun suffixes", next(p[4] for p in _PARTS if p[0] == "suf-er"), "", ""), ("u5", "Прочее", "z", "", "")])}
-      t(id, shown_label, shown_meaning, shown_assimilation, shown_note)""",
-    "add_affixes": f"""select * from {_values([
-        ("pre-in", "il-", "il-", "pre-in", "in-", "перед l"), ("pre-in", None, None, None, None, None), ("pre-in", "zz-", None, None, None, None),
-        ("suf-er", None, "-er", "suf-er", None, None), ("pre-re", None, "re-", "pre-re", None, None), ("gone", None, None, None, None, None), (None, None, None, None, None, None)])}
-      t(component_id, variant, form, source_id, base_form, assimilation_note)""",
-    "add_roots": f"""select * from {_values([("exc-seder", "seder", "сидеть"), ("none", "vider", "видеть"), ("none", None, None), ("add-t", None, None), ("exc-ceder", None, None), (None, None, None)])}
-      t(assimilation, form, meaning)""",
+    "lexicon_components": f"with {VOC}, {_COMPONENT_SQL}, {_COUNTED.format('part_of')} select id, category, form, meaning, meaning_en, n_words from part_of join counted using (form)",
+    "components_by_category": f"""with {VOC}, {_COMPONENT_SQL}, {_COUNTED.format('part_of')}
+      select category, count(*) as n, string_agg(form, ' ' order by o) as forms, sum(n_words)::bigint as n_words from (select *, row_number() over () as o from part_of) join counted using (form) group by category""",
+    "prefix_variants": f"""with {VOC}, {_COMPONENT_SQL}, v(prefix_id, form, note, note_en) as {_values(_VARIANTS)}, {_COUNTED.format('v')}
+      select id, p.form as base_form, v.form, note, note_en, n_words from part_of p join v on id = prefix_id join counted c on c.form = v.form where category like 'Приставки%'""",
+    "root_assimilations": f"""with {VOC}, rule(value, label, auto_form, root_form, root_meaning, f, label_en, root_meaning_en) as {_values(_RULES)}
+      select value, label, coalesce(auto_form, '') as auto_form, root_form, root_meaning, f is not null as fixed, label_en, root_meaning_en,
+        case when root_form is null then 0 else (select count(*) from voc where starts_with(word, replace(root_form, '-', ''))) end as n_words from rule""",
+    "localize_components": f"""with {_COMPONENT_SQL}, rule(value, label, auto_form, root_form, root_meaning, f, label_en, root_meaning_en) as {_values(_RULES)},
+      v(prefix_id, form, note, note_en) as {_values(_VARIANTS)}, cat(category, category_en) as {_values(_lines(lexicon.CATEGORIES))},
+      rules as (select *, row_number() over () - 1 as o from rule), parts as (select *, row_number() over () - 1 as o from part_of), notes as (select *, row_number() over () - 1 as o from v),
+      made as (
+        select 'u' || p_partkey as id, p_partkey % 3 = 0 as root, p_type as meaning, case when p_partkey % 3 = 0 then rules.value end as assimilation, case when p_partkey % 5 > 0 then parts.id end as source_id,
+          case when p_partkey % 4 = 0 then p_brand end as category, case when p_partkey % 2 = 0 then notes.note end as note
+        from part left join rules on rules.o = p_partkey % {len(_RULES)} left join parts on parts.o = p_partkey % {len(_PARTS) + 5} left join notes on notes.o = p_partkey % {len(_VARIANTS)}),
+      named as (select made.*, s.id is not null as known, s.meaning as s_meaning, s.meaning_en as s_meaning_en, coalesce(nullif(s.category, ''), nullif(made.category, ''), case when root then 'root' else 'old' end) as label
+        from made left join part_of s on s.id = made.source_id)
+      select n.id, case when root then 'Primary root word' else coalesce(category_en, n.label) end as shown_label,
+        case when root then coalesce(root_meaning_en, n.meaning, '') when known then coalesce(s_meaning_en, s_meaning) else n.meaning end as shown_meaning,
+        coalesce(label_en, '') as shown_assimilation, coalesce(x.note_en, n.note, '') as shown_note
+      from named n left join cat on cat.category = n.label left join rule on rule.value = n.assimilation left join (select distinct note, note_en from v) x on x.note = n.note""",
+    "add_affixes": f"""with {VOC}, {_COMPONENT_SQL}, v(prefix_id, form, note, note_en) as {_values(_VARIANTS)},
+      choice as (select distinct id as component_id, null as variant, form from part_of where form like '%-' union select distinct prefix_id, form, form from v)
+      select word, component_id, variant, case when p.id is null then null when not two then p.form when v.form is not null then v.form end as form, case when not two or v.form is not null then p.id end as source_id,
+        case when two and v.form is not null then p.form end as base_form, case when two and p.id is not null then v.note end as assimilation_note
+      from (select word, c.component_id, c.variant, c.component_id in (select prefix_id from v) and q.category like 'Приставки%' as two
+            from voc join choice c on starts_with(word, replace(c.form, '-', '')) left join part_of q on q.id = c.component_id)
+      left join part_of p on p.id = component_id left join v on v.prefix_id = component_id and v.form = variant""",
+    "add_roots": f"""with {VOC}, rule(value, label, auto_form, root_form, root_meaning, f, label_en, root_meaning_en) as {_values(_RULES)}, rules as (select *, row_number() over () - 1 as o from rule),
+      made as (select word, value, case when f is not null then coalesce(root_meaning, '') when length(word) % 4 > 0 then upper(word) else '' end as meaning from voc join rules on o = length(word) * 7 % {len(_RULES)})
+      select word, value as assimilation, case when meaning <> '' then word end as form, nullif(meaning, '') as meaning from made""",
     "component_summary": "select p_partkey, case when p_size % 5 = 0 then '—' else p_brand || ' / ' || p_type end as summary, case when p_size % 5 = 0 then '—' else p_type end as rest from part",
     "state_roundtrip": "select doc_id, text, '1' as box, true as plain from documents",
     "session_roundtrip": f"""with {_MEANINGS}
@@ -333,4 +372,16 @@ ORACLE_SQL = {
     "blank_words": "select p_partkey, case when p_size % 3 = 2 then 1.0::double end as similarity, case when p_size % 3 = 2 then '1.000' else 'Please fill in both words' end as shown from part",
     "number_helpers": """select p_partkey, round(case when p_size % 7 in (0, 1) then 0.0 else greatest(0.0, least(1.0, (p_size - 25) / 20)) end, 9)::double as clamped,
       round(case when p_size % 7 in (0, 1) then 0.0 else p_size * 0.65 + 19.25 end, 9)::double as moved, true as equal, false as apart from part""",
+    "sound_matches": f"{_aline_sql(other=_letter_words('benchmark'))} select a, b, round(raw, 9) as raw, round({_ALINE_SIMILARITY}, 9) as similarity from score where {_ALINE_SIMILARITY} >= 0.8",
+    "aligned_rows": f"{_walk_sql(20)} select a, b, nth - 1 as nth, unnest(generate_series(0, len(parts) - 1)) as place, unnest(list_transform(parts, lambda p: p.p)) as seg_a, unnest(list_transform(parts, lambda p: p.q)) as seg_b from path",
+    "graphic_lookup": f"{_table_sql(_LETTERS, _GRAPHIC_COST, _letter_words('benchmark'))} select a, b, d as distance from distance where d <= 5.5",
+    "graphic_within": f"{_GRAPHIC} select a, b, case when d <= 2 then d end as distance from distance",
+    "similar_turns": f"with bag as (select conv_id * 1000 + turn as id, list_distinct({_TOKENS.format('text')}) as w from conversations), {_SET_PAIRS} where 6 * common >= n + m - common",
+    "similar_documents": f"with bag as (select min(doc_id) as id, list_distinct({_TOKENS.format('text')}) as w from documents group by text), {_SET_PAIRS} where 2 * common >= n + m - common",
+    "nearest_vectors": """with v as (select vec_id, cast(embedding as double[]) as x from embeddings),
+      unit as (select vec_id, list_transform(x, lambda k: k / sqrt(list_sum(list_transform(x, lambda k: k * k)))) as x from v),
+      near as (select p.vec_id as id, q.vec_id as other, round(list_dot_product(p.x, q.x), 9) as cosine from unit p join unit q on p.vec_id <> q.vec_id)
+      select id, row_number() over (partition by id order by cosine desc, other) as rank, other, cosine from near qualify rank <= 5""",
+    "translated_parts": """select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 4 = 0 then p_type when p_partkey % 5 < 3 then p_brand else cast(p_partkey as varchar) end as shown,
+      case when p_partkey % 3 = 0 then 'eo' when p_partkey % 4 = 0 then 'de' when p_partkey % 5 < 3 then 'ru' end as lang from part""",
 }

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import edit, semantic, text
-from glossa.operators import alignment, classify, components, pairs
+from glossa.operators import alignment, classify, components, lookup, nearest, pairs, setjoin, sounds, tablefunc
 from glossa.plans import tables
-from glossa.plans.fixtures import CHOICES, PARTS, RESPONSES, ROOTS, rows_of
-from glossa.sources import lexicon, phonology, state
+from glossa.sources import lexicon, phonology, state, translations
 
 
 #: With the inventory's diphthongs as segments.
@@ -79,8 +80,11 @@ def phonetic_similarity(spark, sf_dir):
 
 
 def phonetic_pairs(spark, sf_dir):
+    """The similar sounds, in both orders, that the documents' words have both of."""
     one = spark.createDataFrame(list(edit.PHONETIC_PAIRS), "x string, y string")
-    return one.union(one.select("y", "x")).distinct()
+    sounds = tables.letter_words(spark, sf_dir).select(F.explode(edit.phonetic_tokens(F.col("word"))).alias("sound")).distinct()
+    both = one.union(one.select("y", "x")).distinct()
+    return both.join(sounds.withColumnRenamed("sound", "x"), "x").join(sounds.withColumnRenamed("sound", "y"), "y").select("x", "y")
 
 
 def shift_similarity(spark, sf_dir):
@@ -88,27 +92,36 @@ def shift_similarity(spark, sf_dir):
 
 
 def segment_distance(spark, sf_dir):
-    """All pairs of the inventory's symbols."""
-    symbols = phonology.segments(spark).select(F.col("symbol").alias("token"))
-    found = alignment.segment_pairs(alignment.token_features(symbols, WHOLE))
+    """The segments of the documents' words and all symbols of the inventory."""
+    symbols = alignment.token_features(phonology.segments(spark).select(F.col("symbol").alias("token")), WHOLE)
+    own = alignment.token_features(tables.segment_counts(spark, sf_dir)).where(F.col("place").isNotNull() & ~F.isnan("place"))
+    found = alignment.segment_pairs(own, symbols)
     return found.select("a", "b", F.round("distance", 9).alias("distance"), F.round("similarity", 9).alias("similarity"))
 
 
 def marked_segments(spark, sf_dir):
-    """Every symbol of the inventory with every mark: its features."""
+    """Every symbol of the inventory with every mark: its features, and how many of the documents' words have the symbol."""
     symbols = phonology.segments(spark).select("symbol")
     marks = spark.createDataFrame([(m,) for m in phonology.DIACRITICS], "mark string")
     each = symbols.join(F.broadcast(marks), how="cross").withColumn("token", F.concat("symbol", "mark"))
-    found = each.join(alignment.token_features(each.select("token"), WHOLE), "token")
-    return found.select("symbol", "mark", *[F.round(f"`{f}`", 9).alias(f) for f in phonology.FEATURES])
+    found = each.join(alignment.token_features(each.select("token"), WHOLE), "token").drop("token")
+    counts = tables.segment_counts(spark, sf_dir).withColumnRenamed("token", "symbol")
+    return found.join(counts, "symbol", "left").select("symbol", "mark", *[F.round(f"`{f}`", 9).alias(f) for f in phonology.FEATURES], F.coalesce("n_words", F.lit(0)).alias("n_words"))
 
 
 def segment_inventory(spark, sf_dir):
-    return phonology.segments(spark)
+    """The inventory, and how many of the documents' words have each segment."""
+    counts = tables.segment_counts(spark, sf_dir).withColumnRenamed("token", "symbol")
+    return phonology.segments(spark).join(counts, "symbol", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
 
 
 def feature_weights(spark, sf_dir):
-    return phonology.feature_table(spark)
+    """Each feature's weight and range, and its mean over the segments of the documents' words."""
+    counts = tables.segment_counts(spark, sf_dir)
+    known = alignment.token_features(counts).where(F.col("place").isNotNull() & ~F.isnan("place")).join(counts, "token")
+    each = known.select("n_words", F.explode(F.array(*[F.struct(F.lit(f).alias("name"), F.col(f"`{f}`").alias("value")) for f in phonology.FEATURES])).alias("x"))
+    means = each.groupBy("x.name").agg(F.round(F.sum(F.col("x.value") * F.col("n_words")) / F.sum("n_words"), 6).alias("mean"))
+    return phonology.feature_table(spark).join(means, "name", "left")
 
 
 def aline_tokens(spark, sf_dir):
@@ -181,8 +194,14 @@ def combined_distance(spark, sf_dir):
 
 
 def parse_manual_response(spark, sf_dir):
-    found = rows_of(spark, RESPONSES, "id int, raw string").withColumn("p", semantic.parse_manual_response(F.col("raw")))
-    return found.select("id", F.round("p.similarity", 9).alias("similarity"), F.round("p.distance", 9).alias("distance"), "p.reason", "p.error")
+    """Answers of several forms, with the turn's length as their number, and turns without any."""
+    k, n = F.col("conv_id") % 7, (F.length("text") % 100).cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"similarity":'), n, F.lit(',"reason":"r'), F.col("turn").cast("string"), F.lit('"}'))).when(k == 1, F.concat(F.lit("Distance: "), n))
+        .when(k == 2, F.concat(F.lit("Схожесть = "), n)).when(k == 3, F.concat(F.lit("about "), n)).when(k == 4, F.regexp_replace("text", "[0-9]", "")).when(k == 5, "  ")
+    )
+    found = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("p", semantic.parse_manual_response(raw))
+    return found.select("conv_id", "turn", F.round("p.similarity", 9).alias("similarity"), F.round("p.distance", 9).alias("distance"), "p.reason", "p.error")
 
 
 def build_prompt(spark, sf_dir):
@@ -209,17 +228,32 @@ def classify_words(spark, sf_dir):
 
 
 def lexicon_components(spark, sf_dir):
-    return lexicon.components(spark).drop("ordinal")
+    """The components, and how many of the documents' words have each."""
+    return tables.counted(lexicon.components(spark), "form", spark, sf_dir).drop("ordinal")
 
 
 def components_by_category(spark, sf_dir):
-    found = components.by_category(spark)
-    return found.select("category", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["form"]), " ").alias("forms"))
+    """The components of each category, and of how many of the documents' words these are part, each counted on its own."""
+    counts = tables.counted(lexicon.components(spark).select("category", "form"), "form", spark, sf_dir).groupBy("category").agg(F.sum("n_words").alias("n_words"))
+    found = components.by_category(spark).join(counts, "category")
+    return found.select("category", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["form"]), " ").alias("forms"), "n_words")
 
 
 def localize_components(spark, sf_dir):
-    found = components.localized_components(rows_of(spark, PARTS, components.COMPONENT.removeprefix("struct<").removesuffix(">")), "en")
-    return found.select("id", "shown_label", "shown_meaning", "shown_assimilation", "shown_note")
+    """Components made of parts, by their keys: roots, and components of the lexicon, of a category of their own, or of neither."""
+    k = F.col("p_partkey")
+    nth = lambda table, column, size: table.select((F.col("ordinal")).alias("_k"), F.col(column).alias(f"_{column}")).withColumn("_n", F.lit(size))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    for table, column, size in ((lexicon.assimilations(spark), "value", tables.N_RULES), (lexicon.components(spark), "id", tables.N_COMPONENTS + 5), (lexicon.prefix_variants(spark), "note", tables.N_VARIANTS)):
+        one = F.broadcast(nth(table, column, size))
+        part = part.join(one, k % size == one["_k"], "left").drop("_k", "_n")
+    root = k % 3 == 0
+    rows = part.select(
+        F.concat(F.lit("u"), k.cast("string")).alias("id"), F.when(root, "root").otherwise("component").alias("type"), F.when(root, "root").otherwise("old").alias("label"), F.col("p_name").alias("form"),
+        F.col("p_type").alias("meaning"), F.when(root, F.col("_value")).alias("assimilation"), F.when(k % 5 > 0, F.col("_id")).alias("source_id"), F.when(k % 4 == 0, F.col("p_brand")).alias("category"),
+        F.lit(None).cast("string").alias("base_form"), F.when(k % 2 == 0, F.col("_note")).alias("assimilation_note"),
+    )
+    return components.localized_components(rows, "en").select("id", "shown_label", "shown_meaning", "shown_assimilation", "shown_note")
 
 
 def component_summary(spark, sf_dir):
@@ -229,23 +263,37 @@ def component_summary(spark, sf_dir):
 
 
 def prefix_variants(spark, sf_dir):
+    """The prefixes' variants, and how many of the documents' words begin with each."""
     parts, variants = lexicon.components(spark), lexicon.prefix_variants(spark)
     found = parts.where(F.col("category").startswith("Приставки")).join(variants, F.col("id") == F.col("prefix_id"))
-    return found.select("id", parts["form"].alias("base_form"), variants["form"], "note", "note_en")
+    return tables.counted(found.select("id", parts["form"].alias("base_form"), variants["form"], "note", "note_en"), "form", spark, sf_dir)
 
 
 def add_affixes(spark, sf_dir):
-    found = components.affix_components(rows_of(spark, CHOICES, "component_id string, variant string"))
-    return found.select("component_id", "variant", *[F.col(f"component.{c}").alias(c) for c in ("form", "source_id", "base_form", "assimilation_note")])
+    """For each of the documents' words the prefixes, and the variants of prefixes, that it begins with."""
+    words = tables.letter_words(spark, sf_dir)
+    begin = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(tables.MOST_LETTERS))), lambda i: F.substring("word", F.lit(1), i))
+    begins = words.select("word", F.explode(begin).alias("stem"))
+    stem = tables.side_of(F.col("form"))[1]
+    prefixes = lexicon.components(spark).where(F.col("form").endswith("-")).select(F.col("id").alias("component_id"), F.lit(None).cast("string").alias("variant"), stem)
+    variants = lexicon.prefix_variants(spark).select(F.col("prefix_id").alias("component_id"), F.col("form").alias("variant"), stem)
+    choices = begins.join(F.broadcast(prefixes.unionByName(variants).distinct()), "stem").select("word", "component_id", "variant")
+    return components.affix_components(choices).select("word", "component_id", "variant", *[F.col(f"component.{c}").alias(c) for c in ("form", "source_id", "base_form", "assimilation_note")])
 
 
 def add_roots(spark, sf_dir):
-    found = components.root_components(rows_of(spark, ROOTS, "form string, meaning string, assimilation string"))
-    return found.select("assimilation", F.col("component.form").alias("form"), F.col("component.meaning").alias("meaning"))
+    """The documents' words as roots, with a rule by their length, and no meaning where that is a multiple of four."""
+    rules = F.broadcast(lexicon.assimilations(spark).select("ordinal", F.col("value").alias("assimilation")))
+    size = F.length("word")
+    words = tables.letter_words(spark, sf_dir).join(rules, size * 7 % tables.N_RULES == rules["ordinal"])
+    choices = words.select(F.concat(F.lit(" "), "word").alias("form"), F.when(size % 4 > 0, F.upper("word")).alias("meaning"), "assimilation", "word")
+    return components.root_components(choices).select("word", "assimilation", F.col("component.form").alias("form"), F.col("component.meaning").alias("meaning"))
 
 
 def root_assimilations(spark, sf_dir):
-    return lexicon.assimilations(spark).drop("ordinal")
+    """The rules of assimilation, and how many of the documents' words begin with the form of the root that each has."""
+    rules = lexicon.assimilations(spark).withColumn("_form", F.concat(F.replace("root_form", F.lit("-"), F.lit("")), F.lit("-")))
+    return tables.counted(rules, "_form", spark, sf_dir).drop("ordinal", "_form")
 
 
 def state_roundtrip(spark, sf_dir):
@@ -291,3 +339,54 @@ def number_helpers(spark, sf_dir):
         "p_partkey", F.round(semantic.clamp01((odd - 25) / 20), 9).alias("clamped"), F.round(semantic.weighted_move(odd, 55, 0.35), 9).alias("moved"),
         semantic.almost_equal(x * 0.1, x / 10).alias("equal"), semantic.almost_equal(x * 0.1, x / 10 + 1e-9).alias("apart"),
     )
+
+
+def sound_matches(spark, sf_dir):
+    """The words of the benchmark that sound like a part's name, without scoring all pairs."""
+    found = sounds.similar_sounding(tables.letter_words(spark, sf_dir, "benchmark"), tables.part_words(spark, sf_dir), 0.8)
+    return found.select("a", "b", F.round("raw", 9).alias("raw"), F.round("similarity", 9).alias("similarity"))
+
+
+def aligned_rows(spark, sf_dir):
+    """Alignments as rows, by the table function in SQL."""
+    tablefunc.register(spark, "align_words")
+    tables.part_pairs(spark, sf_dir).createOrReplaceTempView("glossa_part_pairs")
+    return spark.sql("SELECT p.a, p.b, cast(t.nth AS long) AS nth, cast(t.place AS long) AS place, t.seg_a, t.seg_b FROM glossa_part_pairs p, LATERAL align_words(p.a, p.b) t")
+
+
+def graphic_lookup(spark, sf_dir):
+    """The words of the benchmark within five and a half edits of a part's name."""
+    return lookup.words_within(tables.letter_words(spark, sf_dir, "benchmark"), tables.part_words(spark, sf_dir), 5.5)
+
+
+def graphic_within(spark, sf_dir):
+    return lookup.distance_within(tables.part_pairs(spark, sf_dir), 2.0)
+
+
+def similar_turns(spark, sf_dir):
+    """Turns of conversations with a sixth of their words in common."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return setjoin.similar_texts(turns, Fraction(1, 6))
+
+
+def similar_documents(spark, sf_dir):
+    """Distinct texts of documents, each by its first document, with half of their words in common."""
+    texts = tables.documents(spark, sf_dir).groupBy("text").agg(F.min("doc_id").alias("id"))
+    return setjoin.similar_texts(texts, Fraction(1, 2))
+
+
+def nearest_vectors(spark, sf_dir):
+    found = nearest.nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 5)
+    return found.select("id", F.col("rank").cast("long").alias("rank"), "other", "cosine")
+
+
+def translated_parts(spark, sf_dir):
+    """Parts by name in a language with holes, then in German, then in Russian, else by their key."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("key"), "p_partkey", "p_name", "p_type", "p_brand")
+    k = F.col("p_partkey")
+    texts = F.array(
+        F.struct(F.lit("eo").alias("lang"), F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, " ").alias("text")), F.struct(F.lit("de").alias("lang"), F.when(k % 4 == 0, F.col("p_type")).alias("text")),
+        F.struct(F.lit("ru").alias("lang"), F.when(k % 5 < 3, F.col("p_brand")).alias("text")), F.struct(F.lit("fr").alias("lang"), F.col("p_name").alias("text")),
+    )
+    each = part.select("key", F.explode(texts).alias("t")).select("key", "t.lang", "t.text")
+    return translations.translated(part.select("p_partkey", "key"), each, "eo", ("de", "ru"), source_col="lang").drop("key")
