@@ -384,4 +384,6 @@ ORACLE_SQL = {
       select id, row_number() over (partition by id order by cosine desc, other) as rank, other, cosine from near qualify rank <= 5""",
     "translated_parts": """select p_partkey, case when p_partkey % 3 = 0 then p_name when p_partkey % 4 = 0 then p_type when p_partkey % 5 < 3 then p_brand else cast(p_partkey as varchar) end as shown,
       case when p_partkey % 3 = 0 then 'eo' when p_partkey % 4 = 0 then 'de' when p_partkey % 5 < 3 then 'ru' end as lang from part""",
+    "embedding_requests": """select conv_id, turn, case when length(text) % 10 < 9 then concat_ws(' ', length(text), length(text) - length(replace(text, ' ', '')), 1) end as vector,
+      case when length(text) % 10 = 9 then 'Embedding request failed: 400 Bad Request — ' || left('too odd: ' || text, 200) end as error from conversations""",
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import edit, semantic, text
-from glossa.operators import alignment, classify, components, lookup, nearest, pairs, setjoin, sounds, tablefunc
+from glossa.operators import alignment, classify, components, embedding, lookup, nearest, pairs, setjoin, sounds, tablefunc
 from glossa.plans import tables
 from glossa.sources import lexicon, phonology, state, translations
 
@@ -390,3 +391,23 @@ def translated_parts(spark, sf_dir):
     )
     each = part.select("key", F.explode(texts).alias("t")).select("key", "t.lang", "t.text")
     return translations.translated(part.select("p_partkey", "key"), each, "eo", ("de", "ru"), source_col="lang").drop("key")
+
+
+def _answering(address: str, body: dict) -> tuple[int, str, str]:
+    """A server of vectors that tell a text's letters and words, whose model "old" has the older address only, and which fails on long texts."""
+    texts = body.get("input", body.get("prompt"))
+    texts = texts if isinstance(texts, list) else [texts]
+    if body["model"] == "old" and address.endswith("/api/embed"):
+        return 404, "Not Found", ""
+    if any(len(t) % 10 == 9 for t in texts):
+        return 400, "Bad Request", "too odd: " + texts[0]
+    vectors = [[len(t), t.count(" "), 1] for t in texts]
+    return 200, "OK", json.dumps({"embedding": vectors[0]} if address.endswith("/api/embeddings") else {"embeddings": vectors})
+
+
+def embedding_requests(spark, sf_dir):
+    """The vectors and errors of all turns' texts from a stub of a server, by two models."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text", F.when(F.col("turn") % 2 == 0, "old").otherwise("new").alias("model"))
+    found = embedding.asked(_answering, retries=0)(turns.select("text", "model"))
+    joined = turns.join(found, ["text", "model"])
+    return joined.select("conv_id", "turn", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), " ").alias("vector"), "error")

@@ -1,5 +1,6 @@
 """Joins by sound, edit distance, word set and vector against all pairs; translations, the store and the table function."""
 
+import json
 import random
 from fractions import Fraction
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossa.functions import semantic
-from glossa.operators import alignment, components, lookup, nearest, pairs, scoring, setjoin, sounds, tablefunc
+from glossa.operators import alignment, components, embedding, lookup, nearest, pairs, scoring, setjoin, sounds, tablefunc
 from glossa.plans.fixtures import CHOICES, PARTS, RESPONSES, ROOTS, rows_of
 from glossa.sources import translations
 from glossa.sources.phonology import Phonology
@@ -204,6 +205,56 @@ def one_of(found):
     return {k: v for k, (v, _) in found.items()}
 
 
+# Embeddings from a server
+
+
+class Stub:
+    """Answers in turn, and notes what was asked."""
+
+    def __init__(self, *answers):
+        self.answers, self.asked = list(answers), []
+
+    def __call__(self, address, body):
+        self.asked.append((address.rpartition("/")[2], body.get("input", body.get("prompt"))))
+        answer = self.answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+
+def test_client_of_a_server():
+    def ask(*answers, texts=("a",), retries=1):
+        stub = Stub(*answers)
+        return embedding.Client(stub, "http://x/", retries, 0).vectors(list(texts), "m"), stub.asked
+
+    good = lambda *v: (200, "OK", json.dumps({"embeddings": list(v)}))
+    assert ask(good([1, 2]))[0] == [([1, 2], None)]
+    assert ask(good([1], [2]), texts=("a", "b"))[0] == [([1], None), ([2], None)]
+    # An older server; a failure there; an answer without a vector.
+    older = ask((404, "Not Found", ""), (200, "OK", '{"embedding": [3]}'), (500, "Oops", "x" * 300), (500, "Oops", "x" * 300), (200, "OK", "{}"), texts=("a", "b", "c"))
+    assert older[0] == [([3], None), (None, "Embedding request failed: 500 Oops — " + "x" * 200), (None, "Invalid embedding response from /api/embeddings")]
+    assert [path for path, _ in older[1]] == ["embed", "embeddings", "embeddings", "embeddings", "embeddings"]
+    # Broken connections and busy servers are asked again; refusals aren't.
+    assert ask(OSError("reset"), good([1]))[0] == [([1], None)] and ask((429, "Slow", ""), good([1]))[0] == [([1], None)]
+    assert ask(OSError("reset"), OSError("reset"))[0] == [(None, "Embedding request failed: 0 reset")]
+    assert ask((400, "Bad", ""))[0] == [(None, "Embedding request failed: 400 Bad")]
+    # One text's failure isn't the others'.
+    assert ask((400, "Bad", ""), good([1]), (400, "Bad", ""), texts=("a", "b"))[0] == [([1], None), (None, "Embedding request failed: 400 Bad")]
+    for odd in ("no json", "[]", '{"embeddings": [1]}', '{"embeddings": [["x"]]}', '{"embeddings": []}'):
+        assert ask((200, "OK", odd))[0] == [(None, "Invalid embedding response from /api/embed")]
+
+
+def _counting(address, body):
+    return 200, "OK", json.dumps({"embeddings": [[float(len(t)), 1.0] for t in body["input"]]})
+
+
+def test_provider(spark):
+    wanted = spark.createDataFrame([("abc", "m"), ("abc", "m"), ("abc", "n"), ("", "m"), (None, "m"), ("x", None)], "text string, model string")
+    found = embedding.asked(_counting)(wanted)
+    assert sorted((r.text, r.model, r.vector[0], r.error) for r in found.collect()) == [("", "m", 0.0, None), ("abc", "m", 3.0, None), ("abc", "n", 3.0, None)]
+    found.unpersist()
+
+
 # The store
 
 
