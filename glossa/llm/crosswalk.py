@@ -41,14 +41,13 @@ class RankTokens:
 
     def __init__(self, vocabulary: str = A_VOCABULARY):
         self.encoder = Encoder(vocabulary, special=False)
-        bpe = self.encoder.bpe
-        self.bytes = [bpe.decode_single_token_bytes(i) for i in range(bpe.n_vocab)]
-        self.sizes = np.array([len(t) for t in self.bytes], np.int64)
+        self.bpe = self.encoder.bpe
+        self.sizes = np.array([len(self.bpe.decode_single_token_bytes(i)) for i in range(self.bpe.n_vocab)], np.int64)
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         for text in texts:
-            ids = self.encoder.encode(" " + text).astype(np.int64)
-            yield ids, b"".join(map(self.bytes.__getitem__, ids.tolist()))
+            ids = self.encoder.encode(" " + text)
+            yield ids.astype(np.int64), self.bpe.decode_bytes(ids)
 
 
 class PieceTokens:
@@ -90,13 +89,13 @@ def labelled(ends_a: np.ndarray, ends_b: np.ndarray, n: int) -> np.ndarray:
 
 def spans(labels: bytes) -> np.ndarray:
     """The ends of the spans up to each byte with which both tokens end."""
-    return np.fromiter((m.end() for m in SPAN.finditer(labels)), np.int64)
+    return np.cumsum(np.fromiter(map(len, SPAN.findall(labels)), np.int64))
 
 
 def _aligned(a_vocabulary: str, b_vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = RankTokens(a_vocabulary), PieceTokens(b_vocabulary)
-        written = Written(max(len(s.bytes) for s in sides))
+        written = Written(max(len(s.sizes) for s in sides))
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, str]] = []
         size = 0
