@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.shared import Scratch
+from glossa.llm.shared import Scratch, few
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -172,9 +172,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: str = "documents",
     written before; ids may repeat or be null. Columns may have any names.
     """
     if cut == "documents":
-        found = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").alias("gone"))
+        found = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("doc_id").cast("long").alias("gone"))
+        found = Scratch(docs.sparkSession).save(found.where("gone is not null").distinct())
         rows = docs.select(F.struct("*").alias("all"))
-        return rows.join(found, F.col("all").getField(id_col) == F.col("gone"), "left_anti").select("all.*")
+        return rows.join(few(found), F.col("all").getField(id_col) == F.col("gone"), "left_anti").select("all.*")
     rows = Scratch(docs.sparkSession).save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")))
     text = F.col("all").getField(text_col)
     found = contamination(rows.select("row", text.alias("text")), benchmark, "row", "text", **options).where("contaminated").select(F.col("doc_id").alias("hit"), "spans")

@@ -255,6 +255,7 @@ def _grouped(numbered: DataFrame, threshold: Fraction, width: int, scratch: Scra
     nodes = scratch.save(nodes.join(joined.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").where("n > 1 or component is not null").select("node", "at", F.coalesce("component", "node").alias("comp")))
     least = scratch.save(nodes.groupBy("comp").agg(F.min("at").alias("first")))
     first = scratch.save(nodes.join(least, "comp").select("node", "first"))
+    scratch.drop(texts, best, left_over, nodes, least)
     placed = lines.join(first, "node", "left").select("row", "doc_id", "line", F.coalesce("first", at).alias("first"))
     same = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
     return placed.select(
@@ -282,12 +283,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbered and written once, and matched by that number: ids may repeat or be null, and
     columns may have any names.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch, searched = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     # All columns in one, whose name can't clash with theirs.
     numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")))
-    groups = _grouped(numbered.select("row", F.col("all").getField(id_col).cast("long").alias("doc_id"), F.col("all").getField(text_col).alias("text")), threshold, width, scratch)
+    groups = _grouped(numbered.select("row", F.col("all").getField(id_col).cast("long").alias("doc_id"), F.col("all").getField(text_col).alias("text")), threshold, width, searched)
     cut = groups.groupBy("row").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("cut"), F.count("*").alias("n")).where(F.size("cut") > 0)
     cut = scratch.save(cut)
+    searched.close()
     made = numbered.join(cut, "row", "left")
     if drop_emptied:
         made = made.where(F.col("n").isNull() | (F.size("cut") < F.col("n")))

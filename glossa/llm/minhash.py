@@ -161,6 +161,7 @@ def near_duplicates(
     text_col: str = "text",
     threshold: Fraction = Fraction(3, 4),
     width: int = WIDTH,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -169,9 +170,10 @@ def near_duplicates(
     texts and texts without words have an empty set and are linked with nothing. A row
     with a null id is linked with nothing: component_id null, kept. Rows that repeat an
     id count as one document that has the links of each of them. Columns other than the
-    two named are ignored, whatever their names. An empty table gives no rows.
+    two named are ignored, whatever their names. An empty table gives no rows. scratch:
+    where intermediate tables go, if the caller closes it when the result has been read.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = scratch.save(texts.mapInArrow(_sketches(width, BANDS, ROWS), "id long, n_shingles long, node long, sig binary, bands binary"))
     rows = scratch.save(sketched.select("id", "n_shingles", "node"))
@@ -257,16 +259,18 @@ def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id repeats or is null. Texts without words are linked with nothing and stay; columns
     may have any names.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch, searched = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")))
     rows = numbered.select("row", F.col("all").getField(text_col).alias("text"))
-    groups = near_duplicates(rows, "row", "text", threshold, width).select(F.col("doc_id").alias("row"), "component_id")
+    groups = near_duplicates(rows, "row", "text", threshold, width, searched).select(F.col("doc_id").alias("row"), "component_id")
     several = scratch.save(groups.where("row <> component_id"))
     grouped = several.unionByName(several.select(F.col("component_id").alias("row"), "component_id").distinct())
     id_ = F.col("all").getField(id_col)
     placed = scratch.save(grouped.join(numbered.select("row", F.struct(id_.isNull(), id_, "row").alias("at")), "row"))
     first = placed.groupBy("component_id").agg(F.min("at").alias("first"))
     gone = scratch.save(placed.join(first, "component_id").where("at <> first").select(F.col("row").alias("gone")))
+    scratch.drop(several, placed)
+    searched.close()
     left = numbered.join(few(gone), F.col("row") == F.col("gone"), "left_anti")
     return left.select(*(F.col("all").getField(c).alias(c) for c in docs.columns))
 

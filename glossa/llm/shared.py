@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -41,30 +42,48 @@ class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives the loss of any executor, as the stage that made it
-    isn't needed again. drop() deletes one that no later read needs.
+    isn't needed again. drop() deletes tables that no later read needs, close() all of them.
     """
 
+    #: Those that haven't been closed, in the order in which they were made.
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         bounded_batches(spark)
-        self.root = f"{shared_dir(spark)}/glossa/{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.name = uuid.uuid4().hex
+        self.root = f"{shared_dir(spark)}/glossa/{self.name}"
         self.n = 0
+        Scratch.made.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(kept)] = path
         kept._glossa_path = path
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._glossa_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._glossa_path)
+
+    def close(self) -> None:
+        """Deletes all tables: what is read later may depend on none of them."""
+        self._delete(self.root)
+        if self in Scratch.made:
+            Scratch.made.remove(self)
+        free_shuffles(self.spark)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, with which the shuffle files of finished queries go: Spark keeps them until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def few(keys: DataFrame) -> DataFrame:
