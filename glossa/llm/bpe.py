@@ -30,8 +30,8 @@ from glossa.llm.shared import bounded_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 64  # bytes
-GROUP_BYTES = 8 << 20
-MEMO_WORDS = 1_000_000
+GROUP_BYTES = 5 << 20
+MEMO_WORDS = 700_000
 STEP_ROWS = 500_000
 DECODE_ROWS = 1_000_000
 DECODE_PART = 1 << 16
