@@ -168,6 +168,34 @@ def test_similar_sets_equal_all_pairs(spark, least):
         setjoin.similar_sets(spark.createDataFrame(bags, "id int, words array<string>"), Fraction(0))
 
 
+def shuffled(spark, rows):
+    """The rows that a query shuffles, its own result not among them."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    rows().write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+@pytest.mark.parametrize("least", [Fraction(1, 6), Fraction(1, 2)])
+def test_pairs_without_enough_words_leave_no_task(spark, least):
+    rng = random.Random(13)
+    hot = [f"h{k}" for k in range(9)]  # a million pairs meet in these, and hardly any is found
+    sets = {i: {*rng.sample(hot, 3), *(f"w{i}-{k}" for k in range(rng.randrange(17, 40)))} for i in range(1500)}
+    big = [f"b{k}" for k in range(3000)]
+    sets |= {2000 + k: set(big[300 * k :]) for k in range(9)}  # sets of 600 to 3000 words, some of them at the threshold
+    table = spark.createDataFrame([(i, sorted(w)) for i, w in sets.items()], "id long, words array<string>")
+    want = {(a, b, len(x & y), len(x | y)) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= least * len(x | y)}
+    for parts in (None, 3):
+        assert {tuple(r) for r in setjoin.similar_sets(table, least, parts=parts).collect()} == want and want
+    assert shuffled(spark, lambda: setjoin.similar_sets(table, least)) < 10 * len(sets)
+
+
 # By vector
 
 
