@@ -4,12 +4,14 @@ import json
 import random
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from glossa.functions import semantic
 from glossa.operators import alignment, components, embedding, lookup, nearest, pairs, scoring, setjoin, sounds, tablefunc
+from glossa.plans import oracle, queries
 from glossa.plans.fixtures import CHOICES, PARTS, RESPONSES, ROOTS, rows_of
 from glossa.sources import translations
 from glossa.sources.phonology import Phonology
@@ -215,6 +217,16 @@ def test_nearest_vectors_equal_all_pairs(spark):
     assert nearest.nearest_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>"), 3).count() == 0
 
 
+def test_combined_distance_at_the_last_vector(spark, tmp_path):
+    spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", f"a w{t}") for t in range(4)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(k, [1.0, float(k)]) for k in range(32)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for name in ("conversations", "embeddings"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.combined_distance(spark, str(tmp_path)).collect()  # turn 0 comes to vector 31, the last
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(oracle.ORACLE_SQL["combined_distance"]).fetchall()) and len(got) == 2
+
+
 # Translations
 
 
