@@ -1,8 +1,8 @@
 """The nearest vectors of every row by cosine, without a table of all pairs.
 
-Rows travel in blocks. Two blocks meet in a task, which multiplies them as matrices and
-gives the best k for each row of the one: bounded rows, which one aggregate for each row
-merges.
+Rows are dealt into parts, and each two parts meet in a task, which multiplies their
+blocks as matrices and keeps the best k of each row as it goes: bounded rows, which one
+aggregate for each row merges.
 """
 
 from __future__ import annotations
@@ -15,56 +15,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PARTS = 16
+PART_BYTES = 64 << 20
 BLOCK_ROWS = 1024
 DIGITS = 9
-_BLOCK = "part int, dim int, ids array<long>, vecs binary"
 _TOP = "id long, other long, cosine double"
 
 
-def _blocks(size: int):
-    """(part, id, vector) to _BLOCK: unit vectors of one part and length; zero vectors stay zero."""
+class _Best:
+    """The best k others of each row of a block, by cosine to DIGITS decimals and then by id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.row, self.other, self.value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, cosine: np.ndarray, others: np.ndarray) -> None:
+        """cosine: of each row with each of the others, -inf where they aren't to be compared."""
+        least = self.least
+        if cosine.shape[1] > self.k:
+            least = np.maximum(least, np.partition(cosine, -self.k, axis=1)[:, -self.k]) if np.isinf(least).any() else least
+        # What is below the kth by more than rounding can't be among the best.
+        row, at = np.nonzero((cosine >= (least - 10.0**-DIGITS)[:, None]) & (cosine > -np.inf))
+        if not len(row):
+            return
+        row, other = np.concatenate([self.row, row]), np.concatenate([self.other, others[at]])
+        value = np.concatenate([self.value, np.round(cosine[row[len(self.row) :], at], DIGITS)])
+        order = np.lexsort((other, -value, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = order[place < self.k]
+        full = order[place == self.k - 1]
+        self.row, self.other, self.value = (np.concatenate([self.row[:0], c]) for c in (row[place < self.k], other[kept], value[kept]))
+        self.least[row[place == self.k - 1]] = value[full]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.other), pa.array(self.value)], names=["id", "other", "cosine"])
+
+
+def _units(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the vectors that take part, which have one length, and their unit vectors; zero vectors stay zero."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    at = np.flatnonzero(np.isfinite(x).all(axis=1))  # nulls have become NaN
+    x = x[at]
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return at, x / np.where(size > 0, size, 1)
+
+
+def _top(k: int, block_rows: int):
+    """(pair, part, dim, id, vector) to _TOP: the best k for each row of either part, of those of the other, or within the pair's one part."""
+
+    def found_in(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        at, units = _units(table.column("vector").combine_chunks())
+        ids, part = table.column("id").to_numpy()[at], table.column("part").to_numpy()[at]
+        sides = []
+        for s in np.unique(part):
+            rows = np.flatnonzero(part == s)
+            sides.append([(ids[r], units[r], _Best(ids[r], k)) for r in (rows[i : i + block_rows] for i in range(0, len(rows), block_rows))])
+        if not sides or len(sides) == 1 and table.column("both")[0].as_py():
+            return
+        for i, (a, x, best) in enumerate(sides[0]):
+            for j, (b, y, back) in enumerate(sides[-1][i:] if len(sides) == 1 else sides[1]):
+                cosine = x @ y.T
+                if len(sides) == 1:  # equal ids are in one part
+                    cosine[a[:, None] == b] = -np.inf
+                best.add(cosine, b)
+                if back is not best:
+                    back.add(cosine.T, a)
+        for side in sides:
+            yield from (best.rows() for _, _, best in side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list, list]] = defaultdict(lambda: ([], []))
-
-        def out(key: tuple[int, int]) -> pa.RecordBatch:
-            ids, vecs = held.pop(key)
-            columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(vecs)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "dim", "ids", "vecs"])
-
+        held: dict[tuple[int, int], list[pa.RecordBatch]] = defaultdict(list)
         for batch in batches:
-            for part, id_, vector in zip(*(c.to_pylist() for c in batch.columns)):
-                if id_ is None or not vector or None in vector:
-                    continue
-                x = np.array(vector, np.float64)
-                if not np.isfinite(x).all():
-                    continue
-                size_of = np.sqrt((x * x).sum())
-                key = part, len(x)
-                held[key][0].append(id_)
-                held[key][1].append((x / size_of if size_of > 0 else x).tobytes())
-                if len(held[key][0]) >= size:
-                    yield out(key)
+            keys = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+            for key in np.unique(keys, axis=0):
+                held[tuple(key)].append(batch.filter(pa.array((keys == key).all(axis=1))))
         for key in list(held):
-            yield out(key)
-
-    return run
-
-
-def _top(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, ids, vecs, other_ids, others in zip(*(c.to_pylist() for c in batch.columns)):
-                ids, other_ids = np.array(ids), np.array(other_ids)
-                x, y = (np.frombuffer(v, np.float64).reshape(-1, dim) for v in (vecs, others))
-                cosine = np.round(x @ y.T, DIGITS)
-                cosine[ids[:, None] == other_ids] = -np.inf
-                order = np.lexsort((np.broadcast_to(other_ids, cosine.shape), -cosine), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(ids)), order.shape[1])
-                value = cosine[row, order.ravel()]
-                kept = np.isfinite(value)
-                columns = [pa.array(ids[row[kept]]), pa.array(other_ids[order.ravel()[kept]]), pa.array(value[kept])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "other", "cosine"])
+            yield from found_in(pa.Table.from_batches(held.pop(key)))
 
     return run
 
@@ -74,20 +102,17 @@ def nearest_vectors(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_c
 
     A zero vector has cosine 0 with all. Rows with a null id, a null or empty vector, or a
     null or non-finite component take no part; vectors of different lengths aren't
-    compared; rows that repeat an id aren't each other's neighbours.
+    compared; rows that repeat an id aren't each other's neighbours. A row is copied for
+    each of the PARTS parts, of which there are more only where one would pass PART_BYTES;
+    a task holds two.
     """
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    n = vectors.count()
-    parts = max(1, -(-n // block_rows))
-    rows = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    blocks = rows.repartition("part").mapInArrow(_blocks(2 * block_rows), _BLOCK)
-    # Every block with every other, dealt out by the pair, so that no task holds more than two.
-    numbers = F.sequence(F.lit(0), F.lit(parts - 1))
-    mine = blocks.withColumn("with", F.explode(numbers)).select("dim", "with", F.col("part").alias("own"), "ids", "vecs")
-    other = blocks.select("dim", F.col("part").alias("with"), F.col("ids").alias("other_ids"), F.col("vecs").alias("others"))
-    met = mine.join(other, ["dim", "with"]).select("dim", "ids", "vecs", "other_ids", "others")
-    tops = met.repartition(max(4 * spark.sparkContext.defaultParallelism, parts)).mapInArrow(_top(k), _TOP)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k)  # k for each block, of which there are few
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null and size(vector) > 0")
+    n, numbers = rows.agg(F.count("*"), F.sum(F.size("vector").cast("long"))).first()
+    parts = max(1, min(PARTS, -(-n // block_rows)), -(-8 * (numbers or 0) // PART_BYTES))
+    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.size("vector").alias("dim"), "id", "vector").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    p, q = F.least("part", "other"), F.greatest("part", "other")
+    each = dealt.select((q * (q + 1) / 2 + p).cast("int").alias("pair"), "dim", (p < q).alias("both"), "part", "id", "vector")
+    tops = each.repartitionById(parts * (parts + 1) // 2, "pair").mapInArrow(_top(k, block_rows), _TOP)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k)  # k for each part
     merged = tops.groupBy("id").agg(best.alias("best")).select("id", F.posexplode("best").alias("rank", "x"))
     return merged.select("id", (F.col("rank") + 1).alias("rank"), F.col("x.other").alias("other"), (-F.col("x.far")).alias("cosine"))

@@ -227,6 +227,13 @@ def test_combined_distance_at_the_last_vector(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == sorted(con.execute(oracle.ORACLE_SQL["combined_distance"]).fetchall()) and len(got) == 2
 
 
+def test_nearest_vectors_shuffle_no_blocks_of_pairs(spark):
+    r = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, r.normal(size=3).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    # Of 75 blocks, a row goes to each of 16 parts and gets two from each; more blocks than parts change nothing.
+    assert shuffled(spark, lambda: nearest.nearest_vectors(rows, 2, block_rows=8)) <= 600 * nearest.PARTS * 3 + 10
+
+
 # Translations
 
 
