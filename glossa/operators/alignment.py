@@ -7,7 +7,9 @@ scored in step, and a batch looks features up once per distinct segment.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from glossa.sources.phonology import FEATURES, Phonology, normalize_ipa
 
 TOTAL_WEIGHT = sum(weight for weight, _ in FEATURES.values())
 GAP = "-"
+KNOWN_TOKENS = 1 << 16  # that a task remembers
 
 
 def normalized_words(words: DataFrame, phonology: Phonology = Phonology()) -> DataFrame:
@@ -94,12 +97,15 @@ def aligned_scores(pairs: DataFrame, phonology: Phonology = Phonology(), max_seg
 
 def unknown_segments(words: DataFrame, phonology: Phonology = Phonology()) -> DataFrame:
     """word, unknown: the distinct tokens of each distinct word whose base has no features, in their order."""
-    tokens = tokenized(words, phonology)
-    known = token_features(tokens.select(F.explode("tokens").alias("token")), phonology).where(F.col("place").isNotNull() & ~F.isnan("place")).select("token")
-    each = tokens.select("word", F.posexplode("tokens").alias("at", "token")).join(known, "token", "left_anti")
-    grouped = each.groupBy("word", "token").agg(F.min("at").alias("at")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("u"))
-    found = tokens.select("word").alias("t").join(grouped.alias("g"), F.col("t.word").eqNullSafe(F.col("g.word")), "left")
-    return found.select("t.word", F.coalesce(F.transform("g.u", lambda u: u["token"]), F.array().cast("array<string>")).alias("unknown"))
+
+    @F.pandas_udf("array<string>")
+    def unknown(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = re.compile("(?s)" + phonology.token_pattern).findall
+        known = lru_cache(KNOWN_TOKENS)(lambda t: phonology.features(t) is not None)
+        for words in batches:
+            yield words.map(lambda w: [t for t in dict.fromkeys(tokens(normalize_ipa(w, phonology.decompose))) if not known(t)])
+
+    return words.select("word").distinct().withColumn("unknown", unknown("word"))
 
 
 def alignments(pairs: DataFrame, phonology: Phonology = Phonology()) -> DataFrame:

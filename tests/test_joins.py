@@ -99,6 +99,13 @@ def test_alignments_as_rows(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_unknown_segments_shuffle_words_only(spark):
+    words = words_of(spark, [f"{a}7{b}é{c}{a}7" for a in "ptkbdg" for b in "aiueo" for c in "smnlr"] * 2 + [None, "t͡s ʰ9"])
+    got = {r.word: r.unknown for r in alignment.unknown_segments(words).collect()}
+    assert len(got) == 152 and got[None] == [] and got["t͡s ʰ9"] == ["ʰ", "9"] and {tuple(u) for w, u in got.items() if w and "é" in w} == {("7", "é")}
+    assert shuffled(spark, lambda: alignment.unknown_segments(words)) <= 302  # and no segments
+
+
 # By edit distance
 
 
