@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,27 @@ def test_pairs_without_enough_words_leave_no_task(spark, least):
     assert shuffled(spark, lambda: setjoin.similar_sets(table, least)) < 10 * len(sets)
 
 
+def test_sets_are_shuffled_once(spark):
+    """No row is copied for each of the parts that it meets."""
+    bags = spark.range(600).selectExpr("id", "array(concat('w', id), concat('h', id % 9)) words")
+    assert shuffled(spark, lambda: setjoin.similar_sets(bags, Fraction(1, 2), parts=5)) == 600
+
+
+def test_blocks_of_sets_meet(monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK_WORDS", 40)
+    rng = random.Random(15)
+    sets = sorted(((sorted(rng.sample(range(52), n)), f"i{k:03}") for k, n in enumerate([*(rng.randrange(1, 30) for _ in range(70)), 50, 41, 40, 40])), key=lambda x: (len(x[0]), x[1]))
+    table = pa.table({"part": pa.array([3] * len(sets), pa.int32()), "n": pa.array([len(w) for w, _ in sets], pa.int32()), "id": [i for _, i in sets], "words": pa.array([w for w, _ in sets], pa.list_(pa.int64()))})
+    blocks = pa.Table.from_batches(setjoin._packed(iter(table.to_batches(max_chunksize=7)))).to_pylist()
+    assert [i for b in blocks for i in b["ids"]] == [i for _, i in sets] and len({b["key"] for b in blocks}) == len(blocks) > 20
+    assert all(len(b["words"]) <= 8 * 40 or len(b["ids"]) == 1 for b in blocks)
+    rows = [{"key_p": p["key"], "key_q": q["key"], **{f"{c}_{s}": b[c] for s, b in (("p", p), ("q", q)) for c in ("ids", "sizes", "words")}} for p in blocks for q in blocks if p["key"] <= q["key"]]
+    got = [tuple(r.values()) for b in setjoin._alike(1, 3)(iter(pa.Table.from_pylist(rows).to_batches(max_chunksize=10))) for r in b.to_pylist()]
+    named = [(i, set(w)) for w, i in sets]
+    want = {(i, j, len(x & y), len(x | y)) for i, x in named for j, y in named if i < j and 3 * len(x & y) >= len(x | y)}
+    assert set(got) == want and len(got) == len(want) > 20
+
+
 # By vector
 
 
