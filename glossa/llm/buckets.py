@@ -24,6 +24,7 @@ LONG_TEXT = 20_000
 CHUNK_KEYS = 1 << 20
 PART_BYTES = 32 << 20
 RANGES_A_PART = 4
+FEW, MOST_PAIRS = 64, 1 << 16
 _OUT_ROWS = 100_000
 
 
@@ -140,61 +141,88 @@ def reaches(x: np.ndarray, y: np.ndarray, threshold: Fraction) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
+def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j: every two places of each group, groups of these sizes lying one after the other."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    at = np.arange(len(ends))
+    after = ends - at - 1
+    i = np.repeat(at, after)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+
+
 def _joined(maker: Callable[[], Callable[[str], np.ndarray]], threshold: Fraction, bands: int, hashes: int, bounds: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, links = Sets(maker()), []
+        sets = Sets(maker())
 
-        def bucket(key: int, held: list[tuple]) -> None:
-            sigs = np.frombuffer(b"".join(r[2] for r in held), f"u{len(held[0][2]) // hashes}").reshape(len(held), hashes)
-            own = np.frombuffer(b"".join(r[3] or r[2] for r in held), np.uint64).reshape(len(held), bands)
-            up = {r[1]: r[1] for r in held}
+        def joined(table: pa.Table) -> pa.RecordBatch:
+            """The links of some whole buckets."""
+            keys, nodes, comps = (table.column(c).to_numpy() for c in range(3))
+            packed = table.column(3).to_pylist()
+            sigs = np.frombuffer(b"".join(packed), f"u{len(packed[0]) // hashes}").reshape(len(packed), hashes)
+            own = np.frombuffer(b"".join(o or s for o, s in zip(table.column(4).to_pylist(), packed)), np.uint64).reshape(len(packed), bands)
+            texts = table.column(5).combine_chunks()
+            links, up = [], {}
 
             def root(c: int) -> int:
-                while up[c] != c:
-                    up[c] = c = up[up[c]]
+                while (d := up.get(c, c)) != c:
+                    up[c] = c = up.get(d, d)
                 return c
 
-            # Any two of different components have one that isn't in the largest: only these are compared with the rest.
-            comps = np.array([r[1] for r in held])
-            kinds, sizes = np.unique(comps, return_counts=True)
-            left = np.ones(len(held), bool)
-            for i in np.flatnonzero(comps != kinds[sizes.argmax()]).tolist():
-                left[i] = False
-                others = np.flatnonzero(left & (comps != comps[i]))
-                others = others[(own[others] == own[i]).argmax(axis=1) == key & int(BAND)]
-                agreed, done = np.zeros(len(others), np.int64), 0
+            def compare(i: np.ndarray, j: np.ndarray) -> None:
+                apart = comps[i] != comps[j]
+                i, j = i[apart], j[apart]
+                first = (own[i] == own[j]).argmax(axis=1) == (keys[i] & int(BAND))
+                i, j = i[first], j[first]
+                agreed, done = np.zeros(len(i), np.int64), 0
                 for n, least in bounds:
-                    agreed += (sigs[others, done:n] == sigs[i, done:n]).sum(axis=1)
-                    others, agreed, done = others[agreed >= least], agreed[agreed >= least], n
-                for j in others[np.argsort(-agreed, kind="stable")].tolist():
-                    (m, c, _, _, s), (n, d, _, _, t) = held[i], held[j]
-                    c, d = root(c), root(d)
+                    agreed += (sigs[i, done:n] == sigs[j, done:n]).sum(axis=1)
+                    left = agreed >= least
+                    i, j, agreed, done = i[left], j[left], agreed[left], n
+                order = np.lexsort((-agreed, keys[i]))
+                for x, y in zip(i[order].tolist(), j[order].tolist()):
+                    c, d = root(int(comps[x])), root(int(comps[y]))
                     if c == d:
                         continue
+                    s, t = texts[x], texts[y]
                     sure = s.is_valid and t.is_valid
                     if not sure or reaches(sets[s.as_py()], sets[t.as_py()], threshold):
+                        m, n = int(nodes[x]), int(nodes[y])
                         links.append((min(m, n), max(m, n), sure))
                         if sure:
                             up[c] = d
 
-        def out() -> pa.RecordBatch:
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            size = np.diff(np.append(start, len(keys)))
+            few = np.flatnonzero(np.repeat(size <= FEW, size))
+            i, j = _pairs(size[size <= FEW])
+            for lo in range(0, len(i), MOST_PAIRS):
+                compare(few[i[lo : lo + MOST_PAIRS]], few[j[lo : lo + MOST_PAIRS]])
+            for a, n in zip(start[size > FEW].tolist(), size[size > FEW].tolist()):
+                # Any two of different components have one that isn't in the largest: only these are compared with the rest.
+                here = comps[a : a + n]
+                kinds, sizes = np.unique(here, return_counts=True)
+                left = np.ones(n, bool)
+                for k in np.flatnonzero(here != kinds[sizes.argmax()]).tolist():
+                    left[k] = False
+                    others = np.flatnonzero(left) + a
+                    compare(np.full(len(others), a + k), others)
             columns = zip(*links) if links else ([], [], [])
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
-            links.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
 
-        key, held = None, []
+        held: list[pa.RecordBatch] = []  # the last bucket so far
         for batch in batches:
-            for k, *row, text in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
-                if k != key and held:
-                    bucket(key, held)
-                    held = []
-                key = k
-                held.append((*row, text))
-            yield out()
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            last = int(np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[-1])
+            if held and (last or held[0].column(0)[-1].as_py() != keys[0]):
+                yield joined(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif last:
+                yield joined(pa.Table.from_batches([batch.slice(0, last)]))
+            held.append(batch.slice(last))
         if held:
-            bucket(key, held)
-        yield out()
+            yield joined(pa.Table.from_batches(held))
 
     return run
 

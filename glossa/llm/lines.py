@@ -67,7 +67,8 @@ def windows(code: np.ndarray, width: int) -> np.ndarray:
 def line_set(line: str, width: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a line."""
     code = np.frombuffer(line.ljust(width, "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return np.unique(mix(windows(code, width)))
+    found = np.sort(mix(windows(code, width)))
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:

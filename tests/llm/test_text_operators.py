@@ -9,6 +9,7 @@ from fractions import Fraction
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,3 +405,33 @@ def test_quality_with_few_bad_labels(spark, sf_dir):
     assert quality.train(docs, few.where(bad).limit(1).unionByName(few.where(f"not ({bad})")), rounds=1) is not None
     with pytest.raises(ValueError):
         quality.train(docs, few.where(f"not ({bad})"))
+
+
+def test_buckets_of_a_task_join_components_once():
+    """Small buckets are compared together and large ones alone, whatever the batches; a second link of two components isn't looked for."""
+    rng = np.random.default_rng(8)
+    texts = [f"{'shared words of the line ' * 3}{k % 7}{'x' * (k % 3)}" if k % 5 else f"alone {rng.integers(1 << 40)} and more {rng.integers(1 << 40)}" for k in range(160)]
+    own = rng.integers(0, 2, (160, 16)).astype(np.uint64)
+    rows = [(b * 64 + band, k, k // 2, sigs) for b, size in enumerate((2, 3, 2, 90, 1, 40)) for band in (0, 3) for k in rng.permutation(160)[:size].tolist() for sigs in [own[k].tobytes()]]
+    rows.sort(key=lambda r: r[0])
+    table = pa.table({"key": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([r[1] for r in rows], pa.int64()), "comp": pa.array([r[2] for r in rows], pa.int64()), "sig": [r[3] for r in rows], "bands": pa.nulls(len(rows), pa.binary()), "text": [texts[r[1]] for r in rows]})
+    threshold = Fraction(4, 5)
+    run = buckets._joined(lambda: partial(lines.line_set, width=9), threshold, 16, 64, [(64, 0)])
+
+    def groups(links):
+        up = {k: k // 2 for k in range(160)}
+        for a, b in links:
+            x, y = up[a], up[b]
+            up = {k: min(x, y) if c in (x, y) else c for k, c in up.items()}
+        return up
+
+    want = []
+    for key in {r[0] for r in rows}:
+        inside = [r[1] for r in rows if r[0] == key]
+        want += [(a, b) for a in inside for b in inside if a < b and np.flatnonzero(own[a] == own[b])[:1].tolist() == [key % 64] and buckets.reaches(lines.line_set(texts[a], 9), lines.line_set(texts[b], 9), threshold)]
+    for size in (1, 13, 1000):
+        found = [(r["a"], r["b"]) for b in run(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert groups(found) == groups(want) and set(found) <= set(want) and len(want) > 20
+    twice = pa.concat_tables([table.slice(k, 1) for k in (0, 0, 0, 0)]).set_column(0, "key", pa.array([0, 0, 64, 64])).set_column(1, "node", pa.array([1, 2, 3, 4])).set_column(2, "comp", pa.array([1, 2, 1, 2]))
+    held = next(iter(pa.concat_tables([twice, twice.slice(0, 1).set_column(0, "key", pa.array([128]))]).combine_chunks().to_batches()))
+    assert sum(b.num_rows for b in run(iter([held]))) == 1
