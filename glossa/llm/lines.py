@@ -38,6 +38,7 @@ MISS = 1e-4
 SMALL = 4096
 SEEN_LINES = 300_000
 CHUNK_CHARS = 60_000
+CUT_BYTES, ROW_BYTES = 16 << 20, 48  # of line numbers to broadcast, and of each row of them
 BASES = {4: 0x9E3779B1, 8: 0x9E3779B97F4A7C15}
 MIX = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -288,10 +289,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # All columns in one, whose name can't clash with theirs.
     numbered = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("all")))
     groups = _grouped(numbered.select("row", F.col("all").getField(id_col).cast("long").alias("doc_id"), F.col("all").getField(text_col).alias("text")), threshold, width, searched)
-    cut = groups.groupBy("row").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("cut"), F.count("*").alias("n")).where(F.size("cut") > 0)
+    cut = groups.groupBy("row").agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no").cast("int"))).alias("cut"), F.count("*").alias("n")).where(F.size("cut") > 0)
     cut = scratch.save(cut)
     searched.close()
-    made = numbered.join(cut, "row", "left")
+    n, n_lines = cut.agg(F.count("*"), F.sum(F.size("cut").cast("long"))).first()
+    made = numbered.join(F.broadcast(cut) if ROW_BYTES * n + 4 * (n_lines or 0) <= CUT_BYTES else cut, "row", "left")
     if drop_emptied:
         made = made.where(F.col("n").isNull() | (F.size("cut") < F.col("n")))
     text = F.col("all").getField(text_col)

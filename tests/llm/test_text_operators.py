@@ -435,3 +435,17 @@ def test_buckets_of_a_task_join_components_once():
     twice = pa.concat_tables([table.slice(k, 1) for k in (0, 0, 0, 0)]).set_column(0, "key", pa.array([0, 0, 64, 64])).set_column(1, "node", pa.array([1, 2, 3, 4])).set_column(2, "comp", pa.array([1, 2, 1, 2]))
     held = next(iter(pa.concat_tables([twice, twice.slice(0, 1).set_column(0, "key", pa.array([128]))]).combine_chunks().to_batches()))
     assert sum(b.num_rows for b in run(iter([held]))) == 1
+
+
+def test_cut_lines_are_broadcast(spark):
+    """The texts aren't shuffled to be joined with the numbers of the lines to cut, unless these are many megabytes."""
+    docs = spark.createDataFrame([(k, f"the same line in every one of the documents\nline {k} of its own, {k * k * 7919} times") for k in range(30)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = lines.dedup_lines(docs)
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sum("same line" in r.text for r in made.collect()) == 1 and made.count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
