@@ -20,7 +20,7 @@ from glossa.llm.shared import Scratch, bounded_batches
 from glossa.llm.tokens import VOCABULARY, Encoder
 
 END_OF_TEXT = 50256
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 14  # a reader of saved blocks holds 4096 of them at once
 GROUP_BLOCKS = 1024
 BLOCKS = "file string, block long, ids binary"
 
@@ -54,17 +54,19 @@ def token_blocks(docs: DataFrame, text_col: str = "text", end_id: int = END_OF_T
     return docs.select(F.col(text_col)).mapInArrow(run, BLOCKS)
 
 
-def _pieces(block_bytes: int):
-    """(file, start, size, piece), pieces without the byte 10 between them, to (file, start, size, nth, data): data of about block_bytes."""
+def _pieces(block_bytes: int, itemsize: int):
+    """(file, start, size, piece), pieces without the byte 10 between them, to (file, start, size, nth, n, head, data): data of about block_bytes, n of them, the first of which are head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, n, nth = None, [], 0, 0
 
         def out() -> pa.RecordBatch:
             nonlocal held, n, nth
-            columns = [[key[0]], [key[1]], [key[2]], [nth], [b"\n".join(held) + b"\n"]]
+            data = b"\n".join(held) + b"\n"
+            row = (*key, nth, len(data), data[:itemsize], data)
             held, n, nth = [], 0, nth + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["file", "start", "size", "nth", "data"])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["file", "start", "size", "nth", "n", "head", "data"])
 
         for batch in batches:
             for file, start, size, piece in zip(*(c.to_pylist() for c in batch.columns)):
@@ -94,10 +96,10 @@ def read_token_files(spark: SparkSession, path: str, itemsize: int = 4, block_to
     bounded_batches(spark)
     place = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "file"), ("file_block_start", "start"), ("file_size", "size"))]
     pieces = spark.read.option("lineSep", "\n").text(path).select(*place, F.col("value").cast("binary").alias("piece"))
-    raw = Scratch(spark).save(pieces.mapInArrow(_pieces(itemsize * block_tokens), "file string, start long, size long, nth int, data binary"))
+    raw = Scratch(spark).save(pieces.mapInArrow(_pieces(itemsize * block_tokens, itemsize), "file string, start long, size long, nth int, n long, head binary, data binary"))
     file, none = Window.partitionBy("file"), F.lit(b"")
     order = file.orderBy("start", "nth")
-    brief = raw.select("file", "start", "nth", "size", F.octet_length("data").cast("long").alias("n"), F.substring("data", 1, itemsize).alias("head"))
+    brief = raw.select("file", "start", "nth", "size", "n", "head")
     # The source takes a leading mark of UTF-8 away, and the last piece has a line end that may not be there.
     marked = F.when(F.sum("n").over(file) <= F.col("size") - 2, 3).otherwise(0)
     brief = brief.withColumns({
@@ -111,7 +113,7 @@ def read_token_files(spark: SparkSession, path: str, itemsize: int = 4, block_to
     own = F.substring(data, F.col("skip") + 1, F.greatest(F.col("own") - F.col("skip"), F.lit(0)))
     ids = F.when(F.col("own") <= F.col("skip"), none).otherwise(F.concat(own, F.substring("next", F.lit(1), F.col("need"))))
     keys = brief.select("file", "start", "nth", "block", "mark", "skip", "need", "own", "next")
-    return raw.join(keys, ["file", "start", "nth"]).select("file", "block", ids.alias("ids"))
+    return raw.select("file", "start", "nth", "data").join(keys, ["file", "start", "nth"]).select("file", "block", ids.alias("ids"))
 
 
 def _scan(end_id: int, itemsize: int):
@@ -176,5 +178,6 @@ def document_counts(blocks: DataFrame, end_id: int = END_OF_TEXT, itemsize: int
 
 
 def op9_separator_scan(spark, sf_dir: str) -> DataFrame:
-    blocks = Scratch(spark).save(token_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return document_counts(blocks)
+    bounded_batches(spark)
+    # The blocks are searched as they come: a saved table of such wide rows would be read 4096 of them at a time.
+    return document_counts(token_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet")))

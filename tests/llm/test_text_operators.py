@@ -348,6 +348,16 @@ def test_separator_scan_of_documents_and_files(spark, tmp_path):
     assert [r.n_tokens for r in found] == [len(encoder.encode(t)) for _, t in docs]
 
 
+def test_separator_scan_saves_no_blocks(spark, sf_dir, tmp_path):
+    """A saved row of a block is as wide as the block, and a reader holds thousands of them."""
+    before = len(Scratch.made)
+    separators.op9_separator_scan(spark, sf_dir).count()
+    saved = [spark.read.parquet(f"{s.root}/{k}") for s in Scratch.made[before:] for k in range(1, s.n + 1)]
+    assert saved and not any(kind == "binary" for table in saved for _, kind in table.dtypes)
+    (tmp_path / "flat.bin").write_bytes(b"\n" * 400_000)
+    assert separators.read_token_files(spark, str(tmp_path)).agg(F.max(F.octet_length("ids"))).first()[0] <= 1 << 17
+
+
 def test_quality_classifier(spark, sf_dir):
     """Held-out documents: the combined views beat either alone, and exchanging labels doesn't hurt."""
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
