@@ -11,8 +11,8 @@ M, M0 = 12, 24  # neighbours on upper layers and on the lowest
 BUILD_BEAM = 32
 UPPER_BEAM = 6
 WIDE = 4  # beam members expanded in one step
-VISITED_CELLS = 16_000_000
-SCAN_CELLS = 64  # a member of a widened beam costs about as much as so many nodes of a scan
+VISITED_CELLS = 64_000_000
+SCAN_CELLS = 2000  # a member of a beam costs about as much as so many nodes of a scan
 
 
 def _merged(ids, sims, done, new_ids, new_sims, beam):
@@ -35,12 +35,15 @@ def diverse(sims_to: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int
     among = np.empty((rows, width, width), np.float32)
     step = max(1, 4_000_000 // (width * vectors.shape[1]))
     for lo in range(0, rows, step):
-        x = vectors[ids[lo : lo + step]]
+        x = vectors.take(ids[lo : lo + step], axis=0, mode="wrap")
         among[lo : lo + step] = x @ x.transpose(0, 2, 1)
-    kept = np.zeros((rows, width), bool)
+    kept, nearest = np.zeros((rows, width), bool), np.full((rows, width), -2, np.float32)  # to any that is kept
+    count = np.zeros(rows, np.int64)
     for c in range(width):
-        nearer = np.where(kept, among[:, c, :], -2).max(axis=1) < sims_to[:, c]
-        kept[:, c] = nearer & (ids[:, c] >= 0) & (kept.sum(axis=1) < most)
+        kept[:, c] = now = (nearest[:, c] < sims_to[:, c]) & (ids[:, c] >= 0) & (count < most)
+        count += now
+        at = np.flatnonzero(now)
+        nearest[at] = np.maximum(nearest[at], among[at, c])
     rank = np.where(kept, 0, 1) * width + np.arange(width)
     rank[ids < 0] = 10 * width
     best = np.argsort(rank, axis=1, kind="stable")[:, :most]
@@ -56,6 +59,7 @@ class Graph:
     def __init__(self, vectors: np.ndarray, levels: np.ndarray, layers: list[np.ndarray]):
         self.vectors, self.levels, self.layers = vectors, levels, layers
         self.entry = int(levels.argmax()) if len(levels) else -1
+        self.found = self.exact = 0  # by audits of the beam of now
 
     @property
     def batch(self) -> int:
@@ -135,17 +139,19 @@ class Graph:
         ids = np.full((n, beam), -1, np.int64)
         sims = np.full((n, beam), -3, np.float32)
         done = np.ones((n, beam), bool)
-        seen = np.zeros((n, len(self.vectors)), bool)
+        seen = np.zeros(n * len(self.vectors), bool)
         live, new = np.arange(n), start.astype(np.int64)
         while len(live):
             new = np.sort(new, axis=1)
             new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-            known = seen[live[:, None], new]
-            new[known] = -1
-            b, c = np.nonzero(new >= 0)
-            seen[live[b], new[b, c]] = True
+            place = new + (live * len(self.vectors))[:, None]
+            fresh = np.flatnonzero((new >= 0).ravel() & ~seen.take(place, mode="clip").ravel())
+            seen[place.ravel()[fresh]] = True
+            node = new.ravel()[fresh]
+            new = np.full_like(new, -1)
+            new.ravel()[fresh] = node
             found = np.full(new.shape, -3, np.float32)
-            found[b, c] = np.einsum("nd,nd->n", x[live[b]], self.vectors[new[b, c]])
+            found.ravel()[fresh] = np.einsum("nd,nd->n", x.take(live.take(fresh // new.shape[1]), axis=0), self.vectors.take(node, axis=0))
             ids[live], sims[live], done[live] = _merged(ids[live], sims[live], done[live], new, found, beam)
             score = np.where(done[live], -9, sims[live])
             wide = min(max(WIDE, beam // 8), beam)
@@ -159,7 +165,7 @@ class Graph:
             mark = done[live]
             np.put_along_axis(mark, pick, True, axis=1)
             done[live] = mark
-            new = np.where(valid[:, :, None], table[nodes], -1).reshape(len(live), -1).astype(np.int64)
+            new = np.where(valid[:, :, None], table.take(nodes, axis=0), -1).reshape(len(live), -1).astype(np.int64)
         return ids, sims
 
     def in_range(self, x: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +178,7 @@ class Graph:
         todo, widened = np.arange(len(x)), False
         while len(todo):
             if widened and SCAN_CELLS * beam >= len(self.vectors):
-                a, b = np.nonzero(x[todo] @ self.vectors.T >= least)
+                a, b = self._scanned(x[todo], least)
                 rows.append(todo[a]), nodes.append(b)
                 break
             ids, sims = self.beam(x[todo], self.descend(x[todo], 0), 0, beam)
@@ -183,14 +189,24 @@ class Graph:
             todo, beam, widened = todo[full], beam * 4, True
         return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
+    def _scanned(self, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.nonzero(x[a : a + 64] @ self.vectors.T >= least) for a in range(0, len(x), 64)]
+        return np.concatenate([a + 64 * k for k, (a, _) in enumerate(found)]), np.concatenate([b for _, b in found])
+
     def audited(self, x: np.ndarray, least: float, beam: int, recall: float, audits: int) -> tuple[np.ndarray, np.ndarray, int]:
         """in_range(), with a beam doubled until it finds the share `recall` of what a scan finds for audited
-        queries: some of all, and some of those that found anything. Also the beam that passed."""
+        queries: some of all, and some of those that found anything, of all calls with this beam. Also the beam
+        that passed. Where a wider one would cost as much as a scan, the queries of a call that fails are scanned,
+        and the beam stays: a few links that no beam finds don't widen it for all queries to come."""
         while True:
             rows, nodes = self.in_range(x, least, beam)
             hit = np.unique(rows)
             some = np.unique(np.concatenate([np.arange(0, len(x), max(1, len(x) // audits)), hit[:: max(1, len(hit) // audits)]]))
-            exact = sum(int((x[some[a : a + 64]] @ self.vectors.T >= least).sum()) for a in range(0, len(some), 64))
-            if np.isin(rows, some).sum() >= recall * exact or beam >= len(self.vectors):
+            self.exact += len(self._scanned(x[some], least)[0])
+            self.found += int(np.isin(rows, some).sum())
+            if self.found >= recall * self.exact:
                 return rows, nodes, beam
+            if SCAN_CELLS * beam >= len(self.vectors):
+                return *self._scanned(x, least), beam
             beam *= 2
+            self.found = self.exact = 0

@@ -31,24 +31,21 @@ AUDIT_RECALL, AUDITS = 0.995, 16
 SLACK = 1e-4
 
 
-def _usable(v) -> np.ndarray | None:
-    """The vector in double precision, its largest component scaled to 1; None if it can't be compared."""
-    if v is None or len(v) == 0 or any(x is None for x in v):
-        return None
-    v = np.array(v, np.float64)
-    if not np.isfinite(v).all():
-        return None
-    most = np.abs(v).max()
-    return v / most if most > 0 else None
-
-
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, vector) to (id, dim, vec): null vec if the vector links with nothing."""
+    """(id, vector) to (id, dim, vec): the vector in double precision, its largest component scaled to 1; null vec if it links with nothing."""
     for batch in batches:
-        found = [_usable(v) for v in batch.column(1).to_pylist()]
-        dims = [0 if v is None else len(v) for v in found]
-        vecs = [None if v is None else (v + 0.0).tobytes() for v in found]  # -0.0 and 0.0 alike
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], names=["id", "dim", "vec"])
+        sizes = batch.column(1).value_lengths().fill_null(0).to_numpy()
+        flat = batch.column(1).flatten().cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)  # null: NaN
+        start, dims, vecs = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int32), [None] * len(sizes)
+        for dim in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == dim)
+            x = flat[start[rows][:, None] + np.arange(dim)]
+            fit = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x, rows = x[fit], rows[fit]
+            dims[rows] = dim
+            for row, v in zip(rows.tolist(), x / np.abs(x).max(axis=1, keepdims=True) + 0.0):  # -0.0 and 0.0 alike
+                vecs[row] = v.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims), pa.array(vecs, pa.binary())], names=["id", "dim", "vec"])
 
 
 def _unit(vecs: list[bytes], dim: int) -> np.ndarray:

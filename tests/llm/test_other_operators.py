@@ -383,6 +383,18 @@ def test_graph_recall():
     assert len(exact & set(zip(rows.tolist(), nodes.tolist()))) >= 0.99 * len(exact)
 
 
+def test_a_lost_link_widens_no_beam():
+    """A node that no search reaches is found by a scan of the queries at hand; those to come keep their beam."""
+    x = np.random.default_rng(4).standard_normal((700, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph.build(x, 1)
+    lost = int(np.flatnonzero(graph.levels == 0)[0])
+    for layer in graph.layers:
+        layer[layer == lost] = -1
+    rows, nodes, beam = graph.audited(x[[lost] * 20], 0.999, 16, 0.995, 16)
+    assert beam == 16 and sorted(rows) == list(range(20)) and set(nodes) == {lost}
+
+
 def test_near_vectors(spark):
     x = clusters()
     odd = [None, [], [0.0] * 32, [float("nan")] * 32, [None] + [1.0] * 31, [1.0, 2.0], [2.0, 4.0]]
