@@ -212,6 +212,26 @@ def test_sets_are_shuffled_once(spark):
     assert shuffled(spark, lambda: setjoin.similar_sets(bags, Fraction(1, 2), parts=5)) == 600
 
 
+@pytest.mark.parametrize("num, den", [(1, 6), (1, 2)])
+def test_few_pairs_are_compared_set_by_set(monkeypatch, num, den):
+    """Near the threshold too, and a block's side of the product is made once, not for each block that it meets."""
+    rng, compared, made = np.random.default_rng(16), [], []
+    sets = sorted((np.sort(rng.choice(700, n, False)) for n in rng.integers(100, 160, 1500)), key=len)
+    monkeypatch.setattr(setjoin, "BLOCK_ROWS", 256)
+    common, side = setjoin._common, setjoin._Side.__init__
+    monkeypatch.setattr(setjoin, "_common", lambda x, y: compared.append(1) or common(x, y))
+    monkeypatch.setattr(setjoin._Side, "__init__", lambda self, *a: made.append(1) or side(self, *a))
+    table = pa.table({"part": pa.array([0] * 1500, pa.int32()), "n": pa.array([len(w) for w in sets], pa.int32()), "id": list(range(1500)), "words": pa.array([w.tolist() for w in sets], pa.list_(pa.int64()))})
+    rows = [{"key_p": b["key"], "key_q": b["key"], **{f"{c}_{s}": b[c] for s in "pq" for c in ("ids", "sizes", "words")}} for b in pa.Table.from_batches(setjoin._packed(iter(table.to_batches()))).to_pylist()]
+    found = sum(b.num_rows for b in setjoin._alike(num, den)(iter(pa.Table.from_pylist(rows).to_batches())))
+    ends = np.zeros((1500, 700), np.float32)
+    for k, w in enumerate(sets):
+        ends[k, w] = 1
+    both, n = ends @ ends.T, ends.sum(axis=1)
+    assert found == np.triu(both * den >= (n[:, None] + n - both) * num, 1).sum()
+    assert len(compared) <= found + 1500 and (found > 500) == (num == 1 and den == 6) and len(made) < 30
+
+
 def test_blocks_of_sets_meet(monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK_WORDS", 40)
     rng = random.Random(15)
